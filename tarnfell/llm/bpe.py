@@ -15,13 +15,14 @@ from __future__ import annotations
 import base64
 import codecs
 import functools
+import hashlib
 import os
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Code points that one call of the library gets at most, unless a single text is longer.
@@ -56,7 +57,7 @@ def build(path: str, pattern: str):
             if left in ranks and right in ranks:
                 merges.append((rank, ranks[left], ranks[right], spell[left], spell[right]))
     merges.sort()
-    model = models.BPE(vocab={spell[t]: r for t, r in ranks.items()}, merges=[m[3:] for m in merges], ignore_merges=True, cache_capacity=200_000)
+    model = models.BPE(vocab={spell[t]: r for t, r in ranks.items()}, merges=[m[3:] for m in merges], ignore_merges=True)
     tok = Tokenizer(model)
     tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     return tok
@@ -80,32 +81,44 @@ def slices(texts: Sequence[str]) -> Iterator[list[str]]:
         yield run
 
 
-class PieceEncoder:
-    """Encodes the matches of the pattern one by one and remembers what each gave (ids as int32 bytes).
+#: Patterns of which no match begins before a single space and ends after it, and none looks further than that space.
+SPACE_SAFE = {r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""}
+_WIDE = re.compile(r" \s|\s |\x00").search
 
-    Natural text repeats its words, so most pieces are looked up; the library merges only those not seen yet.
-    The memory is emptied when it is full, which changes no result.
+
+class UnitEncoder:
+    """Encodes texts unit by unit and remembers what each gave (ids as int32 bytes).
+
+    With a pattern of ``SPACE_SAFE``, a text may be cut before every space that stands alone between two other
+    characters: each unit is then encoded as it would be within the text.  Texts with wider white space, and all
+    texts under other patterns, are cut into the matches of the pattern.  Natural text repeats its words, so most
+    units are looked up and the library merges only new ones.  The memory is emptied when full; no result changes.
     """
 
-    def __init__(self, path: str, pattern: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, pattern: str, most: int = 500_000) -> None:
         import regex
 
-        self.tok, self.split, self.most, self.seen = build(path, pattern), regex.compile(pattern).findall, most, {}
+        self.tok, self.matches, self.safe, self.most, self.seen = build(path, pattern), regex.compile(pattern).findall, pattern in SPACE_SAFE, most, {}
+
+    def units(self, text: str) -> list[str]:
+        if self.safe and not _WIDE(text):
+            return text.replace(" ", "\x00 ").split("\x00")
+        return self.matches(text)
 
     def __call__(self, texts: Sequence[str]) -> list[np.ndarray]:
-        cut = [self.split(t) for t in texts]
+        cut = [self.units(t) for t in texts]
         if len(self.seen) > self.most:
             self.seen = {}
         seen = self.seen
-        new = [p for p in {p for c in cut for p in c} if p not in seen]
-        for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            seen[p] = np.array(e.ids, np.int32).tobytes()
+        new = [u for u in {u for c in cut for u in c} if u not in seen]
+        for u, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            seen[u] = np.array(e.ids, np.int32).tobytes()
         return [np.frombuffer(b"".join(map(seen.__getitem__, c)), np.int32) for c in cut]
 
 
 @functools.lru_cache(2)
-def piece_encoder(path: str, pattern: str) -> PieceEncoder:
-    return PieceEncoder(path, pattern)
+def unit_encoder(path: str, pattern: str) -> UnitEncoder:
+    return UnitEncoder(path, pattern)
 
 
 def int_lists(arrays: Sequence[np.ndarray]) -> pa.Array:
@@ -154,7 +167,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
                     spans = [[{"start": a, "end": b} for a, b in e.offsets] for e in coded]
                     more = [pa.array([e.ids for e in coded], pa.list_(pa.int32())), pa.array(spans, pa.list_(pair))]
                 else:
-                    more = [int_lists(piece_encoder(path, pattern)(texts))]
+                    more = [int_lists(unit_encoder(path, pattern)(texts))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], names=schema.fieldNames())
 
     return df.mapInArrow(run, schema)
@@ -168,14 +181,33 @@ def decode(df: DataFrame, path: str, ids: str = "ids", data: str = "decoded") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [None if x is None else decode_ids(x, path) for x in batch.column(at).to_pylist()]
+            lists = batch.column(at)
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            # One row at a time: a batch has far too many ids to be Python numbers all at once.
+            rows = zip(ends[:-1].tolist(), ends[1:].tolist(), lists.is_valid().to_pylist())
+            out = [decode_ids(flat[a:b].tolist(), path) if full else None for a, b, full in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=schema.fieldNames())
 
     return df.mapInArrow(run, schema)
 
 
+@functools.lru_cache(4)
+def _digits(path: str) -> dict[int, bytes]:
+    return {rank: b"%d" % rank for rank in byte_table(path)}
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Encode, decode again, and keep the hashes of both."""
-    coded = decode(encode(docs.select("doc_id", "text"), path, pattern).select("doc_id", "ids"), path)
-    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Encode every text, decode its ids again, and keep the hashes of both; one pass, so ids stay in the worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, digits = unit_encoder(path, pattern), _digits(path)
+        for batch in batches:
+            n, coded, decoded = [], [], []
+            for texts in slices([t or "" for t in batch.column(1).to_pylist()]):
+                for ids in map(np.ndarray.tolist, encoder(texts)):
+                    n.append(len(ids))
+                    coded.append(hashlib.sha256(b",".join(map(digits.__getitem__, ids))).hexdigest())
+                    decoded.append(hashlib.sha256(decode_ids(ids, path)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

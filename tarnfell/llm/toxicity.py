@@ -56,7 +56,7 @@ class Features:
 
 
 def margin(w: np.ndarray, x: np.ndarray) -> float:
-    return float(w[x].sum() / np.sqrt(len(x) + 1.0))
+    return float(w[x].sum())
 
 
 @dataclass
@@ -71,41 +71,57 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(margin(self.weights, x) + self.bias, -500, 500))))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 30, batch: int = 512, rate: float = 0.05, decay: float = 1e-5, seed: int = 7) -> Model:
-    """Adam on the non-negative risk with the logistic loss."""
-    w, bias = np.zeros(SPACE, np.float64), 0.0
+def contrast(positive: list[np.ndarray], unlabelled: list[np.ndarray], least: float = 0.01, sure: float = 4.0) -> np.ndarray:
+    """The log ratio of a feature's shares in the two samples; 0 where too few positives have it or chance could explain it."""
+    p, u = (np.bincount(np.concatenate([*docs, np.zeros(0, np.int32)]), minlength=SPACE) for docs in (positive, unlabelled))
+    n, m = len(positive), len(unlabelled)
+    share = (p + u) / (n + m)
+    apart = (p / n - u / m) / np.sqrt(share * (1 - share) * (1 / n + 1 / m) + 1e-12)
+    ratio = np.log((p + 0.5) / (n + 1)) - np.log((u + 0.5) / (m + 1))
+    return np.where((p >= max(2, least * n)) & (apart >= sure), np.maximum(ratio, 0), 0)
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 40, batch: int = 512, rate: float = 0.02, decay: float = 1e-3, seed: int = 7) -> Model:
+    """Adam on the non-negative risk with the logistic loss; features are scaled by their contrast."""
     if not positive or not unlabelled or not 0 < prior < 1:
-        return Model(w.astype(np.float32), 0.0, 0.0)
+        return Model(np.zeros(SPACE, np.float32), 0.0, 0.0)
     rng = np.random.default_rng(seed)
-    m, v, step = np.zeros(SPACE + 1), np.zeros(SPACE + 1), 0
+    scale = contrast(positive, unlabelled)
+    kept = np.flatnonzero(scale > 0)
+    scale, number = scale[kept], np.full(SPACE, -1)
+    number[kept] = np.arange(len(kept))
+    w, bias = np.ones(len(kept)), -2.0
+    m, v, step = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1), 0
 
     def pack(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sizes = np.array([len(x) for x in docs])
-        return np.concatenate([*docs, np.zeros(0, np.int32)]), np.repeat(np.arange(len(docs)), sizes), 1 / np.sqrt(sizes + 1.0)
+        at, row = number[np.concatenate([*docs, np.zeros(0, np.int32)])], np.repeat(np.arange(len(docs)), sizes)
+        return at[at >= 0], row[at >= 0], np.ones(len(docs))
 
     def margins(p: tuple) -> np.ndarray:
-        return np.bincount(p[1], w[p[0]], len(p[2])) * p[2] + bias
+        return np.bincount(p[1], (w * scale)[p[0]], len(p[2])) * p[2] + bias
 
     def gradient(p: tuple, slope: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(p[0], (slope * p[2])[p[1]], SPACE), slope.sum())
+        return np.append(np.bincount(p[0], (slope * p[2])[p[1]], len(kept)) * scale, slope.sum())
 
     for _ in range(epochs):
         order = rng.permutation(len(unlabelled))
-        per = max(1, round(batch * len(positive) / len(unlabelled)))
         for a in range(0, len(order), batch):
             u = pack([unlabelled[i] for i in order[a : a + batch]])
-            p = pack([positive[i] for i in rng.integers(0, len(positive), max(per, 64))])
+            p = pack([positive[i] for i in rng.integers(0, len(positive), batch // 4)])
             zu, zp = margins(u), margins(p)
             sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
             negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
             below = gradient(u, su / len(su)) - gradient(p, prior * sp / len(sp))
-            g = -below if negative < 0 else below + gradient(p, prior * (sp - 1) / len(sp))
+            g = -0.1 * below if negative < 0 else below + gradient(p, prior * (sp - 1) / len(sp))
             step += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
             w -= move[:-1] + rate * decay * w
             bias -= move[-1]
-    return Model(w.astype(np.float32), float(bias), prior)
+    weights = np.zeros(SPACE, np.float32)
+    weights[kept] = w * scale
+    return Model(weights, float(bias), prior)
 
 
 def held_out(doc_id: Column | str, folds: int = 5) -> Column:
