@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfell.llm import bpe, mixing, pii, simhash, toxicity
+from tarnfell.llm import bpe, licenses, mixing, pii, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op6_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,6 @@ def op10_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_byte_bpe, op4_entropy_balancing, op6_simhash_bk_tree, op8_weak_supervision_pii, op10_toxicity_nnpu)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_byte_bpe, op4_entropy_balancing, op6_simhash_bk_tree, op7_diagonal_voting, op8_weak_supervision_pii, op10_toxicity_nnpu)}
 
 ORACLES: dict[str, str] = {}
