@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfell.llm import bpe, licenses, mixing, pii, pstable, simhash, toxicity
+from tarnfell.llm import bpe, licenses, mixing, pii, pstable, simhash, threshold, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_threshold_algorithm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,6 @@ def op10_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_byte_bpe, op4_entropy_balancing, op6_simhash_bk_tree, op7_diagonal_voting, op8_weak_supervision_pii, op9_p_stable, op10_toxicity_nnpu)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_byte_bpe, op3_threshold_algorithm, op4_entropy_balancing, op6_simhash_bk_tree, op7_diagonal_voting, op8_weak_supervision_pii, op9_p_stable, op10_toxicity_nnpu)}
 
 ORACLES: dict[str, str] = {}
