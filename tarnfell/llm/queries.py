@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfell.llm import bpe, licenses, mixing, pii, pstable, simhash, threshold, toxicity
+from tarnfell.llm import bpe, hmm, licenses, mixing, pii, pstable, simhash, threshold, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,6 +57,6 @@ def op10_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_byte_bpe, op3_threshold_algorithm, op4_entropy_balancing, op6_simhash_bk_tree, op7_diagonal_voting, op8_weak_supervision_pii, op9_p_stable, op10_toxicity_nnpu)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_hidden_markov, op2_byte_bpe, op3_threshold_algorithm, op4_entropy_balancing, op6_simhash_bk_tree, op7_diagonal_voting, op8_weak_supervision_pii, op9_p_stable, op10_toxicity_nnpu)}
 
 ORACLES: dict[str, str] = {}
