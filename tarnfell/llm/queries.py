@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfell.llm import bpe, hmm, licenses, mixing, pii, pstable, simhash, threshold, toxicity
+from tarnfell.llm import bpe, hmm, licenses, mixing, pii, pstable, simhash, threshold, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,29 @@ def op4_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def capture_days(pages: DataFrame) -> DataFrame:
+    """The pages table has no fetch time: page n counts as fetched on day n mod 365 of 2024."""
+    return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(365)).cast("int")).alias("fetch_day"))
+
+
+def dated_list(pages: DataFrame) -> DataFrame:
+    """A list for the hosts that occur and the domains above them, dated by a hash of the name.
+
+    A quarter of the names is on it: put on the list, taken off after 90 days and put on it again 60 days later.
+    """
+    names = pages.select(F.explode(urlfilter.suffixes(urlfilter.host(F.col("url")))).alias("pattern")).distinct()
+    digit = lambda k: F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(F.col("pattern").cast("binary")), k, 1)) - 1
+    marked = names.withColumn("first", digit(1)).filter("first < 4").withColumn("dated", F.date_add(F.lit("2024-01-01").cast("date"), digit(2) * 10 + digit(3)))
+    events = F.array(*[F.struct(F.lit(a).alias("action"), F.lit(n).alias("after")) for a, n in (("add", 0), ("remove", 90), ("add", 150))])
+    return marked.select("pattern", "dated", F.explode(events).alias("e")).select("pattern", "e.action", F.date_add("dated", F.col("e.after")).alias("dated"))
+
+
+def op5_temporal_list_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    found = urlfilter.evaluate(capture_days(pages), dated_list(pages))
+    return found.select("page_id", "host", "fetch_day", "blocked", "pattern", "since")
+
+
 def op6_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,6 +80,39 @@ def op10_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_hidden_markov, op2_byte_bpe, op3_threshold_algorithm, op4_entropy_balancing, op6_simhash_bk_tree, op7_diagonal_voting, op8_weak_supervision_pii, op9_p_stable, op10_toxicity_nnpu)}
-
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_hidden_markov, op2_byte_bpe, op3_threshold_algorithm, op4_entropy_balancing, op5_temporal_list_join, op6_simhash_bk_tree, op7_diagonal_voting, op8_weak_supervision_pii, op9_p_stable, op10_toxicity_nnpu)}
+
+ORACLES: dict[str, str] = {
+    "op3_threshold_algorithm": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+    "op5_temporal_list_join": """
+        WITH hosts AS (SELECT page_id, nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#@]+)', 1), '') AS host,
+                              CAST(DATE '2024-01-01' + CAST(page_id % 365 AS INT) AS DATE) AS fetch_day FROM pages),
+        parts AS (SELECT *, string_split(host, '.') AS l FROM hosts WHERE host IS NOT NULL),
+        keys AS (SELECT page_id, fetch_day, unnest(CASE WHEN len(l) < 2 THEN [host]
+                        ELSE list_transform(range(0, least(len(l) - 1, 6)), lambda i: array_to_string(l[i + 1:], '.')) END) AS pattern FROM parts),
+        named AS (SELECT DISTINCT pattern, md5(pattern) AS h FROM keys),
+        marked AS (SELECT pattern, CAST(DATE '2024-01-01' + CAST((instr('0123456789abcdef', h[2]) - 1) * 10 + instr('0123456789abcdef', h[3]) - 1 AS INT) AS DATE) AS d
+                   FROM named WHERE instr('0123456789abcdef', h[1]) - 1 < 4),
+        active AS (SELECT pattern, d AS valid_from, CAST(d + 90 AS DATE) AS valid_to FROM marked UNION ALL SELECT pattern, CAST(d + 150 AS DATE), NULL FROM marked),
+        met AS (SELECT page_id, pattern, valid_from, row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC, pattern DESC) AS n
+                FROM keys JOIN active USING (pattern) WHERE fetch_day >= valid_from AND (valid_to IS NULL OR fetch_day < valid_to))
+        SELECT page_id, host, fetch_day, m.pattern IS NOT NULL AS blocked, m.pattern, m.valid_from AS since
+        FROM hosts LEFT JOIN (SELECT page_id, pattern, valid_from FROM met WHERE n = 1) m USING (page_id)
+    """,
+    "op9_p_stable": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+        e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.98),
+        r AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, e.b FROM r JOIN e ON r.other = e.a),
+        c AS (SELECT vec_id, min(other) AS component_id FROM r GROUP BY vec_id),
+        n AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a)
+        SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+        FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+    """,
+}
