@@ -28,7 +28,9 @@ from tarnfell.llm.scratch import materialize
 
 WEIGHTS, TOTAL, CAP = (3, 1, 2), 1.5, 2
 #: Iterations of Newton's method; documents above this share of their source are rounded first; rows in a stratum.
-STEPS, SHARE, STRATUM = 12, 1 / 200, 20_000
+STEPS, SHARE, STRATUM = 12, 1 / 200, 4_000
+#: So many sources at most are broadcast to their documents (some 100 bytes each); more are joined by a shuffle.
+BROADCAST = 50_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -116,8 +118,10 @@ def mix_sizes(rows: DataFrame, copies: str = "copies") -> DataFrame:
     rows = rows.withColumn("__key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
     sums = rows.groupBy("__key", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__rows"))
     goals = targets(sums.select("source", "source_size")).withColumn("__key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
-    goals = goals.select("__key", "source_size", "target").join(sums.select("__key", "__rows"), "__key")
-    dealt = rows.join(goals, "__key")
+    goals = materialize(goals.select("__key", "source_size", "target").join(sums.select("__key", "__rows"), "__key"), "mixing-goals")
+    few = goals.count() <= BROADCAST
+    small = F.broadcast if few else lambda df: df
+    dealt = rows.join(small(goals), "__key")
     hash_ = F.xxhash64("doc_id", "size")
     big = (F.col("size") > F.col("source_size") * SHARE) & (F.col("size") > 0)
     even = F.col("target") / F.greatest(F.col("source_size"), F.lit(1))
@@ -130,7 +134,9 @@ def mix_sizes(rows: DataFrame, copies: str = "copies") -> DataFrame:
     classes = classes.join(taken, "__key", "left").withColumn("goal", F.col("target") - F.coalesce("__taken", F.lit(0)))
     rates = balance(classes.select(F.col("__key").alias("source"), "goal", "class", "words")).withColumnRenamed("source", "__key")
     strata = F.ceil(F.col("__rows") / STRATUM)
-    rest = rest.join(rates, ["__key", "class"]).withColumn("__stratum", F.pmod(hash_, strata))
+    rest = rest.join(small(rates), ["__key", "class"]).withColumn("__stratum", F.pmod(hash_, strata))
+    # By stratum, or else the documents of a source would stay where the join has put them.
+    rest = rest.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__key", "__stratum")
     along = W.partitionBy("__key", "__stratum").orderBy("size", hash_, "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
     rest = rest.withColumn(copies, F.when(F.col("size") > 0, _systematic(F.col("rate"), along)).otherwise(0)).drop("class", "rate", "__stratum")
     return first.unionByName(rest).drop("__key", "__rows")
