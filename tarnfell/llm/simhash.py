@@ -186,9 +186,9 @@ def link(fps: DataFrame, shard_max: int = SHARD_MAX) -> DataFrame:
     return rows.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_link_shards, _EDGE)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, fingerprint (hex) and component_id (smallest id reachable)."""
-    rows = materialize(add_fingerprints(docs, keep=("doc_id",)), "simhash")
+def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, fingerprint (hex), component_id (smallest id reachable), ``carry``."""
+    rows = materialize(add_fingerprints(docs, keep=("doc_id", *carry)), "simhash")
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     edges = materialize(link(fps.select("fp")), "simhash-edges")
     parts = components(edges)  # node, component; only nodes that have an edge
@@ -197,4 +197,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     names = fps.join(of, "fp", "left").select("fp", F.coalesce("linked_id", "first_id").alias("component_id"))
     names = materialize(names, "simhash-names")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(names, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return rows.join(names, "fp").select("doc_id", digits.alias("fingerprint"), "component_id", *carry)
