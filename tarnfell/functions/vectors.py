@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,19 +19,22 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 
 
 def unit(v: Column) -> Column:
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+    return let(v, lambda w: let(norm(w), lambda n: F.when(n > 0, F.transform(w, lambda x: x / n)).otherwise(w)))
 
 
 def cosine(a: Column, b: Column) -> Column:
     """0 where one of the vectors is as good as nought."""
-    n, m = norm(a), norm(b)
-    return F.when((n < 1e-9) | (m < 1e-9), 0.0).otherwise(dot(a, b) / (n * m))
+    return let(norm(a), lambda n: let(norm(b), lambda m: F.when((n < 1e-9) | (m < 1e-9), 0.0).otherwise(dot(a, b) / (n * m))))
 
 
 def relevancy(cos: Column) -> Column:
@@ -50,5 +55,5 @@ def hash_embed(text: Column, dim: int = rules.FLAT_DIM) -> Column:
         raise ValueError("dim must be a power of two up to 128")
     byte = F.transform(terms(text), lambda t: F.conv(F.right(F.md5(t.cast("binary")), F.lit(2)), 16, 10).cast("int"))
     mark = F.transform(byte, lambda b: F.struct((b % dim).alias("i"), F.when(F.floor(b / dim) % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(mark, lambda m: m["i"] == i), F.lit(0.0), lambda s, m: s + m["s"]))
-    return unit(raw)
+    place = F.sequence(F.lit(0), F.lit(dim - 1))
+    return unit(let(mark, lambda marks: F.transform(place, lambda i: F.aggregate(marks, F.lit(0.0), lambda s, m: s + F.when(m["i"] == i, m["s"]).otherwise(0.0)))))
