@@ -72,10 +72,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     scratch.release(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = bpe.encode(docs.select("doc_id", "source", "text"), path, public_tokenizers.PATTERN)
-    back = bpe.decode(coded, path)
-    whole = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return back.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("round_trip"))
+    coded = bpe.encode(docs, path, public_tokenizers.PATTERN, round_trip="round_trip", keep=("doc_id", "source"))
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [

@@ -23,6 +23,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Code points that one call of the library gets at most, unless a single text is longer.
@@ -146,31 +147,38 @@ def _fresh(df: DataFrame, *names: str) -> None:
             raise ValueError(f"column {name!r} exists already; choose another name")
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", offsets: str | None = None) -> DataFrame:
-    """``df`` with ``ids`` (array<int>) and, if a name is given, ``offsets`` (array of start and end, in code points)."""
-    _fresh(df, ids, *([offsets] if offsets else []))
-    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", offsets: str | None = None, round_trip: str | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+    """``df`` (or its columns in ``keep``) with ``ids`` (array<int>) and, if names are given, ``offsets`` (array of start
+    and end, in code points) and ``round_trip`` (whether decoding the ids gives the text's bytes again)."""
+    kept = list(df.columns if keep is None else keep)
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType(), False))]
     pair = pa.struct([pa.field("start", pa.int32()), pa.field("end", pa.int32())])
     if offsets:
-        kind = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-        schema.add(T.StructField(offsets, kind))
-    at, keep_offsets = df.columns.index(text), bool(offsets)
+        fields.append(T.StructField(offsets, T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))))
+    if round_trip:
+        fields.append(T.StructField(round_trip, T.BooleanType()))
+    _fresh(df.select(*kept), *(f.name for f in fields))
+    schema = T.StructType([*(df.schema[c] for c in kept), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             begun = 0
-            for texts in slices([t or "" for t in batch.column(at).to_pylist()]):
+            for texts in slices([t or "" for t in batch.column(len(kept)).to_pylist()]):
                 part = batch.slice(begun, len(texts))
                 begun += len(texts)
-                if keep_offsets:
+                if offsets:
                     coded = build(path, pattern).encode_batch(texts, add_special_tokens=False)
-                    spans = [[{"start": a, "end": b} for a, b in e.offsets] for e in coded]
-                    more = [pa.array([e.ids for e in coded], pa.list_(pa.int32())), pa.array(spans, pa.list_(pair))]
+                    found = [np.array(e.ids, np.int32) for e in coded]
                 else:
-                    more = [int_lists(unit_encoder(path, pattern)(texts))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=schema.fieldNames())
-
-    return df.mapInArrow(run, schema)
+                    found = unit_encoder(path, pattern)(texts)
+                more: list[pa.Array] = [int_lists(found)]
+                if offsets:
+                    more.append(pa.array([[{"start": a, "end": b} for a, b in e.offsets] for e in coded], pa.list_(pair)))
+                if round_trip:
+                    more.append(pa.array([decode_ids(f.tolist(), path) == t.encode() for f, t in zip(found, texts)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *more], names=schema.fieldNames())
+
+    return df.select(*kept, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
