@@ -9,6 +9,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnfell.functions import rules
 
@@ -93,7 +94,7 @@ def char_chunks(size: int = 500, overlap: int = 100, separators: Sequence[str] =
             out += cut(p, finer) if finer else [p]
         return out + merge(fit)
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [c for c in (x.strip() for x in cut(t or "", separators)) if c] or [t or ""])
 
@@ -256,7 +257,7 @@ def load_object(text: str) -> dict:
     raise ValueError("no object")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repaired_json(texts: pd.Series) -> pd.Series:
     """The object as canonical JSON, or null."""
 

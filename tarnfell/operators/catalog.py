@@ -68,7 +68,7 @@ def order_statistics(df: DataFrame, price: str, parts: Sequence[tuple[int, int]]
 
 def budget_ranges(df: DataFrame, price: str, cap: float = rules.BUDGET_CAP) -> DataFrame:
     """(tier, low, high): closed ranges from the least price, the median up to ``cap``, and the largest."""
-    one = df.filter(F.col(price) > 0).agg(F.min(price).alias("a"), F.least(F.median(price), F.lit(float(cap))).alias("m"), F.max(price).alias("z"))
+    one = df.filter(F.col(price) > 0).agg(F.min(price).alias("a"), F.when(F.count(price) > 0, F.least(F.median(price), F.lit(float(cap)))).alias("m"), F.max(price).alias("z"))
     z = F.lit(0.0)
     rows = F.array(*[F.struct(F.lit(t).alias("tier"), F.coalesce(lo, z).cast("double").alias("low"), F.coalesce(hi, z).cast("double").alias("high")) for t, lo, hi in (("low", F.col("a"), F.col("m")), ("medium", F.col("m"), F.when(F.col("a").isNotNull(), F.lit(float(cap)))), ("high", F.when(F.col("a").isNotNull(), F.lit(float(cap))), F.col("z")))])
     return one.select(F.explode(rows).alias("r")).select("r.*")
