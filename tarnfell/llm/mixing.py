@@ -67,9 +67,9 @@ def balance(classes: DataFrame, cap: float = CAP, steps: int = STEPS) -> DataFra
     """``classes`` (source, goal, class, words) with ``rate``, the entropy-balanced rate of the class's documents."""
     w = W.partitionBy("source")
     x, cap = _tilt("class"), float(cap)
-    rows = classes.withColumn("sum", F.sum("words").over(w)).withColumn("part", F.least(F.greatest(F.col("goal") / (F.col("sum") * cap), F.lit(0.0)), F.lit(1.0)))
+    rows = classes.withColumn("sum", F.greatest(F.sum("words").over(w), F.lit(1))).withColumn("part", F.least(F.greatest(F.col("goal") / (F.col("sum") * cap), F.lit(0.0)), F.lit(1.0)))
     held = F.least(F.greatest("part", F.lit(1e-12)), F.lit(1 - 1e-12))
-    rows = rows.withColumn("multiplier", F.log(held / (1 - held)) / (F.sum(F.col("words") * x).over(w) / F.col("sum")))
+    rows = rows.withColumn("multiplier", F.log(held / (1 - held)) / F.greatest(F.sum(F.col("words") * x).over(w) / F.col("sum"), F.lit(0.8)))
     for _ in range(steps):
         share = 1 / (1 + F.exp(-F.col("multiplier") * x))
         rows = rows.withColumn("share", share)
