@@ -7,7 +7,8 @@ known mail domain, a known key prefix, a known issuer digit, a known area code i
 text before it end in a word that announces such data, or does other personal data surround it?).  Expectation-
 maximisation on the vote counts estimates each labeler's reliability and each kind's share without any truth; the
 posteriors, as soft labels, then train the final span classifier: naive Bayes over the span's shape.  Spans of the
-base kinds whose checks hold always stay; others stay where the classifier gives them a half or more.
+base kinds whose checks hold always stay; others stay where their strict form holds and the classifier gives them a
+half or more.
 
 Base spans are leftmost and do not overlap within a kind; a match whose check fails is dropped without another try.
 Quantifiers are possessive and starts are anchored at runs of their characters, which changes no match but keeps the
@@ -206,7 +207,7 @@ def spans(found: DataFrame) -> DataFrame:
     def odds(e: Column) -> Column:
         return F.aggregate(F.concat(F.array(e["kind"]), e["shape"]), F.lit(0.0), lambda s, f: s + F.coalesce(F.element_at(F.col("__model"), f), F.lit(0.0)))
 
-    kept = F.filter("found", lambda e: e["base"] | ((e["order"] >= len(BASE)) & (odds(e) >= 0)))
+    kept = F.filter("found", lambda e: e["base"] | ((e["order"] >= len(BASE)) & (F.get(e["votes"], F.lit(0)) == 1) & (odds(e) >= 0)))
     base = F.filter("__kept", lambda e: e["base"])
     free = F.filter("__kept", lambda e: e["base"] | ~F.exists(base, lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
     bare = F.transform(free, lambda e: F.struct(e["start"].alias("start"), e["order"].alias("order"), e["end"].alias("end"), e["kind"].alias("kind"), e["base"].alias("base")))
