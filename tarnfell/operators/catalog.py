@@ -110,4 +110,4 @@ def stratified(df: DataFrame, category: str, position: str, n: int) -> DataFrame
 
 def seeded_sample(df: DataFrame, id_: str, n: int, seed: int = 42) -> DataFrame:
     """n rows by a hash of the id: the same ones every time."""
-    return df.orderBy(F.xxhash64(F.col(id_), F.lit(seed)), id_).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_).cast("string")).cast("binary")), id_).limit(n)

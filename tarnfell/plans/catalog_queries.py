@@ -119,7 +119,7 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.stratified(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 50)
 
 
-@query()
+@query("SELECT doc_id, source FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 100")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.seeded_sample(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 100)
 
