@@ -7,7 +7,8 @@ each id up in the byte table and concatenates bytes, so that characters which we
 whole again; :func:`pieces` gives the text of each token, holding back incomplete characters until they end.
 
 Defined results: a null text is encoded as the empty text (no ids); an empty text has no ids; unknown ids make
-decoding fail with ``KeyError``; other columns pass through untouched, whatever their names.
+decoding fail with ``KeyError``; other columns pass through untouched, but for one that bears a new column's name, which
+is replaced.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnfell.llm.names import others, unused
+
 #: Code points that one call of the library gets at most, unless a single text is longer.
 SLICE_CHARS = 1 << 20
 
@@ -140,24 +143,16 @@ def pieces(ids: Sequence[int], path: str) -> list[str]:
     return out
 
 
-def _fresh(df: DataFrame, *names: str) -> None:
-    taken = {c.lower() for c in df.columns}
-    for name in names:
-        if name.lower() in taken:
-            raise ValueError(f"column {name!r} exists already; choose another name")
-
-
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", offsets: str | None = None, round_trip: str | None = None, keep: Sequence[str] | None = None) -> DataFrame:
     """``df`` (or its columns in ``keep``) with ``ids`` (array<int>) and, if names are given, ``offsets`` (array of start
     and end, in code points) and ``round_trip`` (whether decoding the ids gives the text's bytes again)."""
-    kept = list(df.columns if keep is None else keep)
     fields = [T.StructField(ids, T.ArrayType(T.IntegerType(), False))]
     pair = pa.struct([pa.field("start", pa.int32()), pa.field("end", pa.int32())])
     if offsets:
         fields.append(T.StructField(offsets, T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))))
     if round_trip:
         fields.append(T.StructField(round_trip, T.BooleanType()))
-    _fresh(df.select(*kept), *(f.name for f in fields))
+    kept = others(df.columns if keep is None else keep, *(f.name for f in fields))
     schema = T.StructType([*(df.schema[c] for c in kept), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,25 +173,24 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
                     more.append(pa.array([decode_ids(f.tolist(), path) == t.encode() for f, t in zip(found, texts)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *more], names=schema.fieldNames())
 
-    return df.select(*kept, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return df.select(*kept, F.col(text).alias(unused(kept, "text"))).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
     """``df`` with the bytes that ``ids`` stand for (null ids: null)."""
-    _fresh(df, data)
-    schema = T.StructType([*df.schema.fields, T.StructField(data, T.BinaryType())])
-    at = df.columns.index(ids)
+    kept = others(df.columns, data)
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(data, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(at)
+            lists = batch.column(len(kept))
             ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             # One row at a time: a batch has far too many ids to be Python numbers all at once.
             rows = zip(ends[:-1].tolist(), ends[1:].tolist(), lists.is_valid().to_pylist())
             out = [decode_ids(flat[a:b].tolist(), path) if full else None for a, b, full in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(out, pa.binary())], names=schema.fieldNames())
 
-    return df.mapInArrow(run, schema)
+    return df.select(*kept, F.col(ids).alias(unused(kept, "ids"))).mapInArrow(run, schema)
 
 
 @functools.lru_cache(4)

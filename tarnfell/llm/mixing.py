@@ -20,6 +20,8 @@ Native: DataFrame operations only.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -112,8 +114,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     return mix_sizes(materialize(rows, "mixing"), copies)  # texts are read once
 
 
-def mix_sizes(rows: DataFrame, copies: str = "copies") -> DataFrame:
-    """The same for rows that have (doc_id, source, size) already, whatever else they carry."""
+def mix_sizes(rows: DataFrame, copies: str = "copies", carry: Sequence[str] = ()) -> DataFrame:
+    """The same for rows that have (doc_id, source, size) already; of their other columns those in ``carry`` stay."""
+    rows = rows.select("doc_id", "source", "size", *carry)
     # A null source joins like any other under a name that no source has.
     rows = rows.withColumn("__key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
     sums = rows.groupBy("__key", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__rows"))

@@ -233,8 +233,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by the name of its kind; overlapping spans give one name."""
-    columns = docs.columns
-    held = docs.withColumn("__text", F.col(text))
+    held = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__text"))  # no column can clash
     rows = spans(materialize(candidates(held, "__text"), "pii-found"))
     state = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
 
@@ -248,4 +247,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.concat(F.array_join(s["out"], ""), F.substr(F.col("__text"), s["at"] + 1))
 
     clean = F.when(F.size("spans") > 0, F.aggregate("spans", state, step, end)).otherwise(F.col("__text"))
-    return rows.withColumn(text, clean).select(*columns)
+    return rows.withColumn("__clean", clean).select(*[F.col("__clean").alias(c) if c == text else F.col("__row")[c].alias(c) for c in docs.columns])

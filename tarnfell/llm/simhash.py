@@ -14,7 +14,7 @@ union-find and emits one edge to the smallest member for each fingerprint that h
 
 Defined results: a null or empty text has fingerprint 0 and links like any other; fewer words than a shingle:
 the whole sequence is one shingle; repeated rows and repeated ids keep their rows; a null id keeps its row and
-never names a component unless no other id is there (then it is null).
+never names a component unless no other id is there (then it is null); a column named as the fingerprint is replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnfell.llm.components import components
+from tarnfell.llm.names import others, unused
 from tarnfell.llm.scratch import materialize
 
 SHINGLE, SEED, RADIUS, BLOCKS, SHARD_MAX = 3, 42, 3, 4, 4096
@@ -58,9 +59,9 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 def add_fingerprints(docs: DataFrame, text: str = "text", name: str = "fp", keep: tuple[str, ...] | None = None) -> DataFrame:
     """``docs`` (or the columns in ``keep``) with ``name``, the fingerprint as a signed long."""
-    keep = tuple(docs.columns) if keep is None else keep
+    keep = tuple(others(docs.columns if keep is None else keep, name))
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, T.LongType(), False)])
-    source = docs.select(*keep, F.col(text).alias("__text"))
+    source = docs.select(*keep, F.col(text).alias(unused(keep, "text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,7 +11,7 @@ the corpus, and scoring is one pass over the text without a shuffle.
 
 Defined results: a null or empty text gets the score of no features; without positives every score is 0; a null id
 is treated as the text '' when folds are drawn; repeated rows are scored one by one; of several labels of one id a
-toxic one counts.
+toxic one counts; a column that bears the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnfell.llm.names import others, unused
+
 SPACE = 1 << 18
 PREFIXES = (3, 4, 5, 6)
 _STRIP = "\"'.,;:!?()[]{}<>|*#&%$-_/\\"
@@ -163,16 +165,14 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, positives: int = 3
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with ``name``, the probability of toxicity of the whole text; nothing is shuffled."""
-    if name.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"column {name!r} exists already; choose another name")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType(), False)])
-    at = docs.columns.index(text)
+    kept = others(docs.columns, name)
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(name, T.DoubleType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, known = Features(), shared.value
         for b in batches:
-            scores = [known.score(make(t)) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=schema.fieldNames())
+            scores = [known.score(make(t)) for t in b.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(scores, pa.float64())], names=schema.fieldNames())
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text).alias(unused(kept, "text"))).mapInArrow(run, schema)

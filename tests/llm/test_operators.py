@@ -130,8 +130,8 @@ def test_offsets_and_split_characters(spark):
     r = bpe.decode(bpe.encode(df, RANKS, public_tokenizers.PATTERN, offsets="at", round_trip="same"), RANKS).first()
     assert r.same and bytes(r.decoded).decode() == r.text and r["at"][-1]["end"] == len(r.text)
     assert "".join(bpe.pieces(r.ids, RANKS)) == r.text
-    with pytest.raises(ValueError, match="exists already"):
-        bpe.encode(df.withColumn("IDS", F.lit(1)), RANKS, public_tokenizers.PATTERN)
+    clash = bpe.encode(df.withColumn("IDS", F.lit(1)), RANKS, public_tokenizers.PATTERN)
+    assert clash.columns == ["doc_id", "text", "ids"] and clash.first().ids == r.ids
 
 
 # ------------------------------------------------------------------------------------------------------------ 3: top k
@@ -419,6 +419,20 @@ def test_the_risk_is_not_negative_and_labels_are_no_input(spark):
 # ------------------------------------------------------------------------------------------------- queries, pipeline
 
 
+def test_columns_with_clashing_names(spark):
+    names = "score fp ids decoded found spans __text class rate copies target size content toxicity pattern host blocked since row".split()
+    df = spark.createDataFrame([(1, "mail a@b.co", "en", "s", 5), (2, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.select("*", *[F.lit("mine").alias(n) for n in names])
+    model = toxicity.fit([np.array([1], np.int32)] * 9, [np.array([2], np.int32)] * 80, 0.1)
+    assert toxicity.score(df, model).count() == 2 and toxicity.score(df, model).schema["score"].dataType.typeName() == "double"
+    assert simhash.add_fingerprints(df).schema["fp"].dataType.typeName() == "long" and simhash.add_fingerprints(df).count() == 2
+    clean = pii.redact(df).orderBy("doc_id").collect()
+    assert [r.text for r in clean] == ["mail <EMAIL>", None] and clean[0].found == clean[0].spans == "mine"
+    assert mixing.report(df).count() == licenses.scan(df).count() == pii.report(df).count() == simhash.near_duplicates(df).count() == 2
+    urls = df.select("doc_id", F.lit("http://a.b.c").alias("url"), F.lit("2024-01-01").alias("fetch_day"), "pattern", "host", "blocked", "row")
+    assert urlfilter.evaluate(urls, spark.createDataFrame([], "pattern string, action string, dated date")).first().host == "a.b.c"
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
