@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnfell.functions import rules
+from tarnfell.functions.binding import let
+
+#: White space of Unicode and the four separators U+001C to U+001F; spelt out, since classes by property are slow.
+SPACE = r"[\t-\r\x1C-\x1F \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 
 
 def any_of(text: Column, words: Sequence[str]) -> Column:
@@ -21,7 +25,7 @@ def any_of(text: Column, words: Sequence[str]) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case words between white space (the ranking tokeniser)."""
-    return F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), SPACE), lambda w: w != "")
 
 
 def terms(text: Column) -> Column:
@@ -58,11 +62,12 @@ def topic_chunks(text: Column, topics: Mapping[str, Sequence[str]] = rules.TOPIC
 
     tagged = F.transform(clauses, lambda s: F.struct(topic(s).alias("topic"), s.alias("clause")))
 
-    def chunk(name: Column) -> Column:
-        own = F.transform(F.filter(tagged, lambda t: t["topic"] == name), lambda t: t["clause"])
-        return F.when(F.size(own) > 0, F.concat(name, F.lit(" info: "), F.array_join(own, ". ")))
+    def chunk(clauses: Column, name: Column) -> Column:
+        own = F.transform(F.filter(clauses, lambda t: t["topic"] == name), lambda t: t["clause"])
+        return let(own, lambda o: F.when(F.size(o) > 0, F.concat(name, F.lit(" info: "), F.array_join(o, ". "))))
 
-    chunks = F.transform(F.array(*[F.lit(t) for t in [*topics, "General"]]), chunk)
+    names = F.array(*[F.lit(t) for t in [*topics, "General"]])
+    chunks = let(tagged, lambda clauses: F.transform(names, lambda name: chunk(clauses, name)))
     return F.concat(F.filter(chunks, lambda c: c.isNotNull()), F.array(text))
 
 

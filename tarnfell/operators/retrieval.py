@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnfell.functions import rules, text, vectors
+from tarnfell.functions.binding import let
+from tarnfell.operators.lineage import cut
 
 
 def dense(df: DataFrame, id_: str, vector: str, query: Sequence[float], k: int, keep: Column | None = None, over: int = 10) -> DataFrame:
@@ -23,15 +25,15 @@ def dense(df: DataFrame, id_: str, vector: str, query: Sequence[float], k: int,
 def bm25(df: DataFrame, id_: str, body: str, query: str, k: int | None, keep: Column | None = None, k1: float = rules.BM25_K1, b: float = rules.BM25_B) -> DataFrame:
     """(id, score) by BM25 over distinct query words; ``keep`` restricts what is returned, never the statistics.
 
-    The corpus is read once: a row of a document carries the counts of the query's words only, so what is shuffled
-    is two numbers for each query word that a document has; the corpus's own figures are one row.
+    The corpus is read once: a document becomes its length and the counts of the query's words, which are kept in the
+    shared folder; nothing but partial sums is shuffled, and the corpus's own figures are one row.
     """
     asked = sorted(set(query.lower().split()))
     tokens = text.words(F.coalesce(F.col(body), F.lit("")))
     wanted = F.array(*map(F.lit, asked))
-    rows = df.select(id_, F.size(tokens).alias("dl"), F.filter(tokens, lambda t: F.array_contains(wanted, t)).alias("hit"), (keep if keep is not None else F.lit(True)).alias("keep"))
-    tf = F.transform(wanted, lambda w: F.size(F.filter("hit", lambda t: t == w)))
-    rows = rows.select(id_, "dl", "keep", tf.alias("tf"))
+    told = let(tokens, lambda t: F.struct(F.size(t).alias("dl"), let(F.filter(t, lambda x: F.array_contains(wanted, x)), lambda hit: F.transform(wanted, lambda w: F.size(F.filter(hit, lambda x: x == w)))).alias("tf")))
+    rows = df.select(id_, (keep if keep is not None else F.lit(True)).alias("keep"), told.alias("told")).select(id_, "keep", "told.*")
+    rows = cut(rows)  # a few numbers a document, instead of reading all texts for the statistics and again for the scores
     figures = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), F.array(*[F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(len(asked))]).alias("df"))
     stats = figures.select(F.struct("n", "avgdl", "df").alias("s")).scalar()
     s = F.col("s")

@@ -12,7 +12,7 @@ from tarnfell.plans.registry import query
 from tarnfell.plans.shared import DIMS, KEYWORDS, SQL_INDEX, SQL_TIERED, parts, sql_any, table, tiered
 
 ASKED = "the der les of and"
-_WORDS = "list_filter(regexp_split_to_array(lower(text), '[\\s\\x{85}\\x{A0}\\p{Z}]+'), lambda w: w <> '')"
+_WORDS = "list_filter(regexp_split_to_array(lower(text), '[\\t-\\r\\x1C-\\x1F \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda w: w <> '')"
 _TERMS = ", ".join(f"'{w}'" for w in sorted(set(ASKED.split())))
 
 
