@@ -197,3 +197,15 @@ def literal_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entity_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = graph.nodes_of(_items(spark, sf_dir), _entity_edges(spark, sf_dir))
     return graph.link_entities(nodes, {"f1": "high", "f3": "low"}, 95_000, ["Brand#7", "nobody"], ["heavy", "unheard"])
+
+
+@query(f"SELECT id, {_BRAND} AS brand, array_to_string(list_filter([{', '.join(f"CASE WHEN {' OR '.join(f"contains(l, '{w}')" for w in ws)} THEN '{c}' END" for c, ws in CASES.items())}], lambda c: c IS NOT NULL), ',') AS use_cases FROM {_I}")
+def entity_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("description")
+    return _items(spark, sf_dir).select("id", text.brand(d, BRANDS).alias("brand"), F.array_join(text.use_cases(d, CASES), ",").alias("use_cases"))
+
+
+@query(f"SELECT id, 'HAS_SIZE' AS predicate, 'size ' || p_size AS value, 'SIZE::size_' || p_size AS entity FROM {_I} UNION ALL SELECT id, 'WEIGHS', p_size || ' kg', 'WEIGH::' || p_size || '_kg' FROM {_I} WHERE p_size < 10")
+def spec_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _items(spark, sf_dir).select("id", F.explode(text.spec_triplets(F.col("name"), F.col("description"), SPECS)).alias("t")).select("id", "t.*")
+    return rows.withColumn("entity", F.concat(text.entity_type(F.col("predicate")), F.lit("::"), text.normalise(F.col("value"))))

@@ -231,3 +231,20 @@ def live_price_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("title", F.when(F.col("kind") == 0, bare).otherwise("other thing"))
     fit = rows.filter(text.title_matches(bare, F.col("title")) & (F.col("offer") / F.col("p_retailprice")).between(0.4, 2.5))
     return catalog.first_by(fit, ["p_partkey"], [F.col("pos")]).select("p_partkey", "pos", F.round("offer", 6).alias("offer"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_name AS name, p_size * 1000.0::DOUBLE AS price, 1 AS n FROM part UNION ALL SELECT p_partkey, p_brand, p_size, 2 FROM part)
+          SELECT p_partkey, name, price, CASE n WHEN 1 THEN 'Name: ' || name || ', fine' ELSE 'about ' || name END AS context FROM p""")
+def answer_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    answer = F.concat(F.lit("## Top\n\n1. **"), "p_name", F.lit("** — ₹"), size, F.lit(",000\n2. **"), "p_brand", F.lit("** - "), size, F.lit("\nno pick"))
+    contexts = F.array(F.concat(F.lit("about "), "p_brand"), F.concat(F.lit("Name: "), "p_name", F.lit(", fine")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", contexts.alias("contexts"), F.explode(text.picks(answer)).alias("p"))
+    return rows.select("p_partkey", "p.name", "p.price", text.context_of(F.col("p.name"), F.col("contexts")).alias("context"))
+
+
+@query("""SELECT p_partkey, CAST(p_size * 1000 AS BIGINT) AS digits, p_name AS bare, p_size % 2 = 0 AS matches FROM part""")
+def offer_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    title = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("New "), F.upper("p_name"))).otherwise("zzz")
+    return p.select("p_partkey", text.price_digits(F.concat(F.lit("Rs. "), F.col("p_size").cast("string"), F.lit(",000"))).alias("digits"), text.bare_name(F.concat("p_name", F.lit(" (9th gen/ 16GB)"))).alias("bare"), text.title_matches(F.col("p_name"), title).alias("matches"))
