@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnfell.functions import rules, text
+from tarnfell.operators.lineage import cut
 
 
 def row_to_text(df: DataFrame, category: Column, columns: Sequence[str], name: str = "text") -> DataFrame:
@@ -23,7 +24,7 @@ def renumber(df: DataFrame, order: Sequence[Column | str], name: str = "id") ->
     Rows are dealt by range; the sizes of the ranges, one number each, then shift every range's own numbers.
     """
     dealt = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    own = dealt.withColumn("__n", F.row_number().over(W.partitionBy("__part").orderBy(*order)))
+    own = cut(dealt.withColumn("__n", F.row_number().over(W.partitionBy("__part").orderBy(*order))))  # ranges are drawn once
     sizes = own.groupBy("__part").agg(F.max("__n").alias("__size"))
     before = F.coalesce(F.sum("__size").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("__part", before.alias("__start"))
