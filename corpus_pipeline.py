@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfell.llm import bpe, mixing, pii, scratch, simhash, toxicity
+from tarnfell.llm import bpe, minhash, mixing, pii, scratch, toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -35,13 +35,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id (then the smallest content hash)."""
+    """One document of each group of near duplicates: the one with the smallest id (then the smallest content hash).
+
+    Near duplicates are alike in 0.8 of their five-word shingles, which SimHash at op6's radius doesn't reach.
+    """
     scratch.release(spark)
     docs = docs.select(*COLUMNS)
-    found = simhash.near_duplicates(docs.withColumn("content", _content()), carry=("content",))
-    first = F.min(F.struct("doc_id", "content"))
+    found = minhash.near_duplicates(docs.withColumn("content", _content()), keep=("doc_id", "content"))
     # A null id sorts first; it stands for its group only where no id does.
-    kept = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("fp")).agg(F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "content"))), first).alias("k"))
+    kept = found.groupBy("component").agg(F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "content"))), F.min(F.struct("doc_id", "content"))).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("id"), F.col("k.content").alias("content"))
     chosen = docs.withColumn("content", _content()).join(kept.withColumnRenamed("content", "c"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("content") == F.col("c")))
     return chosen.select(*COLUMNS)

@@ -1,0 +1,148 @@
+"""Near duplicates by their shingles: candidates from min-hash bands, each link checked exactly.
+
+Two texts link if the Jaccard similarity of their sets of ``SHINGLE``-word shingles is ``LEAST`` or more.  At 0.8 SimHash
+fingerprints differ in some 10 of 64 bits, up to 18, and a radius like that leaves blocks of three bits, which divide
+nothing; so candidates are texts that agree in one of ``BANDS`` bands of ``ROWS`` minima.  A pair at 0.8 exactly is no
+candidate once in 150,000 (:func:`recall`), more similar ones less often; all else is exact.
+
+Texts with the same shingles are one set.  In each bucket (the sets that share a band) all are checked against the
+bucket's smallest; then, in buckets that still have more than one component, the pairs that lie in different ones.
+So every candidate pair is either checked or known to be connected, and a bucket of many near copies costs as many
+checks as it has members.  Only texts that have a candidate are moved, and texts that many others are checked against
+are dealt out in copies.
+
+Defined results: a null or empty text has no shingles and equals others without any; fewer words than a shingle:
+the whole sequence is one shingle; repeated rows and repeated ids keep their rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tarnfell.llm.components import components
+from tarnfell.llm.scratch import materialize
+
+SHINGLE, LEAST, BANDS, ROWS, SEED = 5, 0.8, 30, 5, 42
+#: Checks against one text that a task gets at most.
+DEALT = 64
+#: Shingles hashed at once.
+CHUNK = 2048
+
+_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64)
+_MASK, _FACTOR = _DRAWN[0], 2 * _DRAWN[1] + np.uint64(1)
+
+
+def recall(similarity: float = LEAST) -> float:
+    """The chance that a pair of this similarity shares a band."""
+    return 1 - (1 - similarity**ROWS) ** BANDS
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The sorted hashes of a text's shingles; lower-cases A-Z only, words end at ASCII white space."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    digest, joined = xxhash.xxh64_intdigest, b" ".join(words)
+    if len(words) <= SHINGLE:
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - SHINGLE].tolist(), ends[SHINGLE - 1 :].tolist())], np.uint64))
+
+
+def bands(found: np.ndarray) -> list[int]:
+    """One signed number for each band of a set; none for the empty set."""
+    import xxhash
+
+    if not len(found):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), CHUNK):
+        np.minimum(least, ((found[None, at : at + CHUNK] ^ _MASK) * _FACTOR).min(axis=1), out=least)
+    return np.array([xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)], np.uint64).view(np.int64).tolist()
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The similarity of two sorted sets."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    whole = len(a) + len(b) - both
+    return both / whole if whole else 1.0
+
+
+def add_sets(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """``keep``, ``key`` (the name of the set of shingles), ``copy`` (of the text) and ``bands``."""
+    import xxhash
+
+    held = docs.select(*keep, F.xxhash64("text").alias("copy"), "text")
+    schema = T.StructType([*held.schema.fields[:-1], T.StructField("key", T.LongType(), False), T.StructField("bands", T.ArrayType(T.LongType(), False), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t) for t in batch.column(len(keep) + 1).to_pylist()]
+            keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], names=schema.fieldNames())
+
+    return held.mapInArrow(run, schema)
+
+
+_EDGE = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
+
+
+def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (src, dst, texts of both) that link; the set of a src is kept while it repeats."""
+    held, of = None, None
+    for batch in batches:
+        src, dst, left, right = batch.columns
+        good = []
+        for i, key in enumerate(src.to_pylist()):
+            if key != held:
+                held, of = key, shingles(left[i].as_py())
+            if jaccard(of, shingles(right[i].as_py())) >= LEAST:
+                good.append(i)
+        if good:
+            yield pa.RecordBatch.from_arrays([src.take(pa.array(good)), dst.take(pa.array(good))], names=["src", "dst"])
+
+
+def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (src, dst: keys) whose texts are similar."""
+    shares = pairs.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("n"))
+    left = texts.join(shares, texts.key == shares.src).select("src", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("share"), F.col("text").alias("left"))
+    dealt = pairs.join(shares, "src").withColumn("share", F.pmod(F.xxhash64("dst"), F.col("n")).cast("int"))
+    right = texts.select(F.col("key").alias("dst"), F.col("text").alias("right"))
+    met = dealt.join(right, "dst").join(left, ["src", "share"]).select("src", "dst", "left", "right")
+    return materialize(met.mapInArrow(_check, _EDGE), "minhash-edges")
+
+
+def near_duplicates(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` of every row of ``docs`` (text) and ``component``: the same for all that links reach from one another."""
+    rows = materialize(add_sets(docs, keep), "minhash")
+    entries = rows.filter(F.size("bands") > 0).select("key", "bands").distinct().select("key", F.explode("bands").alias("band"))
+    heads = entries.groupBy("band").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    buckets = materialize(entries.join(heads, "band").select("band", "head", "key"), "minhash-buckets")
+    # The text of each set that has a candidate, once.
+    wanted = buckets.select("key").distinct().join(rows, "key").groupBy("key").agg(F.min("copy").alias("copy"))
+    texts = docs.select("text", F.xxhash64("text").alias("copy")).join(wanted, "copy").groupBy("key").agg(F.min("text").alias("text"))
+    texts = materialize(texts, "minhash-texts")
+    first = materialize(buckets.filter("head <> key").select(F.col("head").alias("src"), F.col("key").alias("dst")).distinct(), "minhash-pairs")
+    edges = _linked(first, texts)
+    parts = components(edges)
+    # What is left: pairs of a bucket in different components, at least one of them not in the bucket's largest.
+    named = buckets.join(parts, buckets.key == parts.node, "left").select("band", "head", "key", F.coalesce("component", "key").alias("part"))
+    named = materialize(named, "minhash-parts")
+    sizes = named.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("band").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("parts")).filter("parts > 1 and members > 2")
+    whole = named.join(mixed, "band")
+    minor = whole.filter("part <> main").select("band", F.col("key").alias("a"), F.col("part").alias("pa"), F.col("head").alias("ha"))
+    other = whole.select("band", F.col("key").alias("b"), F.col("part").alias("pb"))
+    crossed = minor.join(other, "band").filter("pa <> pb and a <> ha and b <> ha").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+    more = materialize(crossed.join(first, ["src", "dst"], "left_anti"), "minhash-pairs")
+    parts = components(edges.unionByName(_linked(more, texts)))
+    return rows.join(parts, rows.key == parts.node, "left").select(*keep, F.coalesce("component", "key").alias("component"))
