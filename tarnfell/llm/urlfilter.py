@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 from tarnfell.llm.names import others
 from tarnfell.llm.scratch import materialize
 
-#: Domains above a host that are looked up, its own name included.
-LEVELS = 6
 #: The last day on which an open interval is looked up.
 HORIZON = "2100-01-01"
 
@@ -37,11 +35,11 @@ def host(url: Column) -> Column:
     return F.nullif(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#@]+)", 1), F.lit(""))
 
 
-def suffixes(name: Column, levels: int = LEVELS) -> Column:
-    """The host and the domains above it that have two labels at least."""
+def suffixes(name: Column) -> Column:
+    """The host and all domains above it that have two labels at least."""
     labels = F.split(name, r"\.")
     n = F.size(labels)
-    return F.when(n < 2, F.array(name)).otherwise(F.transform(F.sequence(F.lit(0), F.least(n - 2, F.lit(levels - 1))), lambda i: F.array_join(F.slice(labels, i + 1, n), ".")))
+    return F.when(n < 2, F.array(name)).otherwise(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.array_join(F.slice(labels, i + 1, n), ".")))
 
 
 def intervals(entries: DataFrame) -> DataFrame:

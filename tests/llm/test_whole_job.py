@@ -8,7 +8,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
-from tarnfell.llm import minhash  # noqa: E402
+from tarnfell.llm import minhash, urlfilter  # noqa: E402
 
 # -------------------------------------------------------------------------------------------- pipeline: near duplicates
 
@@ -48,3 +48,15 @@ def test_near_duplicates_are_those_at_four_fifths(spark):
     assert sorted(r.doc_id for r in kept) == sorted(set(name.values()))
     assert len(set(name.values())) < len(texts) - 50
     assert minhash.recall() > 0.99999
+
+
+# ------------------------------------------------------------------------------------------------- op5: parent domains
+
+
+def test_every_parent_domain_is_looked_up(spark):
+    deep = ".".join(f"l{i}" for i in range(120))
+    hosts = ["a.b.c.d.e.f.example.com", "a.b.c.d.e.f.g.h.example.com", f"{deep}.example.com", "a.b.c.d.e.f.g.example.org", "example.com"]
+    captures = spark.createDataFrame([(i, f"http://{h}/x", "2024-02-01") for i, h in enumerate(hosts)], "page_id long, url string, fetch_day string")
+    entries = spark.createDataFrame([("example.com", "add", "2024-01-01")], "pattern string, action string, dated string")
+    got = {r.page_id: (r.blocked, r.pattern) for r in urlfilter.evaluate(captures, entries).collect()}
+    assert got == {i: (h.endswith("example.com"), "example.com" if h.endswith("example.com") else None) for i, h in enumerate(hosts)}
