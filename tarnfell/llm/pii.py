@@ -7,8 +7,8 @@ known mail domain, a known key prefix, a known issuer digit, a known area code i
 text before it end in a word that announces such data, or does other personal data surround it?).  Expectation-
 maximisation on the vote counts estimates each labeler's reliability and each kind's share without any truth; the
 posteriors, as soft labels, then train the final span classifier: naive Bayes over the span's shape.  Spans of the
-base kinds whose checks hold always stay; others stay where their strict form holds and the classifier gives them a
-half or more.
+base kinds whose checks hold always stay; others stay where their strict form holds, or the gazetteer or the context
+speaks for them, and the classifier gives them a half or more.
 
 Base spans are leftmost and do not overlap within a kind; a match whose check fails is dropped without another try.
 Quantifiers are possessive and starts are anchored at runs of their characters, which changes no match but keeps the
@@ -36,11 +36,11 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?=(?:[0-9][\x20-]?){12})[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9])[A-Za-z0-9_]{16,}+(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:eyJ[A-Za-z0-9_-]{13,}+(?:\.[A-Za-z0-9_-]++){0,2}+|xox[a-z]-[A-Za-z0-9-]{10,}+|[A-Za-z0-9_]{16,}+)(?![A-Za-z0-9])",
 }
 BASE = ("email", "ip", "card", "phone")
 #: Cheap tests of a whole text: where such a test fails the kind can't be there.
-HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]", "secret": r"[A-Za-z0-9_]{16}"}
+HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]", "secret": r"[A-Za-z0-9_]{16}|eyJ|xox[a-z]-"}
 MASKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "secret": "<SECRET>"}
 CONTEXT = 40
 ROUNDS = 12
@@ -79,7 +79,8 @@ def check(kind: str, span: Column) -> Column:
         return n.between(9, 15)
     if kind == "secret":
         letters, numbers = F.length(F.regexp_replace(span, r"[^A-Za-z]", "")), n
-        return (letters >= 3) & (numbers >= 3) & span.rlike(r"^(?:[0-9a-f]+|[A-Z0-9]+)$")
+        mixed = span.rlike(r"^[A-Za-z0-9_]+$") & span.rlike("[a-z]") & span.rlike("[A-Z]")
+        return span.rlike(_GAZETTEER[kind]) | ((letters >= 3) & (numbers >= 3) & (span.rlike(r"^(?:[0-9a-f]+|[A-Z0-9]+)$") | mixed))
     return F.lit(True)
 
 
@@ -201,15 +202,15 @@ def train(found: DataFrame) -> DataFrame:
 
 
 def spans(found: DataFrame) -> DataFrame:
-    """``found`` with ``spans``: base spans, and what the classifier adds, by start and then by kind."""
+    """``found`` with ``spans``: base spans, and what the classifier adds that no base span covers, by start and then by kind."""
     model = materialize(train(found), "pii-model").scalar()
 
     def odds(e: Column) -> Column:
         return F.aggregate(F.concat(F.array(e["kind"]), e["shape"]), F.lit(0.0), lambda s, f: s + F.coalesce(F.element_at(F.col("__model"), f), F.lit(0.0)))
 
-    kept = F.filter("found", lambda e: e["base"] | ((e["order"] >= len(BASE)) & (F.get(e["votes"], F.lit(0)) == 1) & (odds(e) >= 0)))
+    kept = F.filter("found", lambda e: e["base"] | ((e["order"] >= len(BASE)) & F.exists(F.slice(e["votes"], 1, 3), lambda v: v == 1) & (odds(e) >= 0)))
     base = F.filter("__kept", lambda e: e["base"])
-    free = F.filter("__kept", lambda e: e["base"] | ~F.exists(base, lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
+    free = F.filter("__kept", lambda e: e["base"] | ~F.exists(base, lambda b: (b["start"] <= e["start"]) & (e["end"] <= b["end"])))
     bare = F.transform(free, lambda e: F.struct(e["start"].alias("start"), e["order"].alias("order"), e["end"].alias("end"), e["kind"].alias("kind"), e["base"].alias("base")))
     return found.withColumn("__model", model).withColumn("__kept", kept).withColumn("spans", F.array_sort(bare)).drop("__model", "__kept", "found")
 

@@ -8,7 +8,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
-from tarnfell.llm import minhash, urlfilter  # noqa: E402
+from tarnfell.llm import minhash, pii, urlfilter  # noqa: E402
 
 # -------------------------------------------------------------------------------------------- pipeline: near duplicates
 
@@ -60,3 +60,21 @@ def test_every_parent_domain_is_looked_up(spark):
     entries = spark.createDataFrame([("example.com", "add", "2024-01-01")], "pattern string, action string, dated string")
     got = {r.page_id: (r.blocked, r.pattern) for r in urlfilter.evaluate(captures, entries).collect()}
     assert got == {i: (h.endswith("example.com"), "example.com" if h.endswith("example.com") else None) for i, h in enumerate(hosts)}
+
+
+# --------------------------------------------------------------------------------------------------------- op8: secrets
+
+
+def test_secrets_with_prefixes_and_mixed_case_are_masked(spark):
+    rng = random.Random(15)
+    draw = lambda n, of="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(rng.choice(of) for _ in range(n))
+    makes = [
+        lambda: f"ghp_{draw(32)}1234", lambda: f"gho_{draw(32)}1234", lambda: f"sk_live_{draw(20)}1234", lambda: f"pk_test_{draw(20)}1234",
+        lambda: f"xoxb-{draw(12, '0123456789')}-{draw(20)}", lambda: f"eyJhbGciOiJIUzI1NiJ9.eyJ{draw(24)}12.{draw(20)}-_{draw(18)}9", lambda: f"{draw(30)}aZ4821",
+    ]
+    secrets = [make() for make in makes for _ in range(10)]
+    texts = [f'word token = "{s}" word' for s in secrets] + [f"see counter_of_rows_seen_{i} in the text" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert [clean[i] for i in range(len(secrets))] == ['word token = "<SECRET>" word'] * len(secrets)
+    assert [clean[i] for i in range(len(secrets), len(texts))] == texts[len(secrets) :]
