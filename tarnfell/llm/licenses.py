@@ -4,11 +4,13 @@ Every pair of neighbouring words of every text (a rolling k-gram, k = 2) is hash
 the same pair in license templates; the words themselves are compared too, so a collision of hashes finds nothing.
 A hit votes for the diagonal *place in the text minus place in the template*.  Diagonals of one text and template
 that lie within ``SLACK`` words of each other are merged (words may have been put in or left out), and a merged span
-is confirmed if its distinct template places reach ``SHARE`` of the template's.  Phrases are templates without
+is confirmed if the distinct template places hit within a stretch of the text reach ``SHARE`` of the template's.  The
+stretch is as long as the template and what may have been put in where the share allows a pair to be missed, so
+neither repetition nor a chain of diagonals makes a whole of a part.  Phrases are templates without
 slack: all their pairs must vote for the same diagonal.
 
 The template table has one row for each word pair of the templates (a few hundred, a parameter and never the data),
-so it is broadcast; hits are counted before they are shuffled, and texts never move.
+so it is broadcast; hits are few, three numbers each, and texts never move.
 
 Defined results: a null or empty text has no words and no labels, and score 0; repeated rows are scanned one by one;
 without templates only phrases are found.
@@ -41,6 +43,8 @@ TEMPLATES: dict[str, Sequence[str]] = {
     "public-domain": ["this is free and unencumbered software released into the public domain"],
 }
 SLACK, SHARE = 3, 0.9
+#: What a stretch of the text is measured in; more than the square of any template's length.
+FRAME = 1 << 30
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -60,7 +64,7 @@ def template_table(spark: SparkSession, phrases: Mapping[str, str], templates: M
 
 
 def votes(docs: DataFrame, table: DataFrame, text: str = "text") -> DataFrame:
-    """Per (row, doc_id, template, diagonal) the template places hit; and a row without a template for each text."""
+    """(row, doc_id, template, label, phrase, pairs, at, place, diagonal) of each hit; and a row without a template for each text."""
     listed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", word_list(F.col(text)).alias("w"))
     n = F.size("w")
     word = lambda i: F.element_at("w", i)
@@ -70,7 +74,7 @@ def votes(docs: DataFrame, table: DataFrame, text: str = "text") -> DataFrame:
     t = F.broadcast(table)
     hits = grams.join(t, (grams.hash == t.hash) & (grams.a == t["first"]) & (grams.b == t["second"]), "left").filter(F.col("template").isNotNull() | (F.col("at") < 0))
     # The row that stands for the text has its number of words, less than nought, where others have their diagonal.
-    return hits.groupBy("row", "doc_id", "template", "label", "phrase", "pairs", (F.col("at") - F.coalesce("place", F.lit(0))).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"))
+    return hits.select("row", "doc_id", "template", "label", "phrase", "pairs", "at", "place", (F.col("at") - F.coalesce("place", F.lit(0))).alias("diagonal"))
 
 
 def scan(docs: DataFrame, text: str = "text", phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, Sequence[str]] = TEMPLATES, slack: int = SLACK, share: float = SHARE) -> DataFrame:
@@ -80,8 +84,13 @@ def scan(docs: DataFrame, text: str = "text", phrases: Mapping[str, str] = PHRAS
     apart = F.when(F.col("diagonal") - F.lag("diagonal").over(along) <= slack, 0).otherwise(1)
     # Phrases and the texts' own rows stand alone; the diagonals of templates are numbered by the span they merge into.
     runs = found.withColumn("span", F.when(F.col("phrase") | F.col("template").isNull(), F.col("diagonal")).otherwise(F.sum(apart).over(along.rowsBetween(W.unboundedPreceding, 0))))
-    spans = runs.groupBy("row", "doc_id", "template", "label", "phrase", "pairs", "span").agg(F.min("diagonal").alias("start"), F.sum("votes").alias("votes"))
-    part = F.least(F.col("votes") / F.col("pairs"), F.lit(1.0))
+    # Places in the text are stretched so that one frame fits templates of every length.
+    width = F.col("pairs") + slack * (F.col("pairs") - F.ceil(share * F.col("pairs")))
+    runs = runs.withColumn("far", F.col("at").cast("long") * F.floor(F.lit(FRAME) / F.greatest(width - 1, F.lit(1))).cast("long") * F.when(width > 1, 1).otherwise(2))
+    near = W.partitionBy("row", "template", "span").orderBy("far").rangeBetween(0, FRAME)
+    runs = runs.withColumn("places", F.when(F.col("phrase") | F.col("template").isNull(), 0).otherwise(F.size(F.collect_set("place").over(near))))
+    spans = runs.groupBy("row", "doc_id", "template", "label", "phrase", "pairs", "span").agg(F.min("diagonal").alias("start"), F.count(F.lit(1)).alias("votes"), F.max("places").alias("places"))
+    part = F.col("places") / F.col("pairs")
     base, more = F.col("phrase") & (F.col("votes") >= F.col("pairs")), ~F.col("phrase") & (part >= share)
     places = F.when(base, F.col("start"))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")

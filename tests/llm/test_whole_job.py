@@ -8,7 +8,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
-from tarnfell.llm import minhash, pii, urlfilter  # noqa: E402
+from tarnfell.llm import licenses, minhash, pii, urlfilter  # noqa: E402
 
 # -------------------------------------------------------------------------------------------- pipeline: near duplicates
 
@@ -78,3 +78,22 @@ def test_secrets_with_prefixes_and_mixed_case_are_masked(spark):
     clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert [clean[i] for i in range(len(secrets))] == ['word token = "<SECRET>" word'] * len(secrets)
     assert [clean[i] for i in range(len(secrets), len(texts))] == texts[len(secrets) :]
+
+
+# -------------------------------------------------------------------------------------------------------- op7: licenses
+
+
+def test_a_part_of_a_license_repeated_is_not_the_whole(spark):
+    ten = " ".join(f"w{i}" for i in range(10))
+    twenty = [f"v{i}" for i in range(21)]
+    drift = " ".join(" ".join(twenty[i : i + 3]) + " x" * 40 for i in range(0, 20, 2))  # every place, far apart
+    chain = " ".join(twenty[i] + " " + twenty[i + 1] + " y" for i in range(20)) + " z" * 9  # every place, a word or two put in at each
+    put_in = " ".join([*twenty[:8], "a", "b", "c", *twenty[8:15], "d", "e", "f", *twenty[15:]])  # two places short, as allowed
+    texts = ["all rights all rights", "public license public license public license public license", "all rights reserved", "the gnu lesser general public license", drift, put_in, f"{ten} q {ten}", chain]
+    templates = {**licenses.TEMPLATES, "long": [" ".join(twenty)], "ten": [f"{ten} end of it"]}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(df, templates=templates).collect()}
+    assert got[0] == ("", 0.5) and got[1] == ("", 0.25)
+    assert got[2] == ("proprietary", 1.0) and got[3] == ("gpl,lgpl", 1.0)
+    assert got[4][0] == "" and got[4][1] < 0.2 and got[5] == ("long", 0.9)
+    assert got[6][0] == "" and got[6][1] == 0.75 and got[7][0] == ""
