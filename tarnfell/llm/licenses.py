@@ -3,17 +3,20 @@
 Every pair of neighbouring words of every text (a rolling k-gram, k = 2) is hashed and joined with the positions of
 the same pair in license templates; the words themselves are compared too, so a collision of hashes finds nothing.
 A hit votes for the diagonal *place in the text minus place in the template*.  Diagonals of one text and template
-that lie within ``SLACK`` words of each other are merged (words may have been put in or left out), and a merged span
-is confirmed if the distinct template places hit within a stretch of the text reach ``SHARE`` of the template's.  The
-stretch is as long as the template and what may have been put in where the share allows a pair to be missed, so
-neither repetition nor a chain of diagonals makes a whole of a part.  Phrases are templates without
-slack: all their pairs must vote for the same diagonal.
+that lie within ``SLACK`` words of each other are merged (words may have been put in or left out), and each merged span
+is verified: the longest chain of its hits that runs forward in the text and in the template, within one stretch of
+the text, must reach ``SHARE`` of the template's pairs.  The stretch is as long as the template and what may have been
+put in where the share allows a pair to be missed, so neither repetition nor disorder nor a long row of diagonals
+makes a whole of a part.  Phrases are templates without slack: all their pairs must vote for the same diagonal.
+The score is 1 where a phrase stands, else the largest verified part of a template.
 
 The template table has one row for each word pair of the templates (a few hundred, a parameter and never the data),
-so it is broadcast; hits are few, three numbers each, and texts never move.
+so it is broadcast.  Every pair of every text meets it in one pass over the texts, which never move; what is shuffled,
+once and by text, is hits: a few numbers each.
 
 Defined results: a null or empty text has no words and no labels, and score 0; repeated rows are scanned one by one;
-without templates only phrases are found.
+a text of any length is one row of hits a template; further columns are ignored; without templates only phrases are
+found.
 
 Native: DataFrame and SQL operations only.
 """
@@ -43,8 +46,6 @@ TEMPLATES: dict[str, Sequence[str]] = {
     "public-domain": ["this is free and unencumbered software released into the public domain"],
 }
 SLACK, SHARE = 3, 0.9
-#: What a stretch of the text is measured in; more than the square of any template's length.
-FRAME = 1 << 30
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,54 +55,83 @@ def word_list(text: Column) -> Column:
 
 
 def template_table(spark: SparkSession, phrases: Mapping[str, str], templates: Mapping[str, Sequence[str]]) -> DataFrame:
-    """(hash, first, second, template, label, phrase, place, pairs): a row for each pair of neighbouring words."""
+    """(hash, first, second, template, label, phrase, place, pairs, same): a row for each pair of neighbouring words.
+
+    ``pairs`` is how many the template has, ``same`` how often its most frequent one stands in it.
+    """
     rows = []
     for number, (label, text, phrase) in enumerate([*((l, p, True) for p, l in phrases.items()), *((l, t, False) for l, ts in templates.items() for t in ts)]):
         words = re.findall(WORD, text.translate(str.maketrans(_UPPER, _LOWER)))
-        rows += [f"('{a}', '{b}', {number}, '{label}', {str(phrase).lower()}, {i}, {len(words) - 1})" for i, (a, b) in enumerate(zip(words, words[1:]))]
-    values = ", ".join(rows) or "('', '', -1, '', false, 0, 1)"
-    return spark.sql(f"SELECT xxhash64(first, second) AS hash, * FROM VALUES {values} AS t(first, second, template, label, phrase, place, pairs)")
+        pairs = list(zip(words, words[1:]))
+        same = max((pairs.count(p) for p in pairs), default=0)
+        rows += [f"('{a}', '{b}', {number}, '{label}', {str(phrase).lower()}, {i}, {len(pairs)}, {same})" for i, (a, b) in enumerate(pairs)]
+    values = ", ".join(rows) or "('', '', -1, '', false, 0, 1, 1)"
+    return spark.sql(f"SELECT xxhash64(first, second) AS hash, * FROM VALUES {values} AS t(first, second, template, label, phrase, place, pairs, same)")
 
 
-def votes(docs: DataFrame, table: DataFrame, text: str = "text") -> DataFrame:
-    """(row, doc_id, template, label, phrase, pairs, at, place, diagonal) of each hit; and a row without a template for each text."""
+def hits(docs: DataFrame, table: DataFrame, text: str = "text") -> DataFrame:
+    """(row, doc_id, n_words, at, template, label, phrase, place, pairs, same) of each hit, and one row at least for each text."""
     listed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", word_list(F.col(text)).alias("w"))
-    n = F.size("w")
-    word = lambda i: F.element_at("w", i)
-    pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct((i - 1).alias("at"), F.xxhash64(word(i), word(i + 1)).alias("hash"), word(i).alias("a"), word(i + 1).alias("b"))))
-    head = F.array(F.struct((-n - 1).alias("at"), F.lit(None).cast("long").alias("hash"), F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b")))
-    grams = listed.select("row", "doc_id", F.explode(F.concat(head, F.coalesce(pairs, F.slice(head, 1, 0)))).alias("g")).select("row", "doc_id", "g.*")
+    pairs = F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"))
+    listed = listed.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), pairs.alias("pairs_"))
+    grams = listed.select("row", "doc_id", "n_words", F.posexplode_outer("pairs_").alias("at", "g"))
+    grams = grams.select("row", "doc_id", "n_words", "at", F.col("g.a").alias("a"), F.col("g.b").alias("b"))
     t = F.broadcast(table)
-    hits = grams.join(t, (grams.hash == t.hash) & (grams.a == t["first"]) & (grams.b == t["second"]), "left").filter(F.col("template").isNotNull() | (F.col("at") < 0))
-    # The row that stands for the text has its number of words, less than nought, where others have their diagonal.
-    return hits.select("row", "doc_id", "template", "label", "phrase", "pairs", "at", "place", (F.col("at") - F.coalesce("place", F.lit(0))).alias("diagonal"))
+    # One number is looked up for each pair; the words are compared where it is found.
+    met = grams.join(t, F.xxhash64("a", "b") == t.hash, "left")
+    equal = F.coalesce((F.col("a") == F.col("first")) & (F.col("b") == F.col("second")), F.lit(False))
+    kept = met.filter(equal | (F.coalesce("at", F.lit(0)) == 0))
+    return kept.select("row", "doc_id", "n_words", "at", *[F.when(equal, F.col(c)).alias(c) for c in ("template", "label", "phrase", "place", "pairs", "same")])
+
+
+def _chain(window: Column) -> Column:
+    """The length of the longest chain of hits whose places rise; of hits at one word at most one is in it."""
+
+    def step(tails: Column, hit: Column) -> Column:
+        place = -hit["back"]
+        before = F.size(F.filter(tails, lambda t: t < place))
+        return F.concat(F.slice(tails, F.lit(1), before), F.array(place), F.slice(tails, before + 2, F.size(tails)))
+
+    return F.size(F.aggregate(window, F.expr("cast(array() as array<int>)"), step))
+
+
+def verified(found: Column, width: Column, most: Column) -> Column:
+    """The longest chain of a span's hits (at, back: minus the place; sorted) within ``width`` words.
+
+    A stretch starts at a hit and holds at most ``most`` hits.
+    """
+    extent = F.element_at(found, -1)["at"] - F.element_at(found, 1)["at"]
+
+    def stretch(i: Column) -> Column:
+        start = F.element_at(found, i)["at"]
+        return _chain(F.filter(F.slice(found, i, most), lambda h: h["at"] - start < width))
+
+    whole = F.when(extent < width, _chain(found)).otherwise(F.array_max(F.transform(F.sequence(F.lit(1), F.size(found)), stretch)))
+    return F.when(F.size(found) <= 1, F.size(found)).otherwise(whole)
 
 
 def scan(docs: DataFrame, text: str = "text", phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, Sequence[str]] = TEMPLATES, slack: int = SLACK, share: float = SHARE) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    found = votes(docs, template_table(docs.sparkSession, phrases, templates), text)
+    of = ["row", "doc_id", "n_words", "template", "label", "phrase", "pairs", "same"]
+    found = hits(docs, template_table(docs.sparkSession, phrases, templates), text).repartition("row")  # all that follows keeps to it
+    hit = F.when(F.col("template").isNotNull(), F.struct("at", (-F.col("place")).alias("back")))
+    votes = found.groupBy(*of, (F.col("at") - F.col("place")).alias("diagonal")).agg(F.collect_list(hit).alias("hits"))
     along = W.partitionBy("row", "template").orderBy("diagonal")
-    apart = F.when(F.col("diagonal") - F.lag("diagonal").over(along) <= slack, 0).otherwise(1)
-    # Phrases and the texts' own rows stand alone; the diagonals of templates are numbered by the span they merge into.
-    runs = found.withColumn("span", F.when(F.col("phrase") | F.col("template").isNull(), F.col("diagonal")).otherwise(F.sum(apart).over(along.rowsBetween(W.unboundedPreceding, 0))))
-    # Places in the text are stretched so that one frame fits templates of every length.
-    width = F.col("pairs") + slack * (F.col("pairs") - F.ceil(share * F.col("pairs")))
-    runs = runs.withColumn("far", F.col("at").cast("long") * F.floor(F.lit(FRAME) / F.greatest(width - 1, F.lit(1))).cast("long") * F.when(width > 1, 1).otherwise(2))
-    near = W.partitionBy("row", "template", "span").orderBy("far").rangeBetween(0, FRAME)
-    runs = runs.withColumn("places", F.when(F.col("phrase") | F.col("template").isNull(), 0).otherwise(F.size(F.collect_set("place").over(near))))
-    spans = runs.groupBy("row", "doc_id", "template", "label", "phrase", "pairs", "span").agg(F.min("diagonal").alias("start"), F.count(F.lit(1)).alias("votes"), F.max("places").alias("places"))
-    part = F.col("places") / F.col("pairs")
-    base, more = F.col("phrase") & (F.col("votes") >= F.col("pairs")), ~F.col("phrase") & (part >= share)
+    apart = F.when(~F.col("phrase") & (F.col("diagonal") - F.lag("diagonal").over(along) <= slack), 0).otherwise(1)
+    spans = votes.withColumn("span", F.sum(apart).over(along.rowsBetween(W.unboundedPreceding, 0)))
+    spans = spans.groupBy(*of, "span").agg(F.min("diagonal").alias("start"), F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"))
+    needed = F.ceil(F.lit(share) * F.col("pairs")).cast("int")
+    width = F.col("pairs") + slack * (F.col("pairs") - needed)
+    chain = F.when(F.col("phrase"), F.size("hits")).otherwise(verified(F.col("hits"), width, width * F.col("same")))
+    spans = spans.withColumn("chain", F.when(F.col("template").isNotNull(), chain)).withColumn("needed", F.when(F.col("phrase"), F.col("pairs")).otherwise(needed))
+    base, more = F.col("phrase") & (F.col("chain") >= F.col("needed")), ~F.col("phrase") & (F.col("chain") >= F.col("needed"))
     places = F.when(base, F.col("start"))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    return spans.groupBy("row", "doc_id").agg(
-        F.max(F.when(F.col("template").isNull(), -F.col("start") - 1)).cast("long").alias("n_words"),
+    return spans.groupBy("row", "doc_id", "n_words").agg(
         F.count(places).cast("long").alias("n_base"),
         F.min(places).cast("long").alias("first_word"),
         F.max(places).cast("long").alias("last_word"),
         joined(F.when(base, F.col("label"))).alias("base_labels"),
         joined(F.when(base | more, F.col("label"))).alias("labels"),
-        F.coalesce(F.max(F.when(base, 1.0).when(~F.col("phrase"), part)), F.lit(0.0)).alias("score"),
-    ).drop("row")
-
-
+        F.coalesce(F.max(F.when(base, 1.0).when(~F.col("phrase"), F.col("chain") / F.col("pairs"))), F.lit(0.0)).alias("score"),
+    ).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")

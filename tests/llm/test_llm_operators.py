@@ -302,6 +302,60 @@ def test_phrases_stand_where_they_stand(spark, odd, none):
     assert by[100]["labels"] == "apache,gpl"
 
 
+def plain_labels(text, slack=licenses.SLACK, share=licenses.SHARE):
+    """The labels and the score of a text, template by template, hit by hit."""
+    w = re.findall(licenses.WORD, text.translate(str.maketrans(licenses._UPPER, licenses._LOWER)))
+    labels, score = set(), 0.0
+    for phrase, label in licenses.PHRASES.items():
+        p = phrase.split()
+        if any(w[i : i + len(p)] == p for i in range(len(w))):
+            labels.add(label)
+            score = 1.0
+    for label, template in ((k, t) for k, ts in licenses.TEMPLATES.items() for t in ts):
+        pairs = list(itertools.pairwise(template.split()))
+        hits = [(i, j) for i, pair in enumerate(itertools.pairwise(w)) for j, other in enumerate(pairs) if pair == other]
+        needed = math.ceil(share * len(pairs) - 1e-9)
+        width = len(pairs) + slack * (len(pairs) - needed)
+        spans, last = [], None
+        for d in sorted({i - j for i, j in hits}):
+            if last is None or d - last > slack:
+                spans.append(set())
+            spans[-1].add(d)
+            last = d
+        for span in spans:
+            of = sorted(h for h in hits if h[0] - h[1] in span)
+            best = 0
+            for start, _ in of:
+                chains = {}
+                for i, j in (h for h in of if start <= h[0] < start + width):
+                    chains[i, j] = 1 + max((n for (a, b), n in chains.items() if a < i and b < j), default=0)
+                best = max(best, *chains.values())
+            score = max(score, best / len(pairs))
+            if best >= needed:
+                labels.add(label)
+    return ",".join(sorted(labels)), score
+
+
+def test_added_labels_equal_a_plain_scan(spark):
+    rng = random.Random(21)
+    templates = [t.split() for ts in licenses.TEMPLATES.values() for t in ts]
+    texts = ["all rights all rights nothing else", "licensed under licensed under licensed under cc by", "gnu lesser gnu lesser general public", "reserved rights all", "all rights all rights reserved"]
+    for _ in range(250):
+        w = list(rng.choice(templates)) * rng.choice([1, 1, 2])
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.choice([0, 0, 1])] = rng.choice([["x"], [], ["y", "z"], w[at : at + 3], ["the", "license"]])
+        if rng.random() < 0.2:
+            rng.shuffle(w)
+        texts.append(" ".join([*["pre"] * rng.randint(0, 3), *w, *rng.choice(templates)[: rng.randint(0, 5)]]))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        labels, score = plain_labels(t)
+        assert (got[i].labels, round(got[i].score, 9)) == (labels, round(score, 9)), t
+    assert all(got[i].labels == "" and got[i].score < 0.9 for i in range(4)) and got[4].labels == "proprietary"
+    assert len({r.labels for r in got.values()}) > 8
+
+
 # -------------------------------------------------------------------------------------------------------------- 8: pii
 
 KINDS = {
