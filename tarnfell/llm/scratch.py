@@ -3,16 +3,23 @@
 The folder is ``spark.checkpoint.dir``.  Only where that is unset *and* the master is local (tests) a
 temporary folder is made instead; on a cluster a missing setting is an error, because a machine-local
 folder would be invisible to the other machines.
+
+What is made within a :func:`scope` lies in a folder of its own, which goes when the scope ends; all other tables stay
+until :func:`release`, since frames that are still to run may read them.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_SCOPE: ContextVar[str | None] = ContextVar("tarnfell-scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,13 +36,28 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back with the same schema."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{_SCOPE.get() or shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[str]:
+    """What is materialised inside is deleted at the end; frames built on it must have been written out by then."""
+    folder = f"{shared_dir(spark)}/scope-{uuid.uuid4().hex}"
+    before = _SCOPE.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCOPE.reset(before)
+        _delete(spark, folder)
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table that this application has materialised; frames built on them become unreadable."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_dir(spark))

@@ -1,9 +1,9 @@
 """SimHash near-duplicates with BK-trees.
 
 A fingerprint has one bit per position of the shingles' 64-bit hashes, set if more than half of them set it.
-Fingerprints link at ``RADIUS`` or fewer differing bits.  The search is exact: 64 bits are cut into ``BLOCKS``
-blocks, and by the pigeonhole principle two linked fingerprints agree in at least one of them, so every distinct
-fingerprint enters one shard for each block, keyed by the block's value.  Each shard has a BK-tree (children keyed
+Fingerprints link at ``RADIUS`` or fewer differing bits.  The search is exact: 64 bits are cut into ``BLOCKS`` =
+``RADIUS`` + 2 blocks, and by the pigeonhole principle two linked fingerprints agree in at least two of them, so every
+distinct fingerprint enters one shard for each two blocks, keyed by their 25 or 26 bits.  Each shard has a BK-tree (children keyed
 by their integer distance to the parent), searched along the edges that the triangle inequality leaves.
 
 A shard holds distinct fingerprints only (copies meet in one row before), and a shard larger than ``SHARD_MAX`` is
@@ -20,6 +20,7 @@ never names a component unless no other id is there (then it is null); a column
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,22 @@ from tarnfell.llm.components import components
 from tarnfell.llm.names import others, unused
 from tarnfell.llm.scratch import materialize
 
-SHINGLE, SEED, RADIUS, BLOCKS, SHARD_MAX = 3, 42, 3, 4, 4096
+SHINGLE, SEED, RADIUS, BLOCKS, SHARD_MAX = 3, 42, 3, 5, 4096
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _LANE = (np.arange(8, dtype=np.int64) * 256)[None, :]
 _WEIGHT = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
+def set_bits(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes set each of the 64 bits."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        lanes = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8) + _LANE
+        ones += (np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
+    return ones
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The unsigned fingerprint of a whole text; lower-cases A-Z only, words end at ASCII white space."""
     import xxhash
@@ -52,9 +62,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate([[0], ends[:-1] + 1])
         hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist())], np.uint64)
-    lanes = hashes.view(np.uint8).reshape(-1, 8) + _LANE
-    ones = (np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
-    return int(_WEIGHT[2 * ones > len(hashes)].sum())
+    return int(_WEIGHT[2 * set_bits(hashes) > len(hashes)].sum())
 
 
 def add_fingerprints(docs: DataFrame, text: str = "text", name: str = "fp", keep: tuple[str, ...] | None = None) -> DataFrame:
@@ -93,6 +101,17 @@ class BKTree:
         self.children.append({})
         return len(self.values) - 1
 
+    def nearest(self, value: int, radius: int) -> int | None:
+        """The node nearest to ``value`` (the first such), at ``radius`` or less."""
+        best, rest = None, [0] if self.values else []
+        while rest:
+            node = rest.pop()
+            d = (self.values[node] ^ value).bit_count()
+            if d <= radius and (best is None or d < radius or node < best):
+                best, radius = node, d
+            rest += [k for e, k in self.children[node].items() if d - radius <= e <= d + radius]
+        return best
+
     def within(self, value: int, radius: int) -> Iterator[int]:
         """The nodes at ``radius`` or less from ``value``."""
         rest = [0] if self.values else []
@@ -173,9 +192,10 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def link(fps: DataFrame, shard_max: int = SHARD_MAX) -> DataFrame:
     """Edges (src, dst: signed fingerprints) that connect what links; ``fps``: distinct fingerprints in ``fp``."""
-    spark, width = fps.sparkSession, 64 // BLOCKS
-    keyed = [F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(F.shiftleft("fp", 64 - width * (b + 1)), 64 - width).alias("value")) for b in range(BLOCKS)]
-    entries = fps.select("fp", F.explode(F.array(*keyed)).alias("k")).select("fp", (F.col("k.value") * BLOCKS + F.col("k.block")).alias("shard"))
+    spark, cuts = fps.sparkSession, [64 * b // BLOCKS for b in range(BLOCKS + 1)]
+    masks = [sum(((1 << cuts[b + 1]) - (1 << cuts[b])) for b in two) for two in combinations(range(BLOCKS), 2)]
+    keyed = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m - (m >> 63 << 64)))) for i, m in enumerate(masks)]
+    entries = fps.select("fp", F.explode(F.array(*keyed)).alias("shard"))
     large = entries.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard_max)
     # Nearly every shard is one group of one task; the large ones are cut into pairs of tiles.
     tagged = entries.join(large.select("shard", F.ceil(F.col("n") / shard_max).cast("int").alias("tiles")), "shard", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))

@@ -8,7 +8,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
-from tarnfell.llm import licenses, minhash, pii, urlfilter  # noqa: E402
+from tarnfell.llm import licenses, pii, similar, simhash, urlfilter  # noqa: E402
 
 # -------------------------------------------------------------------------------------------- pipeline: near duplicates
 
@@ -47,7 +47,48 @@ def test_near_duplicates_are_those_at_four_fifths(spark):
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(name.values()))
     assert len(set(name.values())) < len(texts) - 50
-    assert minhash.recall() > 0.99999
+    assert similar.recall() > 0.99999
+
+
+def test_tiles_lose_no_link_and_one_of_equal_rows_stays(spark, monkeypatch):
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    texts = []
+    for _ in range(4):
+        base = [word() for _ in range(90)]
+        for _ in range(60):  # edits of edits: long paths, and many pairs that are nearly alike enough
+            base = list(base) if rng.random() < 0.7 else base
+            w = list(base)
+            for at in rng.sample(range(len(w)), rng.choice([0, 1, 1, 2, 3])):
+                w[at] = word()
+            texts.append(" ".join(w))
+            base = w if rng.random() < 0.3 else base
+    sets = [plain_shingles(t) for t in texts]
+    name = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if name[i] != name[j] and alike(sets[i], sets[j]):
+            low, high = sorted((name[i], name[j]))
+            name = [low if k == high else k for k in name]
+    for n in ("TILE", "MINOR", "OTHERS"):
+        monkeypatch.setattr(similar, n, 7)
+    monkeypatch.setattr(similar, "DEALT", 2)
+    many = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*many, *many[:9], *many[:9], *[(None, "none here", None, None, None)] * 3], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(5), "").collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(name)) and len(kept) == len(set(name)) + 1
+    assert 4 < len(set(name)) < 150
+
+
+def test_trees_give_the_nearest():
+    rng = random.Random(17)
+    values = [rng.getrandbits(256) for _ in range(60)]
+    values += [v ^ sum(1 << b for b in rng.sample(range(256), rng.randint(0, 80))) for v in values]
+    tree = simhash.BKTree()
+    nodes = [tree.add(v) for v in values[:90]]
+    for v in values:
+        best = min((((v ^ u).bit_count(), n) for u, n in zip(values, nodes)), default=None)
+        got = tree.nearest(v, 72)
+        assert got == (best[1] if best[0] <= 72 else None) or (tree.values[got] ^ v).bit_count() == best[0]
 
 
 # ------------------------------------------------------------------------------------------------- op5: parent domains
