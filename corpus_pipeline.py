@@ -2,11 +2,10 @@
 sources are mixed to their weights, and what remains is encoded.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return the
-columns of ``documents``.  Each stage first deletes the tables that earlier stages have left in the shared folder, since
-its input has been written out by then.
+columns of ``documents``.  ``run`` deletes a stage's intermediate tables once what it returns has been written.
 
-Defined results: null ids, texts and sources pass through; rows that repeat an id are told apart by their content, and
-exact copies of a row share their fate; an empty table gives empty tables; further columns are ignored.
+Defined results: null ids, texts and sources pass through; rows that repeat an id are told apart by their content; of
+rows that are equal throughout one stays; an empty table gives empty tables; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfell.llm import bpe, minhash, mixing, pii, scratch, toxicity
+from tarnfell.llm import bpe, mixing, pii, scratch, similar, toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,7 +27,6 @@ def _content() -> Column:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the positive-unlabelled classifier doesn't call toxic; labels of all folds are the benchmark's to keep."""
-    scratch.release(spark)
     docs = docs.select(*COLUMNS)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model, name="toxicity").filter("toxicity < 0.5").drop("toxicity")
@@ -37,28 +35,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id (then the smallest content hash).
 
-    Near duplicates are alike in 0.8 of their five-word shingles, which SimHash at op6's radius doesn't reach.
+    Near duplicates are alike in 0.8 of their five-word shingles, which fingerprints of 64 bits at op6's radius don't
+    reach: SimHash trees over wider ones find candidates, and each link is checked on the texts.
     """
-    scratch.release(spark)
-    docs = docs.select(*COLUMNS)
-    found = minhash.near_duplicates(docs.withColumn("content", _content()), keep=("doc_id", "content"))
+    docs = docs.select(*COLUMNS).withColumn("content", _content())
+    found = similar.near_duplicates(docs, keep=("doc_id", "content"))
+    alike = found.groupBy("component", "doc_id", "content").agg(F.count(F.lit(1)).alias("rows"))
     # A null id sorts first; it stands for its group only where no id does.
-    kept = found.groupBy("component").agg(F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "content"))), F.min(F.struct("doc_id", "content"))).alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("id"), F.col("k.content").alias("content"))
-    chosen = docs.withColumn("content", _content()).join(kept.withColumnRenamed("content", "c"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("content") == F.col("c")))
-    return chosen.select(*COLUMNS)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("content").alias("c"), "rows"))
+    kept = scratch.materialize(alike.groupBy("component").agg(first.alias("k")).select("k.id", "k.c", "k.rows"), "pipeline-kept")
+
+    def chosen(those: DataFrame) -> DataFrame:
+        return docs.join(those, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("content") == F.col("c"))).select(*docs.columns)
+
+    # Rows that are equal throughout meet before they move: few or none, and then this side's keys are few as well.
+    equal = chosen(kept.filter("rows > 1")).groupBy("doc_id", "content").agg(*[F.first(c).alias(c) for c in COLUMNS if c != "doc_id"])
+    return chosen(kept.filter("rows = 1")).select(*COLUMNS).unionByName(equal.select(*COLUMNS))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same rows with personal data replaced by the name of its kind."""
-    scratch.release(spark)
     clean = pii.redact(docs.select(*COLUMNS))
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: never, once or twice."""
-    scratch.release(spark)
     docs = docs.select(*COLUMNS).withColumn("content", _content())
     rows = scratch.materialize(docs.select("doc_id", "content", "source", mixing.words().alias("size")), "pipeline-sizes")
     keys = rows.groupBy("doc_id", "content", "source").agg(F.sum("size").alias("size"))
@@ -72,7 +74,6 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids, n_tokens, and whether decoding the ids gives the text again."""
     import public_tokenizers
 
-    scratch.release(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = bpe.encode(docs, path, public_tokenizers.PATTERN, round_trip="round_trip", keep=("doc_id", "source"))
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
@@ -97,6 +98,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{base}/{uuid.uuid4().hex}"
     for name, stage in STAGES:
         out = f"{path}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
+        with scratch.scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
     return docs
