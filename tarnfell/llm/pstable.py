@@ -11,9 +11,11 @@ own; no bucket is capped and no task holds more than two tiles.  A pair counts i
 that links can be summed without being listed: a group returns one row for each of its linked members, with the
 number of its partners and the smallest member that a union-find reached.
 
-Defined results: vectors that are null or zero, or hold null or non-finite components, and vectors without a label,
-link with nothing and are their own components; vectors of different lengths are never compared; repeated ids keep
-their rows, count each other as links, and bear the same name.
+Defined results: a vector is a row, whatever its id: rows that repeat an id link, or don't, by what they hold, and an
+id never joins two components.  A component is named by the smallest id in it.  Vectors that are null or zero, or hold
+null or non-finite components, and vectors without a label or an id, link with nothing and are their own components;
+vectors of different lengths are never compared; components of any magnitude are scaled before they are squared;
+further columns play no part.
 """
 
 from __future__ import annotations
@@ -61,6 +63,12 @@ def recall(cosine: float = COSINE, tables: int = TABLES, each: int = PROJECTIONS
     return 1 - (1 - collision_chance(math.sqrt(2 - 2 * cosine), each, width)) ** tables
 
 
+def directions(x: np.ndarray) -> np.ndarray:
+    """The rows of ``x`` at length 1; their largest component becomes 1 first, or squares could vanish or overflow."""
+    x = x / np.abs(x).max(1, keepdims=True, initial=0)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["rep", "label", "v", "copies", "signs"]
     for batch in batches:
@@ -68,7 +76,7 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n in np.unique(sizes):
             part = batch.filter(pa.array(sizes == n))
             x = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
-            signs = signatures(x / np.sqrt((x * x).sum(1, keepdims=True)))
+            signs = signatures(directions(x))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, signs.size + 1, TABLES, dtype=np.int32)), pa.array(signs.ravel()))
             yield pa.RecordBatch.from_arrays([*part.columns, lists], names=names)
 
@@ -131,8 +139,7 @@ def _compare(cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches):
             keys, at, side, ids, counts = (t.column(k).to_numpy() for k in range(5))
-            unit = _matrix(t.column(5)).astype(np.float64)
-            unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
+            unit = directions(_matrix(t.column(5)).astype(np.float64))
             i, j = pairs(keys, side, unit, cosine)
             signs = _matrix(t.column(6))
             # A pair counts in the first table in which it meets.
@@ -161,10 +168,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, bucket_max: int
     v = F.transform("embedding", lambda x: x.cast("double"))
     sound = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False)) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     bits = F.concat_ws(",", F.transform(v, lambda x: x.cast("string")))
-    rows = vectors.select("vec_id", "label", F.col("embedding").alias("v"), sound.alias("sound"), F.when(sound, F.sha2(bits, 256)).alias("key"))
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", "label", F.col("embedding").alias("v"), sound.alias("sound"), F.when(sound, F.sha2(bits, 256)).alias("key"))
     rows = materialize(rows, "pstable-rows")
-    # Exact copies (of one label) become one representative, named by the smallest id.
-    copies = rows.filter("sound").groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
+    # Exact copies (of one label) become one representative: the first row of them, as ids may repeat.
+    copies = rows.filter("sound").groupBy("label", "key").agg(F.min("row").alias("rep"), F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
     copies = materialize(copies, "pstable-copies")
     kinds = {f.name: f.dataType.simpleString() for f in copies.schema}
     hashed = copies.select("rep", "label", "v", "copies").mapInArrow(_hash, f"rep long, label {kinds['label']}, v {kinds['v']}, copies long, signs array<long>")
@@ -182,9 +189,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, bucket_max: int
     found = materialize(found, "pstable-links")
     links = found.groupBy("src").agg(F.sum("n").alias("linked"))
     parts = components(found.select("src", "dst"))
-    names = parts.groupBy("component").agg(F.min("node").alias("name")).join(parts, "component").select(F.col("node").alias("rep"), "name")
-    known = copies.drop("v").join(links.withColumnRenamed("src", "rep"), "rep", "left").join(names, "rep", "left")
-    known = known.select("label", "key", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("name", "rep").alias("component_id"))
+    known = copies.drop("v").join(links.withColumnRenamed("src", "rep"), "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    names = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    known = known.join(names, "component").select("label", "key", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = rows.select("vec_id", "label", "key").join(materialize(known, "pstable-known"), ["label", "key"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -150,6 +150,8 @@ def test_top_k_equals_brute_force(spark):
             best = sorted(((i, int(u @ v)) for i, u in whole if i != q), key=lambda z: (-z[1], z[0]))[:5]
             assert [got[q, k + 1] for k in range(5)] == best
     assert threshold.top_k(df.filter("vec_id < 0"), F.col("vec_id") % 50 == 0).count() == 0
+    one = spark.createDataFrame([(50, [1.0, 2.0], "x")] * 300 + [(7, [1.0, 1.0], "x")] * 300, "vec_id long, embedding array<double>, score string")
+    assert {(r["rank"], r.vec_id, r.score) for r in threshold.top_k(one, F.col("vec_id") % 50 == 0, candidates=16, queries=8).collect()} == {(i, 7, 3 * 65536) for i in range(1, 6)}
 
 
 def test_the_bound_stops_early():
@@ -214,6 +216,14 @@ def test_captures_are_judged_as_of_their_day(spark):
         assert (r["blocked"], r["pattern"]) == (want is not None, want)
 
 
+def test_any_date_is_judged(spark):
+    entries = spark.sql("SELECT * FROM VALUES ('bad.com', 'add', DATE'2024-01-10'), ('old.com', 'add', DATE'1950-01-01'), ('old.com', 'remove', DATE'2150-01-01'), ('late.com', 'add', DATE'2200-05-05') AS t(pattern, action, dated)")
+    data = [(f"http://a.{h}/", d) for h in ("bad.com", "old.com", "late.com") for d in ("1949-12-31", "1950-01-01", "2100-02-01", "2149-12-31", "2150-01-01", "2200-05-04", "2200-05-05", "9999-12-31")]
+    got = rows(urlfilter.evaluate(spark.createDataFrame(data, "url string, d string").withColumn("fetch_day", F.to_date("d")), entries))
+    held = {"a.bad.com": ("2024-01-10", "99999"), "a.old.com": ("1950-01-01", "2150-01-01"), "a.late.com": ("2200-05-05", "99999")}
+    assert len(got) == len(data) and all(r["blocked"] == (held[r["host"]][0] <= r["d"] < held[r["host"]][1]) for r in got)
+
+
 # ---------------------------------------------------------------------------------------------------------- 6: simhash
 
 
@@ -439,6 +449,23 @@ def test_links_equal_brute_force(spark):
     assert pstable.near_duplicates(df.filter("vec_id < 0")).count() == 0
 
 
+def test_repeated_ids_are_vectors_of_their_own(spark):
+    a, b, near = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], lambda v: [x + 0.01 for x in v]
+    data = [(5, a, 0), (5, b, 0), (1, near(a), 0), (2, near(a), 0), (3, a, 0), (4, near(b), 0), (9, a, 1), (9, a, 1), (30, [1e-170, 1e-171, 0.0], 0), (31, [1e200, 1e199, 0.0], 0), (32, [1.0, 0.1, 0.0], 0)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").withColumn("row", F.lit("x"))
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in pstable.near_duplicates(df.repartition(3)).collect())
+    # a, its two neighbours and its copy link; 1, 0.1, 0 links with them as well, at a cosine of 0.995.
+    unit = [np.array(v) / max(map(abs, v)) for _, v, _ in data]
+    cos = lambda u, v: float(u @ v / math.sqrt((u @ u) * (v @ v)))
+    links = [[i != j and data[i][2] == data[j][2] and cos(unit[i], unit[j]) >= 0.98 for j in range(len(data))] for i in range(len(data))]
+    part = plain_components(range(len(data)), [(i, j) for i in range(len(data)) for j in range(len(data)) if links[i][j]])
+    want = []
+    for i, (vec_id, _, _) in enumerate(data):
+        name = min(data[j][0] for j in range(len(data)) if part[j] == part[i])
+        want.append((vec_id, sum(links[i]), name, vec_id == name))
+    assert got == sorted(want) and {r[1] for r in got if r[0] == 5} == {1, 6}
+
+
 def test_recall_of_the_tables():
     assert pstable.recall() > 0.999
 
