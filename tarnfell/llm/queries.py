@@ -96,7 +96,7 @@ ORACLES: dict[str, str] = {
                               CAST(DATE '2024-01-01' + CAST(page_id % 365 AS INT) AS DATE) AS fetch_day FROM pages),
         parts AS (SELECT *, string_split(host, '.') AS l FROM hosts WHERE host IS NOT NULL),
         keys AS (SELECT page_id, fetch_day, unnest(CASE WHEN len(l) < 2 THEN [host]
-                        ELSE list_transform(range(0, least(len(l) - 1, 6)), lambda i: array_to_string(l[i + 1:], '.')) END) AS pattern FROM parts),
+                        ELSE list_transform(range(0, len(l) - 1), lambda i: array_to_string(l[i + 1:], '.')) END) AS pattern FROM parts),
         named AS (SELECT DISTINCT pattern, md5(pattern) AS h FROM keys),
         marked AS (SELECT pattern, CAST(DATE '2024-01-01' + CAST((instr('0123456789abcdef', h[2]) - 1) * 10 + instr('0123456789abcdef', h[3]) - 1 AS INT) AS DATE) AS d
                    FROM named WHERE instr('0123456789abcdef', h[1]) - 1 < 4),
