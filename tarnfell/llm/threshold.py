@@ -8,12 +8,15 @@ that would stand at the current depth in all lists, cannot reach the k-th result
 a block walk together, so that random access is one product of matrices a round, over the queries that go on and the
 candidates that are new.  The k best of every block meet in one ranking.
 
-The queries are a stated set, dealt into blocks as well: each pair of blocks is a row of its own, so that neither side
-is broadcast or held whole.
+The queries are a stated set.  They are sent to every block of candidates, which moves once (as often as there are
+shares of the queries, while there are fewer blocks than partitions to fill), and walk through it in packs; a task
+holds one block and one pack, and neither side is broadcast or held whole.  Blocks and shares are dealt by the number
+of the row, so that equal rows don't meet in one.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, neither do rows without an
 id; an empty vector scores 0 with all others of its length; vectors of different lengths never meet; repeated ids are
-candidates one by one, and a query passes over every row that bears its own id.
+candidates one by one, and a query passes over every row that bears its own id; rows that repeat a query's id are one
+query's results together; further columns play no part.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tarnfell.llm.scratch import materialize
 
-SCALE, TOP, CANDIDATES, QUERIES, DEPTH = 256, 5, 8192, 512, 16
+SCALE, TOP, CANDIDATES, QUERIES, DEPTH = 256, 5, 16384, 512, 16
 
 
 class Lists:
@@ -87,19 +90,42 @@ def _exact(a: np.ndarray, b: np.ndarray) -> type:
     return np.float64 if most < 2**53 else object
 
 
-def _rank(k: int):
+def _runs(keys: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Where the runs of equal rows of ``keys`` begin and end."""
+    n = len(keys[0])
+    cut = np.zeros(n, bool)
+    for k in keys:
+        cut[1:] |= k[1:] != k[:-1]
+    starts = [0, *np.flatnonzero(cut).tolist()] if n else []
+    return list(zip(starts, [*starts[1:], n]))
+
+
+def _rank(k: int, pack: int):
+    """Rows (block, share, width, asked, vec_id, v), sorted by the first four: a block's candidates, then its queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[object, Lists] | None = None
+        at, held, block, lists = None, [], None, {}
         for batch in batches:
-            for row in range(batch.num_rows):
-                block, width = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-                ids, queries = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in (2, 4))
-                values, asked = (batch.column(c)[row].values.to_numpy(zero_copy_only=False).reshape(len(i), width) for c, i in ((3, ids), (5, queries)))
-                kind = _exact(values, asked)
-                if held is None or held[0] != (block, width, kind):
-                    held = (block, width, kind), Lists(ids, values.astype(kind))
-                found, scores, _ = held[1].best(queries, asked.astype(kind), k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, [len(f) for f in found])), pa.array(np.concatenate(found)), pa.array([int(x) for x in np.concatenate(scores)], pa.int64())], names=["query_id", "vec_id", "score"])
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
+            for a, b in _runs(columns):
+                key, asked = tuple(c[a] for c in columns[:3]), bool(columns[3][a])
+                ids = batch.column(4).slice(a, b - a).to_numpy()
+                values = batch.column(5).slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, int(key[2]))
+                if key != at:
+                    at, held, block, lists = key, [], None, {}
+                if not asked:
+                    held.append((ids, values))
+                    continue
+                if block is None and held:
+                    block = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                    held = []
+                for i in range(0, b - a, pack) if block else ():
+                    queries, vectors = ids[i : i + pack], values[i : i + pack]
+                    kind = _exact(block[1], vectors)
+                    if kind not in lists:
+                        lists[kind] = Lists(block[0], block[1].astype(kind))
+                    found, scores, _ = lists[kind].best(queries, vectors.astype(kind), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, [len(f) for f in found])), pa.array(np.concatenate(found)), pa.array([int(x) for x in np.concatenate(scores)], pa.int64())], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -112,20 +138,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, scale: int = SCALE
     """(query_id, rank, vec_id, score) for every row of ``vectors`` (vec_id, embedding) for which ``is_query`` holds."""
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False)))
-    rows = materialize(rows.select("vec_id", whole_numbers(F.col("embedding"), scale).alias("v"), F.size("embedding").alias("width"), F.coalesce(is_query, F.lit(False)).alias("asked")), "threshold-rows")
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", whole_numbers(F.col("embedding"), scale).alias("v"), F.size("embedding").alias("width"), F.coalesce(is_query, F.lit(False)).alias("asked"))
+    rows = materialize(rows, "threshold-rows")
     n, m = rows.agg(F.count(F.lit(1)), F.count_if("asked")).first()
-    blocks, many = max(1, -(-n // candidates)), max(1, -(-m // queries))
-
-    def packed(df: DataFrame, name: str, number: int) -> DataFrame:
-        """One row for each block: its ids and its vectors, end to end."""
-        of = F.pmod(F.xxhash64("vec_id", "v"), F.lit(number)).cast("int")
-        lists = df.groupBy(of.alias(name), "width").agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
-        return lists.select(name, "width", F.col("rows.vec_id").alias(f"{name}_ids"), F.flatten("rows.v").alias(f"{name}_values"))
-
-    here, asked = packed(rows, "block", blocks), packed(rows.filter("asked"), "ask", many)
-    dealt = here.withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
-    met = dealt.join(asked, ["ask", "width"]).select("block", "width", "block_ids", "block_values", "ask_ids", "ask_values", "ask")
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = met.repartition(parts, "block", "ask").drop("ask").mapInArrow(_rank(k), "query_id long, vec_id long, score long")
+    blocks = max(1, -(-n // candidates))
+    shares = max(1, min(-(-m // queries), -(-parts // blocks)))
+    dealt = lambda number, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(number)).cast("int")
+    every = lambda number: F.explode(F.sequence(F.lit(0), F.lit(number - 1)))
+    here = rows.select(dealt(blocks, 0).alias("block"), every(shares).alias("share"), "width", F.lit(False).alias("asked"), "vec_id", "v")
+    asked = rows.filter("asked").select(every(blocks).alias("block"), dealt(shares, 1).alias("share"), "width", "asked", "vec_id", "v")
+    met = here.unionByName(asked).repartition(parts, "block", "share", "width").sortWithinPartitions("block", "share", "width", "asked")
+    found = met.mapInArrow(_rank(k, queries), "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
