@@ -5,13 +5,13 @@ text.  A linear model over hashed words and word beginnings is trained with nump
 risk  ``prior * R(pos, +1) + max(0, R(unl, -1) - prior * R(pos, -1))``; the corrected part can't be driven below
 nought by learning the samples by heart.
 
-The two training samples are bounded by parameters (``positives``, ``unlabelled``) and taken by a hash of the id, so
-reruns agree; labels, lang, source and doc_id never enter a score.  The model is 4 bytes a feature (1 MB), whatever
+The two training samples are bounded by parameters (``positives``, ``unlabelled``: rows that differ in id or text) and
+taken by a hash of the id, so reruns agree; labels, lang, source and doc_id never enter a score.  The model is 4 bytes a feature (1 MB), whatever
 the corpus, and scoring is one pass over the text without a shuffle.
 
 Defined results: a null or empty text gets the score of no features; without positives every score is 0; a null id
-is treated as the text '' when folds are drawn; repeated rows are scored one by one; of several labels of one id a
-toxic one counts; a column that bears the score's name is replaced.
+is treated as the text '' when folds are drawn; texts of any length are read whole; repeated rows are scored one by one
+and sampled once; of several labels of one id a toxic one counts; a column that bears the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -95,6 +95,16 @@ def boundary(zp: np.ndarray, zu: np.ndarray, prior: float) -> float:
     return float((at[best[0]] + at[best[-1]]) / 2)
 
 
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The non-negative corrected logistic risk of margins on both samples, and its slope in each margin."""
+    sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
+    rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    value, of_p, of_u = prior * np.logaddexp(0, -zp).mean() + max(0.0, rest), prior * (sp - 1) / len(sp), np.zeros(len(su))
+    if rest > 0:
+        of_p, of_u = of_p - prior * sp / len(sp), su / len(su)
+    return float(value), of_p, of_u
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.03, decay: float = 1e-4) -> Model:
     """Full-batch Adam on the non-negative risk with the logistic loss; features are scaled by their contrast."""
     if not positive or not unlabelled or not 0 < prior < 1:
@@ -119,11 +129,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
     pos, unl = pack(positive), pack(unlabelled)
     for step in range(1, steps + 1):
-        zp, zu = margins(pos), margins(unl)
-        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        g = gradient(pos, prior * (sp - 1) / len(sp))
-        if np.logaddexp(0, zu).mean() > prior * np.logaddexp(0, zp).mean():
-            g += gradient(unl, su / len(su)) - gradient(pos, prior * sp / len(sp))
+        _, of_p, of_u = risk(margins(pos), margins(unl), prior)
+        g = gradient(pos, of_p) + gradient(unl, of_u)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w = np.maximum(w - move[:-1] - rate * decay * w, 0.0)  # what speaks for toxicity at first sight never speaks against it
@@ -139,28 +146,33 @@ def held_out(doc_id: Column | str, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(name.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def _featured(docs: DataFrame) -> list[np.ndarray]:
-    """The features of a bounded number of documents, made on the executors."""
+def _featured(docs: DataFrame, sample: DataFrame) -> list[np.ndarray]:
+    """The features of the sample's rows (doc_id, hash of the text; a bounded number), made on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([make(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([make(t.as_py()).tobytes() for t in b.column(2)], pa.binary())], names=["doc_id", "h", "x"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x binary").toArrow().sort_by([("doc_id", "ascending")])
+    # Rows that are equal meet before they move, so no more comes here than the sample has.
+    met = docs.join(F.broadcast(sample), ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.first("text").alias("text"))
+    met = met.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "h")
+    rows = met.mapInArrow(run, "doc_id long, h long, x binary").toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
     return [np.frombuffer(x, np.int32) for x in rows.column("x").to_pylist()]
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, positives: int = 3000, unlabelled: int = 9000) -> Model:
-    """A model from at most so many confirmed toxic documents and so many others of the training folds."""
+    """A model from at most so many confirmed toxic rows and so many rows of any sort, all of the training folds."""
     marked = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out("doc_id", folds))
     prior = marked.agg(F.avg("toxic")).first()[0] or 0.0
-    ids = docs.filter("doc_id is not null").filter(~held_out("doc_id", folds)).select("doc_id")
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    pos = marked.filter("toxic = 1").select("doc_id").orderBy(*order).limit(positives)
-    unl = ids.orderBy(*order).limit(unlabelled)  # both samples have at most so many ids: safe to broadcast
-    texts = docs.select("doc_id", "text")
-    return fit(_featured(texts.join(F.broadcast(pos), "doc_id")), _featured(texts.join(F.broadcast(unl.distinct()), "doc_id")), prior)
+    texts = docs.filter("doc_id is not null").filter(~held_out("doc_id", folds)).select("doc_id", "text", F.xxhash64("text").alias("h"))
+
+    def sample(rows: DataFrame, most: int) -> DataFrame:
+        # At most so many rows of two numbers: safe to broadcast.
+        return rows.select("doc_id", "h").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(most)
+
+    pos = sample(texts.join(marked.filter("toxic = 1"), "doc_id"), positives)
+    return fit(_featured(texts, pos), _featured(texts, sample(texts, unlabelled)), prior)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

@@ -66,8 +66,40 @@ def test_recursions_equal_the_sum_over_all_paths():
                 moves[z[i - 1], z[i]] += p / whole
             for i, x in enumerate(s):
                 weights[x, z[i]] += p / whole
-    for got, want in zip(hmm.expected(m, sequences), (starts, moves, weights)):
-        assert np.allclose(got, want)
+    likely = sum(hmm.likelihood(m, sequences))
+    for block in (1, 2, 5, 1000):
+        for got, want in zip(hmm.expected(m, sequences, block), (starts, moves, weights, likely)):
+            assert np.allclose(got, want)
+
+
+def test_expected_counts_of_a_long_text_are_those_of_the_uncut_recursion(spark):
+    m, rng = tiny_model(), np.random.default_rng(6)
+    long = rng.integers(0, 5, 5000)
+    alpha, beta, scales = np.zeros((5000, 3)), np.ones((5000, 3)), np.zeros(5000)
+    for t, x in enumerate(long):
+        alpha[t] = (m.start if t == 0 else alpha[t - 1] @ m.move) * m.emit[x]
+        scales[t] = alpha[t].sum()
+        alpha[t] /= scales[t]
+    for t in range(4998, -1, -1):
+        beta[t] = m.move @ (m.emit[long[t + 1]] * beta[t + 1]) / scales[t + 1]
+    at = alpha * beta
+    moves = sum(np.outer(alpha[t], m.emit[long[t + 1]] * beta[t + 1] / scales[t + 1]) * m.move for t in range(4999))
+    want = (at[0], moves, np.stack([at[long == x].sum(0) for x in range(5)]), np.log(scales).sum())
+    for block in (512, 10**6):
+        for got, w in zip(hmm.expected(m, [long, long[:7]], block), [a + b for a, b in zip(want, hmm.expected(m, [long[:7]]))]):
+            assert np.allclose(got, w)
+    texts = spark.createDataFrame([(long.astype(np.uint16).tobytes(),), (long[:9].astype(np.uint16).tobytes(),)], "classes binary")
+    model, history = hmm.baum_welch(texts, m, np.full(5, 0.2), rounds=6, settled=0)
+    assert len(history) >= 2 and all(a <= b + 20 for a, b in itertools.pairwise(history)) and history[-1] > history[0]
+
+
+def test_thresholds_hold_their_bounds(spark):
+    rng = random.Random(18)
+    data = [(f"w{i}", rng.choice([1, 1, 2, 3, 5, 8, 1000, 1001, 70_000])) for i in range(3000)] + [("x" * 1000, 10**6)]
+    df = spark.createDataFrame(data, "word string, c long")
+    for most, least in zip((0, 5, 400, 3000, 9000), hmm.frequent(df, 0, 5, 400, 3000, 9000)):
+        assert sum(c >= least and len(w) <= hmm.LONG for w, c in data) <= most
+    assert hmm.frequent(df, 9000) == [1]
 
 
 def test_scores_of_odd_documents(spark, odd, none):
@@ -491,6 +523,32 @@ def test_held_out_accuracy(spark, odd, none):
     assert all(r.score == 0 for r in toxicity.score(odd, toxicity.train(d, lab.filter("toxic = 5"))).collect())
 
 
+def test_risk_and_boundary_equal_plain_versions():
+    rng = np.random.default_rng(19)
+    for prior in (0.05, 0.3, 0.9):
+        for shift in (-3.0, 0.0, 3.0):
+            zp, zu = rng.normal(1, 2, 12), rng.normal(shift, 2, 17)
+            loss = lambda z, y: math.log1p(math.exp(-y * z))
+            plain = lambda p, u: prior * sum(loss(z, 1) for z in p) / len(p) + max(0, sum(loss(z, -1) for z in u) / len(u) - prior * sum(loss(z, -1) for z in p) / len(p))
+            value, of_p, of_u = toxicity.risk(zp, zu, prior)
+            assert value == pytest.approx(plain(zp, zu)) and value >= 0
+            for z, slopes, at in ((zp, of_p, 0), (zu, of_u, 1)):
+                for i in range(len(z)):
+                    up, down = ([zp.copy(), zu.copy()] for _ in range(2))
+                    up[at][i] += 1e-6
+                    down[at][i] -= 1e-6
+                    assert slopes[i] == pytest.approx((plain(*up) - plain(*down)) / 2e-6, abs=1e-6)
+            cut = toxicity.boundary(zp, zu, prior)
+            zero_one = lambda c: prior * np.mean(zp <= c) + max(0, np.mean(zu > c) - prior * np.mean(zp > c))
+            assert zero_one(cut) <= min(zero_one(c) for c in [*zp, *zu, -99.0, 99.0, *(zp + 1e-9), *(zu - 1e-9)]) + 1e-9
+
+
+def test_a_repeated_row_is_sampled_once(spark):
+    docs = spark.createDataFrame([(1, "bad word")] * 500 + [(i, f"good word{i}") for i in range(2, 60)], "doc_id long, text string")
+    sample = spark.createDataFrame([(r.doc_id, r.h) for r in docs.selectExpr("doc_id", "xxhash64(text) h").distinct().collect()], "doc_id long, h long")
+    assert len(toxicity._featured(docs.selectExpr("doc_id", "text", "xxhash64(text) h"), sample)) == 59
+
+
 def test_the_risk_is_not_negative_and_labels_are_no_input(spark):
     x = [np.array([1, 2], np.int32)] * 50
     model = toxicity.fit(x, [np.array([3], np.int32)] * 400 + x, 0.11)
