@@ -8,15 +8,18 @@ distinct words V, so that unseen words have their share.  The likelihood of a te
 the scaled forward recursion over the whole text, times the words' chances within their classes.
 
 * Counts: every worker counts its texts, one shuffle adds the counts up; the table stays distributed.
-* Frequent words, at most ``HEAD`` by a threshold on the count, go to the workers; the others meet their counts in a
-  join, so no worker needs the vocabulary.
-* Baum-Welch: each round, workers run forward and backward over all training texts and the expected counts are added
-  up by (parameter) in a shuffle; what comes to the driver has the size of the model.  The rounds start from a model
-  trained on a bounded number of texts (``WARM_TEXTS``), which only places the states.  Training cuts texts into
-  segments of ``SEGMENT`` tokens; scoring doesn't.
-
-Defined results: a null or empty text is one end token; a null id counts as the text '' when folds are drawn; repeated
-rows are counted and scored one by one; without training texts all counts are 0 and the states are uniform.
+* Frequent words, at most ``HEAD`` of at most ``LONG`` bytes by a threshold on the count, go to the workers; the others
+  meet their counts in a join, so no worker needs the vocabulary.  The thresholds come from a histogram of the counts
+  by sixteenths of a power of two, a thousand rows at most.
+* Baum-Welch: each round, workers run forward and backward over all training texts, whole, and the expected counts are
+  added up by (parameter) in a shuffle; what comes to the driver has the size of the model.  Forward probabilities are
+  kept at every ``BLOCK`` tokens only and worked out again block by block on the way back, so memory is bounded and
+  the counts are those of the uncut recursion.  The rounds end when the likelihood has settled, or after ``ROUNDS``.
+* The states are placed by a first model, from at most ``WARM_TEXTS`` whole texts of at most ``WARM_TOKENS`` tokens.
+
+Defined results: a null or empty text is one end token; a text of any length is one sequence; a null id counts as the
+text '' when folds are drawn; repeated rows are counted and scored one by one; without training texts all counts are 0
+and the states are uniform; further columns play no part.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ from pyspark.sql import functions as F
 
 from tarnfell.llm.scratch import materialize
 
-OWN, HASHED, SUFFIX, HEAD = 2000, 1024, 3, 200_000
-STATES, ROUNDS, SEGMENT, WARM_TEXTS, WARM_ROUNDS, SEED = 8, 3, 512, 400, 25, 11
+OWN, HASHED, SUFFIX, HEAD, LONG = 2000, 1024, 3, 200_000, 64
+STATES, ROUNDS, SETTLED, BLOCK, WARM_TEXTS, WARM_TOKENS, WARM_ROUNDS, SEED = 8, 4, 1e-3, 300_000, 400, 1024, 25, 11
 SMOOTH = 0.1
 END = ""
 
@@ -98,28 +101,51 @@ def likelihood(model: Model, sequences: Sequence[np.ndarray]) -> np.ndarray:
     return found
 
 
-def expected(model: Model, sequences: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of starts (K), moves (K x K) and emissions (classes x K)."""
+def expected(model: Model, sequences: Sequence[np.ndarray], block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of starts (K), moves (K x K) and emissions (classes x K), and the log likelihood.
+
+    Steps are taken in blocks of some ``block`` tokens; of each the forward probabilities before it are kept, and those
+    within it only while the way back passes through.
+    """
     b, (k, classes) = Batch(sequences), model.shape
-    alpha = np.empty((b.at[-1], k))
-    emitted = model.emit[b.symbols]
-    scales = np.empty(b.at[-1])
-    for t in range(b.steps):
-        n, a = b.many[t], b.at[t]
-        now = alpha[a : a + n]
-        np.multiply(alpha[b.at[t - 1] : b.at[t - 1] + n] @ model.move if t else model.start[None, :], emitted[a : a + n], out=now)
-        scales[a : a + n] = scale = now.sum(1)
-        now /= scale[:, None]
-    moves, beta = np.zeros((k, k)), np.ones((b.many[-1], k))
-    for t in range(b.steps - 1, 0, -1):
-        n, a, before = b.many[t], b.at[t], b.at[t - 1]
-        ahead = emitted[a : a + n] * beta / scales[a : a + n, None]
-        moves += alpha[before : before + n].T @ ahead
-        beta = np.ones((b.many[t - 1], k))
-        beta[:n] = ahead @ model.move.T
-        alpha[before : before + b.many[t - 1]] *= beta
-    weights = np.stack([np.bincount(b.symbols, alpha[:, s], classes) for s in range(k)], 1)
-    return alpha[: b.many[0]].sum(0), moves * model.move, weights
+    cuts = [0]
+    while cuts[-1] < b.steps:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(b.at, b.at[cuts[-1]] + block, "right")) - 1))
+
+    def forward(t0: int, t1: int, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        base = b.at[t0]
+        emitted = model.emit[b.symbols[base : b.at[t1]]]
+        alpha, scales = np.empty_like(emitted), np.empty(len(emitted))
+        for t in range(t0, t1):
+            n, a = b.many[t], b.at[t] - base
+            now = alpha[a : a + n]
+            np.multiply(before[:n] @ model.move if t else model.start[None, :], emitted[a : a + n], out=now)
+            scales[a : a + n] = scale = now.sum(1)
+            now /= scale[:, None]
+            before = now
+        return emitted, alpha, scales
+
+    entry: list[np.ndarray | None] = [None]
+    for t0, t1 in zip(cuts[:-2], cuts[1:-1]):  # all blocks but the last
+        alpha = forward(t0, t1, entry[-1])[1]
+        entry.append(alpha[b.at[t1 - 1] - b.at[t0] :].copy())
+    moves, weights, beta, found = np.zeros((k, k)), np.zeros((classes, k)), np.ones((b.many[-1], k)), 0.0
+    for t0, t1, before in reversed(list(zip(cuts[:-1], cuts[1:], entry))):
+        base = b.at[t0]
+        emitted, alpha, scales = forward(t0, t1, before)
+        found += float(np.log(scales).sum())
+        for t in range(t1 - 1, t0 - 1, -1):
+            n, a = b.many[t], b.at[t] - base
+            ahead = emitted[a : a + n] * beta / scales[a : a + n, None]
+            alpha[a : a + n] *= beta
+            if t:
+                last = before if t == t0 else alpha[b.at[t - 1] - base : a]
+                moves += last[:n].T @ ahead
+                beta = np.ones((b.many[t - 1], k))
+                beta[:n] = ahead @ model.move.T
+        symbols = b.symbols[base : b.at[t1]]
+        weights += np.stack([np.bincount(symbols, alpha[:, s], classes) for s in range(k)], 1)
+    return alpha[: b.many[0]].sum(0), moves * model.move, weights, found
 
 
 def improve(starts: np.ndarray, moves: np.ndarray, weights: np.ndarray, unigram: np.ndarray) -> Model:
@@ -130,11 +156,7 @@ def improve(starts: np.ndarray, moves: np.ndarray, weights: np.ndarray, unigram:
     return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def segments(sequences: Sequence[np.ndarray], size: int = SEGMENT) -> list[np.ndarray]:
-    return [s[a : a + size] for s in sequences for a in range(0, len(s), size)]
-
-
-def bundles(sequences: Sequence[np.ndarray], most: int = 300_000, wide: int = 1024) -> Iterator[list[int]]:
+def bundles(sequences: Sequence[np.ndarray], most: int = BLOCK, wide: int = 1024) -> Iterator[list[int]]:
     """Positions of sequences of like length, in bundles of bounded size (a longer one alone)."""
     held, size = [], 0
     for i in np.argsort([len(s) for s in sequences], kind="stable")[::-1].tolist():
@@ -147,23 +169,27 @@ def bundles(sequences: Sequence[np.ndarray], most: int = 300_000, wide: int = 10
         yield held
 
 
-def _sum_expected(model: Model, sequences: Sequence[np.ndarray]) -> list[np.ndarray]:
+def _sum_expected(model: Model, sequences: Sequence[np.ndarray]) -> np.ndarray:
+    """Starts, moves, emissions and the log likelihood of all sequences, end to end."""
     k, classes = model.shape
-    total = [np.zeros(k), np.zeros((k, k)), np.zeros((classes, k))]
+    total = np.zeros(k + k * k + classes * k + 1)
     for held in bundles(sequences):
-        for t, e in zip(total, expected(model, [sequences[i] for i in held])):
-            t += e
+        total += np.concatenate([np.ravel(x) for x in expected(model, [sequences[i] for i in held])])
     return total
 
 
+def _improved(flat: np.ndarray, model: Model, unigram: np.ndarray) -> Model:
+    k, classes = model.shape
+    return improve(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k : -1].reshape(classes, k), unigram)
+
+
 def warm(sequences: Sequence[np.ndarray], unigram: np.ndarray, states: int = STATES, rounds: int = WARM_ROUNDS) -> Model:
     """A first model from a bounded number of texts; states start from a random tilt of the classes' shares."""
     rng = np.random.default_rng(SEED)
     emit = unigram[:, None] * np.exp(rng.normal(0, 1, (len(unigram), states))) + 1e-12
     model = Model(np.full(states, 1 / states), np.full((states, states), 0.3 / states) + 0.7 * np.eye(states), emit / emit.sum(0))
-    cut = segments(sequences)
-    for _ in range(rounds if cut else 0):
-        model = improve(*_sum_expected(model, cut), unigram)
+    for _ in range(rounds if len(sequences) else 0):
+        model = _improved(_sum_expected(model, sequences), model, unigram)
     return model
 
 
@@ -204,15 +230,23 @@ class Head:
     classes: np.ndarray
 
 
-def frequent(counts: DataFrame, most: int, sizes: dict[int, int] | None = None) -> int:
-    """The least count such that at most so many words have it or more."""
-    sizes = sizes if sizes is not None else {r[0]: r[1] for r in counts.groupBy("c").count().collect()}
-    total, least = 0, max(sizes, default=0) + 1
-    for c in sorted(sizes, reverse=True):
-        if (total := total + sizes[c]) > most:
-            break
-        least = c
-    return least
+def frequent(counts: DataFrame, *most: int) -> list[int]:
+    """For each number the least count such that at most so many words, none over ``LONG`` bytes, have it or more."""
+    by = F.floor(F.log2("c") * 16).alias("by")
+    sizes = counts.filter(_short()).groupBy(by).agg(F.min("c").alias("c"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("by")).collect()
+    found = []
+    for limit in most:
+        total, least = 0, 1 << 62
+        for r in sizes:
+            if (total := total + r["n"]) > limit:
+                break
+            least = r["c"]
+        found.append(least)
+    return found
+
+
+def _short() -> Column:
+    return F.octet_length("word") <= LONG
 
 
 def _encode(shared):
@@ -254,26 +288,33 @@ def _e_step(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            part = _sum_expected(shared.value, segments(_sequences(batch.column(0))))
-            total = part if total is None else [a + b for a, b in zip(total, part)]
+            part = _sum_expected(shared.value, _sequences(batch.column(0)))
+            total = part if total is None else total + part
         if total is not None:
-            flat = np.concatenate([t.ravel() for t in total])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["at", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "v"])
 
     return run
 
 
-def baum_welch(classes: DataFrame, model: Model, unigram: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """``rounds`` over all rows of ``classes`` (classes: 16-bit numbers); the driver gets sums of the model's size."""
+def baum_welch(classes: DataFrame, model: Model, unigram: np.ndarray, rounds: int = ROUNDS, settled: float = SETTLED) -> tuple[Model, list[float]]:
+    """Rounds over all rows of ``classes`` (classes: 16-bit numbers), until the likelihood gains less than ``settled``.
+
+    Returns the model, and the log likelihood of all texts under the model that each round began with.  The driver
+    gets sums of the model's size.
+    """
     sc, (k, n) = classes.sparkSession.sparkContext, model.shape
+    history: list[float] = []
     for _ in range(rounds):
         shared = sc.broadcast(model)
         sums = classes.select("classes").mapInArrow(_e_step(shared), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
-        flat = np.zeros(k + k * k + n * k)
-        flat[sums.column("at").to_numpy()] = sums.column("v").to_numpy()
-        model = improve(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(n, k), unigram)
         shared.unpersist()
-    return model
+        flat = np.zeros(k + k * k + n * k + 1)
+        flat[sums.column("at").to_numpy()] = sums.column("v").to_numpy()
+        model = _improved(flat, model, unigram)
+        history.append(float(flat[-1]))
+        if len(history) > 1 and history[-1] - history[-2] < settled * abs(history[-2]):
+            break
+    return model, history
 
 
 def _score(shared):
@@ -298,14 +339,13 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"), "text")
     counts = materialize(word_counts(texts.filter(~F.col("held_out"))), "hmm-counts")
     total, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
-    sizes = {r[0]: r[1] for r in counts.groupBy("c").count().collect()}  # as many rows as there are different counts
-    own, head = frequent(counts, OWN, sizes), frequent(counts, HEAD, sizes)
-    rows = counts.filter(F.col("c") >= head).toArrow().sort_by([("c", "descending"), ("word", "ascending")])  # at most HEAD
+    own, head = frequent(counts, OWN, HEAD)
+    rows = counts.filter((F.col("c") >= head) & _short()).toArrow().sort_by([("c", "descending"), ("word", "ascending")])  # at most HEAD
     words, c = rows.column("word").to_pylist(), rows.column("c").to_numpy()
     classes = np.array([i if n >= own else OWN_END + hashed_class(w) for i, (w, n) in enumerate(zip(words, c.tolist()))], np.int64)
     shared = sc.broadcast(Head([w.encode("utf-8", "surrogatepass") for w in words], c, np.append(classes, 0)))
     # Tokens and distinct words of each hashed class: at most HASHED rows.
-    of_class = counts.filter(F.col("c") < own).groupBy(_hashed_class("word").alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
+    of_class = counts.filter((F.col("c") < own) | ~_short()).groupBy(_hashed_class("word").alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
     within, unigram = np.zeros(OWN_END + HASHED), np.zeros(OWN_END + HASHED)
     within[OWN_END:] = math.log10(SMOOTH)
     unigram[: OWN_END][: int((c >= own).sum())] = c[c >= own]
@@ -317,11 +357,11 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_head long, head_logs double, head_within double, classes binary, tail array<string>"
     coded = materialize(texts.mapInArrow(_encode(shared), schema), "hmm-coded")
     training = coded.filter(~F.col("held_out"))
-    sample = training.orderBy(F.xxhash64("doc_id"), "row").limit(WARM_TEXTS).select("row", F.substring("classes", 1, 2 * SEGMENT).alias("classes"))
+    sample = training.filter(F.col("n_tokens") <= WARM_TOKENS).orderBy(F.xxhash64("doc_id"), "row").limit(WARM_TEXTS).select("row", "classes")
     first = warm(_sequences(sample.toArrow().sort_by([("row", "ascending")]).column("classes")), unigram, states)
-    model = baum_welch(training, first, unigram, rounds)
+    model, _ = baum_welch(training, first, unigram, rounds)
 
-    rare = coded.select("row", F.explode("tail").alias("word")).join(counts.filter(F.col("c") < head), "word", "left")
+    rare = coded.select("row", F.explode("tail").alias("word")).join(counts.filter((F.col("c") < head) | ~_short()), "word", "left")
     log = F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH))
     rare = rare.groupBy("row").agg(F.sum(log).alias("rare_logs"), F.count("c").alias("n_rare"))
     paths = coded.select("row", "classes").mapInArrow(_score(sc.broadcast((model, within))), "row long, path double")
