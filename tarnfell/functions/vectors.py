@@ -47,7 +47,7 @@ def hash_embed(text: Column, dim: int = rules.FLAT_DIM) -> Column:
     """Signed counts of hashed terms, of length 1; ``dim`` is a power of two up to 128, so that one byte of MD5 tells both."""
     if dim & (dim - 1) or not 1 < dim <= 128:
         raise ValueError("dim must be a power of two up to 128")
-    byte = F.transform(terms(text), lambda t: F.conv(F.right(F.md5(t.cast("binary")), F.lit(2)), 16, 10).cast("int"))
-    mark = F.transform(byte, lambda b: F.struct((b % dim).alias("i"), F.when(F.floor(b / dim) % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
+    # The lowest bits of the hash are the place, the next one the sign: a code counts where it is missing once removed.
+    codes = F.transform(terms(text), lambda t: F.conv(F.right(F.md5(t.cast("binary")), F.lit(2)), 16, 10).cast("int") % (2 * dim))
     place = F.sequence(F.lit(0), F.lit(dim - 1))
-    return unit(let(mark, lambda marks: F.transform(place, lambda i: F.aggregate(marks, F.lit(0.0), lambda s, m: s + F.when(m["i"] == i, m["s"]).otherwise(0.0)))))
+    return unit(let(codes, lambda c: F.transform(place, lambda i: (F.size(F.array_remove(c, i + dim)) - F.size(F.array_remove(c, i))).cast("double"))))

@@ -1,5 +1,6 @@
 """Knowledge graphs as two DataFrames: nodes (id, type, name, feature, tier, price, text, ord, item_id, seq) and edges
-(src, dst, predicate, weight, seq).  Edges are a bag: two of the same kind are two.  ``seq`` orders what ties."""
+(src, dst, predicate, weight, seq).  Edges are a bag: two of the same kind are two.  ``seq`` orders what ties; graphs
+that are made of items have (the item's place, the edge's place within it), however many edges an item has."""
 
 from __future__ import annotations
 
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 from tarnfell.functions import rules, text, vectors
 from tarnfell.operators.lineage import cut
 
-#: Numbers of edges that an item may have at most before the next item's begin.
-STRIDE = 1000
+
+def _seq(pos: Column, at: Column) -> Column:
+    return F.struct(pos.cast("long").alias("pos"), at.cast("long").alias("at"))
 
 
 def item_edges(items: DataFrame, features: Sequence[str], brands: Sequence[str] = tuple(rules.BRANDS), cases: Mapping[str, Sequence[str]] = rules.USE_CASES, specs: Mapping[str, str] = rules.SPECS, bands: Sequence[tuple[str, float]] = rules.PRICE_BANDS) -> DataFrame:
@@ -38,7 +40,7 @@ def item_edges(items: DataFrame, features: Sequence[str], brands: Sequence[str]
     follows = F.filter(F.transform(said, lambda s, i: F.when(i > 0, edge(chunk(i), F.lit("NEXT_CHUNK"), F.lit("Chunk"), body=s, ord_=i, src=chunk(i - 1)))), lambda e: e.isNotNull())
     every = F.concat(F.filter(tiers, lambda e: e.isNotNull()), fixed, uses, found, has, follows)
     rows = items.select("id", "pos", F.posexplode(every).alias("at", "e"))
-    return rows.select("e.*", F.col("id").alias("item_id"), (F.col("pos") * STRIDE + F.col("at")).alias("seq"))
+    return rows.select("e.*", F.col("id").alias("item_id"), _seq(F.col("pos"), F.col("at")).alias("seq"))
 
 
 def edges_of(entity_edges: DataFrame) -> DataFrame:
@@ -47,7 +49,7 @@ def edges_of(entity_edges: DataFrame) -> DataFrame:
 
 def nodes_of(items: DataFrame, entity_edges: DataFrame) -> DataFrame:
     """Items and entities, each once; of several attributes of an entity the last one counts, of its place the first."""
-    own = items.select("id", F.lit("Laptop").alias("type"), "name", F.lit(None).cast("string").alias("feature"), F.lit(None).cast("string").alias("tier"), F.col("price").cast("double").alias("price"), F.col("description").alias("text"), F.lit(None).cast("int").alias("ord"), F.lit(None).cast("string").alias("item_id"), (F.col("pos") * STRIDE - 1).alias("seq"))
+    own = items.select("id", F.lit("Laptop").alias("type"), "name", F.lit(None).cast("string").alias("feature"), F.lit(None).cast("string").alias("tier"), F.col("price").cast("double").alias("price"), F.col("description").alias("text"), F.lit(None).cast("int").alias("ord"), F.lit(None).cast("string").alias("item_id"), _seq(F.col("pos"), F.lit(-1)).alias("seq"))
     attributes = ("type", "name", "feature", "tier", "text", "ord")
     chunk = F.col("type") == "Chunk"
     met = entity_edges.filter(F.col("predicate") != "NEXT_CHUNK").groupBy(F.col("dst").alias("id")).agg(F.max_by(F.struct(*attributes, F.when(chunk, F.col("item_id")).alias("item_id")), "seq").alias("a"), F.min("seq").alias("seq"))
@@ -65,10 +67,10 @@ def similar_pairs(links: DataFrame, item: str, entity: str, least: int = 3, buck
     return pairs.groupBy(F.col("x.i").alias("a"), F.col("y.i").alias("b")).agg(F.count(F.lit(1)).alias("overlap")).filter(F.col("overlap") >= least)
 
 
-def similar_edges(pairs: DataFrame, after: int = 10**15) -> DataFrame:
+def similar_edges(pairs: DataFrame, after: int = (1 << 63) - 1) -> DataFrame:
     """SIMILAR_TO both ways, after all other edges."""
     rows = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e"), "overlap")
-    return rows.select("e.*", F.lit("SIMILAR_TO").alias("predicate"), F.col("overlap").cast("int").alias("weight"), (F.lit(after) + F.pmod(F.xxhash64("e.src", "e.dst"), F.lit(after))).alias("seq"))
+    return rows.select("e.*", F.lit("SIMILAR_TO").alias("predicate"), F.col("overlap").cast("int").alias("weight"), _seq(F.lit(after), F.xxhash64("e.src", "e.dst")).alias("seq"))
 
 
 def khop(edges: DataFrame, seeds: DataFrame, hops: int = rules.HOPS) -> DataFrame:

@@ -90,9 +90,10 @@ def score_and_rank(df: DataFrame, features: Sequence[str], wanted: Mapping[str,
 
 
 def validated(df: DataFrame, score: str, order: Sequence[Column], least: int = 2) -> DataFrame:
-    """Rows with the least score or more; where there are none, the single best."""
-    rows = df.withColumn("__rn", F.row_number().over(W.orderBy(*order))).withColumn("__top", F.max(score).over(W.partitionBy()))
-    return rows.filter((F.col(score) >= least) | ((F.col("__top") < least) & (F.col("__rn") == 1))).drop("__rn", "__top")
+    """Rows with the least score or more; where there are none, the single best.  ``df`` is run twice."""
+    top = df.select(F.coalesce(F.max(score), F.lit(least - 1)).alias("top")).scalar()
+    best = df.orderBy(*order).limit(1).filter(top < least)
+    return df.filter(F.col(score) >= least).unionByName(best)
 
 
 def precision(hits: DataFrame, method: str, strict: Column, relaxed: Column) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfell.functions import text
-from tarnfell.operators import graph
+from tarnfell.operators import catalog, graph
 from tarnfell.plans.registry import query
 from tarnfell.plans.shared import DIMS, SQL_BAND, SQL_TIERED, table, tiered
 
@@ -98,7 +98,8 @@ SEEDS, ROUNDS = ("S1", "S2", "R3"), 20
 _SEEDS = "(SELECT unnest(['S1', 'S2', 'R3']) AS id)"
 _NEAR = f"""u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h0 AS (SELECT id, 0 AS hop FROM {_SEEDS}),
  h1 AS (SELECT DISTINCT dst AS id, 1 AS hop FROM u JOIN h0 ON src = id WHERE dst NOT IN (SELECT id FROM h0)),
- near AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1)"""
+ h2 AS (SELECT DISTINCT dst AS id, 2 AS hop FROM u JOIN h1 ON src = id WHERE dst NOT IN (SELECT id FROM h0 UNION ALL SELECT id FROM h1)),
+ near AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2)"""
 #: Power iteration, unrolled as often as the query's.
 _RANKS = f"""inn AS (SELECT * FROM e WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near)), outs AS (SELECT src, sum(weight) AS w FROM inn GROUP BY src),
  st AS (SELECT src, dst, sum(weight)::DOUBLE / any_value(w) AS share FROM inn JOIN outs USING (src) GROUP BY src, dst),
@@ -115,12 +116,12 @@ def _seeds(spark: SparkSession) -> DataFrame:
 
 @query(f"WITH {_GEO}, {_NEAR} SELECT id, hop FROM near")
 def khop_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.khop(_geo(spark, sf_dir)[1], _seeds(spark), 1)
+    return graph.khop(_geo(spark, sf_dir)[1], _seeds(spark))
 
 
 def _ppr(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     nodes, edges = _geo(spark, sf_dir)
-    near = graph.khop(edges, _seeds(spark), 1)
+    near = graph.khop(edges, _seeds(spark))
     inner = graph.induced(edges, near)
     return nodes, inner, graph.pagerank(near, inner, _seeds(spark), iterations=ROUNDS, tolerance=None)
 
@@ -155,15 +156,14 @@ def kg_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.coverage(_triplets(spark, sf_dir)[1], _seeds(spark), _ANSWER)
 
 
-@query("""WITH g AS (SELECT CAST(c_custkey AS VARCHAR) AS id, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS r FROM customer ORDER BY r LIMIT 20), v AS (SELECT CAST(c_custkey AS VARCHAR) AS id, row_number() OVER (ORDER BY c_custkey) - 1 AS r FROM customer WHERE c_custkey % 3 = 0 ORDER BY r LIMIT 400)
+@query("""WITH g AS (SELECT CAST(c_custkey AS VARCHAR) AS id, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS r FROM customer), v AS (SELECT CAST(o_custkey AS VARCHAR) AS id, row_number() OVER (ORDER BY round(sum(o_totalprice), 6) DESC, o_custkey) - 1 AS r FROM orders GROUP BY o_custkey)
           SELECT id, round(coalesce(0.4::DOUBLE / (61 + g.r), 0) + coalesce(0.6::DOUBLE / (61 + v.r), 0), 8) AS score FROM g FULL JOIN v USING (id)""")
 def kg_vector_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    c = table(spark, sf_dir, "customer").withColumn("id", F.col("c_custkey").cast("string"))
-    rank = lambda df, *order: df.withColumn("rank", F.row_number().over(W.orderBy(*order)) - 1)
-    g = rank(c.orderBy(F.desc("c_acctbal"), "c_custkey").limit(20), F.desc("c_acctbal"), F.col("c_custkey"))
-    v = rank(c.filter("c_custkey % 3 = 0").orderBy("c_custkey").limit(400), F.col("c_custkey"))
+    """Two rankings of all customers, by balance and by what they have ordered."""
+    ranked = lambda df, order: catalog.renumber(df, order, "rank").select("id", "rank")
+    g = ranked(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), "c_acctbal", "c_custkey"), [F.desc("c_acctbal"), F.col("c_custkey")])
+    spent = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("spent"))
+    v = ranked(spent.withColumn("id", F.col("o_custkey").cast("string")), [F.desc(F.round("spent", 6)), F.col("o_custkey")])
     return graph.fuse_rankings(g, v).select("id", F.round("score", 8).alias("score"))
 
 
@@ -175,12 +175,11 @@ def _embed_sql(expr: str, tag: str) -> str:
       {tag}c AS (SELECT id, b % 64 AS i, sum(CASE WHEN (b // 64) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS s FROM {tag}b GROUP BY ALL), {tag}v AS (SELECT id, i, s / sqrt(sum(s * s) OVER (PARTITION BY id)) AS x FROM {tag}c)"""
 
 
-@query(f"""WITH {_GEO}, small AS (SELECT * FROM nodes WHERE type IN ('Nation', 'Region')), ns AS (SELECT id, type || ' ' || name AS txt FROM small), qs AS (SELECT 'q' AS id, '{_ASKED}' AS txt),
+@query(f"""WITH {_GEO}, ns AS (SELECT id, type || ' ' || name AS txt FROM nodes), qs AS (SELECT 'q' AS id, '{_ASKED}' AS txt),
            {_embed_sql('txt', 'n')}, {_embed_sql('txt', 'q')}, d AS (SELECT nv.id, sum(nv.x * qv.x) AS score FROM nv JOIN qv ON nv.i = qv.i GROUP BY nv.id)
-           SELECT id, name AS label, round(score, 4) AS score FROM (SELECT small.id, small.name, coalesce(score, 0) AS score FROM small LEFT JOIN d USING (id) ORDER BY round(coalesce(score, 0), 9) DESC, CASE type WHEN 'Nation' THEN 3 ELSE 4 END, CAST(substring(small.id, 2) AS INT) LIMIT 10) WHERE score > 0""")
+           SELECT id, name AS label, round(score, 4) AS score FROM (SELECT nodes.id, nodes.name, coalesce(score, 0) AS score FROM nodes LEFT JOIN d USING (id) ORDER BY round(coalesce(score, 0), 9) DESC, CASE type WHEN 'Laptop' THEN 1 WHEN 'Supplier' THEN 2 WHEN 'Nation' THEN 3 ELSE 4 END, CAST(substring(nodes.id, 2) AS INT) LIMIT 10) WHERE score > 0""")
 def hash_embed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _geo(spark, sf_dir)[0].filter("type in ('Nation', 'Region')")
-    return graph.flat_search(nodes, _ASKED, 10)
+    return graph.flat_search(_geo(spark, sf_dir)[0], _ASKED, 10)
 
 
 _SAID = "r1 or n3 and supplier 000000001 then r1"

@@ -104,11 +104,14 @@ def score_and_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT p_partkey, match_score FROM (SELECT *, row_number() OVER (ORDER BY match_score DESC, p_partkey) AS rn, max(match_score) OVER () AS top
-           FROM (SELECT * FROM {_SCORED} WHERE p_partkey < 40)) WHERE match_score >= 5 OR (top < 5 AND rn = 1)""")
+           FROM {_SCORED}) WHERE match_score >= 2 OR (top < 2 AND rn = 1)
+           UNION ALL SELECT -p_partkey, match_score FROM {_SCORED} WHERE p_partkey = (SELECT p_partkey FROM {_SCORED} ORDER BY match_score DESC, p_partkey LIMIT 1)""")
 def validate_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates are a short list by definition (here the first 40 keys): the fallback looks at all of them at once."""
-    rows = tiered(spark, sf_dir).filter((F.col("p_retailprice") <= 950) & (F.col("p_partkey") < 40)).withColumn("match_score", retrieval.match_count(DIMS, WANTED))
-    return retrieval.validated(rows, "match_score", [F.desc("match_score"), F.col("p_partkey")], 5).select("p_partkey", "match_score")
+    """All candidates within the budget; and, with its key negated, what is left where none is good enough."""
+    rows = tiered(spark, sf_dir).filter(F.col("p_retailprice") <= 950).withColumn("match_score", retrieval.match_count(DIMS, WANTED)).select("p_partkey", "match_score")
+    order = [F.desc("match_score"), F.col("p_partkey")]
+    none = retrieval.validated(rows, "match_score", order, len(WANTED) + 1)
+    return retrieval.validated(rows, "match_score", order).unionByName(none.withColumn("p_partkey", -F.col("p_partkey")))
 
 
 @query(f"SELECT p_partkey FROM {_SCORED} WHERE match_score = 5")
@@ -159,14 +162,14 @@ def row_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT doc_id, list_transform(v, lambda x: round(x, 6)) AS v FROM (
-            WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(left(text, 200)), '[a-z0-9]+')) AS t FROM documents),
+            WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents),
             b AS (SELECT doc_id, CAST('0x' || right(md5(t), 2) AS INT) AS b FROM t),
             c AS (SELECT doc_id, b % 64 AS i, sum(CASE WHEN (b // 64) % 2 = 0 THEN 1.0 ELSE -1.0 END) AS s FROM b GROUP BY ALL),
             n AS (SELECT doc_id, sqrt(sum(s * s)) AS n FROM c GROUP BY doc_id),
             g AS (SELECT doc_id, i, coalesce(s, 0) / CASE WHEN coalesce(n, 0) > 0 THEN n ELSE 1 END AS x FROM (SELECT doc_id, unnest(range(64)) AS i FROM documents) LEFT JOIN c USING (doc_id, i) LEFT JOIN n USING (doc_id))
             SELECT doc_id, list(CAST(x AS DOUBLE) ORDER BY i) AS v FROM g GROUP BY doc_id)""")
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vectors.hash_embed(F.substring("text", 1, 200))
+    v = vectors.hash_embed(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.transform(v, lambda x: F.round(x, 6)).alias("v"))
 
 
