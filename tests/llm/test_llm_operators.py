@@ -221,6 +221,59 @@ def test_mix_meets_targets(spark, odd, none):
     assert mixing.report(odd).count() == odd.count() and mixing.report(none).count() == 0
 
 
+def test_rates_are_the_optimum_of_a_plain_solver(spark):
+    rng = random.Random(20)
+    data = [(s, rng.uniform(0.05, 1.95), c, rng.randint(0, 5000)) for s in "abcdef" for c in range(1, 12)]
+    size = {s: sum(w for t, _, _, w in data if t == s) for s in "abcdef"}
+    share = {s: next(g for t, g, _, _ in data if t == s) for s in "abcdef"}
+    rows_ = [(s, share[s] * size[s], c, w) for s, _, c, w in data]
+    mean = sum(c * w for _, _, c, w in rows_) / sum(w for _, _, _, w in rows_)
+    got = {(r.source, r["class"]): r.rate for r in mixing.balance(spark.createDataFrame(rows_, "source string, goal double, class int, words long"), mean).collect()}
+    for s in "abcdef":
+        w = np.array([x for t, _, _, x in rows_ if t == s], float)
+        d = np.array([c for t, _, c, _ in rows_ if t == s]) - mean
+        chance = lambda a, m: 1 / (1 + np.exp(-(a + m * d)))
+
+        def level(m):
+            low, high = -60.0, 60.0
+            for _ in range(200):
+                a = (low + high) / 2
+                low, high = (a, high) if 2 * (w * chance(a, m)).sum() < share[s] * w.sum() else (low, a)
+            return low
+
+        low, high = -20.0, 20.0
+        for _ in range(200):  # what speaks against the lean grows with it
+            m = (low + high) / 2
+            low, high = (m, high) if (w * chance(level(m), m) * d).sum() + mixing.SOFT * w.sum() * m < 0 else (low, m)
+        p = chance(level(low), low)
+        mine = np.array([got[s, c] for t, _, c, _ in rows_ if t == s]) / 2
+        assert np.allclose(mine, p, atol=1e-6)
+        cost = lambda q: (w * (q * np.log(q) + (1 - q) * np.log1p(-q))).sum() + (w * q * d).sum() ** 2 / (2 * mixing.SOFT * w.sum())
+        for _ in range(30):  # no other rates that take the target cost less
+            step = np.random.default_rng(rng.randrange(10**6)).normal(size=len(w)) * 1e-3
+            step -= w * (step @ w) / (w @ w)
+            assert cost(np.clip(mine + step, 1e-9, 1 - 1e-9)) >= cost(mine) - 1e-6
+    assert max(got.values()) - min(got.values()) > 0.5
+
+
+def test_rows_without_ids_and_repeated_rows_are_dealt_out(spark):
+    data = [(None, "w " * 7, "a")] * 6000 + [(5, "w " * 9, "a")] * 6000 + [(i, "w " * (1 + i % 30), "b") for i in range(10, 3000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = rows(mixing.report(df))
+    assert len(got) == len(data) and {r["taken"] for r in got if r["doc_id"] is None} <= {0, 7, 14}
+    assert sum(r["doc_id"] == 5 for r in got) == 6000 and all(r["size"] == 9 for r in got if r["doc_id"] == 5)
+    for size in {r["source_size"] for r in got}:
+        of = [r for r in got if r["source_size"] == size]
+        assert sum(r["taken"] for r in of) == pytest.approx(of[0]["target"], rel=0.005)
+
+
+def test_more_sources_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST", 3)
+    data = [(i, "w " * (1 + i % 40), f"s{i % 9}") for i in range(900)]
+    got = rows(mixing.report(spark.createDataFrame(data, "doc_id long, text string, source string")))
+    assert len(got) == 900 and sum(r["taken"] for r in got) == pytest.approx(1.5 * sum(r["size"] for r in got), rel=0.01)
+
+
 def test_reruns_agree(odd):
     key = lambda r: (str(r["doc_id"]), r["size"], r["taken"])
     assert sorted(map(key, rows(mixing.report(odd)))) == sorted(map(key, rows(mixing.report(odd.repartition(7)))))
