@@ -1,28 +1,30 @@
 """Personal data by weak supervision.
 
 Labelers propose spans in whole texts: the regexes of the four base kinds with their checks (octets, Luhn, digit
-counts), and looser ones for tokens that look like secrets (long hexadecimal strings, vendor-prefixed keys).  Each
-candidate then gets votes of three sorts: the *regex* labeler (does the strict form hold?), a *gazetteer* (is there a
-known mail domain, a known key prefix, a known issuer digit, a known area code in it?) and the *context* (does the
-text before it end in a word that announces such data, or does other personal data surround it?).  Expectation-
-maximisation on the vote counts estimates each labeler's reliability and each kind's share without any truth; the
-posteriors, as soft labels, then train the final span classifier: naive Bayes over the span's shape.  Spans of the
-base kinds whose checks hold always stay; others stay where their strict form holds, or the gazetteer or the context
-speaks for them, and the classifier gives them a half or more.
+counts), and looser ones for tokens that look like secrets, for account numbers (IBAN), national numbers and names
+that the text announces.  Each candidate then gets votes: the *regex* labeler (does the strict form hold: a check
+digit, a known shape?), the *gazetteer* (is the token that tells, a mail domain's end, an issuer's first digits, a
+calling code, a vendor's prefix, a country, a given name, in the table?), the *context* (does the text before it end
+in a word that announces such data, or in one that speaks against it?) and the *length*.  Expectation-maximisation on
+the counts of votes estimates each labeler's reliability and each kind's share without any truth; the posteriors, as
+soft labels, then train the final span classifier: naive Bayes over the span's votes and shape.  Spans of the base
+kinds whose checks hold always stay; of all others those stay that the classifier gives a half or more and for which
+one labeler at least speaks, unless a base span or an account number covers them.
 
 Base spans are leftmost and do not overlap within a kind; a match whose check fails is dropped without another try.
 Quantifiers are possessive and starts are anchored at runs of their characters, which changes no match but keeps the
 search linear, and Java's stack flat, on texts of any length.
 
 Defined results: a null or empty text has no spans; offsets are code points, the end is exclusive; repeated rows are
-looked at one by one; without any candidate the tables of the model are empty and nothing is added.
+looked at one by one; without any candidate the tables of the model are empty and nothing is added; further columns
+stay as they are.
 
 Native: DataFrame operations only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -37,13 +39,17 @@ PATTERNS = {
     "card": r"(?=(?:[0-9][\x20-]?){12})[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "secret": r"(?<![A-Za-z0-9])(?:eyJ[A-Za-z0-9_-]{13,}+(?:\.[A-Za-z0-9_-]++){0,2}+|xox[a-z]-[A-Za-z0-9-]{10,}+|[A-Za-z0-9_]{16,}+)(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
+    "national": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
+    "name": r"(?<=(?:[Nn]ame is|[Nn]ame:|[Dd]ear|Mr\.|Mrs\.|Ms\.|Dr\.) )\p{Lu}\p{Ll}{1,30}+(?:[ -]\p{Lu}\p{Ll}{1,30}+){1,2}+",
 }
 BASE = ("email", "ip", "card", "phone")
 #: Cheap tests of a whole text: where such a test fails the kind can't be there.
-HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]", "secret": r"[A-Za-z0-9_]{16}|eyJ|xox[a-z]-"}
-MASKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "secret": "<SECRET>"}
+HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]", "secret": r"[A-Za-z0-9_]{16}|eyJ|xox[a-z]-", "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}", "national": r"[0-9]-[0-9]{2}-[0-9]{4}", "name": r"[Nn]ame(?: is|:) |[Dd]ear |M(?:r|rs|s)\. |Dr\. "}
+MASKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "secret": "<SECRET>", "iban": "<IBAN>", "national": "<NATIONAL_ID>", "name": "<NAME>"}
 CONTEXT = 40
-ROUNDS = 12
+#: Rounds of expectation-maximisation; candidates that the classifier is taken to have seen of each share beforehand.
+ROUNDS, PRIOR = 12, 4.0
 
 
 def _digits(span: Column) -> Column:
@@ -68,9 +74,26 @@ def _octets(span: Column) -> Column:
     return F.forall(F.split(span, r"\."), small)
 
 
+def mod97(span: Column) -> Column:
+    """Whether an account number passes its check: moved by four, with letters as 10 to 35, it leaves 1."""
+    bare = F.replace(span, F.lit(" "), F.lit(""))
+    order = F.concat(F.substr(bare, F.lit(5)), F.left(bare, F.lit(4)))
+
+    def step(rest: Column, c: Column) -> Column:
+        return F.when(c == "", rest).when(c.rlike("[0-9]"), (rest * 10 + c.cast("int")) % 97).otherwise((rest * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(F.split(order, ""), F.lit(0), step) == 1
+
+
 def check(kind: str, span: Column) -> Column:
     """The strict form of a kind."""
     n = F.length(_digits(span))
+    if kind == "iban":
+        return mod97(span)
+    if kind == "national":
+        return ~span.rlike("^(?:000|666|9)|-00-|-0000$")
+    if kind == "name":
+        return F.size(F.split(span, "[ -]")).between(2, 3)
     if kind == "ip":
         return _octets(span)
     if kind == "card":
@@ -80,7 +103,7 @@ def check(kind: str, span: Column) -> Column:
     if kind == "secret":
         letters, numbers = F.length(F.regexp_replace(span, r"[^A-Za-z]", "")), n
         mixed = span.rlike(r"^[A-Za-z0-9_]+$") & span.rlike("[a-z]") & span.rlike("[A-Z]")
-        return span.rlike(_GAZETTEER[kind]) | ((letters >= 3) & (numbers >= 3) & (span.rlike(r"^(?:[0-9a-f]+|[A-Z0-9]+)$") | mixed))
+        return span.rlike(_PREFIXED) | ((letters >= 3) & (numbers >= 3) & (span.rlike(r"^(?:[0-9a-f]+|[A-Z0-9]+)$") | mixed))
     return F.lit(True)
 
 
@@ -106,55 +129,86 @@ _CONTEXT = {
     "card": r"(?i)(?:card|visa|credit|payment)\W{0,4}$",
     "phone": r"(?i)(?:phone|tel|call|fax|mobile)\W{0,4}$",
     "secret": r"(?i)(?:token|password|passwd|secret|key|bearer)\W{0,5}$",
+    "iban": r"(?i)(?:iban|account|konto|compte|cuenta)\W{0,4}$",
+    "national": r"(?i)(?:ssn|social security(?: number| no\.?)?|national id|insurance number)\W{0,4}$",
+    "name": r"(?:[Nn]ame is|[Nn]ame:|[Dd]ear|Mr\.|Mrs\.|Ms\.|Dr\.) $",
 }
-_AGAINST = r"(?i)(?:version|release|isbn|order|invoice|section|figure|v)\W{0,3}$"
-_GAZETTEER = {
-    "email": r"(?i)\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$",
-    "ip": r"^(?!0|127\.|255\.|22[4-9]\.|23[0-9]\.)",
-    "card": r"^[3-6]",
-    "phone": r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
-    "secret": r"^(?:AKIA|ASIA|ghp_|gho_|xox|sk_|pk_|eyJ)",
+_AGAINST = r"(?i)(?:version|release|isbn|order|invoice|section|figure|part|v)\W{0,3}$"
+#: What vendors' secrets begin with.
+_PREFIXED = r"^(?:AKIA|ASIA|ghp_|gho_|xox|sk_|pk_|eyJ)"
+#: The gazetteer: of each kind the tokens that speak for a span.  Octets, issuers and countries' codes are fixed values.
+GAZETTEER: Mapping[str, Sequence[str]] = {
+    "email": ["com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu"],
+    "ip": [str(i) for i in range(1, 224) if i != 127],
+    "card": ["30", "34", "35", "36", "37", "38", "4", "51", "52", "53", "54", "55", "60", "62", "64", "65"],
+    "phone": ["1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98", "351", "352", "353", "354", "358", "420", "421"],
+    "secret": ["AKIA", "ASIA", "ghp_", "gho_", "xoxa", "xoxb", "xoxp", "xoxr", "sk_", "pk_", "eyJ"],
+    "iban": ["AT", "BE", "CH", "CZ", "DE", "DK", "ES", "FI", "FR", "GB", "GR", "HU", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "RO", "SE"],
+    "national": [],
+    "name": ["Alice", "Anna", "Carlos", "David", "Elena", "Emma", "Eva", "Hans", "Jack", "James", "Jean", "John", "Jose", "Juan", "Julia", "Karl", "Laura", "Lucas", "Luis", "Maria", "Marie", "Mark", "Mary", "Michael", "Paul", "Pedro", "Peter", "Pierre", "Robert", "Sarah", "Sofia", "Thomas"],
 }
-_LENGTHS = {"email": (6, 64), "ip": (7, 15), "card": (13, 23), "phone": (10, 20), "secret": (16, 64)}
+
+
+def _tokens(kind: str, span: Column) -> Column:
+    """The parts of a span that the gazetteer is asked for."""
+    digits = _digits(span)
+    return {
+        "email": lambda: F.array(F.lower(F.substring_index(span, ".", -1))),
+        "ip": lambda: F.array(F.regexp_replace(F.substring_index(span, ".", 1), "^0+(?=[0-9])", "")),
+        "card": lambda: F.array(F.left(digits, F.lit(1)), F.left(digits, F.lit(2))),
+        "phone": lambda: F.array(*[F.left(digits, F.lit(n)) for n in (1, 2, 3)]),
+        "secret": lambda: F.array(F.left(span, F.lit(3)), F.left(span, F.lit(4))),
+        "iban": lambda: F.array(F.left(span, F.lit(2))),
+        "national": lambda: F.array().cast("array<string>"),
+        "name": lambda: F.split(span, "[ -]"),
+    }[kind]()
+
+
+_LENGTHS = {"email": (6, 64), "ip": (7, 15), "card": (13, 23), "phone": (10, 20), "secret": (16, 64), "iban": (15, 42), "national": (11, 11), "name": (5, 60)}
 VOTES = ("regex", "gazetteer", "context", "length")
 _SPAN = "struct<order:int,kind:string,start:int,end:int,base:boolean,votes:array<int>,shape:array<string>>"
 
 
-def _votes(kind: str, e: Column) -> Column:
+def _votes(kind: str, e: Column, gazetteer: Mapping[str, Sequence[str]]) -> Column:
     """1 for, 0 against, -1 for no opinion; in the order of ``VOTES``."""
-    gazetteer = F.when(e["span"].rlike(_GAZETTEER[kind]), 1).otherwise(-1 if kind in ("email", "secret") else 0)
+    known = list(gazetteer.get(kind, ()))
+    none = F.lit(0 if kind in ("ip", "card", "phone", "iban") else -1)
+    gazetteer = F.when(F.exists(_tokens(kind, e["span"]), lambda t: t.isin(known)), 1).otherwise(none) if known else F.lit(-1)
     context = F.when(e["before"].rlike(_CONTEXT[kind]), 1).when(e["before"].rlike(_AGAINST), 0).otherwise(-1)
     length = F.length(e["span"]).between(*_LENGTHS[kind]).cast("int")
     return F.array(check(kind, e["span"]).cast("int"), gazetteer, context, length)
 
 
-def _shape(kind: str, e: Column) -> Column:
-    """Names of the span's features: its length, its share of digits, its separators, its case, its context."""
+def _shape(kind: str, e: Column, votes: Column) -> Column:
+    """Names of the span's features: its length, its share of digits, its separators, its case, its votes."""
     span = e["span"]
     n, digits = F.length(span), F.length(_digits(span))
     marks = F.length(F.regexp_replace(span, r"[A-Za-z0-9]", ""))
     case = F.when(span.rlike("^[^A-Z]*$"), "l").when(span.rlike("^[^a-z]*$"), "u").otherwise("m")
-    said = e["before"].rlike(_CONTEXT[kind]).cast("int")
-    parts = [("n", F.least(n.cast("int"), F.lit(64))), ("d", F.floor(10 * digits / n)), ("s", F.least(marks.cast("int"), F.lit(9))), ("c", case), ("x", said)]
+    parts = [("n", F.least(n.cast("int"), F.lit(64))), ("d", F.floor(10 * digits / n)), ("s", F.least(marks.cast("int"), F.lit(9))), ("c", case), *((VOTES[i][0] + "v", votes[i]) for i in range(3))]
     return F.array(*[F.concat(F.lit(f"{kind}.{k}"), v.cast("string")) for k, v in parts])
 
 
-def _item(kind: str, order: int) -> Callable[[Column], Column]:
+def _item(kind: str, order: int, gazetteer: Mapping[str, Sequence[str]]) -> Callable[[Column], Column]:
     def item(e: Column) -> Column:
         base = check(kind, e["span"]) if kind in BASE else F.lit(False)
-        return F.struct(F.lit(order).alias("order"), F.lit(kind).alias("kind"), e["start"].alias("start"), e["end"].alias("end"), base.alias("base"), _votes(kind, e).alias("votes"), _shape(kind, e).alias("shape"))
+
+        def made(votes: Column) -> Column:
+            return F.struct(F.lit(order).alias("order"), F.lit(kind).alias("kind"), e["start"].alias("start"), e["end"].alias("end"), base.alias("base"), votes.alias("votes"), _shape(kind, e, votes).alias("shape"))
+
+        return F.get(F.transform(F.array(_votes(kind, e, gazetteer)), made), F.lit(0))  # votes are worked out once
 
     return item
 
 
-def candidates(docs: DataFrame, text: str = "text", kinds: Sequence[str] = tuple(PATTERNS)) -> DataFrame:
+def candidates(docs: DataFrame, text: str = "text", kinds: Sequence[str] = tuple(PATTERNS), gazetteer: Mapping[str, Sequence[str]] = GAZETTEER) -> DataFrame:
     """``docs`` with ``found``: an array of the candidates with their votes and shapes."""
     t, parts = F.coalesce(F.col(text), F.lit("")), []
     for i, kind in enumerate(kinds):
         likely = F.contains(t, F.lit(HINTS[kind])) if kind == "email" else t.rlike(HINTS[kind])
         wanted = (lambda e: e["span"].rlike("[0-9]") & e["span"].rlike("[A-Za-z]")) if kind == "secret" else (lambda e: F.lit(True))
 
-        found = F.transform(F.filter(_found(kind, t), wanted), _item(kind, i))
+        found = F.transform(F.filter(_found(kind, t), wanted), _item(kind, i, gazetteer))
         parts.append(F.when(likely, found).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)")))
     return docs.withColumn("found", F.concat(*parts))
 
@@ -192,12 +246,15 @@ def train(found: DataFrame) -> DataFrame:
     known = reliabilities(seen.groupBy("kind", "votes").agg(F.sum("n").alias("n")))
     soft = seen.join(known.drop("n"), ["kind", "votes"])
     named = soft.select("n", "posterior", F.explode(F.concat(F.array(F.col("kind")), F.col("shape"))).alias("feature"))
-    sums = named.groupBy("feature").agg((F.sum(F.col("n") * F.col("posterior")) + 1).alias("yes"), (F.sum(F.col("n") * (1 - F.col("posterior"))) + 1).alias("no"))
-    kind = F.substring_index("feature", ".", 1)
-    w = W.partitionBy(kind)
-    whole = F.max(F.when(~F.contains("feature", F.lit(".")), F.log(F.col("yes") / F.col("no")))).over(w)
-    odds = F.log(F.col("yes") / F.col("no")) - F.when(F.contains("feature", F.lit(".")), whole).otherwise(0.0)
-    entries = sums.select(F.struct("feature", odds.alias("odds")).alias("entry"))
+    sums = named.groupBy("feature").agg(F.sum(F.col("n") * F.col("posterior")).alias("yes"), F.sum(F.col("n") * (1 - F.col("posterior"))).alias("no"))
+    w, kind_itself = W.partitionBy(F.substring_index("feature", ".", 1)), ~F.contains("feature", F.lit("."))
+    all_yes, all_no = (F.max(F.when(kind_itself, F.col(c))).over(w) for c in ("yes", "no"))
+    # Shares of a feature lean to what it has of all candidates, so that what was seen once or twice says little.
+    lean = PRIOR * (F.col("yes") + F.col("no")) / (all_yes + all_no)
+    share = F.log((F.col("yes") + lean) / (all_yes + PRIOR)) - F.log((F.col("no") + lean) / (all_no + PRIOR))
+    odds = F.when(kind_itself, F.log((F.col("yes") + 1) / (F.col("no") + 1))).otherwise(share)
+    sums = sums.withColumn("odds", odds)
+    entries = sums.select(F.struct("feature", "odds").alias("entry"))
     return entries.agg(F.map_from_entries(F.collect_list("entry")).alias("model"))
 
 
@@ -209,8 +266,9 @@ def spans(found: DataFrame) -> DataFrame:
         return F.aggregate(F.concat(F.array(e["kind"]), e["shape"]), F.lit(0.0), lambda s, f: s + F.coalesce(F.element_at(F.col("__model"), f), F.lit(0.0)))
 
     kept = F.filter("found", lambda e: e["base"] | ((e["order"] >= len(BASE)) & F.exists(F.slice(e["votes"], 1, 3), lambda v: v == 1) & (odds(e) >= 0)))
-    base = F.filter("__kept", lambda e: e["base"])
-    free = F.filter("__kept", lambda e: e["base"] | ~F.exists(base, lambda b: (b["start"] <= e["start"]) & (e["end"] <= b["end"])))
+    over = F.filter("__kept", lambda e: e["base"] | (e["kind"] == "iban"))
+    covers = lambda b, e: (b["start"] <= e["start"]) & (e["end"] <= b["end"]) & (b["kind"] != e["kind"])
+    free = F.filter("__kept", lambda e: e["base"] | ~F.exists(over, lambda b: covers(b, e)))
     bare = F.transform(free, lambda e: F.struct(e["start"].alias("start"), e["order"].alias("order"), e["end"].alias("end"), e["kind"].alias("kind"), e["base"].alias("base")))
     return found.withColumn("__model", model).withColumn("__kept", kept).withColumn("spans", F.array_sort(bare)).drop("__model", "__kept", "found")
 

@@ -505,6 +505,56 @@ def test_secrets_are_added_and_all_spans_masked(spark):
     assert clean[120] == texts[120]
 
 
+def mod97_made(country, rest):
+    """An account number with the check digits that make it valid."""
+    value = int("".join(str(int(c, 36)) for c in rest + country + "00"))
+    return f"{country}{98 - value % 97:02d}{rest}"
+
+
+def planted(rng, n):
+    """(text, [(kind, what)]) of added kinds, and texts that only look like them."""
+    draw = lambda k, of: "".join(rng.choice(of) for _ in range(k))
+    alnum, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789"
+    plain = "lorem ipsum dolor sit amet consectetur".split()
+    out = []
+    for _ in range(n):
+        iban = mod97_made(rng.choice(["DE", "FR", "NL"]), draw(16, digits))
+        grouped = " ".join(iban[i : i + 4] for i in range(0, len(iban), 4))
+        number = f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}"
+        name = f"{rng.choice(['Anna', 'Peter', 'Zorblax'])} {rng.choice(['Miller', 'Garcia', 'Weber'])}"
+        key, wrong = f"ghp_{draw(32, alnum)}", iban[:-1] + str((int(iban[-1]) + 1) % 10)
+        w = lambda: " ".join(rng.choice(plain) for _ in range(rng.randint(2, 6)))
+        out += [
+            (f"{w()} IBAN: {iban}, {w()}", [("iban", iban)]), (f"{w()} account {grouped} {w()}", [("iban", grouped)]),
+            (f"{w()} SSN {number} {w()}", [("national", number)]), (f"{w()} my name is {name}, {w()}", [("name", name)]),
+            (f"{w()} token={key} {w()}", [("secret", key)]),
+            (f"{w()} order 000-{draw(2, digits)}-{draw(4, digits)} {w()}", []), (f"{w()} section {wrong[:2]}{draw(12, digits)}x {w()}", []),
+            (f"{w()} Dear reader, {w()}", []), (f"{w()} the_quick_brown_fox_jumps {w()}", []),
+        ]
+    return out
+
+
+def test_added_kinds_are_found_and_little_else(spark):
+    for n, least in ((60, 0.97), (1, 0.8)):  # a corpus, and a handful of documents
+        data = planted(random.Random(22), n)
+        df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(data)], "doc_id long, text string")
+        got = {r.doc_id: r.spans for r in pii.report(df).collect()}
+        want = {(i, f"{k}:{t.index(x)}:{t.index(x) + len(x)}") for i, (t, found) in enumerate(data) for k, x in found}
+        have = {(i, s) for i, spans in got.items() for s in spans.split(",") if s and s.split(":")[0] not in pii.BASE}
+        assert len(want & have) >= least * len(want), (n, sorted(want - have)[:5])
+        assert len(want & have) >= 0.97 * len(have), (n, sorted(have - want)[:5])
+
+
+def test_account_numbers_pass_their_check(spark):
+    rng = random.Random(23)
+    numbers = [mod97_made(c, "".join(rng.choice("0123456789ABCXYZ") for _ in range(rng.choice([8, 12, 16, 20])))) for c in ("DE", "GB", "NO") for _ in range(30)]
+    wrong = [x[:-1] + ("1" if x[-1] != "1" else "2") for x in numbers]
+    df = spark.createDataFrame([(x,) for x in numbers + wrong + [f"{x[:4]} {x[4:8]} {x[8:]}" for x in numbers]], "s string")
+    plain = lambda x: int("".join(str(int(c, 36)) for c in x.replace(" ", "")[4:] + x[:4])) % 97 == 1
+    got = df.select("s", pii.mod97(F.col("s")).alias("good")).collect()
+    assert all(r.good == plain(r.s) for r in got) and sum(r.good for r in got) == 180
+
+
 def test_reliabilities_follow_the_votes(spark):
     data = [("k", [1, 1, 1, 1], 50), ("k", [0, 0, -1, 0], 50), ("k", [1, 0, -1, 1], 5)]
     got = {tuple(r.votes): r.posterior for r in pii.reliabilities(spark.createDataFrame(data, "kind string, votes array<int>, n long")).collect()}
