@@ -261,11 +261,13 @@ def _dealt(df: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """``keep`` of every row of ``docs`` (text) and ``component``: the same for all that links reach from one another."""
     rows = materialize(add_sets(docs, keep), "similar")
-    entries = rows.filter(F.size("bands") > 0).select("key", "bands").distinct().select("key", F.explode("bands").alias("band"))
+    # One row a set: however many texts have it, they meet before they move.
+    keys = materialize(rows.filter(F.size("bands") > 0).groupBy("key").agg(F.min("copy").alias("copy"), F.first("bands").alias("bands")), "similar-keys")
+    entries = keys.select("key", F.explode("bands").alias("band"))
     full = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shards = materialize(entries.join(full, "band").select("band", "n", "key"), "similar-shards")
     # Each set that is in a shard with others, once.
-    wanted = shards.select("key").distinct().join(rows, "key").groupBy("key").agg(F.min("copy").alias("copy"), F.first("bands").alias("bands"))
+    wanted = keys.join(shards.select("key").distinct(), "key")
     texts = docs.select("text", F.xxhash64("text").alias("copy")).join(wanted, "copy").groupBy("key").agg(F.first("bands").alias("bands"), F.min("text").alias("text"))
     sets = materialize(texts.select("key", "bands", "text").mapInArrow(_sets, _SET), "similar-sets")
 
