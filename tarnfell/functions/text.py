@@ -346,3 +346,47 @@ def turn_key(*parts: Column) -> Column:
 
 def batch_size(batch: Column, n: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(batch / F.greatest(F.lit(1), n)).cast("int"))
+
+
+# ------------------------------------------------------------------------------------- messages, keys, prompts
+
+
+def clipped(parts: Column, most: int, size: int) -> Column:
+    """The first parts that aren't blank, each cut to a size, as prompts take them."""
+    return F.transform(F.slice(F.filter(parts, lambda p: F.trim(p) != ""), 1, most), lambda p: F.substring(p, 1, size))
+
+
+def content_text(content: Column) -> Column:
+    """The text of a message's content (JSON): a string, or a list of strings and of blocks that have a text.
+
+    What isn't JSON is the text itself; null is empty.
+    """
+    whole = F.from_json(F.concat(F.lit('{"c":'), content, F.lit("}")), "c string")["c"]
+    blocks = F.from_json(content, "array<string>")
+
+    def block(b: Column) -> Column:
+        return F.when(b.startswith("{"), F.coalesce(F.get_json_object(b, "$.text"), F.lit(""))).otherwise(b)
+
+    listed = F.array_join(F.transform(F.filter(blocks, lambda b: b.isNotNull()), block), "")
+    return F.when(content.isNull(), "").when(F.ltrim(content).startswith("["), F.coalesce(listed, content)).when(F.ltrim(content).startswith('"'), F.coalesce(whole, content)).otherwise(content)
+
+
+def canonical_json(values: Column) -> Column:
+    """A map as JSON with its keys in order, so that equal maps are equal texts."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(values))))
+
+
+def grid_sentence(tiers: Column, budget_tier_: Column, dimensions: Sequence[str] = rules.DIMENSIONS) -> Column:
+    """The requirement of a combination, from its tiers (a map by dimension) and the tier of its budget."""
+    parts = [F.concat(tiers[d], F.lit(" " + (d if d.split()[0].isupper() else d.lower()))) for d in dimensions]
+    return F.concat(F.lit("I need a laptop with "), F.concat_ws(", ", *parts), F.lit(", and a "), budget_tier_, F.lit(" budget."))
+
+
+def flagged(verdict: Column) -> Column:
+    """Whether the moderator's JSON says so; anything that can't be read doesn't."""
+    return F.coalesce(F.get_json_object(verdict, "$.flagged") == "true", F.lit(False))
+
+
+def confirmed(verdict: Column, reply: Column) -> Column:
+    """Whether all requirements are there: the model's JSON says so, and the reply names a budget."""
+    return F.coalesce(F.get_json_object(verdict, "$.all_captured") == "true", F.lit(False)) & F.coalesce(mentions_budget(reply), F.lit(False))

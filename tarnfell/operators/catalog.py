@@ -48,6 +48,17 @@ def fallback_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], orde
     return out.select(*left.columns, *[c.alias(f"found_{v}") for v, c in named.items()])
 
 
+def cached_or(df: DataFrame, cache: DataFrame, key: str, values: Mapping[str, Column]) -> DataFrame:
+    """``df`` with each value from ``cache`` by the key, or worked out where the cache has none; ``cached`` tells which.
+
+    The cache's first row of a key counts; ``values`` are expressions over ``df``.
+    """
+    held = cache.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.first(F.struct(*values)).alias("__held"))
+    met = df.join(held, df[key] == F.col("__key"), "left")
+    found = {name: F.coalesce(F.col(f"__held.{name}"), made) for name, made in values.items()}
+    return met.select(*df.columns, *[c.alias(name) for name, c in found.items()], F.col("__key").isNotNull().alias("cached"))
+
+
 def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What isn't done yet."""
     return todo.join(done.select(key).distinct(), key, "left_anti")

@@ -4,7 +4,7 @@ that are made of items have (the item's place, the edge's place within it), howe
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -194,13 +194,80 @@ def find_item(nodes: DataFrame, name: str) -> DataFrame:
     return rows.filter(F.col("exact") | F.contains(F.lower("name"), low)).orderBy(F.desc("exact"), "seq").limit(1).drop("exact")
 
 
-def retrieve(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = rules.HOPS, k: int = rules.TOP_TRIPLETS, items: int = rules.TOP_ITEMS) -> tuple[DataFrame, DataFrame]:
-    """Triplets around the seeds, with their sentences, and the items that they speak for."""
+def find_items(nodes: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(id, ord) for each name that an item bears, else has in it; names that none has are left out."""
+    asked = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(n.lower()).alias("low")) for i, n in enumerate(names)])
+    low = F.lower("name")
+    hit = F.filter(asked, lambda n: F.contains(low, n["low"]))
+    rows = nodes.filter("type = 'Laptop'").select("id", "seq", low.alias("low"), F.explode(hit).alias("n"))
+    return rows.groupBy("n.ord").agg(F.min_by("id", F.struct(F.col("low") != F.col("n.low"), "seq")).alias("id")).select("id", "ord")
+
+
+def around(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int, k: int, **walk) -> DataFrame:
+    """The k triplets within ``hops`` of the seeds that rank highest, with their sentences; ``walk`` goes to :func:`pagerank`."""
     near = khop(edges, seeds, hops)
     inner = induced(edges, near)
-    found = cut(triplets(nodes.join(near.select("id"), "id", "left_semi"), inner, pagerank(near, inner, seeds), k))
-    told = found.withColumn("sentence", text.verbalise(F.col("subject"), F.col("predicate"), F.col("object")))
-    return told, mass_ranking(found, nodes.filter("type = 'Laptop'"), items)
+    found = cut(triplets(nodes.join(near.select("id"), "id", "left_semi"), inner, pagerank(near, inner, seeds, **walk), k))
+    return found.withColumn("sentence", text.verbalise(F.col("subject"), F.col("predicate"), F.col("object")))
+
+
+def retrieve(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = rules.HOPS, k: int = rules.TOP_TRIPLETS, items: int = rules.TOP_ITEMS, **walk) -> tuple[DataFrame, DataFrame]:
+    """Triplets around the seeds, with their sentences, and the items that they speak for."""
+    told = around(nodes, edges, seeds, hops, k, **walk)
+    return told, mass_ranking(told, nodes.filter("type = 'Laptop'"), items)
+
+
+def retrieve_for_names(nodes: DataFrame, edges: DataFrame, names: Sequence[str], hops: int = 1, k: int = rules.TOP_TRIPLETS, **walk) -> tuple[DataFrame, DataFrame]:
+    """Triplets around items of these names, and the items themselves in the order of the names."""
+    seeds = cut(find_items(nodes, names))
+    return around(nodes, edges, seeds, hops, k, **walk), seeds
+
+
+def text_seeds(nodes: DataFrame, said: str, hints: Mapping[str, Sequence[str]], brands: Sequence[str] = tuple(rules.BRANDS), cases: Sequence[str] = tuple(rules.USE_CASES)) -> DataFrame:
+    """(id): nodes that a free text speaks of: of each hinted feature the highest tier that exists, brands, use cases, an item."""
+    low = said.lower()
+    wanted = [(f"tier {f}", i, f"{f}::{t}") for f, words in hints.items() if any(w in low for w in words) for i, t in enumerate(reversed(rules.TIERS))]
+    wanted += [(f"Brand::{b}", 0, f"Brand::{b}") for b in brands if b in low]
+    wanted += [(f"UseCase::{c}", 0, f"UseCase::{c}") for c in cases if c in low]
+    rows = nodes.sparkSession.createDataFrame(wanted, "slot string, turn int, id string")
+    linked = rows.join(nodes.select("id"), "id", "left_semi").groupBy("slot").agg(F.min_by("id", "turn").alias("id")).select("id")
+    return linked.unionByName(find_item(nodes, said).select("id")).distinct()
+
+
+def local_search(nodes: DataFrame, edges: DataFrame, said: str, brands: Sequence[str] = tuple(rules.BRANDS), cases: Sequence[str] = tuple(rules.USE_CASES), k: int = rules.TOP_TRIPLETS, **walk) -> tuple[DataFrame, DataFrame]:
+    """Triplets one hop around a single node, and that node: the item of that name, else a brand or a use case that is
+    spoken of, else the node nearest in the hashed space."""
+    low = said.lower()
+    spoken = [f"Brand::{b}" for b in brands if b in low] + [f"UseCase::{c}" for c in cases if c in low]
+    listed = nodes.sparkSession.createDataFrame([(1 + i, n) for i, n in enumerate(spoken)], "turn int, id string").join(nodes.select("id"), "id", "left_semi")
+    first = find_item(nodes, said).select(F.lit(0).alias("turn"), "id")
+    last = flat_search(nodes, said, 1).select(F.lit(1 + len(spoken)).alias("turn"), "id")
+    seed = cut(first.unionByName(listed.select("turn", "id")).unionByName(last).orderBy("turn").limit(1).select("id"))
+    return around(nodes, edges, seed, 1, k, **walk), seed
+
+
+def explain(nodes: DataFrame, edges: DataFrame, id_: str, hops: int = 1, k: int = 50, **walk) -> DataFrame:
+    """The triplets around one node: why it was named."""
+    seed = nodes.filter(F.col("id") == id_).select("id")
+    return around(nodes, edges, seed, hops, k, **walk)
+
+
+class OneTime:
+    """Results that are worked out once for each key, until :meth:`clear` (after a rebuild); they are kept as
+    checkpoints, so that later calls read them instead of walking again."""
+
+    def __init__(self) -> None:
+        self._held: dict[str, tuple[DataFrame, ...]] = {}
+        self.walks = 0
+
+    def get(self, key: str, make: Callable[[], tuple[DataFrame, ...]]) -> tuple[DataFrame, ...]:
+        if key not in self._held:
+            self._held[key] = tuple(cut(df) for df in make())
+            self.walks += 1
+        return self._held[key]
+
+    def clear(self) -> None:
+        self._held.clear()
 
 
 def union(frames: Sequence[DataFrame]) -> DataFrame:

@@ -3,6 +3,7 @@ need no network, so that pipelines can be tested."""
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator, Sequence
 
@@ -42,6 +43,39 @@ def with_retries(make: Callable[[], Generate], tries: int = 6, wait_s: float = 5
     return made
 
 
+def with_backoff(make: Callable[[], Generate], tries: int = 3, wait_s: float = 5.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[], Generate]:
+    """A client that waits when it is told that it asked too often, as long as the service says (and a second), else
+    longer each time; every other failure is raised at once, and the last one of these as well."""
+
+    def made() -> Generate:
+        client = make()
+
+        def ask(prompts: Sequence[str]) -> Sequence[str]:
+            for i in range(tries + 1):
+                try:
+                    return client(prompts)
+                except Exception as e:
+                    if i == tries or not re.search("429|RESOURCE_EXHAUSTED", str(e)):
+                        raise
+                    said = re.search(r"(?i)retry in ([\d.]+)s", str(e))
+                    sleep(float(said[1]) + 1.0 if said else wait_s * (i + 1))
+            return []
+
+        return ask
+
+    return made
+
+
+def topped_up(questions: DataFrame, order: Sequence[str], count: int) -> DataFrame:
+    """``count`` questions: the first of them, or all and then the very first again as often as it takes."""
+    some = questions.orderBy(*order).limit(count)
+    n = some.count()
+    if not n or n >= count:
+        return some
+    again = some.orderBy(*order).limit(1).withColumn("__again", F.explode(F.sequence(F.lit(1), F.lit(count - n)))).drop("__again")
+    return some.unionByName(again)
+
+
 def generated(df: DataFrame, prompt: Column, name: str = "answer", make: Callable[[], Generate] = echo, batch: int = 64) -> DataFrame:
     """``df`` with a model's answer to each prompt, batch by batch; null prompts get null."""
     if name in df.columns:

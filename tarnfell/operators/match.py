@@ -63,6 +63,37 @@ def match_prompt(name: Column, price: Column, requirement: Column, score: Column
     return F.concat(F.format_string("Item: %s at %s. Requirements: %s.", name, price.cast("string"), requirement), note)
 
 
+def mismatches(tiers: Column, wanted: Column, dims: Sequence[str]) -> Column:
+    """The dimensions in which an item's tiers (a map) aren't those wanted."""
+    return F.filter(F.array(*map(F.lit, dims)), lambda d: ~tiers[d].eqNullSafe(wanted[d]))
+
+
+def grid_prompt(item: Column, tiers: Column, wanted: Column, budget_tier: Column, within: Column, n: int, dims: Sequence[str] = rules.DIMENSIONS) -> Column:
+    """The text that asks a model for n pairs of question and answer about a combination's best item.
+
+    ``item`` has name, price and description, of which the first 800 characters count; where the item isn't a perfect
+    match the text says in what, and that every answer has to say so.
+    """
+    apart = mismatches(tiers, wanted, dims)
+    note = F.concat(F.lit("Not a perfect match. It differs in: "), F.when(F.size(apart) > 0, F.array_join(apart, ", ")).otherwise("nothing"), F.lit("; it is "), F.when(within, "within").otherwise("outside"), F.lit(" the budget. Every answer has to say that it is the closest there is.\n"))
+    perfect = within & (F.size(apart) == 0)
+    return F.concat(
+        F.lit("Wanted: "), text.grid_sentence(wanted, budget_tier, dims),
+        F.lit("\nItem: "), F.coalesce(item["name"], F.lit("Unknown")), F.lit("\nPrice: "), F.coalesce(item["price"].cast("string"), F.lit("0")),
+        F.lit("\nDescription: "), F.coalesce(F.substring(item["description"], 1, 800), F.lit("")),
+        F.lit("\nTiers: "), text.canonical_json(tiers), F.lit("\n"), F.when(perfect, "").otherwise(note),
+        F.lit(f"Give {n} pairs as a JSON array of objects with question and ground_truth_answer."),
+    )
+
+
+def batch_prompt(rows: DataFrame, batch: str, order: str, prompt: str) -> DataFrame:
+    """(batch, prompt, slots): the prompts of a batch under their indexes from 0; batches have a bounded size."""
+    item = F.struct(order, prompt)
+    held = rows.groupBy(batch).agg(F.array_sort(F.collect_list(item)).alias("__items"))
+    told = F.transform("__items", lambda x, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), x[prompt]))
+    return held.select(batch, F.array_join(told, "\n\n").alias("prompt"), F.transform("__items", lambda x: x[order]).alias("slots"))
+
+
 def batches(df: DataFrame, order: Sequence[str], size: int, name: str = "batch") -> DataFrame:
     """Numbers of batches of bounded size, within ranges of the order."""
     dealt = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())

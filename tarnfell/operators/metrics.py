@@ -66,3 +66,90 @@ def judge(df: DataFrame, key: Sequence[str], scores: Sequence[str]) -> DataFrame
     given = F.filter(every, lambda x: x > 0)
     mean = lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a))
     return df.select(*key, F.round(mean(given), 4).alias("judge_avg"), F.array_min(given).alias("judge_min"), F.array_max(given).alias("judge_max"), F.round(mean(every), 4).alias("composite"))
+
+
+def composites(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The judge's nine criteria of each row, summed up: what is nought counts as not given in the average, the least
+    and the number, but not in the two composites of named criteria."""
+    score = {c: F.coalesce(F.col(c), F.lit(0)).cast("double") for c in rules.JUDGE_FIELDS}
+    given = F.filter(F.array(*score.values()), lambda x: x > 0)
+    total = F.aggregate(given, F.lit(0.0), lambda s, x: s + x)
+    mean = lambda names: F.round(sum((score[n] for n in names), F.lit(0.0)) / len(names), 2)
+    none = F.lit(0.0)
+    return df.select(
+        *key,
+        F.when(F.size(given) > 0, F.round(total / F.size(given), 2)).otherwise(none).alias("judge_avg"),
+        F.coalesce(F.array_max(given), none).alias("judge_max"),
+        F.coalesce(F.array_min(given), none).alias("judge_min"),
+        F.size(given).alias("n_criteria"),
+        mean(rules.RETRIEVAL_CRITERIA).alias("retrieval_quality"),
+        mean(rules.ANSWER_CRITERIA).alias("answer_quality"),
+    )
+
+
+#: What a scored turn is averaged by: of all turns, and of those only that have a ground truth.
+TURN_AVERAGES = (
+    "recall_at_k", "precision_at_k", "mrr", "ndcg_at_k", "latency_ms", *(f"judge_{c}" for c in rules.JUDGE_FIELDS),
+    "judge_avg", "retrieval_quality", "answer_quality", "faithfulness", "answer_relevancy",
+)
+SCORED_AVERAGES = ("field_agreement_frac", "price_closeness")
+SOURCES = ("dense", "sparse", "kg", "memory", "reranker")
+
+
+def overall(turns: DataFrame, predicted: Column, actual: Column) -> DataFrame:
+    """One row on all turns: counts, correctness, classification, averages, attribution, how often the graph changed the top.
+
+    ``turns`` has correctness, error (null if there was none), the columns of ``TURN_AVERAGES`` and ``SCORED_AVERAGES``,
+    kg_changed_top, live_price (null without a hit) and attribution (a struct of booleans, by source).
+    """
+    c = F.col("correctness")
+    scored = c.isNotNull()
+    out = turns.agg(
+        F.count(F.lit(1)).alias("total_turns"),
+        F.count(c).alias("gt_scored"),
+        F.count_if(F.col("error").isNull() & ~scored).alias("unscored_no_gt"),
+        F.count("error").alias("errors"),
+        F.round(F.avg(c), 4).alias("avg_correctness"),
+        F.when(F.count(c) >= 2, F.round(F.stddev_pop(c), 4)).alias("std_correctness"),
+        F.round(F.min(c), 4).alias("min_correctness"),
+        F.round(F.max(c), 4).alias("max_correctness"),
+        *[F.round(F.avg(F.when(scored, F.col(n))), 4).alias(f"avg_{n}") for n in SCORED_AVERAGES],
+        *[F.round(F.avg(n), 4).alias(f"avg_{n}") for n in TURN_AVERAGES],
+        F.round(F.count_if(scored & F.coalesce("kg_changed_top", F.lit(False))) / F.nullif(F.count(c), F.lit(0)), 4).alias("kg_changed_top_rate"),
+        F.count("live_price").alias("live_price_hits"),
+        *[F.count_if(F.coalesce(F.col(f"attribution.{s}"), F.lit(False))).alias(f"attributed_{s}") for s in SOURCES],
+    )
+    classed = binary(turns.filter(scored), predicted, actual).withColumnRenamed("n", "classified")
+    return out.crossJoin(classed)  # one row each
+
+
+def category_summary(turns: DataFrame) -> DataFrame:
+    """Per category (else pipeline, else "unknown"): counts, and averages of what is scored and of what isn't."""
+    scored = F.col("correctness").isNotNull()
+    of_scored = {"correctness": "avg_correctness", "field_agreement": "avg_fa", "field_agreement_frac": "avg_fa_frac", "price_closeness": "avg_pc"}
+    of_all = {"judge_avg": "avg_judge", "faithfulness": "avg_faithfulness", "answer_relevancy": "avg_ar"}
+    return turns.groupBy(F.coalesce("category", "pipeline", F.lit("unknown")).alias("category")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("correctness").alias("n_scored"),
+        *[F.round(F.avg(F.when(scored, F.col(c))), 4).alias(name) for c, name in of_scored.items()],
+        *[F.round(F.avg(c), 4).alias(name) for c, name in of_all.items()],
+    )
+
+
+def extremes(turns: DataFrame, value: str, order: Sequence[str], n: int = 5) -> DataFrame:
+    """The n best and the n worst rows with a value, as ``side`` and ``place``; ``order`` settles ties.
+
+    Ascending and stable: the best are the last of that order, the very last first.
+    """
+    rows = turns.filter(F.col(value).isNotNull())
+    worst = rows.orderBy(F.col(value), *order).limit(n)
+    best = rows.orderBy(F.col(value).desc(), *[F.col(c).desc() for c in order]).limit(n)
+    place = lambda *by: F.row_number().over(W.orderBy(*by))  # n rows
+    one = worst.withColumn("side", F.lit("worst")).withColumn("place", place(F.col(value), *order))
+    two = best.withColumn("side", F.lit("best")).withColumn("place", place(F.col(value).desc(), *[F.col(c).desc() for c in order]))
+    return two.unionByName(one)
+
+
+def last_turns(turns: DataFrame, seq: Sequence[str], n: int) -> DataFrame:
+    """The last n rows of a log, in its order."""
+    return turns.orderBy(*[F.col(c).desc() for c in seq]).limit(n).orderBy(*seq)

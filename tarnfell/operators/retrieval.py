@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,13 +13,18 @@ from tarnfell.functions.binding import let
 from tarnfell.operators.lineage import cut
 
 
+def best_first(score: str) -> Column:
+    """Descending; scores that agree to ten digits tie, in whatever order their parts were added up."""
+    return F.desc(F.round(score, 10))
+
+
 def dense(df: DataFrame, id_: str, vector: str, query: Sequence[float], k: int, keep: Column | None = None, over: int = 10) -> DataFrame:
     """(id, score): the k nearest by cosine.  ``keep`` is applied to the ``over * k`` best, not before: that is its meaning."""
     q = F.array(*[F.lit(float(x)) for x in query])
     scored = df.withColumn("score", vectors.cosine(vectors.doubles(F.col(vector)), q))
     if keep is None:
-        return scored.orderBy(F.desc("score"), id_).limit(k).select(id_, "score")
-    return scored.orderBy(F.desc("score"), id_).limit(over * k).filter(keep).orderBy(F.desc("score"), id_).limit(k).select(id_, "score")
+        return scored.orderBy(best_first("score"), id_).limit(k).select(id_, "score")
+    return scored.orderBy(best_first("score"), id_).limit(over * k).filter(keep).orderBy(best_first("score"), id_).limit(k).select(id_, "score")
 
 
 def bm25(df: DataFrame, id_: str, body: str, query: str, k: int | None, keep: Column | None = None, k1: float = rules.BM25_K1, b: float = rules.BM25_B) -> DataFrame:
@@ -44,12 +49,12 @@ def bm25(df: DataFrame, id_: str, body: str, query: str, k: int | None, keep: Co
 
     found = rows.filter("keep and exists(tf, f -> f > 0)").withColumn("s", stats)
     scored = found.select(id_, F.aggregate(F.zip_with("tf", s["df"], part), F.lit(0.0), lambda a, x: a + x).alias("score"))
-    return scored if k is None else scored.orderBy(F.desc("score"), id_).limit(k)
+    return scored if k is None else scored.orderBy(best_first("score"), id_).limit(k)
 
 
 def ranked(df: DataFrame, id_: str, score: str = "score") -> DataFrame:
     """A short ranking with ``rank`` from 1."""
-    return df.withColumn("rank", F.row_number().over(W.orderBy(F.desc(score), id_)))
+    return df.withColumn("rank", F.row_number().over(W.orderBy(best_first(score), id_)))
 
 
 def fuse(rankings: Sequence[DataFrame], id_: str, k: int = rules.RRF_K) -> DataFrame:
@@ -69,6 +74,24 @@ def hybrid(dense_hits: DataFrame, sparse_hits: DataFrame, id_: str, k: int) -> D
     return top.select(id_, "rrf_score", F.row_number().over(W.orderBy(*order)).alias("rank"))
 
 
+def blended(spark: SparkSession, texts: Sequence[str], embed: Callable[[Column], Column], width: int) -> list[float]:
+    """The mean of two texts' vectors, each brought to the width of the stored ones: one short row."""
+    one, two = (vectors.fit_width(embed(F.lit(t)), width) for t in texts)
+    return list(spark.range(1).select(vectors.blend(one, two).alias("v")).first()["v"])
+
+
+def hybrid_pipeline(df: DataFrame, id_: str, body: str, vector: str, width: int, query: str, imagine: Callable[[str], str], embed: Callable[[Column], Column], keep: Column | None = None, k: int = 10) -> DataFrame:
+    """(id, rrf_score, rank): the whole search for a query.
+
+    ``imagine`` makes a hypothetical answer; its vector and the query's are blended for the dense ranking, and both
+    texts are the words of the sparse one; ``keep`` (a budget) restricts both.
+    """
+    answer = imagine(query)
+    near = dense(df, id_, vector, blended(df.sparkSession, (answer, query), embed, width), k, keep)
+    said = bm25(df, id_, body, f"{answer} {query}", k, keep)
+    return hybrid(near, said, id_, k)
+
+
 def tier_index(tier: Column) -> Column:
     return F.when(tier == "low", 0).when(tier == "medium", 1).when(tier == "high", 2).otherwise(-1)
 
@@ -99,3 +122,9 @@ def validated(df: DataFrame, score: str, order: Sequence[Column], least: int = 2
 def precision(hits: DataFrame, method: str, strict: Column, relaxed: Column) -> DataFrame:
     """(method, n, strict, relaxed): shares of the hits of each method."""
     return hits.groupBy(method).agg(F.count(F.lit(1)).alias("n"), F.avg(strict.cast("double")).alias("strict"), F.avg(relaxed.cast("double")).alias("relaxed"))
+
+
+def winner(shares: DataFrame, method: str, value: str, order: Sequence[str]) -> DataFrame:
+    """The method with the largest share; ties go to the one that comes first in ``order``."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(method))
+    return shares.filter(place > 0).orderBy(F.desc(value), place).limit(1).select(F.col(method).alias("winner"), value)

@@ -96,18 +96,34 @@ _GEO = """e AS (SELECT 'C' || c_custkey AS src, 'N' || c_nationkey AS dst, 'LIVE
  nodes AS (SELECT 'C' || c_custkey AS id, 'Laptop' AS type, c_name AS name FROM customer UNION ALL SELECT 'S' || s_suppkey, 'Supplier', s_name FROM supplier UNION ALL SELECT 'N' || n_nationkey, 'Nation', n_name FROM nation UNION ALL SELECT 'R' || r_regionkey, 'Region', r_name FROM region)"""
 SEEDS, ROUNDS = ("S1", "S2", "R3"), 20
 _SEEDS = "(SELECT unnest(['S1', 'S2', 'R3']) AS id)"
-_NEAR = f"""u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h0 AS (SELECT id, 0 AS hop FROM {_SEEDS}),
- h1 AS (SELECT DISTINCT dst AS id, 1 AS hop FROM u JOIN h0 ON src = id WHERE dst NOT IN (SELECT id FROM h0)),
- h2 AS (SELECT DISTINCT dst AS id, 2 AS hop FROM u JOIN h1 ON src = id WHERE dst NOT IN (SELECT id FROM h0 UNION ALL SELECT id FROM h1)),
- near AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2)"""
-#: Power iteration, unrolled as often as the query's.
-_RANKS = f"""inn AS (SELECT * FROM e WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near)), outs AS (SELECT src, sum(weight) AS w FROM inn GROUP BY src),
- st AS (SELECT src, dst, sum(weight)::DOUBLE / any_value(w) AS share FROM inn JOIN outs USING (src) GROUP BY src, dst),
- n0 AS MATERIALIZED (SELECT id, CASE WHEN id IN (SELECT id FROM {_SEEDS}) THEN 1.0::DOUBLE ELSE 0 END / (SELECT count(*) FROM near WHERE id IN (SELECT id FROM {_SEEDS})) AS p, id NOT IN (SELECT src FROM outs) AS dangling, 1.0::DOUBLE / count(*) OVER () AS rank FROM near),
- """ + ", ".join(f"""n{i} AS MATERIALIZED (SELECT a.id, a.p, a.dangling, 0.85::DOUBLE * (coalesce(g.got, 0) + (SELECT coalesce(sum(rank) FILTER (dangling), 0) FROM n{i - 1}) * a.p) + 0.15::DOUBLE * a.p AS rank
-   FROM n{i - 1} a LEFT JOIN (SELECT dst AS id, sum(share * rank) AS got FROM st JOIN n{i - 1} b ON b.id = st.src GROUP BY dst) g USING (id))""" for i in range(1, ROUNDS + 1))
-_TRIPLETS = f"""SELECT a.name AS subject, predicate, b.name AS object, src AS subject_id, dst AS object_id, round((x.rank + y.rank) / 2, 6) AS score, seq
-  FROM inn JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst JOIN n{ROUNDS} x ON x.id = src JOIN n{ROUNDS} y ON y.id = dst ORDER BY score DESC, seq LIMIT 25"""
+def _near(seeds: str, hops: int = 2) -> str:
+    """The nodes around the seeds, hop by hop."""
+    steps, seen = [f"h0 AS (SELECT id, 0 AS hop FROM {seeds})"], "SELECT id FROM h0"
+    for h in range(1, hops + 1):
+        steps.append(f"h{h} AS (SELECT DISTINCT dst AS id, {h} AS hop FROM u JOIN h{h - 1} ON src = id WHERE dst NOT IN ({seen}))")
+        seen += f" UNION ALL SELECT id FROM h{h}"
+    every = " UNION ALL ".join(f"SELECT * FROM h{h}" for h in range(hops + 1))
+    return f"u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), {', '.join(steps)}, near AS ({every})"
+
+
+def _ranks(seeds: str) -> str:
+    """Power iteration, unrolled as often as the query's."""
+    start = f"CASE WHEN id IN (SELECT id FROM {seeds}) THEN 1.0::DOUBLE ELSE 0 END / (SELECT count(*) FROM near WHERE id IN (SELECT id FROM {seeds}))"
+    rounds = [
+        f"""n{i} AS MATERIALIZED (SELECT a.id, a.p, a.dangling, 0.85::DOUBLE * (coalesce(g.got, 0) + (SELECT coalesce(sum(rank) FILTER (dangling), 0) FROM n{i - 1}) * a.p) + 0.15::DOUBLE * a.p AS rank
+            FROM n{i - 1} a LEFT JOIN (SELECT dst AS id, sum(share * rank) AS got FROM st JOIN n{i - 1} b ON b.id = st.src GROUP BY dst) g USING (id))"""
+        for i in range(1, ROUNDS + 1)
+    ]
+    return f"""inn AS (SELECT * FROM e WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near)), outs AS (SELECT src, sum(weight) AS w FROM inn GROUP BY src),
+      st AS (SELECT src, dst, sum(weight)::DOUBLE / any_value(w) AS share FROM inn JOIN outs USING (src) GROUP BY src, dst),
+      n0 AS MATERIALIZED (SELECT id, {start} AS p, id NOT IN (SELECT src FROM outs) AS dangling, 1.0::DOUBLE / count(*) OVER () AS rank FROM near), {', '.join(rounds)}"""
+
+
+_NEAR, _RANKS = _near(_SEEDS), _ranks(_SEEDS)
+_ALL_TRIPLETS = f"""SELECT a.name AS subject, predicate, b.name AS object, src AS subject_id, dst AS object_id, round((x.rank + y.rank) / 2, 6) AS score, seq
+  FROM inn JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst JOIN n{ROUNDS} x ON x.id = src JOIN n{ROUNDS} y ON y.id = dst ORDER BY score DESC, seq"""
+_TRIPLETS = f"{_ALL_TRIPLETS} LIMIT 25"
+_SAID_AS = "subject || ' ' || lower(predicate) || ' ' || object || '.'"
 
 
 def _seeds(spark: SparkSession) -> DataFrame:
@@ -136,7 +152,7 @@ def personalised_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ppr(spark, sf_dir)[2].select("id", F.round("rank", 6).alias("rank"))
 
 
-@query(f"WITH {_GEO}, {_NEAR}, {_RANKS} SELECT subject, predicate, object, subject_id, object_id, score, CASE predicate WHEN 'SELLS_IN' THEN subject || ' sells_in ' || object || '.' WHEN 'PART_OF' THEN subject || ' part_of ' || object || '.' WHEN 'HAS_PART' THEN subject || ' has_part ' || object || '.' ELSE subject || ' lives_in ' || object || '.' END AS sentence FROM ({_TRIPLETS})")
+@query(f"WITH {_GEO}, {_NEAR}, {_RANKS} SELECT subject, predicate, object, subject_id, object_id, score, {_SAID_AS} AS sentence FROM ({_TRIPLETS})")
 def ppr_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _triplets(spark, sf_dir)[1].drop("seq")
     return found.withColumn("sentence", text.verbalise(F.col("subject"), F.col("predicate"), F.col("object")))
@@ -182,6 +198,73 @@ def hash_embed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.flat_search(_geo(spark, sf_dir)[0], _ASKED, 10)
 
 
+def _told_sql(seeds: str, hops: int, k: int, before: str = "") -> str:
+    return f"""WITH {_GEO}, {before} {_near(seeds, hops)}, {_ranks(seeds)} SELECT subject, predicate, object, subject_id, object_id, score, {_SAID_AS} AS sentence FROM ({_ALL_TRIPLETS} LIMIT {k})"""
+
+
+_WALK = {"iterations": ROUNDS, "tolerance": None}
+NAMES = ("Customer#000000007", "customer#000000003", "nobody", "Customer#00000001")
+_NAMED = "(SELECT unnest(['C7', 'C3', 'C10']) AS id)"
+
+
+@query(_told_sql("(SELECT 'N3' AS id)", 1, 50))
+def explain_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _geo(spark, sf_dir)
+    return graph.explain(nodes, edges, "N3", **_WALK).drop("seq")
+
+
+@query(_told_sql(_NAMED, 1, 25))
+def kg_retrieve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.retrieve_for_names(*_geo(spark, sf_dir), NAMES, **_WALK)[0].drop("seq")
+
+
+@query(f"WITH {_GEO}, {_near(_NAMED)}, {_ranks(_NAMED)}, t AS ({_TRIPLETS}), m AS (SELECT subject_id AS id, score, seq FROM t UNION ALL SELECT object_id, score, seq FROM t) SELECT id, round(sum(score), 6) AS mass FROM m WHERE id LIKE 'C%' GROUP BY id ORDER BY sum(score) DESC, min(seq) LIMIT 8")
+def kg_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _geo(spark, sf_dir)
+    return graph.retrieve(nodes, edges, graph.find_items(nodes, NAMES), **_WALK)[1].select("id", F.round("mass", 6).alias("mass"))
+
+
+@query("SELECT CAST(unnest([0, 1, 3]) AS INT) AS ord, unnest(['C7', 'C3', 'C10']) AS id")
+def kg_find_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.find_items(_geo(spark, sf_dir)[0], NAMES)
+
+
+@query("SELECT unnest(['f1::high', 'Brand::brand#7', 'UseCase::trade']) AS id")
+def kg_text_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = graph.nodes_of(_items(spark, sf_dir), _entity_edges(spark, sf_dir))
+    return graph.text_seeds(nodes, "An old widget of Brand#7 for the trade", {"f1": ["widget"], "f2": ["gadget"]}, BRANDS, list(CASES))
+
+
+@query(_told_sql("(SELECT 'C5' AS id)", 1, 25))
+def local_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.local_search(*_geo(spark, sf_dir), "CUSTOMER#000000005", [], [], **_WALK)[0].drop("seq")
+
+
+_UNNAMED = "nation 7 where the seventh nation is"
+_FLAT = f"""ns AS (SELECT id, type || ' ' || name AS txt FROM nodes), qs AS (SELECT 'q' AS id, '{_UNNAMED}' AS txt), {_embed_sql('txt', 'n')}, {_embed_sql('txt', 'q')},
+    fd AS (SELECT nv.id, sum(nv.x * qv.x) AS score FROM nv JOIN qv ON nv.i = qv.i GROUP BY nv.id),
+    flat AS (SELECT fd.id FROM fd JOIN nodes ON nodes.id = fd.id ORDER BY round(score, 9) DESC, CASE type WHEN 'Laptop' THEN 1 WHEN 'Supplier' THEN 2 WHEN 'Nation' THEN 3 ELSE 4 END, CAST(substring(fd.id, 2) AS INT) LIMIT 1),"""
+
+
+@query(_told_sql("(SELECT id FROM flat)", 1, 25, _FLAT))
+def local_search_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nothing bears that name, so the nearest node of the hashed space is walked around."""
+    return graph.local_search(*_geo(spark, sf_dir), _UNNAMED, [], [], **_WALK)[0].drop("seq")
+
+
+@query(f"WITH {_GEO}, {_near(_NAMED, 1)}, {_ranks(_NAMED)}, t AS ({_TRIPLETS}) SELECT CAST(3 AS INT) AS walks, count(*) AS n FROM t")
+def kg_one_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two keys, asked for twice each, and one of them again after a rebuild: three walks."""
+    nodes, edges = _geo(spark, sf_dir)
+    memo = graph.OneTime()
+    walk = lambda: graph.retrieve_for_names(nodes, edges, NAMES, **_WALK)
+    for key in ("a", "b", "a", "b"):
+        memo.get(key, walk)
+    memo.clear()
+    told, _ = memo.get("a", walk)
+    return told.agg(F.count(F.lit(1)).alias("n")).withColumn("walks", F.lit(memo.walks))
+
+
 _SAID = "r1 or n3 and supplier 000000001 then r1"
 
 

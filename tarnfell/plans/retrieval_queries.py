@@ -251,3 +251,41 @@ def offer_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     title = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("New "), F.upper("p_name"))).otherwise("zzz")
     return p.select("p_partkey", text.price_digits(F.concat(F.lit("Rs. "), F.col("p_size").cast("string"), F.lit(",000"))).alias("digits"), text.bare_name(F.concat("p_name", F.lit(" (9th gen/ 16GB)"))).alias("bare"), text.title_matches(F.col("p_name"), title).alias("matches"))
+
+
+# ------------------------------------------------------------------------------------------------- the whole search
+
+_REQUEST, _IMAGINED = "a small red widget of brand#7", "red widget brand#7 promo"
+_HALF = """SELECT id, b % 64 AS i, sum(CASE WHEN (b // 64) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS s FROM (SELECT id, CAST('0x' || right(md5(t), 2) AS INT) AS b FROM (SELECT id, unnest(regexp_extract_all(lower({0}), '[a-z0-9]+')) AS t FROM {1})) GROUP BY ALL"""
+_UNIT = "SELECT id, i, s / sqrt(sum(s * s) OVER (PARTITION BY id)) AS x FROM ({0})"
+_ASKED_WORDS = ", ".join(f"'{w}'" for w in sorted(set(f"{_IMAGINED} {_REQUEST}".split())))
+_PIPELINE = f"""
+    WITH p AS (SELECT p_partkey AS id, p_retailprice, description AS txt FROM {SQL_TIERED}),
+    q AS (SELECT unnest([1, 2]) AS id, unnest(['{_IMAGINED}', '{_REQUEST}']) AS txt),
+    pv AS ({_UNIT.format(_HALF.format('txt', 'p'))}), qv AS ({_UNIT.format(_HALF.format('txt', 'q'))}),
+    b AS (SELECT i, sum(x) / 2 AS x FROM qv GROUP BY i), nb AS (SELECT sqrt(sum(x * x)) AS n FROM b),
+    dd AS (SELECT pv.id, round(sum(pv.x * b.x) / any_value(n), 10) AS score FROM pv JOIN b USING (i), nb GROUP BY pv.id),
+    dz AS (SELECT p.id, p_retailprice, coalesce(score, 0) AS score FROM p LEFT JOIN dd USING (id) ORDER BY score DESC, p.id LIMIT 100),
+    dr AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM dz WHERE p_retailprice <= 950 ORDER BY r LIMIT 10),
+    d AS (SELECT id, p_retailprice, list_filter(regexp_split_to_array(lower(txt), '\\s+'), lambda w: w <> '') AS w FROM p), n AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
+    tf AS (SELECT id, p_retailprice, len(w) AS dl, t.term, len(list_filter(w, lambda x: x = t.term)) AS f FROM d, (SELECT unnest([{_ASKED_WORDS}]) AS term) t),
+    df AS (SELECT term, count(*) AS df FROM tf WHERE f > 0 GROUP BY term),
+    bm AS (SELECT id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / avgdl))), 10) AS score FROM tf JOIN df USING (term), n WHERE f > 0 AND p_retailprice <= 950 GROUP BY id),
+    sr AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM bm ORDER BY r LIMIT 10),
+    u AS (SELECT id, r, r AS seen FROM dr UNION ALL SELECT id, r, 1000 + r FROM sr),
+    f AS (SELECT id, round(sum(1.0 / (60 + r)), 8) AS rrf_score, min(seen) AS seen FROM u GROUP BY id)
+    SELECT id AS p_partkey, rrf_score, CAST(row_number() OVER (ORDER BY rrf_score DESC, seen) AS INT) AS rank FROM f ORDER BY rank LIMIT 10"""
+
+
+@query(_PIPELINE)
+def hybrid_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a request to a ranking, with an imagined answer, blended vectors, both searches and a budget."""
+    rows = parts(spark, sf_dir).withColumn("v", vectors.hash_embed(F.col("description")))
+    found = retrieval.hybrid_pipeline(rows, "p_partkey", "description", "v", 64, _REQUEST, lambda q: _IMAGINED, vectors.hash_embed, F.col("p_retailprice") <= 950)
+    return found.select("p_partkey", F.round("rrf_score", 8).alias("rrf_score"), "rank")
+
+
+@query(f"""SELECT p_brand AS winner, strict FROM (SELECT p_brand, round(avg(CAST(m = 5 AND p_retailprice <= 950 AS INT)), 6) AS strict FROM (SELECT *, {_MATCHES} AS m FROM {SQL_TIERED}) GROUP BY p_brand)
+           WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') ORDER BY strict DESC, CASE p_brand WHEN 'Brand#3' THEN 1 WHEN 'Brand#1' THEN 2 ELSE 3 END LIMIT 1""")
+def search_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.winner(search_precision(spark, sf_dir), "method", "strict", ["Brand#3", "Brand#1", "Brand#2"])

@@ -38,13 +38,42 @@ def csv_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv_texts(spark: SparkSession, folders: Mapping[str, str]) -> DataFrame:
-    """(category, text) of all CSV files below each category's folder; malformed lines are left out."""
-    out = None
+    """(category, text) of all CSV files below each category's folder; malformed lines are left out.
+
+    Files with the same header are read together, files with another one apart, so that no cell moves to another
+    column.  One line a file comes to the driver.
+    """
+    out = spark.createDataFrame([], "category string, text string")
     for category, path in folders.items():
-        rows = spark.read.option("header", True).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path)
-        part = catalog.row_to_text(rows, F.lit(category), rows.columns, "__text").select(F.lit(category).alias("category"), F.col("__text").alias("text"))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "category string, text string")
+        lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
+        first = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("n"))
+        heads = first.filter("at = 0").groupBy("file").agg(F.min_by("value", "n").alias("head"))
+        groups: dict[str, list[str]] = {}
+        for r in heads.collect():
+            groups.setdefault(r["head"], []).append(r["file"])
+        for _, files in sorted(groups.items()):
+            rows = spark.read.option("header", True).option("mode", "DROPMALFORMED").csv(sorted(files))
+            melted = catalog.row_to_text(rows, F.lit(category), rows.columns, "__text")
+            out = out.unionByName(melted.select(F.lit(category).alias("category"), F.col("__text").alias("text")))
+    return out
+
+
+def json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
+    """(key, value) of a file that holds one JSON object, such as a cache; a missing or broken file is empty."""
+    empty = spark.createDataFrame([], f"key string, value {value}")
+    try:
+        whole = spark.read.option("wholetext", True).text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty
+    found = whole.select(F.explode(F.from_json("value", f"map<string,{value}>")))
+    return empty.unionByName(found.select("key", "value"))
+
+
+def reconstruct(vectors: DataFrame, positions: DataFrame) -> DataFrame:
+    """The stored vectors of positions: (pos, embedding) for (pos); positions that aren't there are left out."""
+    return positions.join(vectors.select("pos", "embedding"), "pos")
 
 
 def jsonl(spark: SparkSession, path: str, schema: str = TURNS) -> DataFrame:

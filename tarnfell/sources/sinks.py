@@ -44,6 +44,18 @@ def upsert(df: DataFrame, path: str, key: str, order: Column | None = None) -> i
     return replace(new if old is None else old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True), path)
 
 
+def recreate(df: DataFrame, path: str, vector: str) -> int:
+    """A new version of a table of vectors, all of which must have the width of the first; its width comes from there.
+
+    A row with a null vector, or with one of another width, fails the write, and the version before stays.
+    """
+    one = df.filter(F.col(vector).isNotNull()).select(F.size(vector).alias("w")).first()
+    width = one["w"] if one else 0
+    message = F.concat(F.lit(f"{vector} has not the width {width}: "), F.coalesce(F.size(vector).cast("string"), F.lit("null")))
+    sound = F.when(F.coalesce(F.size(vector) == width, F.lit(False)), F.col(vector)).otherwise(F.raise_error(message).cast(df.schema[vector].dataType))
+    return replace(df.withColumn(vector, sound), path)
+
+
 def append_rows(df: DataFrame, path: str, required: Sequence[str]) -> int:
     """Appends what has all required texts; columns that the table lacks are added."""
     good = df

@@ -43,6 +43,29 @@ def last_values(stream: DataFrame, n: int = 10) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, mean double", "t array<double>, ids array<long>, vs array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
+def conversations(stream: DataFrame) -> DataFrame:
+    """(conv_id, turn, phase, next_phase) of turns (conv_id, turn, role, flagged, confirmed) as they come.
+
+    The state of a conversation is its phase; the turns of a batch are taken in order.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        phase = state.get[0] if state.exists else "gather"
+        out = []
+        turns = pd.concat(list(frames)).sort_values(["turn", "role"], kind="stable")
+        for turn, role, bad, done in zip(turns["turn"], turns["role"], turns["flagged"], turns["confirmed"]):
+            was = phase
+            if phase != "end" and role == "user" and bad:
+                phase = "end"
+            elif phase == "gather" and role == "assistant" and done:
+                phase = "followup"
+            out.append((key[0], turn, was, phase))
+        state.update((phase,))
+        yield pd.DataFrame(out, columns=["conv_id", "turn", "phase", "next_phase"])
+
+    return stream.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turn long, phase string, next_phase string", "phase string", "append", GroupStateTimeout.NoTimeout)
+
+
 def cached_lookups(stream: DataFrame, key: str, look_up: Callable[[str], str | None], ttl_s: float, clock: Callable[[], float] = time.time) -> DataFrame:
     """(key, result, hit): results, none included, are kept for ``ttl_s`` and looked up again when they are older."""
 
