@@ -64,25 +64,53 @@ def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return todo.join(done.select(key).distinct(), key, "left_anti")
 
 
+def counted(df: DataFrame, value: str) -> DataFrame:
+    """(v, c, upto): each distinct value, how often it stands there, and how many rows have it or less.
+
+    Distinct values are dealt by range; the ranges' totals, one row each, shift what every range sums up for itself.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    along = W.partitionBy("__part").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    own = counts.repartitionByRange("v").withColumn("__part", F.spark_partition_id()).withColumn("__own", F.sum("c").over(along))
+    own = cut(own)  # ranges are drawn once
+    before = F.sum("__size").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    starts = own.groupBy("__part").agg(F.sum("c").alias("__size")).select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
+    return own.join(F.broadcast(starts), "__part").select("v", "c", (F.col("__start") + F.col("__own")).alias("upto"))
+
+
+def at_places(ranks: DataFrame, places: Mapping[str, Column]) -> DataFrame:
+    """One row: ``n``, and for each name the value at a place from 0 (an expression over ``n``); null without rows."""
+    total = ranks.agg(F.coalesce(F.max("upto"), F.lit(0)).cast("long").alias("n"))
+    rows = ranks.crossJoin(F.broadcast(total))  # one row
+    return rows.agg(F.coalesce(F.max("n"), F.lit(0).cast("long")).alias("n"), *[F.min(F.when(F.col("upto") > place, F.col("v"))).alias(name) for name, place in places.items()])
+
+
+def median(df: DataFrame, value: str) -> Column:
+    """The exact median, as a scalar to use anywhere: the mean of the one or two values in the middle."""
+    n = F.col("n")
+    middle = at_places(counted(df, value), {"a": F.floor((n - 1) / 2), "b": F.floor(n / 2)})
+    return middle.select(((F.col("a") + F.col("b")) / 2).alias("median")).scalar()
+
+
 def price_stats(df: DataFrame, price: str) -> DataFrame:
-    p = F.col(price)
-    return df.filter(p > 0).agg(F.count(p).alias("n"), F.min(p).alias("min_price"), F.max(p).alias("max_price"), F.avg(p).alias("mean_price"), F.median(p).alias("median_price"), F.stddev_samp(p).alias("stdev_price"))
+    p, some = F.col(price), df.filter(F.col(price) > 0)
+    out = some.agg(F.count(p).alias("n"), F.min(p).alias("min_price"), F.max(p).alias("max_price"), F.avg(p).alias("mean_price"), F.stddev_samp(p).alias("stdev_price"))
+    return out.withColumn("median_price", median(some, price))
 
 
 def order_statistics(df: DataFrame, price: str, parts: Sequence[tuple[int, int]] = ((1, 3), (2, 3), (1, 4), (3, 4))) -> DataFrame:
     """The value at floor(n * k / d), from 0, for each (k, d): exact, from the counts of distinct values."""
-    counts = df.filter(F.col(price).isNotNull()).groupBy(F.col(price).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0))
-    ranked = counts.withColumn("upto", upto).withColumn("n", F.sum("c").over(W.partitionBy()))
-    picked = [F.min(F.when(F.col("upto") > F.floor(F.col("n") * k / d), F.col("v"))).alias(f"p_{k}_{d}") for k, d in parts]
-    return ranked.agg(F.max("n").alias("n"), *picked)
+    return at_places(counted(df, price), {f"p_{k}_{d}": F.floor(F.col("n") * k / d) for k, d in parts})
 
 
 def budget_ranges(df: DataFrame, price: str, cap: float = rules.BUDGET_CAP) -> DataFrame:
     """(tier, low, high): closed ranges from the least price, the median up to ``cap``, and the largest."""
-    one = df.filter(F.col(price) > 0).agg(F.min(price).alias("a"), F.when(F.count(price) > 0, F.least(F.median(price), F.lit(float(cap)))).alias("m"), F.max(price).alias("z"))
+    some = df.filter(F.col(price) > 0)
+    one = some.agg(F.min(price).alias("a"), F.max(price).alias("z")).withColumn("m", F.when(F.col("a").isNotNull(), F.least(median(some, price), F.lit(float(cap)))))
     z = F.lit(0.0)
-    rows = F.array(*[F.struct(F.lit(t).alias("tier"), F.coalesce(lo, z).cast("double").alias("low"), F.coalesce(hi, z).cast("double").alias("high")) for t, lo, hi in (("low", F.col("a"), F.col("m")), ("medium", F.col("m"), F.when(F.col("a").isNotNull(), F.lit(float(cap)))), ("high", F.when(F.col("a").isNotNull(), F.lit(float(cap))), F.col("z")))])
+    top = F.when(F.col("a").isNotNull(), F.lit(float(cap)))
+    bounds = (("low", F.col("a"), F.col("m")), ("medium", F.col("m"), top), ("high", top, F.col("z")))
+    rows = F.array(*[F.struct(F.lit(t).alias("tier"), F.coalesce(lo, z).cast("double").alias("low"), F.coalesce(hi, z).cast("double").alias("high")) for t, lo, hi in bounds])
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
@@ -102,7 +130,7 @@ def tier_distribution(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def representative(df: DataFrame, id_: str, name: str, price: str, n: int) -> DataFrame:
     """The n dearest, nearest the mean, nearest the median and cheapest, each name once, in that order of groups."""
     valid = df.filter(F.col(price) > 0)
-    mid = valid.agg(F.avg(price).alias("__mean"), F.median(price).alias("__median"))
+    mid = valid.agg(F.avg(price).alias("__mean")).withColumn("__median", median(valid, price))
     rows = valid.crossJoin(F.broadcast(mid))  # one row
     groups = [("expensive", F.col(price).desc(), F.col(id_).desc()), ("mean_range", F.abs(F.col(price) - F.col("__mean")), F.col(id_)), ("median_range", F.abs(F.col(price) - F.col("__median")), F.col(id_)), ("cheapest", F.col(price), F.col(id_))]
     picked = None

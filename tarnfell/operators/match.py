@@ -52,7 +52,9 @@ def best_match_direct(grid: DataFrame, items: DataFrame, ranges: DataFrame, dims
     best = F.max(F.struct(_agreement(dims).alias("match_score"), (-F.col(f"x.{id_}")).alias("n"))).alias("b")
     inside = rows.alias("x").join(F.broadcast(grid).alias("g"), F.col("x.budget_tier") == F.col("g.budget_tier")).groupBy("g.combo_key").agg(best)
     left = grid.join(inside.select("combo_key"), "combo_key", "left_anti")
-    outside = items.alias("x").crossJoin(F.broadcast(left).alias("g")).groupBy("g.combo_key").agg(best)  # rows only where a tier has no item
+    # Where a tier has no item, the first item of each vector of tiers stands for all like it: a bounded table.
+    first = items.groupBy(*dims).agg(F.min(id_).alias(id_))
+    outside = first.alias("x").crossJoin(F.broadcast(left).alias("g")).groupBy("g.combo_key").agg(best)
     done = inside.withColumn("within_budget", F.lit(True)).unionByName(outside.withColumn("within_budget", F.lit(False)))
     return done.select("combo_key", (-F.col("b.n")).alias(id_), F.col("b.match_score").alias("match_score"), "within_budget")
 

@@ -169,3 +169,88 @@ def test_work_is_done_once(spark, tmp_path):
         stream = spark.readStream.schema("id long").parquet(source)
         streams.generate_once(stream, "id", lambda b: b.withColumn("x", F.lit(1)), out, str(tmp_path / k)).awaitTermination()
     assert spark.read.parquet(out).count() == 5
+
+
+def test_medians_by_counts(spark):
+    for values in ([3.0], [1.0, 2.0], [5.0, 1.0, 1.0, 1.0], [float(i * 7 % 101) for i in range(500)], []):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "p double").repartition(4)
+        got = spark.range(1).select(catalog.median(df, "p").alias("m")).first()["m"]
+        half = sorted(values)
+        n = len(half)
+        assert got == ((half[(n - 1) // 2] + half[n // 2]) / 2 if n else None)
+    assert rows(catalog.order_statistics(spark.createDataFrame([], "p double"), "p")) == [(0, None, None, None, None)]
+
+
+def test_waiting_as_long_as_the_service_says():
+    waited, answers = [], ["429 retry in 2.5s", "RESOURCE_EXHAUSTED", None]
+
+    def client(prompts):
+        if said := answers.pop(0):
+            raise RuntimeError(said)
+        return list(prompts)
+
+    assert hooks.with_backoff(lambda: client, 3, 5.0, waited.append)()(["x"]) == ["x"] and waited == [3.5, 10.0]
+    answers[:] = ["other failure"]
+    with pytest.raises(RuntimeError, match="other"):
+        hooks.with_backoff(lambda: client, 3, 5.0, waited.append)()(["x"])
+    answers[:] = ["429"] * 9
+    with pytest.raises(RuntimeError, match="429"):
+        hooks.with_backoff(lambda: client, 1, 0.0, waited.append)()(["x"])
+
+
+def test_vectors_of_another_width_are_not_stored(spark, tmp_path):
+    path = str(tmp_path / "v")
+    good = spark.createDataFrame([(1, [1.0, 2.0])], "id int, v array<double>")
+    sinks.recreate(good, path, "v")
+    for bad in ([[1.0, 2.0], [1.0]], [[1.0, 2.0], None]):
+        with pytest.raises(Exception, match="has not the width 2"):
+            sinks.recreate(spark.createDataFrame(list(enumerate(bad)), "id int, v array<double>").coalesce(1), path, "v")
+    assert rows(sinks.read(spark, path)) == [(1, [1.0, 2.0])]
+
+
+def test_files_of_different_headers(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "two.csv").write_text("y,x\n3,4\n")
+    (tmp_path / "three.csv").write_text("x,y\n5,6\n")
+    (tmp_path / "none.csv").write_text("")
+    got = {r.text for r in readers.csv_texts(spark, {"c": str(tmp_path)}).collect()}
+    assert got == {"CATEGORY: c\nx: 1\ny: 2\n", "CATEGORY: c\ny: 3\nx: 4\n", "CATEGORY: c\nx: 5\ny: 6\n"}
+
+
+def test_walks_are_kept_until_a_rebuild(spark):
+    memo, made = graph.OneTime(), []
+
+    def walk():
+        made.append(1)
+        return (spark.range(3),)
+
+    assert memo.get("k", walk)[0].count() == memo.get("k", walk)[0].count() == 3 and len(made) == memo.walks == 1
+    memo.clear()
+    memo.get("k", walk)
+    assert len(made) == 2
+
+
+def test_an_ended_conversation_stays_ended(spark):
+    from tarnfell.operators import assistant
+
+    data = [(1, 0, "user", False, False), (1, 1, "assistant", False, True), (1, 2, "user", False, False), (1, 3, "user", True, False), (1, 4, "assistant", False, True), (2, 0, "user", True, False), (2, 1, "assistant", False, True)]
+    df = spark.createDataFrame(data, "c int, turn int, role string, bad boolean, done boolean")
+    got = assistant.phases(df, "c", ["turn"], F.col("bad"), F.col("done")).select("c", "turn", "phase", "next_phase", "step")
+    assert rows(got, "c", "turn") == [
+        (1, 0, "gather", "gather", "gather"), (1, 1, "gather", "followup", "recommend"), (1, 2, "followup", "followup", "followup"), (1, 3, "followup", "end", "flagged"),
+        (1, 4, "end", "end", "ignored"), (2, 0, "gather", "end", "flagged"), (2, 1, "end", "end", "ignored"),
+    ]
+
+
+def test_policies_without_cases(spark):
+    none = spark.createDataFrame([], "action string, s double, r double")
+    assert rows(policy.summary(none, F.col("action"), "s", "r", "safe")) == [("default_no_similar_evaluated_cases", "safe", 0, [])]
+
+
+def test_contents_of_messages(spark):
+    from tarnfell.functions import text
+
+    data = {"plain": "plain", '"quoted \\"x\\""': 'quoted "x"', '[{"type":"text","text":"a"},"b",{"type":"image"}]': "ab", "[not json": "[not json", None: "", "": ""}
+    df = spark.createDataFrame([(k,) for k in data], "c string")
+    assert {r.c: r.t for r in df.select("c", text.content_text(F.col("c")).alias("t")).collect()} == data
