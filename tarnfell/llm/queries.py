@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,7 +83,43 @@ def op10_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_hidden_markov, op2_byte_bpe, op3_threshold_algorithm, op4_entropy_balancing, op5_temporal_list_join, op6_simhash_bk_tree, op7_diagonal_voting, op8_weak_supervision_pii, op9_p_stable, op10_toxicity_nnpu)}
 
+
+
+def _license_sql() -> str:
+    """Every pair of words against every template's, diagonals, spans, and the longest chain of each by growing all chains."""
+    templates = [*((p, label, True) for p, label in licenses.PHRASES.items()), *((t, label, False) for label, ts in licenses.TEMPLATES.items() for t in ts)]
+    rows = []
+    for number, (text, label, phrase) in enumerate(templates):
+        w = text.split()
+        n = len(w) - 1
+        needed = n if phrase else math.ceil(licenses.SHARE * n - 1e-9)
+        rows += [f"('{a}', '{b}', {number}, '{label}', {phrase}, {i}, {n}, {needed}, {n + licenses.SLACK * (n - needed)})" for i, (a, b) in enumerate(zip(w, w[1:]))]
+    return f"""
+        WITH RECURSIVE t(a, b, template, label, phrase, place, pairs, needed, width) AS (VALUES {', '.join(rows)}),
+        d AS (SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses._UPPER}', '{licenses._LOWER}'), '{licenses.WORD}') AS w FROM documents),
+        g AS (SELECT doc, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS a FROM d),
+        p AS (SELECT doc, pos, a, lead(a) OVER (PARTITION BY doc ORDER BY pos) AS b FROM g),
+        h AS (SELECT doc, pos, template, label, phrase, place, pairs, needed, width, pos - place AS diagonal FROM p JOIN t USING (a, b)),
+        x AS (SELECT DISTINCT doc, template, phrase, diagonal FROM h),
+        y AS (SELECT *, CASE WHEN NOT phrase AND diagonal - lag(diagonal) OVER (PARTITION BY doc, template ORDER BY diagonal) <= {licenses.SLACK} THEN 0 ELSE 1 END AS apart FROM x),
+        z AS (SELECT *, sum(apart) OVER (PARTITION BY doc, template ORDER BY diagonal) AS span FROM y),
+        s AS (SELECT h.*, z.span FROM h JOIN z USING (doc, template, diagonal)),
+        c(doc, template, span, began, pos, place, n) AS (
+          SELECT doc, template, span, pos, pos, place, 1 FROM s WHERE NOT phrase
+          UNION SELECT c.doc, c.template, c.span, c.began, s.pos, s.place, c.n + 1 FROM c JOIN s ON s.doc = c.doc AND s.template = c.template AND s.span = c.span AND s.pos > c.pos AND s.place > c.place AND s.pos - c.began < s.width),
+        m AS (SELECT doc, template, max(n) AS chain FROM c GROUP BY doc, template),
+        k AS (SELECT DISTINCT template, label, pairs, needed FROM t),
+        more AS (SELECT doc, list(label) FILTER (chain >= needed) AS labels, max(chain / pairs) AS part FROM m JOIN k USING (template) GROUP BY doc),
+        base AS (SELECT doc, label, diagonal FROM h WHERE phrase GROUP BY doc, template, label, diagonal, pairs HAVING count(*) = pairs),
+        found AS (SELECT doc, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, list(label) AS labels FROM base GROUP BY doc)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+               array_to_string(list_sort(list_distinct(coalesce(found.labels, []))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(found.labels, []), coalesce(more.labels, [])))), ',') AS labels,
+               CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(part, 0) END AS score
+        FROM d LEFT JOIN found USING (doc) LEFT JOIN more USING (doc)"""
+
+
 ORACLES: dict[str, str] = {
+    "op7_diagonal_voting": _license_sql(),
     "op3_threshold_algorithm": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
                    WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

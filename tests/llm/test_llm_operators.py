@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -682,6 +683,36 @@ def test_queries_are_registered():
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_rows_equal_the_oracle(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables here")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    plain = lambda v: round(v, 9) + 0.0 if isinstance(v, float) else v
+    df, found = queries.QUERIES[name](spark, sf), con.execute(queries.ORACLES[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted((tuple(plain(r[c]) for c in names) for r in df.collect()), key=repr) == sorted((tuple(map(plain, r)) for r in found.fetchall()), key=repr)
+
+
+def test_stages_ignore_further_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    names = "content id c rows component copies copy size key band __row found spans toxicity ids".split()
+    df = spark.createDataFrame([(i, f"some words of text {i} mail a@b.co", "en", "s", 9) for i in range(9)], "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.select("*", *[F.lit("mine").alias(n) for n in names])
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == list(corpus_pipeline.COLUMNS) and out.count() > 0, name
+    assert corpus_pipeline.encode(spark, df, "").count() == 9
+
+
 def test_pipeline(spark, tmp_path, none):
     import corpus_pipeline
 
