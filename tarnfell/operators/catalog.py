@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -114,9 +114,9 @@ def budget_ranges(df: DataFrame, price: str, cap: float = rules.BUDGET_CAP) -> D
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def with_tiers(df: DataFrame, description: str, keywords: Mapping[str, Mapping[str, Sequence[str]]] = rules.KEYWORDS) -> DataFrame:
-    """A column for each feature, named as the feature."""
-    return df.withColumns({feature: text.tier(F.col(description), words) for feature, words in keywords.items()})
+def with_tiers(df: DataFrame, description: str, keywords: Mapping[str, Mapping[str, Sequence[str]]] = rules.KEYWORDS, classify: Callable[[Column, Mapping[str, Sequence[str]]], Column] = text.tier) -> DataFrame:
+    """A column for each feature, named as the feature; ``classify`` makes the tier of a description and a feature's words."""
+    return df.withColumns({feature: classify(F.col(description), words) for feature, words in keywords.items()})
 
 
 def tier_distribution(df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -111,6 +111,18 @@ def embedded(df: DataFrame, body: Column, name: str = "embedding", make: Callabl
     return df.withColumn(name, embed(body))
 
 
+def answer_relevancy(df: DataFrame, question: str, answer: str, name: str = "answer_relevancy", make: Callable[[], Callable[[Sequence[str]], np.ndarray]] | None = None) -> DataFrame:
+    """``df`` with how near each answer is to its question, from 0 to 1; null where one of them is blank.
+
+    Each different pair is embedded once, however often it was logged.
+    """
+    said = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    pairs = df.filter(said(question) & said(answer)).select(F.col(question).alias("__q"), F.col(answer).alias("__a")).distinct()
+    pairs = embedded(embedded(pairs, F.col("__q"), "__qv", make), F.col("__a"), "__av", make)
+    scored = pairs.select("__q", "__a", F.round(vectors.relevancy(vectors.cosine(F.col("__qv"), F.col("__av"))), 3).alias(name))
+    return df.join(scored, (df[question] == F.col("__q")) & (df[answer] == F.col("__a")), "left").drop("__q", "__a")
+
+
 def judged(df: DataFrame, answer: str, criteria: Sequence[str]) -> DataFrame:
     """``df`` with the judge's scores, one column a criterion: from JSON that may be fenced or cut off; missing is 0."""
     parsed = text.repaired_json(text.unfenced(F.col(answer)))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnfell.functions import rules, text
+from tarnfell.operators import catalog
 
 
 def combo_grid(spark: SparkSession, dims: Sequence[str]) -> DataFrame:
@@ -97,7 +98,5 @@ def batch_prompt(rows: DataFrame, batch: str, order: str, prompt: str) -> DataFr
 
 
 def batches(df: DataFrame, order: Sequence[str], size: int, name: str = "batch") -> DataFrame:
-    """Numbers of batches of bounded size, within ranges of the order."""
-    dealt = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    n = F.row_number().over(W.partitionBy("__part").orderBy(*order))
-    return dealt.withColumn(name, F.struct("__part", F.ceil(n / size).cast("int").alias("number"))).drop("__part")
+    """Batch numbers from 1 in the given order, ``size`` rows each; rows are numbered by range, not in one task."""
+    return catalog.renumber(df, order, "__id").withColumn(name, (F.floor(F.col("__id") / size) + 1).cast("long")).drop("__id")

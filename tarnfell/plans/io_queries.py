@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfell.operators import hooks
+from tarnfell.functions import vectors
+from tarnfell.operators import hooks, match
 from tarnfell.operators.lineage import fresh_folder
 from tarnfell.plans.registry import query
 from tarnfell.plans.shared import table
@@ -123,6 +124,19 @@ def io_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.reconstruct(stored, wanted).select(F.col("pos").alias("vec_id"), F.size("embedding").alias("width"), F.round(total, 5).alias("total"))
 
 
+@query("SELECT n_nationkey AS pos, n_name AS text, CAST(64 AS INT) AS width FROM nation")
+def io_saved_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts are stored with their vectors and come back in their order."""
+    path = fresh_folder(spark, "io-texts")
+    sinks.save_texts(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("text")), path, "text", vectors.hash_embed)
+    return sinks.read(spark, path).select("pos", "text", F.size("embedding").alias("width"))
+
+
+@query("SELECT p_partkey, CAST((row_number() OVER (ORDER BY p_partkey) - 1) // 6 + 1 AS BIGINT) AS batch FROM part")
+def batch_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.batches(table(spark, sf_dir, "part").select("p_partkey"), ["p_partkey"], 6)
+
+
 @query("SELECT s_suppkey AS id, s_name AS name, CAST(NULL AS DOUBLE) AS score FROM supplier")
 def io_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table that lacks a column, and one that isn't there at all."""

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnfell.functions import rules, text, vectors
-from tarnfell.operators import catalog, retrieval
+from tarnfell.operators import catalog, hooks, retrieval
 from tarnfell.plans.registry import query
 from tarnfell.plans.shared import DIMS, KEYWORDS, SQL_INDEX, SQL_TIERED, parts, sql_any, table, tiered
 
@@ -289,3 +289,13 @@ def hybrid_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
            WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') ORDER BY strict DESC, CASE p_brand WHEN 'Brand#3' THEN 1 WHEN 'Brand#1' THEN 2 ELSE 3 END LIMIT 1""")
 def search_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.winner(search_precision(spark, sf_dir), "method", "strict", ["Brand#3", "Brand#1", "Brand#2"])
+
+
+@query(f"""WITH a AS (SELECT p_partkey, p_name || ' ' || p_type AS q, CASE WHEN p_size % 10 <> 0 THEN description ELSE ' ' END AS d FROM {SQL_TIERED}),
+           u AS (SELECT DISTINCT q, d FROM a WHERE trim(d) <> ''), k AS (SELECT row_number() OVER () AS id, q, d FROM u), q AS (SELECT id, q AS txt FROM k), d AS (SELECT id, d AS txt FROM k),
+           qv AS ({_UNIT.format(_HALF.format('txt', 'q'))}), dv AS ({_UNIT.format(_HALF.format('txt', 'd'))}),
+           c AS (SELECT id, sum(qv.x * dv.x) AS c FROM qv JOIN dv USING (id, i) GROUP BY id)
+           SELECT p_partkey, CASE WHEN k.id IS NOT NULL THEN round(greatest(0, least(1, (coalesce(c, 0) + 1) / 2)), 3) END AS answer_relevancy FROM a LEFT JOIN k USING (q, d) LEFT JOIN c USING (id)""")
+def answer_relevancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = parts(spark, sf_dir).select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("q"), F.when(F.col("p_size") % 10 != 0, F.col("description")).otherwise(" ").alias("d"))
+    return hooks.answer_relevancy(rows, "q", "d").select("p_partkey", "answer_relevancy")

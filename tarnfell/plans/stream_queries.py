@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnfell.operators.lineage import fresh_folder
 from tarnfell.plans.registry import query
 from tarnfell.streaming import streams
 
@@ -40,3 +41,22 @@ def stream_last_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = streams.drained(streams.last_values(_events(spark, sf_dir)), "update", "last-values")
     last = rows.withColumn("k", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("batch")))).filter("k = 1")
     return last.select("user_id", "n", F.round("mean", 6).alias("mean"))
+
+
+@query("SELECT event_id, user_id, round(CASE WHEN value >= 50 THEN 1.0::DOUBLE ELSE value / 50 END, 6) AS correctness FROM events")
+def stream_turn_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns go to a log and are scored from there."""
+    log, scores, progress = (fresh_folder(spark, f"turn-{x}") for x in ("log", "scores", "progress"))
+    correct = F.round(F.least(F.lit(1.0), F.col("value") / 50), 6)
+    streams.logged(_events(spark, sf_dir), log, lambda t: t.select("event_id", "user_id", correct.alias("correctness")), scores, progress).awaitTermination()
+    return spark.read.parquet(scores).drop("batch")
+
+
+@query("SELECT DISTINCT event_type, event_type || '!' AS answer FROM events")
+def stream_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work that was done before a lost checkpoint isn't done again."""
+    out = fresh_folder(spark, "resumed")
+    for _ in range(2):
+        keys = _events(spark, sf_dir).select("event_type")
+        streams.generate_once(keys, "event_type", lambda b: b.withColumn("answer", F.concat("event_type", F.lit("!"))), out, fresh_folder(spark, "resumed-progress")).awaitTermination()
+    return spark.read.parquet(out)

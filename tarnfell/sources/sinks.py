@@ -4,7 +4,7 @@ one, so that a failed write spoils nothing and the version before is the backup.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +56,11 @@ def recreate(df: DataFrame, path: str, vector: str) -> int:
     return replace(df.withColumn(vector, sound), path)
 
 
+def save_texts(df: DataFrame, path: str, text: str, embed: Callable[[Column], Column], vector: str = "embedding") -> int:
+    """A new version of a table of texts with their vectors, in the order of ``pos``."""
+    return recreate(df.withColumn(vector, embed(F.col(text))).sortWithinPartitions("pos"), path, vector)
+
+
 def append_rows(df: DataFrame, path: str, required: Sequence[str]) -> int:
     """Appends what has all required texts; columns that the table lacks are added."""
     good = df

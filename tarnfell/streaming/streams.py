@@ -86,6 +86,19 @@ def cached_lookups(stream: DataFrame, key: str, look_up: Callable[[str], str | N
     return rows.groupBy("key").applyInPandasWithState(step, "key string, result string, hit boolean", "at double, result string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def logged(stream: DataFrame, path: str, score: Callable[[DataFrame], DataFrame], scores: str, checkpoint: str):
+    """Appends each batch of turns to a log of JSON lines, and then its scores to a table; a batch that is run again
+    replaces what it had written, in a folder of its own number."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        log = f"{path}/batch={number}"
+        batch.write.mode("overwrite").json(log)
+        turns = batch.sparkSession.read.schema(batch.schema).json(log)
+        score(turns).write.mode("overwrite").parquet(f"{scores}/batch={number}")
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def generate_once(stream: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
     """Works on what isn't in ``path`` yet, batch by batch; a batch that is run again finds its rows done."""
 
