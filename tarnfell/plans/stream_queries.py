@@ -60,3 +60,11 @@ def stream_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
         keys = _events(spark, sf_dir).select("event_type")
         streams.generate_once(keys, "event_type", lambda b: b.withColumn("answer", F.concat("event_type", F.lit("!"))), out, fresh_folder(spark, "resumed-progress")).awaitTermination()
     return spark.read.parquet(out)
+
+
+@query("SELECT event_type AS key, upper(event_type) AS result, count(*) - 1 AS hits, CAST(1 AS BIGINT) AS lookups FROM events GROUP BY event_type")
+def stream_cached_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key is looked up once, and found in the cache from then on."""
+    looked_up = streams.cached_lookups(_events(spark, sf_dir), "event_type", str.upper, 6 * 3600, evict=False)
+    rows = streams.drained(looked_up, "append", "lookups")
+    return rows.groupBy("key", "result").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("lookups"))

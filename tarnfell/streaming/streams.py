@@ -66,8 +66,12 @@ def conversations(stream: DataFrame) -> DataFrame:
     return stream.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turn long, phase string, next_phase string", "phase string", "append", GroupStateTimeout.NoTimeout)
 
 
-def cached_lookups(stream: DataFrame, key: str, look_up: Callable[[str], str | None], ttl_s: float, clock: Callable[[], float] = time.time) -> DataFrame:
-    """(key, result, hit): results, none included, are kept for ``ttl_s`` and looked up again when they are older."""
+def cached_lookups(stream: DataFrame, key: str, look_up: Callable[[str], str | None], ttl_s: float, clock: Callable[[], float] = time.time, evict: bool = True) -> DataFrame:
+    """(key, result, hit): results, none included, are kept for ``ttl_s`` and looked up again when they are older.
+
+    With ``evict`` what is too old leaves the state by a timer, which keeps a stream running; without, it stays until it
+    is asked for again, and a finite stream ends.
+    """
 
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         asked, now = sum(len(f) for f in frames), clock()
@@ -76,14 +80,15 @@ def cached_lookups(stream: DataFrame, key: str, look_up: Callable[[str], str | N
         if not hit:
             at, result = now, look_up(name[0])
             state.update((at, result))
-        state.setTimeoutDuration(int(ttl_s * 1000))
+        if evict:
+            state.setTimeoutDuration(int(ttl_s * 1000))
         if asked:
             yield pd.DataFrame({"key": [name[0]] * asked, "result": [result] * asked, "hit": [hit] + [True] * (asked - 1)})
         elif state.hasTimedOut:
             state.remove()
 
     rows = stream.select(F.col(key).cast("string").alias("key"))
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, result string, hit boolean", "at double, result string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, result string, hit boolean", "at double, result string", "append", GroupStateTimeout.ProcessingTimeTimeout if evict else GroupStateTimeout.NoTimeout)
 
 
 def logged(stream: DataFrame, path: str, score: Callable[[DataFrame], DataFrame], scores: str, checkpoint: str):
