@@ -63,7 +63,9 @@ def build(path: str, pattern: str):
     merges.sort()
     model = models.BPE(vocab={spell[t]: r for t, r in ranks.items()}, merges=[m[3:] for m in merges], ignore_merges=True)
     tok = Tokenizer(model)
-    tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    tok.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+    )
     return tok
 
 
@@ -143,13 +145,27 @@ def pieces(ids: Sequence[int], path: str) -> list[str]:
     return out
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", offsets: str | None = None, round_trip: str | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+def encode(
+    df: DataFrame,
+    path: str,
+    pattern: str,
+    text: str = "text",
+    ids: str = "ids",
+    offsets: str | None = None,
+    round_trip: str | None = None,
+    keep: Sequence[str] | None = None,
+) -> DataFrame:
     """``df`` (or its columns in ``keep``) with ``ids`` (array<int>) and, if names are given, ``offsets`` (array of start
     and end, in code points) and ``round_trip`` (whether decoding the ids gives the text's bytes again)."""
     fields = [T.StructField(ids, T.ArrayType(T.IntegerType(), False))]
     pair = pa.struct([pa.field("start", pa.int32()), pa.field("end", pa.int32())])
     if offsets:
-        fields.append(T.StructField(offsets, T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))))
+        fields.append(
+            T.StructField(
+                offsets,
+                T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])),
+            )
+        )
     if round_trip:
         fields.append(T.StructField(round_trip, T.BooleanType()))
     kept = others(df.columns if keep is None else keep, *(f.name for f in fields))
@@ -210,6 +226,9 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     n.append(len(ids))
                     coded.append(hashlib.sha256(b",".join(map(digits.__getitem__, ids))).hexdigest())
                     decoded.append(hashlib.sha256(decode_ids(ids, path)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

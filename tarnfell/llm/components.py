@@ -28,7 +28,14 @@ def components(edges: DataFrame) -> DataFrame:
         if known is None:
             known = to
         else:
-            known = materialize(known.join(to.select(F.col("node").alias("component"), F.col("component").alias("next")), "component", "left").select("node", F.coalesce("next", "component").alias("component")), "components-known")
+            known = materialize(
+                known.join(
+                    to.select(F.col("node").alias("component"), F.col("component").alias("next")),
+                    "component",
+                    "left",
+                ).select("node", F.coalesce("next", "component").alias("component")),
+                "components-known",
+            )
         a, b = to.toDF("src", "a"), to.toDF("dst", "b")
         drawn = edges.join(a, "src").join(b, "dst").filter("a <> b")
         edges = materialize(drawn.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "components-edges")

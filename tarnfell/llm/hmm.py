@@ -204,7 +204,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter[bytes] = Counter()
 
     def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()).cast(pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "c"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(seen.keys(), pa.binary()).cast(pa.string()), pa.array(seen.values(), pa.int64())],
+            names=["word", "c"],
+        )
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
@@ -270,8 +273,19 @@ def _encode(shared):
                 within.append(known_logs[kind >= OWN_END].sum())
                 classes.append(kind.astype(np.uint16).tobytes())
                 tails.append(tail)
-            columns = [*batch.columns[:3], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(every, pa.float64()), pa.array(within, pa.float64()), pa.array(classes, pa.binary()), pa.array(tails, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "n_tokens", "n_head", "head_logs", "head_within", "classes", "tail"])
+            columns = [
+                *batch.columns[:3],
+                pa.array(n, pa.int64()),
+                pa.array(known, pa.int64()),
+                pa.array(every, pa.float64()),
+                pa.array(within, pa.float64()),
+                pa.array(classes, pa.binary()),
+                pa.array(tails, pa.list_(pa.string())),
+            ]
+            yield pa.RecordBatch.from_arrays(
+                columns,
+                names=["row", "doc_id", "held_out", "n_tokens", "n_head", "head_logs", "head_within", "classes", "tail"],
+            )
 
     return run
 
@@ -296,7 +310,13 @@ def _e_step(shared):
     return run
 
 
-def baum_welch(classes: DataFrame, model: Model, unigram: np.ndarray, rounds: int = ROUNDS, settled: float = SETTLED) -> tuple[Model, list[float]]:
+def baum_welch(
+    classes: DataFrame,
+    model: Model,
+    unigram: np.ndarray,
+    rounds: int = ROUNDS,
+    settled: float = SETTLED,
+) -> tuple[Model, list[float]]:
     """Rounds over all rows of ``classes`` (classes: 16-bit numbers), until the likelihood gains less than ``settled``.
 
     Returns the model, and the log likelihood of all texts under the model that each round began with.  The driver
@@ -345,7 +365,10 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
     classes = np.array([i if n >= own else OWN_END + hashed_class(w) for i, (w, n) in enumerate(zip(words, c.tolist()))], np.int64)
     shared = sc.broadcast(Head([w.encode("utf-8", "surrogatepass") for w in words], c, np.append(classes, 0)))
     # Tokens and distinct words of each hashed class: at most HASHED rows.
-    of_class = counts.filter((F.col("c") < own) | ~_short()).groupBy(_hashed_class("word").alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
+    of_class = counts.filter((F.col("c") < own) | ~_short()).groupBy(_hashed_class("word").alias("k")).agg(
+        F.sum("c").alias("c"),
+        F.count(F.lit(1)).alias("v"),
+    ).collect()
     within, unigram = np.zeros(OWN_END + HASHED), np.zeros(OWN_END + HASHED)
     within[OWN_END:] = math.log10(SMOOTH)
     unigram[: OWN_END][: int((c >= own).sum())] = c[c >= own]
@@ -368,4 +391,12 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
     rows = coded.drop("classes", "tail").join(paths, "row").join(rare, "row", "left")
     rare_logs = F.coalesce("rare_logs", F.lit(0.0))
     base = F.col("head_logs") + rare_logs - F.col("n_tokens") * F.lit(math.log10(total + SMOOTH * (distinct + 1)))
-    return rows.select("doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("path") + F.col("head_within") + rare_logs).alias("score"))
+    return rows.select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"),
+        base.alias("base_score"),
+        (F.col("path") + F.col("head_within") + rare_logs).alias("score"),
+    )

@@ -38,9 +38,15 @@ TEMPLATES: dict[str, Sequence[str]] = {
     "cc-by": ["licensed under cc by 4 0", "licensed under a creative commons attribution 4 0 international license"],
     "cc-by-nc": ["licensed under cc by nc 4 0", "creative commons attribution noncommercial 4 0 international"],
     "cc-by-sa": ["licensed under cc by sa 4 0", "creative commons attribution sharealike 4 0 international"],
-    "gpl": ["this work is licensed under the gnu general public license version 3", "it under the terms of the gnu general public license as published by the free software foundation"],
+    "gpl": [
+        "this work is licensed under the gnu general public license version 3",
+        "it under the terms of the gnu general public license as published by the free software foundation",
+    ],
     "lgpl": ["gnu lesser general public license"],
-    "mit": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"],
+    "mit": [
+        "released under the mit license",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+    ],
     "mpl": ["this source code form is subject to the terms of the mozilla public license"],
     "proprietary": ["all rights reserved"],
     "public-domain": ["this is free and unencumbered software released into the public domain"],
@@ -60,13 +66,17 @@ def template_table(spark: SparkSession, phrases: Mapping[str, str], templates: M
     ``pairs`` is how many the template has, ``same`` how often its most frequent one stands in it.
     """
     rows = []
-    for number, (label, text, phrase) in enumerate([*((l, p, True) for p, l in phrases.items()), *((l, t, False) for l, ts in templates.items() for t in ts)]):
+    for number, (label, text, phrase) in enumerate(
+        [*((l, p, True) for p, l in phrases.items()), *((l, t, False) for l, ts in templates.items() for t in ts)]
+    ):
         words = re.findall(WORD, text.translate(str.maketrans(_UPPER, _LOWER)))
         pairs = list(zip(words, words[1:]))
         same = max((pairs.count(p) for p in pairs), default=0)
         rows += [f"('{a}', '{b}', {number}, '{label}', {str(phrase).lower()}, {i}, {len(pairs)}, {same})" for i, (a, b) in enumerate(pairs)]
     values = ", ".join(rows) or "('', '', -1, '', false, 0, 1, 1)"
-    return spark.sql(f"SELECT xxhash64(first, second) AS hash, * FROM VALUES {values} AS t(first, second, template, label, phrase, place, pairs, same)")
+    return spark.sql(
+        f"SELECT xxhash64(first, second) AS hash, * FROM VALUES {values} AS t(first, second, template, label, phrase, place, pairs, same)"
+    )
 
 
 def hits(docs: DataFrame, table: DataFrame, text: str = "text") -> DataFrame:
@@ -81,7 +91,13 @@ def hits(docs: DataFrame, table: DataFrame, text: str = "text") -> DataFrame:
     met = grams.join(t, F.xxhash64("a", "b") == t.hash, "left")
     equal = F.coalesce((F.col("a") == F.col("first")) & (F.col("b") == F.col("second")), F.lit(False))
     kept = met.filter(equal | (F.coalesce("at", F.lit(0)) == 0))
-    return kept.select("row", "doc_id", "n_words", "at", *[F.when(equal, F.col(c)).alias(c) for c in ("template", "label", "phrase", "place", "pairs", "same")])
+    return kept.select(
+        "row",
+        "doc_id",
+        "n_words",
+        "at",
+        *[F.when(equal, F.col(c)).alias(c) for c in ("template", "label", "phrase", "place", "pairs", "same")],
+    )
 
 
 def _chain(window: Column) -> Column:
@@ -110,7 +126,14 @@ def verified(found: Column, width: Column, most: Column) -> Column:
     return F.when(F.size(found) <= 1, F.size(found)).otherwise(whole)
 
 
-def scan(docs: DataFrame, text: str = "text", phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, Sequence[str]] = TEMPLATES, slack: int = SLACK, share: float = SHARE) -> DataFrame:
+def scan(
+    docs: DataFrame,
+    text: str = "text",
+    phrases: Mapping[str, str] = PHRASES,
+    templates: Mapping[str, Sequence[str]] = TEMPLATES,
+    slack: int = SLACK,
+    share: float = SHARE,
+) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     of = ["row", "doc_id", "n_words", "template", "label", "phrase", "pairs", "same"]
     found = hits(docs, template_table(docs.sparkSession, phrases, templates), text).repartition("row")  # all that follows keeps to it
@@ -123,7 +146,10 @@ def scan(docs: DataFrame, text: str = "text", phrases: Mapping[str, str] = PHRAS
     needed = F.ceil(F.lit(share) * F.col("pairs")).cast("int")
     width = F.col("pairs") + slack * (F.col("pairs") - needed)
     chain = F.when(F.col("phrase"), F.size("hits")).otherwise(verified(F.col("hits"), width, width * F.col("same")))
-    spans = spans.withColumn("chain", F.when(F.col("template").isNotNull(), chain)).withColumn("needed", F.when(F.col("phrase"), F.col("pairs")).otherwise(needed))
+    spans = spans.withColumn("chain", F.when(F.col("template").isNotNull(), chain)).withColumn(
+        "needed",
+        F.when(F.col("phrase"), F.col("pairs")).otherwise(needed),
+    )
     base, more = F.col("phrase") & (F.col("chain") >= F.col("needed")), ~F.col("phrase") & (F.col("chain") >= F.col("needed"))
     places = F.when(base, F.col("start"))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")

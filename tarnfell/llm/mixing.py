@@ -62,7 +62,10 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float
     order = W.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))).cast("int") + 1)
     limit = F.col("source_size") * float(cap)
-    ranked = sources.withColumn("weight", weight.cast("double")).withColumn("limit", limit).withColumn("fills", F.col("limit") / F.col("weight"))
+    ranked = sources.withColumn("weight", weight.cast("double")).withColumn("limit", limit).withColumn(
+        "fills",
+        F.col("limit") / F.col("weight"),
+    )
     every, upto = W.partitionBy(), W.orderBy("fills", F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
     filled, above = F.coalesce(F.sum("limit").over(upto), F.lit(0.0)), F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0))
     level = ranked.withColumn("level", (F.sum("source_size").over(every) * float(total) - filled) / above)
@@ -117,7 +120,10 @@ def _diffuse(rows: DataFrame, copies: str) -> DataFrame:
 
     lists = rows.groupBy("__key").agg(F.sort_array(F.collect_list(item)).alias("items"))
     pairs = F.arrays_zip(F.col("items"), F.aggregate("items", start, step, lambda s: s["out"]).alias("n"))
-    return lists.select(F.explode(pairs).alias("p")).select(*[F.col("p.items")[c].alias(c) for c in kept], F.col("p")[F.lit("n")].alias(copies))
+    return lists.select(F.explode(pairs).alias("p")).select(
+        *[F.col("p.items")[c].alias(c) for c in kept],
+        F.col("p")[F.lit("n")].alias(copies),
+    )
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", copies: str = "copies") -> DataFrame:
@@ -143,7 +149,10 @@ def mix_sizes(rows: DataFrame, copies: str = "copies", carry: Sequence[str] = ()
     # A null source joins like any other under a name that no source has.
     rows = rows.withColumn("__key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
     sums = rows.groupBy("__key", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__rows"))
-    goals = targets(sums.select("source", "source_size")).withColumn("__key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
+    goals = targets(sums.select("source", "source_size")).withColumn(
+        "__key",
+        F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")),
+    )
     goals = materialize(goals.select("__key", "source_size", "target").join(sums.select("__key", "__rows"), "__key"), "mixing-goals")
 
     def small(df: DataFrame) -> DataFrame:
@@ -159,8 +168,13 @@ def mix_sizes(rows: DataFrame, copies: str = "copies", carry: Sequence[str] = ()
 
     rest = dealt.filter(~big).withColumn("class", F.ceil(F.log2(F.col("size") + 1)).cast("int"))
     classes = rest.groupBy("__key", "class").agg(F.sum("size").alias("words"), F.first("target").alias("target"))
-    classes = materialize(classes.join(taken, "__key", "left").withColumn("goal", F.col("target") - F.coalesce("__taken", F.lit(0))), "mixing-classes")
-    mean = classes.select(F.coalesce(F.sum(F.col("words") * F.col("class")) / F.nullif(F.sum("words"), F.lit(0)), F.lit(0.0)).alias("m")).scalar()
+    classes = materialize(
+        classes.join(taken, "__key", "left").withColumn("goal", F.col("target") - F.coalesce("__taken", F.lit(0))),
+        "mixing-classes",
+    )
+    mean = classes.select(
+        F.coalesce(F.sum(F.col("words") * F.col("class")) / F.nullif(F.sum("words"), F.lit(0)), F.lit(0.0)).alias("m")
+    ).scalar()
     rates = balance(classes.select(F.col("__key").alias("source"), "goal", "class", "words"), mean).withColumnRenamed("source", "__key")
     rates = materialize(rates, "mixing-rates")
     strata = F.ceil(F.col("__rows") / STRATUM)
@@ -168,7 +182,10 @@ def mix_sizes(rows: DataFrame, copies: str = "copies", carry: Sequence[str] = ()
     # By stratum, or else the documents of a source would stay where the join has put them.
     rest = rest.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__key", "__stratum")
     along = W.partitionBy("__key", "__stratum").orderBy("size", hash_, "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rest = rest.withColumn(copies, F.when(F.col("size") > 0, _systematic(F.col("rate"), along)).otherwise(0)).drop("class", "rate", "__stratum")
+    rest = rest.withColumn(
+        copies,
+        F.when(F.col("size") > 0, _systematic(F.col("rate"), along)).otherwise(0),
+    ).drop("class", "rate", "__stratum")
     return first.unionByName(rest).drop("__key", "__rows")
 
 

@@ -45,8 +45,26 @@ PATTERNS = {
 }
 BASE = ("email", "ip", "card", "phone")
 #: Cheap tests of a whole text: where such a test fails the kind can't be there.
-HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]", "secret": r"[A-Za-z0-9_]{16}|eyJ|xox[a-z]-", "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}", "national": r"[0-9]-[0-9]{2}-[0-9]{4}", "name": r"[Nn]ame(?: is|:) |[Dd]ear |M(?:r|rs|s)\. |Dr\. "}
-MASKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "secret": "<SECRET>", "iban": "<IBAN>", "national": "<NATIONAL_ID>", "name": "<NAME>"}
+HINTS = {
+    "email": "@",
+    "ip": r"[0-9]\.[0-9]++\.[0-9]",
+    "card": r"[0-9](?:[\x20-]?[0-9]){11}",
+    "phone": r"\+[0-9]",
+    "secret": r"[A-Za-z0-9_]{16}|eyJ|xox[a-z]-",
+    "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}",
+    "national": r"[0-9]-[0-9]{2}-[0-9]{4}",
+    "name": r"[Nn]ame(?: is|:) |[Dd]ear |M(?:r|rs|s)\. |Dr\. ",
+}
+MASKS = {
+    "email": "<EMAIL>",
+    "ip": "<IP>",
+    "card": "<CARD>",
+    "phone": "<PHONE>",
+    "secret": "<SECRET>",
+    "iban": "<IBAN>",
+    "national": "<NATIONAL_ID>",
+    "name": "<NAME>",
+}
 CONTEXT = 40
 #: Rounds of expectation-maximisation; candidates that the classifier is taken to have seen of each share beforehand.
 ROUNDS, PRIOR = 12, 4.0
@@ -111,11 +129,19 @@ def _found(kind: str, text: Column) -> Column:
     """Array of (start, end, span, before): all candidates of a kind, by start."""
     pattern = F.lit(PATTERNS[kind])
     spans, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, PATTERNS[kind], -1)
-    state = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,span:string,before:string>>)").alias("out"))
+    state = F.struct(
+        F.lit(0).alias("at"),
+        F.expr("cast(array() as array<struct<start:int,end:int,span:string,before:string>>)").alias("out"),
+    )
 
     def step(s: Column, p: Column) -> Column:
         start = s["at"] + F.length(p["gap"])
-        item = F.struct(start.alias("start"), (start + F.length(p["span"])).alias("end"), p["span"].alias("span"), F.right(p["gap"], F.lit(CONTEXT)).alias("before"))
+        item = F.struct(
+            start.alias("start"),
+            (start + F.length(p["span"])).alias("end"),
+            p["span"].alias("span"),
+            F.right(p["gap"], F.lit(CONTEXT)).alias("before"),
+        )
         return F.struct((start + F.length(p["span"])).alias("at"), F.concat(s["out"], F.array(item)).alias("out"))
 
     # Each span comes after the text between it and the one before; the last gap has no span after it.
@@ -141,11 +167,19 @@ GAZETTEER: Mapping[str, Sequence[str]] = {
     "email": ["com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu"],
     "ip": [str(i) for i in range(1, 224) if i != 127],
     "card": ["30", "34", "35", "36", "37", "38", "4", "51", "52", "53", "54", "55", "60", "62", "64", "65"],
-    "phone": ["1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98", "351", "352", "353", "354", "358", "420", "421"],
+    "phone": [
+        "1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49",
+        "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90",
+        "91", "92", "93", "94", "95", "98", "351", "352", "353", "354", "358", "420", "421",
+    ],
     "secret": ["AKIA", "ASIA", "ghp_", "gho_", "xoxa", "xoxb", "xoxp", "xoxr", "sk_", "pk_", "eyJ"],
     "iban": ["AT", "BE", "CH", "CZ", "DE", "DK", "ES", "FI", "FR", "GB", "GR", "HU", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "RO", "SE"],
     "national": [],
-    "name": ["Alice", "Anna", "Carlos", "David", "Elena", "Emma", "Eva", "Hans", "Jack", "James", "Jean", "John", "Jose", "Juan", "Julia", "Karl", "Laura", "Lucas", "Luis", "Maria", "Marie", "Mark", "Mary", "Michael", "Paul", "Pedro", "Peter", "Pierre", "Robert", "Sarah", "Sofia", "Thomas"],
+    "name": [
+        "Alice", "Anna", "Carlos", "David", "Elena", "Emma", "Eva", "Hans", "Jack", "James", "Jean", "John", "Jose", "Juan",
+        "Julia", "Karl", "Laura", "Lucas", "Luis", "Maria", "Marie", "Mark", "Mary", "Michael", "Paul", "Pedro", "Peter",
+        "Pierre", "Robert", "Sarah", "Sofia", "Thomas",
+    ],
 }
 
 
@@ -164,7 +198,16 @@ def _tokens(kind: str, span: Column) -> Column:
     }[kind]()
 
 
-_LENGTHS = {"email": (6, 64), "ip": (7, 15), "card": (13, 23), "phone": (10, 20), "secret": (16, 64), "iban": (15, 42), "national": (11, 11), "name": (5, 60)}
+_LENGTHS = {
+    "email": (6, 64),
+    "ip": (7, 15),
+    "card": (13, 23),
+    "phone": (10, 20),
+    "secret": (16, 64),
+    "iban": (15, 42),
+    "national": (11, 11),
+    "name": (5, 60),
+}
 VOTES = ("regex", "gazetteer", "context", "length")
 _SPAN = "struct<order:int,kind:string,start:int,end:int,base:boolean,votes:array<int>,shape:array<string>>"
 
@@ -185,7 +228,13 @@ def _shape(kind: str, e: Column, votes: Column) -> Column:
     n, digits = F.length(span), F.length(_digits(span))
     marks = F.length(F.regexp_replace(span, r"[A-Za-z0-9]", ""))
     case = F.when(span.rlike("^[^A-Z]*$"), "l").when(span.rlike("^[^a-z]*$"), "u").otherwise("m")
-    parts = [("n", F.least(n.cast("int"), F.lit(64))), ("d", F.floor(10 * digits / n)), ("s", F.least(marks.cast("int"), F.lit(9))), ("c", case), *((VOTES[i][0] + "v", votes[i]) for i in range(3))]
+    parts = [
+        ("n", F.least(n.cast("int"), F.lit(64))),
+        ("d", F.floor(10 * digits / n)),
+        ("s", F.least(marks.cast("int"), F.lit(9))),
+        ("c", case),
+        *((VOTES[i][0] + "v", votes[i]) for i in range(3)),
+    ]
     return F.array(*[F.concat(F.lit(f"{kind}.{k}"), v.cast("string")) for k, v in parts])
 
 
@@ -194,14 +243,27 @@ def _item(kind: str, order: int, gazetteer: Mapping[str, Sequence[str]]) -> Call
         base = check(kind, e["span"]) if kind in BASE else F.lit(False)
 
         def made(votes: Column) -> Column:
-            return F.struct(F.lit(order).alias("order"), F.lit(kind).alias("kind"), e["start"].alias("start"), e["end"].alias("end"), base.alias("base"), votes.alias("votes"), _shape(kind, e, votes).alias("shape"))
+            return F.struct(
+                F.lit(order).alias("order"),
+                F.lit(kind).alias("kind"),
+                e["start"].alias("start"),
+                e["end"].alias("end"),
+                base.alias("base"),
+                votes.alias("votes"),
+                _shape(kind, e, votes).alias("shape"),
+            )
 
         return F.get(F.transform(F.array(_votes(kind, e, gazetteer)), made), F.lit(0))  # votes are worked out once
 
     return item
 
 
-def candidates(docs: DataFrame, text: str = "text", kinds: Sequence[str] = tuple(PATTERNS), gazetteer: Mapping[str, Sequence[str]] = GAZETTEER) -> DataFrame:
+def candidates(
+    docs: DataFrame,
+    text: str = "text",
+    kinds: Sequence[str] = tuple(PATTERNS),
+    gazetteer: Mapping[str, Sequence[str]] = GAZETTEER,
+) -> DataFrame:
     """``docs`` with ``found``: an array of the candidates with their votes and shapes."""
     t, parts = F.coalesce(F.col(text), F.lit("")), []
     for i, kind in enumerate(kinds):
@@ -228,7 +290,10 @@ def reliabilities(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         more["_share"] = (F.sum(n * p).over(w) + 1) / (F.sum(n).over(w) + 2)
         for j, v in enumerate(vote):
             for name, weight, start in (("_hit", n * p, 0.8), ("_miss", n * (1 - p), 0.2)):
-                more[f"{name}{j}"] = (F.sum(F.when(v == 1, weight).otherwise(0.0)).over(w) + 4 * start) / (F.sum(F.when(v >= 0, weight).otherwise(0.0)).over(w) + 4)
+                more[f"{name}{j}"] = (
+                    F.sum(F.when(v == 1, weight).otherwise(0.0)).over(w)
+                    + 4 * start
+                ) / (F.sum(F.when(v >= 0, weight).otherwise(0.0)).over(w) + 4)
         rows = rows.withColumns(more)
         odds = F.log(F.col("_share") / (1 - F.col("_share")))
         for j, v in enumerate(vote):
@@ -246,7 +311,10 @@ def train(found: DataFrame) -> DataFrame:
     known = reliabilities(seen.groupBy("kind", "votes").agg(F.sum("n").alias("n")))
     soft = seen.join(known.drop("n"), ["kind", "votes"])
     named = soft.select("n", "posterior", F.explode(F.concat(F.array(F.col("kind")), F.col("shape"))).alias("feature"))
-    sums = named.groupBy("feature").agg(F.sum(F.col("n") * F.col("posterior")).alias("yes"), F.sum(F.col("n") * (1 - F.col("posterior"))).alias("no"))
+    sums = named.groupBy("feature").agg(
+        F.sum(F.col("n") * F.col("posterior")).alias("yes"),
+        F.sum(F.col("n") * (1 - F.col("posterior"))).alias("no"),
+    )
     w, kind_itself = W.partitionBy(F.substring_index("feature", ".", 1)), ~F.contains("feature", F.lit("."))
     all_yes, all_no = (F.max(F.when(kind_itself, F.col(c))).over(w) for c in ("yes", "no"))
     # Shares of a feature lean to what it has of all candidates, so that what was seen once or twice says little.
@@ -263,13 +331,29 @@ def spans(found: DataFrame) -> DataFrame:
     model = materialize(train(found), "pii-model").scalar()
 
     def odds(e: Column) -> Column:
-        return F.aggregate(F.concat(F.array(e["kind"]), e["shape"]), F.lit(0.0), lambda s, f: s + F.coalesce(F.element_at(F.col("__model"), f), F.lit(0.0)))
-
-    kept = F.filter("found", lambda e: e["base"] | ((e["order"] >= len(BASE)) & F.exists(F.slice(e["votes"], 1, 3), lambda v: v == 1) & (odds(e) >= 0)))
+        return F.aggregate(
+            F.concat(F.array(e["kind"]), e["shape"]),
+            F.lit(0.0),
+            lambda s, f: s + F.coalesce(F.element_at(F.col("__model"), f), F.lit(0.0)),
+        )
+
+    kept = F.filter(
+        "found",
+        lambda e: e["base"] | ((e["order"] >= len(BASE)) & F.exists(F.slice(e["votes"], 1, 3), lambda v: v == 1) & (odds(e) >= 0)),
+    )
     over = F.filter("__kept", lambda e: e["base"] | (e["kind"] == "iban"))
     covers = lambda b, e: (b["start"] <= e["start"]) & (e["end"] <= b["end"]) & (b["kind"] != e["kind"])
     free = F.filter("__kept", lambda e: e["base"] | ~F.exists(over, lambda b: covers(b, e)))
-    bare = F.transform(free, lambda e: F.struct(e["start"].alias("start"), e["order"].alias("order"), e["end"].alias("end"), e["kind"].alias("kind"), e["base"].alias("base")))
+    bare = F.transform(
+        free,
+        lambda e: F.struct(
+            e["start"].alias("start"),
+            e["order"].alias("order"),
+            e["end"].alias("end"),
+            e["kind"].alias("kind"),
+            e["base"].alias("base"),
+        ),
+    )
     return found.withColumn("__model", model).withColumn("__kept", kept).withColumn("spans", F.array_sort(bare)).drop("__model", "__kept", "found")
 
 
@@ -300,10 +384,15 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         mask = F.element_at(F.create_map(*[F.lit(x) for kv in MASKS.items() for x in kv]), e["kind"])
         before = F.substr(F.col("__text"), s["at"] + 1, F.greatest(e["start"] - s["at"], F.lit(0)))
         fresh = e["start"] >= s["at"]
-        return F.struct(F.greatest(s["at"], e["end"]).alias("at"), F.when(fresh, F.concat(s["out"], F.array(before, mask))).otherwise(s["out"]).alias("out"))
+        return F.struct(
+            F.greatest(s["at"], e["end"]).alias("at"),
+            F.when(fresh, F.concat(s["out"], F.array(before, mask))).otherwise(s["out"]).alias("out"),
+        )
 
     def end(s: Column) -> Column:
         return F.concat(F.array_join(s["out"], ""), F.substr(F.col("__text"), s["at"] + 1))
 
     clean = F.when(F.size("spans") > 0, F.aggregate("spans", state, step, end)).otherwise(F.col("__text"))
-    return rows.withColumn("__clean", clean).select(*[F.col("__clean").alias(c) if c == text else F.col("__row")[c].alias(c) for c in docs.columns])
+    return rows.withColumn("__clean", clean).select(
+        *[F.col("__clean").alias(c) if c == text else F.col("__row")[c].alias(c) for c in docs.columns]
+    )

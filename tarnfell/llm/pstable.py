@@ -158,7 +158,10 @@ def _compare(cosine: float):
                     break
                 root = new
             hit = np.flatnonzero(partners)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(partners[hit].astype(np.int64)), pa.array(ids[root[hit]])], names=["src", "n", "dst"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[hit]), pa.array(partners[hit].astype(np.int64)), pa.array(ids[root[hit]])],
+                names=["src", "n", "dst"],
+            )
 
     return run
 
@@ -166,21 +169,49 @@ def _compare(cosine: float):
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, bucket_max: int = BUCKET_MAX) -> DataFrame:
     """Per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
     v = F.transform("embedding", lambda x: x.cast("double"))
-    sound = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False)) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    sound = F.coalesce(
+        F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0),
+        F.lit(False),
+    ) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     bits = F.concat_ws(",", F.transform(v, lambda x: x.cast("string")))
-    rows = vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", "label", F.col("embedding").alias("v"), sound.alias("sound"), F.when(sound, F.sha2(bits, 256)).alias("key"))
+    rows = vectors.select(
+        F.monotonically_increasing_id().alias("row"),
+        "vec_id",
+        "label",
+        F.col("embedding").alias("v"),
+        sound.alias("sound"),
+        F.when(sound, F.sha2(bits, 256)).alias("key"),
+    )
     rows = materialize(rows, "pstable-rows")
     # Exact copies (of one label) become one representative: the first row of them, as ids may repeat.
-    copies = rows.filter("sound").groupBy("label", "key").agg(F.min("row").alias("rep"), F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
+    copies = rows.filter("sound").groupBy("label", "key").agg(
+        F.min("row").alias("rep"),
+        F.min("vec_id").alias("first_id"),
+        F.count(F.lit(1)).alias("copies"),
+        F.first("v").alias("v"),
+    )
     copies = materialize(copies, "pstable-copies")
     kinds = {f.name: f.dataType.simpleString() for f in copies.schema}
-    hashed = copies.select("rep", "label", "v", "copies").mapInArrow(_hash, f"rep long, label {kinds['label']}, v {kinds['v']}, copies long, signs array<long>")
+    hashed = copies.select("rep", "label", "v", "copies").mapInArrow(
+        _hash,
+        f"rep long, label {kinds['label']}, v {kinds['v']}, copies long, signs array<long>",
+    )
     hashed = materialize(hashed, "pstable-hashed")
     meets = hashed.select("rep", F.xxhash64("label", F.size("v")).alias("label"), F.posexplode("signs").alias("at", "bucket"))
     sizes = meets.groupBy("label", "at", "bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     tiles = F.ceil(F.col("n") / bucket_max).cast("int")
-    met = meets.join(sizes, ["label", "at", "bucket"]).withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("rep", "at"), tiles).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(o, F.col("tile")).alias("i"), F.greatest(o, F.col("tile")).alias("j"), F.signum(F.col("tile") - o).cast("int").alias("side")))
+    met = meets.join(sizes, ["label", "at", "bucket"]).withColumn("tiles", tiles).withColumn(
+        "tile",
+        F.pmod(F.xxhash64("rep", "at"), tiles).cast("int"),
+    )
+    others = F.transform(
+        F.sequence(F.lit(0), F.col("tiles") - 1),
+        lambda o: F.struct(
+            F.least(o, F.col("tile")).alias("i"),
+            F.greatest(o, F.col("tile")).alias("j"),
+            F.signum(F.col("tile") - o).cast("int").alias("side"),
+        ),
+    )
     dealt = met.select("rep", "label", "at", "bucket", F.explode(others).alias("o"))
     keyed = dealt.select(F.xxhash64("label", "at", "bucket", "o.i", "o.j").alias("key"), "at", F.col("o.side").alias("side"), "rep")
     full = keyed.join(hashed.select("rep", "copies", "v", "signs"), "rep").select("key", "at", "side", "rep", "copies", "v", "signs")
@@ -189,9 +220,23 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, bucket_max: int
     found = materialize(found, "pstable-links")
     links = found.groupBy("src").agg(F.sum("n").alias("linked"))
     parts = components(found.select("src", "dst"))
-    known = copies.drop("v").join(links.withColumnRenamed("src", "rep"), "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    known = copies.drop("v").join(links.withColumnRenamed("src", "rep"), "rep", "left").join(
+        parts.withColumnRenamed("node", "rep"),
+        "rep",
+        "left",
+    ).withColumn("component", F.coalesce("component", "rep"))
     names = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    known = known.join(names, "component").select("label", "key", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    known = known.join(names, "component").select(
+        "label",
+        "key",
+        (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        "component_id",
+    )
     out = rows.select("vec_id", "label", "key").join(materialize(known, "pstable-known"), ["label", "key"], "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    return out.select(
+        "vec_id",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        component.alias("component_id"),
+        F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
+    )

@@ -37,7 +37,11 @@ def op4_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def capture_days(pages: DataFrame) -> DataFrame:
     """The pages table has no fetch time: page n counts as fetched on day n mod 365 of 2024."""
-    return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(365)).cast("int")).alias("fetch_day"))
+    return pages.select(
+        "page_id",
+        "url",
+        F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(365)).cast("int")).alias("fetch_day"),
+    )
 
 
 def dated_list(pages: DataFrame) -> DataFrame:
@@ -47,9 +51,16 @@ def dated_list(pages: DataFrame) -> DataFrame:
     """
     names = pages.select(F.explode(urlfilter.suffixes(urlfilter.host(F.col("url")))).alias("pattern")).distinct()
     digit = lambda k: F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(F.col("pattern").cast("binary")), k, 1)) - 1
-    marked = names.withColumn("first", digit(1)).filter("first < 4").withColumn("dated", F.date_add(F.lit("2024-01-01").cast("date"), digit(2) * 10 + digit(3)))
+    marked = names.withColumn("first", digit(1)).filter("first < 4").withColumn(
+        "dated",
+        F.date_add(F.lit("2024-01-01").cast("date"), digit(2) * 10 + digit(3)),
+    )
     events = F.array(*[F.struct(F.lit(a).alias("action"), F.lit(n).alias("after")) for a, n in (("add", 0), ("remove", 90), ("add", 150))])
-    return marked.select("pattern", "dated", F.explode(events).alias("e")).select("pattern", "e.action", F.date_add("dated", F.col("e.after")).alias("dated"))
+    return marked.select("pattern", "dated", F.explode(events).alias("e")).select(
+        "pattern",
+        "e.action",
+        F.date_add("dated", F.col("e.after")).alias("dated"),
+    )
 
 
 def op5_temporal_list_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,16 +89,38 @@ def op10_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model).drop("text")
-    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
-
-
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_hidden_markov, op2_byte_bpe, op3_threshold_algorithm, op4_entropy_balancing, op5_temporal_list_join, op6_simhash_bk_tree, op7_diagonal_voting, op8_weak_supervision_pii, op9_p_stable, op10_toxicity_nnpu)}
+    return scored.select(
+        "doc_id",
+        toxicity.held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_hidden_markov,
+        op2_byte_bpe,
+        op3_threshold_algorithm,
+        op4_entropy_balancing,
+        op5_temporal_list_join,
+        op6_simhash_bk_tree,
+        op7_diagonal_voting,
+        op8_weak_supervision_pii,
+        op9_p_stable,
+        op10_toxicity_nnpu,
+    )
+}
 
 
 
 def _license_sql() -> str:
     """Every pair of words against every template's, diagonals, spans, and the longest chain of each by growing all chains."""
-    templates = [*((p, label, True) for p, label in licenses.PHRASES.items()), *((t, label, False) for label, ts in licenses.TEMPLATES.items() for t in ts)]
+    templates = [
+        *((p, label, True) for p, label in licenses.PHRASES.items()),
+        *((t, label, False) for label, ts in licenses.TEMPLATES.items() for t in ts),
+    ]
     rows = []
     for number, (text, label, phrase) in enumerate(templates):
         w = text.split()

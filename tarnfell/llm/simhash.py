@@ -61,7 +61,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     else:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate([[0], ends[:-1] + 1])
-        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist())], np.uint64)
+        hashes = np.array(
+            [digest(joined[a:b], seed) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist())],
+            np.uint64,
+        )
     return int(_WEIGHT[2 * set_bits(hashes) > len(hashes)].sum())
 
 
@@ -198,9 +201,20 @@ def link(fps: DataFrame, shard_max: int = SHARD_MAX) -> DataFrame:
     entries = fps.select("fp", F.explode(F.array(*keyed)).alias("shard"))
     large = entries.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard_max)
     # Nearly every shard is one group of one task; the large ones are cut into pairs of tiles.
-    tagged = entries.join(large.select("shard", F.ceil(F.col("n") / shard_max).cast("int").alias("tiles")), "shard", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    tagged = entries.join(
+        large.select("shard", F.ceil(F.col("n") / shard_max).cast("int").alias("tiles")),
+        "shard",
+        "left",
+    ).withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     tile = F.pmod(F.xxhash64("fp", "shard"), F.col("tiles")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(o, F.col("tile")).alias("i"), F.greatest(o, F.col("tile")).alias("j"), F.when(o == F.col("tile"), 0).when(o > F.col("tile"), -1).otherwise(1).alias("side")))
+    others = F.transform(
+        F.sequence(F.lit(0), F.col("tiles") - 1),
+        lambda o: F.struct(
+            F.least(o, F.col("tile")).alias("i"),
+            F.greatest(o, F.col("tile")).alias("j"),
+            F.when(o == F.col("tile"), 0).when(o > F.col("tile"), -1).otherwise(1).alias("side"),
+        ),
+    )
     dealt = tagged.withColumn("tile", tile).select("fp", "shard", F.explode(others).alias("o"))
     rows = dealt.select((F.xxhash64("shard", "o.i", "o.j")).alias("key"), F.col("o.side").alias("side"), "fp")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

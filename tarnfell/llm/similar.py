@@ -69,7 +69,9 @@ def shingles(text: str | None) -> np.ndarray:
         return np.array([digest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - SHINGLE].tolist(), ends[SHINGLE - 1 :].tolist())], np.uint64))
+    return np.unique(
+        np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - SHINGLE].tolist(), ends[SHINGLE - 1 :].tolist())], np.uint64)
+    )
 
 
 def bands(found: np.ndarray) -> list[int]:
@@ -81,7 +83,10 @@ def bands(found: np.ndarray) -> list[int]:
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(found), CHUNK):
         np.minimum(least, ((found[None, at : at + CHUNK] ^ _MASK) * _FACTOR).min(axis=1), out=least)
-    return np.array([xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)], np.uint64).view(np.int64).tolist()
+    return np.array(
+        [xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)],
+        np.uint64,
+    ).view(np.int64).tolist()
 
 
 def wide_fingerprint(found: np.ndarray) -> bytes:
@@ -117,7 +122,13 @@ def add_sets(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     import xxhash
 
     held = docs.select(*keep, F.xxhash64("text").alias("copy"), "text")
-    schema = T.StructType([*held.schema.fields[:-1], T.StructField("key", T.LongType(), False), T.StructField("bands", T.ArrayType(T.LongType(), False), False)])
+    schema = T.StructType(
+        [
+            *held.schema.fields[:-1],
+            T.StructField("key", T.LongType(), False),
+            T.StructField("bands", T.ArrayType(T.LongType(), False), False),
+        ]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,12 +137,22 @@ def add_sets(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
                 s = shingles(t.as_py())
                 keys[i] = xxhash.xxh64_intdigest(s.tobytes(), SEED)
                 found.append(bands(s))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys.view(np.int64)), pa.array(found, pa.list_(pa.int64()))], names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(keys.view(np.int64)), pa.array(found, pa.list_(pa.int64()))],
+                names=schema.fieldNames(),
+            )
 
     return held.mapInArrow(run, schema)
 
 
-_SET = T.StructType([T.StructField("key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("fp", T.BinaryType()), T.StructField("items", T.BinaryType())])
+_SET = T.StructType(
+    [
+        T.StructField("key", T.LongType()),
+        T.StructField("bands", T.ArrayType(T.LongType())),
+        T.StructField("fp", T.BinaryType()),
+        T.StructField("items", T.BinaryType()),
+    ]
+)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +161,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             found = [shingles(t.as_py()) for t in part.column(2)]
-            yield _batch(_SET, part.column(0).to_pylist(), part.column(1).to_pylist(), [wide_fingerprint(s) for s in found], [s.tobytes() for s in found])
+            yield _batch(
+                _SET,
+                part.column(0).to_pylist(),
+                part.column(1).to_pylist(),
+                [wide_fingerprint(s) for s in found],
+                [s.tobytes() for s in found],
+            )
 
 
 _EDGE = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
@@ -195,7 +222,11 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (src, dst: keys) whose sets are similar."""
     shares = pairs.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("n"))
-    left = sets.join(shares, sets.key == shares.src).select("src", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("share"), F.col("items").alias("left"))
+    left = sets.join(shares, sets.key == shares.src).select(
+        "src",
+        F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("share"),
+        F.col("items").alias("left"),
+    )
     dealt = pairs.join(shares, "src").withColumn("share", F.pmod(F.xxhash64("dst"), F.col("n")).cast("int"))
     right = sets.select(F.col("key").alias("dst"), F.col("items").alias("right"))
     return dealt.join(right, "dst").join(left, ["src", "share"]).select("src", "dst", "left", "right").mapInArrow(_check, _EDGE)
@@ -262,13 +293,19 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """``keep`` of every row of ``docs`` (text) and ``component``: the same for all that links reach from one another."""
     rows = materialize(add_sets(docs, keep), "similar")
     # One row a set: however many texts have it, they meet before they move.
-    keys = materialize(rows.filter(F.size("bands") > 0).groupBy("key").agg(F.min("copy").alias("copy"), F.first("bands").alias("bands")), "similar-keys")
+    keys = materialize(
+        rows.filter(F.size("bands") > 0).groupBy("key").agg(F.min("copy").alias("copy"), F.first("bands").alias("bands")),
+        "similar-keys",
+    )
     entries = keys.select("key", F.explode("bands").alias("band"))
     full = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shards = materialize(entries.join(full, "band").select("band", "n", "key"), "similar-shards")
     # Each set that is in a shard with others, once.
     wanted = keys.join(shards.select("key").distinct(), "key")
-    texts = docs.select("text", F.xxhash64("text").alias("copy")).join(wanted, "copy").groupBy("key").agg(F.first("bands").alias("bands"), F.min("text").alias("text"))
+    texts = docs.select("text", F.xxhash64("text").alias("copy")).join(wanted, "copy").groupBy("key").agg(
+        F.first("bands").alias("bands"),
+        F.min("text").alias("text"),
+    )
     sets = materialize(texts.select("key", "bands", "text").mapInArrow(_sets, _SET), "similar-sets")
 
     tiles = _parts(TILE, "n")
@@ -281,15 +318,38 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     first = components(edges)
 
     # What is left: links between members of a shard that lie in different components, one of them not the shard's main.
-    named = materialize(shards.join(first, shards.key == first.node, "left").select("band", "key", F.coalesce("component", "key").alias("part")), "similar-parts")
+    named = materialize(
+        shards.join(first, shards.key == first.node, "left").select("band", "key", F.coalesce("component", "key").alias("part")),
+        "similar-parts",
+    )
     sizes = named.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"))
-    several = sizes.groupBy("band").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("members"), F.max("n").alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1 and members > 2")
-    several = several.withColumn("minors", F.col("members") - F.col("most")).select("band", "main", _parts(MINOR, "minors").alias("trees"), _parts(OTHERS, "members").alias("tiles"))
+    several = sizes.groupBy("band").agg(
+        F.max_by("part", F.struct("n", "part")).alias("main"),
+        F.sum("n").alias("members"),
+        F.max("n").alias("most"),
+        F.count(F.lit(1)).alias("parts"),
+    ).filter("parts > 1 and members > 2")
+    several = several.withColumn("minors", F.col("members") - F.col("most")).select(
+        "band",
+        "main",
+        _parts(MINOR, "minors").alias("trees"),
+        _parts(OTHERS, "members").alias("tiles"),
+    )
     whole = named.join(several, "band").withColumn("minor", F.col("part") != F.col("main"))
-    inside = whole.filter("minor").select("*", F.pmod(F.xxhash64("key", "band"), F.col("trees")).cast("int").alias("i"), _each(F.col("tiles")).alias("j")).withColumn("other", F.lit(0))
-    asked = whole.select("*", _each(F.col("trees")).alias("i"), F.pmod(F.xxhash64("band", "key"), F.col("tiles")).cast("int").alias("j")).withColumn("other", F.lit(1))
+    inside = whole.filter("minor").select(
+        "*",
+        F.pmod(F.xxhash64("key", "band"), F.col("trees")).cast("int").alias("i"),
+        _each(F.col("tiles")).alias("j"),
+    ).withColumn("other", F.lit(0))
+    asked = whole.select(
+        "*",
+        _each(F.col("trees")).alias("i"),
+        F.pmod(F.xxhash64("band", "key"), F.col("tiles")).cast("int").alias("j"),
+    ).withColumn("other", F.lit(1))
     met = inside.unionByName(asked).select(F.xxhash64("band", "i", "j").alias("group"), "other", "key", "part", "minor", "band")
-    crossed = _dealt(met.join(sets, "key").select("group", "other", "key", "part", "minor", "band", "bands", "fp", "items")).mapInArrow(_cross, _EDGE)
+    crossed = _dealt(
+        met.join(sets, "key").select("group", "other", "key", "part", "minor", "band", "bands", "fp", "items")
+    ).mapInArrow(_cross, _EDGE)
     more = components(materialize(crossed, "similar-crossed")).toDF("component", "joined")
     found = rows.join(first, rows.key == first.node, "left").select(*keep, F.coalesce("component", "key").alias("component"))
     return found.join(more, "component", "left").select(*keep, F.coalesce("joined", "component").alias("component"))

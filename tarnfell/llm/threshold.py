@@ -43,7 +43,13 @@ class Lists:
         self.order = np.argsort(self.values, axis=0, kind="stable")
         self.sorted = np.take_along_axis(self.values, self.order, axis=0)
 
-    def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int = TOP, depth: int = DEPTH) -> tuple[list[np.ndarray], list[np.ndarray], int]:
+    def best(
+        self,
+        query_ids: np.ndarray,
+        queries: np.ndarray,
+        k: int = TOP,
+        depth: int = DEPTH,
+    ) -> tuple[list[np.ndarray], list[np.ndarray], int]:
         """For each query the ids and scores of its k best, ties to the smaller id; and how many scores were made.
 
         The queries of a block share their sorted access (both ends of every list), each leaves as its bound allows.
@@ -125,7 +131,14 @@ def _rank(k: int, pack: int):
                     if kind not in lists:
                         lists[kind] = Lists(block[0], block[1].astype(kind))
                     found, scores, _ = lists[kind].best(queries, vectors.astype(kind), k)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, [len(f) for f in found])), pa.array(np.concatenate(found)), pa.array([int(x) for x in np.concatenate(scores)], pa.int64())], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.repeat(queries, [len(f) for f in found])),
+                            pa.array(np.concatenate(found)),
+                            pa.array([int(x) for x in np.concatenate(scores)], pa.int64()),
+                        ],
+                        names=["query_id", "vec_id", "score"],
+                    )
 
     return run
 
@@ -134,11 +147,24 @@ def whole_numbers(vector: Column, scale: int = SCALE) -> Column:
     return F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("long"))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, scale: int = SCALE, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
+def top_k(
+    vectors: DataFrame,
+    is_query: Column,
+    k: int = TOP,
+    scale: int = SCALE,
+    candidates: int = CANDIDATES,
+    queries: int = QUERIES,
+) -> DataFrame:
     """(query_id, rank, vec_id, score) for every row of ``vectors`` (vec_id, embedding) for which ``is_query`` holds."""
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False)))
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", whole_numbers(F.col("embedding"), scale).alias("v"), F.size("embedding").alias("width"), F.coalesce(is_query, F.lit(False)).alias("asked"))
+    rows = rows.select(
+        F.monotonically_increasing_id().alias("row"),
+        "vec_id",
+        whole_numbers(F.col("embedding"), scale).alias("v"),
+        F.size("embedding").alias("width"),
+        F.coalesce(is_query, F.lit(False)).alias("asked"),
+    )
     rows = materialize(rows, "threshold-rows")
     n, m = rows.agg(F.count(F.lit(1)), F.count_if("asked")).first()
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))

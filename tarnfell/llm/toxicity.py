@@ -105,7 +105,14 @@ def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, np.ndarra
     return float(value), of_p, of_u
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.03, decay: float = 1e-4) -> Model:
+def fit(
+    positive: list[np.ndarray],
+    unlabelled: list[np.ndarray],
+    prior: float,
+    steps: int = 400,
+    rate: float = 0.03,
+    decay: float = 1e-4,
+) -> Model:
     """Full-batch Adam on the non-negative risk with the logistic loss; features are scaled by their contrast."""
     if not positive or not unlabelled or not 0 < prior < 1:
         return Model(np.zeros(SPACE, np.float32), 0.0, 0.0)
@@ -152,7 +159,10 @@ def _featured(docs: DataFrame, sample: DataFrame) -> list[np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([make(t.as_py()).tobytes() for t in b.column(2)], pa.binary())], names=["doc_id", "h", "x"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array([make(t.as_py()).tobytes() for t in b.column(2)], pa.binary())],
+                names=["doc_id", "h", "x"],
+            )
 
     # Rows that are equal meet before they move, so no more comes here than the sample has.
     met = docs.join(F.broadcast(sample), ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.first("text").alias("text"))
@@ -163,7 +173,9 @@ def _featured(docs: DataFrame, sample: DataFrame) -> list[np.ndarray]:
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, positives: int = 3000, unlabelled: int = 9000) -> Model:
     """A model from at most so many confirmed toxic rows and so many rows of any sort, all of the training folds."""
-    marked = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out("doc_id", folds))
+    marked = labels.filter(
+        "doc_id is not null and toxic is not null"
+    ).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out("doc_id", folds))
     prior = marked.agg(F.avg("toxic")).first()[0] or 0.0
     texts = docs.filter("doc_id is not null").filter(~held_out("doc_id", folds)).select("doc_id", "text", F.xxhash64("text").alias("h"))
 

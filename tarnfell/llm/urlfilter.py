@@ -41,35 +41,74 @@ def suffixes(name: Column) -> Column:
     """The host and all domains above it that have two labels at least."""
     labels = F.split(name, r"\.")
     n = F.size(labels)
-    return F.when(n < 2, F.array(name)).otherwise(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.array_join(F.slice(labels, i + 1, n), ".")))
+    return F.when(n < 2, F.array(name)).otherwise(
+        F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.array_join(F.slice(labels, i + 1, n), "."))
+    )
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, valid_from, valid_to) from events (pattern, action: add or remove, dated: date)."""
-    events = entries.filter("pattern is not null and dated is not null and action in ('add', 'remove')").select(F.lower("pattern").alias("pattern"), "action", F.col("dated").cast("date").alias("dated")).distinct()
+    events = entries.filter("pattern is not null and dated is not null and action in ('add', 'remove')").select(
+        F.lower("pattern").alias("pattern"),
+        "action",
+        F.col("dated").cast("date").alias("dated"),
+    ).distinct()
     along = W.partitionBy("pattern").orderBy("dated", "action")
     ends = events.withColumn("valid_to", F.lead("dated").over(along))
-    return ends.filter("action = 'add' and (valid_to is null or valid_to > dated)").select("pattern", F.col("dated").alias("valid_from"), "valid_to")
+    return ends.filter(
+        "action = 'add' and (valid_to is null or valid_to > dated)"
+    ).select("pattern", F.col("dated").alias("valid_from"), "valid_to")
 
 
 def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "fetch_day") -> DataFrame:
     """``captures`` with ``host``, ``blocked``, ``pattern`` (the longest that blocks it) and ``since``."""
     month = lambda c: F.year(c) * 12 + F.month(c)
     columns = others(captures.columns, "host", "blocked", "pattern", "since")
-    kept = captures.select(F.struct(*columns).alias("__capture"), F.monotonically_increasing_id().alias("__row"), host(F.col(url)).alias("host"), F.col(day).cast("date").alias("__day"))
+    kept = captures.select(
+        F.struct(*columns).alias("__capture"),
+        F.monotonically_increasing_id().alias("__row"),
+        host(F.col(url)).alias("host"),
+        F.col(day).cast("date").alias("__day"),
+    )
     kept = materialize(kept, "captures")  # the number of a row must not change between the two uses
     rows = kept.drop("__day")
-    names = kept.filter("host is not null and __day is not null").select("__row", "__day", F.explode(suffixes(F.col("host"))).alias("pattern"))
+    names = kept.filter("host is not null and __day is not null").select(
+        "__row",
+        "__day",
+        F.explode(suffixes(F.col("host"))).alias("pattern"),
+    )
     # Slots are (month, 0) in the years that count, (the capture's number, 1) for open intervals.
     open_slot = F.struct(F.pmod("__row", F.lit(SALT)).cast("int").alias("n"), F.lit(1).alias("kind"))
-    keys = names.select("__row", "__day", "pattern", F.explode(F.array(F.struct(month("__day").alias("n"), F.lit(0).alias("kind")), open_slot)).alias("__slot"))
+    keys = names.select(
+        "__row",
+        "__day",
+        "pattern",
+        F.explode(F.array(F.struct(month("__day").alias("n"), F.lit(0).alias("kind")), open_slot)).alias("__slot"),
+    )
     earliest, latest = kept.agg(F.min("__day"), F.max("__day")).first()
     first, last = F.greatest("valid_from", F.lit(earliest)), F.least(F.date_sub("valid_to", 1), F.lit(latest))
     every = intervals(entries)
     closed = every.filter(F.col("valid_to").isNotNull()).withColumn("__n", F.when(first <= last, F.sequence(month(first), month(last))))
     lasting = every.filter(F.col("valid_to").isNull()).withColumn("__n", F.sequence(F.lit(0), F.lit(SALT - 1)))
-    slots = [df.withColumn("__n", F.explode("__n")).withColumn("__slot", F.struct(F.col("__n").alias("n"), F.lit(kind).alias("kind"))).drop("__n") for kind, df in enumerate((closed, lasting))]
-    met = keys.join(slots[0].unionByName(slots[1]), ["pattern", "__slot"]).filter((F.col("__day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("__day") < F.col("valid_to"))))
-    best = met.groupBy("__row").agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern", F.col("valid_from").alias("since"))).alias("__best"))
+    slots = [
+        df.withColumn("__n", F.explode("__n")).withColumn(
+            "__slot",
+            F.struct(F.col("__n").alias("n"), F.lit(kind).alias("kind")),
+        ).drop("__n")
+        for kind, df in enumerate((closed, lasting))
+    ]
+    met = keys.join(slots[0].unionByName(slots[1]), ["pattern", "__slot"]).filter(
+        (F.col("__day") >= F.col("valid_from"))
+        & (F.col("valid_to").isNull() | (F.col("__day") < F.col("valid_to")))
+    )
+    best = met.groupBy("__row").agg(
+        F.max(F.struct(F.length("pattern").alias("n"), "pattern", F.col("valid_from").alias("since"))).alias("__best")
+    )
     out = rows.join(best, "__row", "left")
-    return out.select("__capture.*", "host", F.col("__best").isNotNull().alias("blocked"), F.col("__best.pattern").alias("pattern"), F.col("__best.since").alias("since"))
+    return out.select(
+        "__capture.*",
+        "host",
+        F.col("__best").isNotNull().alias("blocked"),
+        F.col("__best.pattern").alias("pattern"),
+        F.col("__best.since").alias("since"),
+    )

@@ -18,13 +18,31 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from tarnfell.llm import bpe, components, hmm, licenses, mixing, pii, pstable, queries, simhash, threshold, toxicity, urlfilter  # noqa: E402
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-ODD = ["", None, " ", "a", "mit LICENSE", "x " * 30_000, "9" * 40_000, "é" * 3000 + "  中", "MIT License mit license", "same words here again", "same words here again", "\x00nul\x00", "+1 (234) 567-8901 a@b.co 1.2.3.4 4111 1111 1111 1111"]
+ODD = [
+    "",
+    None,
+    " ",
+    "a",
+    "mit LICENSE",
+    "x " * 30_000,
+    "9" * 40_000,
+    "é" * 3000 + "  中",
+    "MIT License mit license",
+    "same words here again",
+    "same words here again",
+    "\x00nul\x00",
+    "+1 (234) 567-8901 a@b.co 1.2.3.4 4111 1111 1111 1111",
+]
 
 
 @pytest.fixture(scope="module")
 def odd(spark):
     """Documents with every oddity: null ids and sources, repeated rows, a clashing column."""
-    rows = [(i, t, "en", f"s{i % 3}" if i % 4 else None, 0, "x") for i, t in enumerate(ODD)] + [(None, "no id", "en", "s1", 0, "x"), (3, "a", "en", "s0", 0, "x"), (3, "a", "en", "s0", 0, "x")]
+    rows = [(i, t, "en", f"s{i % 3}" if i % 4 else None, 0, "x") for i, t in enumerate(ODD)] + [
+        (None, "no id", "en", "s1", 0, "x"),
+        (3, "a", "en", "s0", 0, "x"),
+        (3, "a", "en", "s0", 0, "x"),
+    ]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `size` string").repartition(3)
 
 
@@ -146,7 +164,11 @@ def test_ids_and_round_trip(odd, none, reference_encoding):
     for r in got:
         t = text_of[r["doc_id"]]
         ids = reference_encoding.encode_ordinary(t)
-        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (
+            len(ids),
+            hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
+            hashlib.sha256(t.encode()).hexdigest(),
+        )
     assert bpe.digests(none, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
@@ -174,17 +196,37 @@ def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(0, 0.3, (400, 6)).round(2)
     x[50:80] = x[50]  # ties
-    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [None] * 6), (1002, [math.inf] * 6), (None, x[0].tolist()), (1003, []), (7, x[9].tolist())]
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [
+        (1000, None),
+        (1001, [None] * 6),
+        (1002, [math.inf] * 6),
+        (None, x[0].tolist()),
+        (1003, []),
+        (7, x[9].tolist()),
+    ]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in threshold.top_k(df, F.col("vec_id") % 50 == 0, candidates=64, queries=3).collect()}
-    whole = [(i, np.floor(256 * np.array(v))) for i, v in data if i is not None and v and all(y is not None and math.isfinite(y) for y in v)]
+    got = {
+        (r.query_id, r["rank"]): (r.vec_id, r.score)
+        for r in threshold.top_k(df, F.col("vec_id") % 50 == 0, candidates=64, queries=3).collect()
+    }
+    whole = [
+        (i, np.floor(256 * np.array(v)))
+        for i, v in data
+        if i is not None and v and all(y is not None and math.isfinite(y) for y in v)
+    ]
     for q, v in whole:
         if q % 50 == 0:
             best = sorted(((i, int(u @ v)) for i, u in whole if i != q), key=lambda z: (-z[1], z[0]))[:5]
             assert [got[q, k + 1] for k in range(5)] == best
     assert threshold.top_k(df.filter("vec_id < 0"), F.col("vec_id") % 50 == 0).count() == 0
-    one = spark.createDataFrame([(50, [1.0, 2.0], "x")] * 300 + [(7, [1.0, 1.0], "x")] * 300, "vec_id long, embedding array<double>, score string")
-    assert {(r["rank"], r.vec_id, r.score) for r in threshold.top_k(one, F.col("vec_id") % 50 == 0, candidates=16, queries=8).collect()} == {(i, 7, 3 * 65536) for i in range(1, 6)}
+    one = spark.createDataFrame(
+        [(50, [1.0, 2.0], "x")] * 300 + [(7, [1.0, 1.0], "x")] * 300,
+        "vec_id long, embedding array<double>, score string",
+    )
+    assert {
+        (r["rank"], r.vec_id, r.score)
+        for r in threshold.top_k(one, F.col("vec_id") % 50 == 0, candidates=16, queries=8).collect()
+    } == {(i, 7, 3 * 65536) for i in range(1, 6)}
 
 
 def test_the_bound_stops_early():
@@ -229,7 +271,10 @@ def test_rates_are_the_optimum_of_a_plain_solver(spark):
     share = {s: next(g for t, g, _, _ in data if t == s) for s in "abcdef"}
     rows_ = [(s, share[s] * size[s], c, w) for s, _, c, w in data]
     mean = sum(c * w for _, _, c, w in rows_) / sum(w for _, _, _, w in rows_)
-    got = {(r.source, r["class"]): r.rate for r in mixing.balance(spark.createDataFrame(rows_, "source string, goal double, class int, words long"), mean).collect()}
+    got = {
+        (r.source, r["class"]): r.rate
+        for r in mixing.balance(spark.createDataFrame(rows_, "source string, goal double, class int, words long"), mean).collect()
+    }
     for s in "abcdef":
         w = np.array([x for t, _, _, x in rows_ if t == s], float)
         d = np.array([c for t, _, c, _ in rows_ if t == s]) - mean
@@ -249,7 +294,9 @@ def test_rates_are_the_optimum_of_a_plain_solver(spark):
         p = chance(level(low), low)
         mine = np.array([got[s, c] for t, _, c, _ in rows_ if t == s]) / 2
         assert np.allclose(mine, p, atol=1e-6)
-        cost = lambda q: (w * (q * np.log(q) + (1 - q) * np.log1p(-q))).sum() + (w * q * d).sum() ** 2 / (2 * mixing.SOFT * w.sum())
+        cost = lambda q: (
+            w * (q * np.log(q) + (1 - q) * np.log1p(-q))
+        ).sum() + (w * q * d).sum() ** 2 / (2 * mixing.SOFT * w.sum())
         for _ in range(30):  # no other rates that take the target cost less
             step = np.random.default_rng(rng.randrange(10**6)).normal(size=len(w)) * 1e-3
             step -= w * (step @ w) / (w @ w)
@@ -284,8 +331,19 @@ def test_reruns_agree(odd):
 
 
 def test_captures_are_judged_as_of_their_day(spark):
-    entries = spark.sql("SELECT * FROM VALUES ('bad.com', 'add', DATE'2024-01-10'), ('bad.com', 'remove', DATE'2024-02-10'), ('x.bad.com', 'add', DATE'2024-02-01'), (null, 'add', DATE'2024-01-01'), ('odd.org', 'add', DATE'2024-01-05'), ('odd.org', 'remove', DATE'2024-01-05') AS t(pattern, action, dated)")
-    urls = ["http://x.bad.com/a", "HTTPS://u:p@BAD.com:80/", "http://notbad.com", "http://odd.org", None, "", "nonsense", "http://x.bad.com/a"]
+    entries = spark.sql(
+        "SELECT * FROM VALUES ('bad.com', 'add', DATE'2024-01-10'), ('bad.com', 'remove', DATE'2024-02-10'), ('x.bad.com', 'add', DATE'2024-02-01'), (null, 'add', DATE'2024-01-01'), ('odd.org', 'add', DATE'2024-01-05'), ('odd.org', 'remove', DATE'2024-01-05') AS t(pattern, action, dated)"
+    )
+    urls = [
+        "http://x.bad.com/a",
+        "HTTPS://u:p@BAD.com:80/",
+        "http://notbad.com",
+        "http://odd.org",
+        None,
+        "",
+        "nonsense",
+        "http://x.bad.com/a",
+    ]
     days = ["2024-01-09", "2024-01-10", "2024-02-09", "2024-02-10", None]
     data = [(u, d) for u in urls for d in days]
     got = rows(urlfilter.evaluate(spark.createDataFrame(data, "url string, d string").withColumn("fetch_day", F.to_date("d")), entries))
@@ -303,8 +361,14 @@ def test_captures_are_judged_as_of_their_day(spark):
 
 
 def test_any_date_is_judged(spark):
-    entries = spark.sql("SELECT * FROM VALUES ('bad.com', 'add', DATE'2024-01-10'), ('old.com', 'add', DATE'1950-01-01'), ('old.com', 'remove', DATE'2150-01-01'), ('late.com', 'add', DATE'2200-05-05') AS t(pattern, action, dated)")
-    data = [(f"http://a.{h}/", d) for h in ("bad.com", "old.com", "late.com") for d in ("1949-12-31", "1950-01-01", "2100-02-01", "2149-12-31", "2150-01-01", "2200-05-04", "2200-05-05", "9999-12-31")]
+    entries = spark.sql(
+        "SELECT * FROM VALUES ('bad.com', 'add', DATE'2024-01-10'), ('old.com', 'add', DATE'1950-01-01'), ('old.com', 'remove', DATE'2150-01-01'), ('late.com', 'add', DATE'2200-05-05') AS t(pattern, action, dated)"
+    )
+    data = [
+        (f"http://a.{h}/", d)
+        for h in ("bad.com", "old.com", "late.com")
+        for d in ("1949-12-31", "1950-01-01", "2100-02-01", "2149-12-31", "2150-01-01", "2200-05-04", "2200-05-05", "9999-12-31")
+    ]
     got = rows(urlfilter.evaluate(spark.createDataFrame(data, "url string, d string").withColumn("fetch_day", F.to_date("d")), entries))
     held = {"a.bad.com": ("2024-01-10", "99999"), "a.old.com": ("1950-01-01", "2150-01-01"), "a.late.com": ("2200-05-05", "99999")}
     assert len(got) == len(data) and all(r["blocked"] == (held[r["host"]][0] <= r["d"] < held[r["host"]][1]) for r in got)
@@ -342,7 +406,10 @@ def test_fingerprints_and_components(spark, odd, none):
     rng = random.Random(6)
     base = [" ".join(rng.choice("abcdefghij") * 3 for _ in range(200)) for _ in range(30)]
     texts = [*base, *(b + " tail" for b in base), *base[:5], "", None, "one two", "one two"]
-    got = {r.doc_id: r for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {
+        r.doc_id: r
+        for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    }
     fps = [plain_fingerprint(t) for t in texts]
     assert {i: r.fingerprint for i, r in got.items()} == {i: f"{f:016x}" for i, f in enumerate(fps)}
     links = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3]
@@ -353,7 +420,10 @@ def test_fingerprints_and_components(spark, odd, none):
 def test_shards_lose_no_link(spark):
     rng = random.Random(7)
     centre = rng.getrandbits(64)
-    fps = {centre} | {centre ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(300)} | {rng.getrandbits(64) for _ in range(200)}
+    fps = {centre} | {
+        centre ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64))
+        for _ in range(300)
+    } | {rng.getrandbits(64) for _ in range(200)}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     df = spark.createDataFrame([(s,) for s in signed], "fp long")
     want = plain_components(sorted(fps), [(a, b) for a, b in itertools.combinations(sorted(fps), 2) if (a ^ b).bit_count() <= 3])
@@ -383,7 +453,10 @@ def test_long_paths_are_one_component(spark):
 
 def test_phrases_stand_where_they_stand(spark, odd, none):
     texts = {r.doc_id: r.text or "" for r in odd.collect()}
-    texts |= {100: "The GNU General Public License, version 3. apache-license Apache\nLicense mit licenses", 101: "permission is HEREBY granted, free of charge, to any person obtaining a copy of this nice software and associated documentation files"}
+    texts |= {
+        100: "The GNU General Public License, version 3. apache-license Apache\nLicense mit licenses",
+        101: "permission is HEREBY granted, free of charge, to any person obtaining a copy of this nice software and associated documentation files",
+    }
     more = spark.createDataFrame([(i, t) for i, t in texts.items() if i is not None and i >= 100], "doc_id long, text string")
     got = rows(licenses.scan(odd.select("doc_id", "text").unionByName(more)))
     assert len(got) == odd.count() + 2 and licenses.scan(none).count() == 0
@@ -435,7 +508,13 @@ def plain_labels(text, slack=licenses.SLACK, share=licenses.SHARE):
 def test_added_labels_equal_a_plain_scan(spark):
     rng = random.Random(21)
     templates = [t.split() for ts in licenses.TEMPLATES.values() for t in ts]
-    texts = ["all rights all rights nothing else", "licensed under licensed under licensed under cc by", "gnu lesser gnu lesser general public", "reserved rights all", "all rights all rights reserved"]
+    texts = [
+        "all rights all rights nothing else",
+        "licensed under licensed under licensed under cc by",
+        "gnu lesser gnu lesser general public",
+        "reserved rights all",
+        "all rights all rights reserved",
+    ]
     for _ in range(250):
         w = list(rng.choice(templates)) * rng.choice([1, 1, 2])
         for _ in range(rng.randint(0, 4)):
@@ -475,15 +554,26 @@ def plain_spans(text):
     for order, (kind, pattern) in enumerate(KINDS.items()):
         for m in pattern.finditer(text):
             digits = re.sub("[^0-9]", "", m[0])
-            if {"email": True, "ip": kind != "ip" or all(int(p) < 256 for p in m[0].split(".")), "card": 12 <= len(digits) <= 19 and plain_luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]:
+            if {
+                "email": True,
+                "ip": kind != "ip" or all(int(p) < 256 for p in m[0].split(".")),
+                "card": 12 <= len(digits) <= 19 and plain_luhn(digits),
+                "phone": 9 <= len(digits) <= 15,
+            }[kind]:
                 out.append((m.start(), order, kind, m.end()))
     return sorted(out)
 
 
 def test_base_spans_equal_the_plain_patterns(spark, odd, none):
     rng = random.Random(9)
-    pieces = ["a@b.co", "x.y@z", "@", "1.2.3.4.5.6.7.8", "999.1.1.1", "007.1.2.3", "4111 1111 1111 1111", "4111-1111-1111-1112", "1 2 3", "+1 (234) 567-8901", "+12", "é", " ", "  ", "-", ".", "_", "a_b@c.d_e@f.gh", "00000000000000000000", "😀"]
-    texts = [r.text for r in odd.collect()] + ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 8))) for _ in range(400)] + ["a" * 60_000, "1 2-3 " * 20_000, "1." * 20_000, "+1 " + "(" * 50_000]
+    pieces = [
+        "a@b.co", "x.y@z", "@", "1.2.3.4.5.6.7.8", "999.1.1.1", "007.1.2.3", "4111 1111 1111 1111", "4111-1111-1111-1112",
+        "1 2 3", "+1 (234) 567-8901", "+12", "é", " ", "  ", "-", ".", "_", "a_b@c.d_e@f.gh", "00000000000000000000", "😀",
+    ]
+    texts = [r.text for r in odd.collect()] + [
+        "".join(rng.choice(pieces) for _ in range(rng.randint(1, 8)))
+        for _ in range(400)
+    ] + ["a" * 60_000, "1 2-3 " * 20_000, "1." * 20_000, "+1 " + "(" * 50_000]
     got = {r.doc_id: r for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     for i, t in enumerate(texts):
         want = plain_spans(t or "")
@@ -498,7 +588,9 @@ def test_base_spans_equal_the_plain_patterns(spark, odd, none):
 def test_secrets_are_added_and_all_spans_masked(spark):
     rng = random.Random(10)
     token = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
-    texts = [f'word token = "{token()}" word' for _ in range(60)] + [f"mail me at user{i}@mail.example.com or call +1 (555) 010-{i:04d} now" for i in range(60)] + ["supercalifragilisticexpialidocious words", "a_b_c_d_e_f_g_h_1_2_3_4"]
+    texts = [f'word token = "{token()}" word' for _ in range(60)] + [
+        f"mail me at user{i}@mail.example.com or call +1 (555) 010-{i:04d} now" for i in range(60)
+    ] + ["supercalifragilisticexpialidocious words", "a_b_c_d_e_f_g_h_1_2_3_4"]
     df = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "doc_id long, text string, found string")
     clean = {r.doc_id: r.text for r in pii.redact(df.drop("found")).collect()}
     assert all("<SECRET>" in clean[i] for i in range(60))
@@ -548,7 +640,11 @@ def test_added_kinds_are_found_and_little_else(spark):
 
 def test_account_numbers_pass_their_check(spark):
     rng = random.Random(23)
-    numbers = [mod97_made(c, "".join(rng.choice("0123456789ABCXYZ") for _ in range(rng.choice([8, 12, 16, 20])))) for c in ("DE", "GB", "NO") for _ in range(30)]
+    numbers = [
+        mod97_made(c, "".join(rng.choice("0123456789ABCXYZ") for _ in range(rng.choice([8, 12, 16, 20]))))
+        for c in ("DE", "GB", "NO")
+        for _ in range(30)
+    ]
     wrong = [x[:-1] + ("1" if x[-1] != "1" else "2") for x in numbers]
     df = spark.createDataFrame([(x,) for x in numbers + wrong + [f"{x[:4]} {x[4:8]} {x[8:]}" for x in numbers]], "s string")
     plain = lambda x: int("".join(str(int(c, 36)) for c in x.replace(" ", "")[4:] + x[:4])) % 97 == 1
@@ -558,7 +654,10 @@ def test_account_numbers_pass_their_check(spark):
 
 def test_reliabilities_follow_the_votes(spark):
     data = [("k", [1, 1, 1, 1], 50), ("k", [0, 0, -1, 0], 50), ("k", [1, 0, -1, 1], 5)]
-    got = {tuple(r.votes): r.posterior for r in pii.reliabilities(spark.createDataFrame(data, "kind string, votes array<int>, n long")).collect()}
+    got = {
+        tuple(r.votes): r.posterior
+        for r in pii.reliabilities(spark.createDataFrame(data, "kind string, votes array<int>, n long")).collect()
+    }
     assert got[1, 1, 1, 1] > 0.95 and got[0, 0, -1, 0] < 0.05
 
 
@@ -568,8 +667,24 @@ def test_reliabilities_follow_the_votes(spark):
 def test_links_equal_brute_force(spark):
     rng = np.random.default_rng(11)
     centres = rng.normal(size=(20, 16))
-    x = np.concatenate([centres, centres + rng.normal(0, 0.06, centres.shape), centres + rng.normal(0, 0.06, centres.shape), np.repeat(centres[:1], 60, 0), centres[1] + rng.normal(0, 0.05, (90, 16))])
-    data = [(i, v.tolist(), i % 2 if i < 60 else 0) for i, v in enumerate(x)] + [(900, None, 0), (901, [0.0] * 16, 0), (902, [None] * 16, 0), (903, [math.nan] * 16, 0), (904, centres[0].tolist(), None), (905, [1.0, 2.0], 0), (None, centres[0].tolist(), 0)]
+    x = np.concatenate(
+        [
+            centres,
+            centres + rng.normal(0, 0.06, centres.shape),
+            centres + rng.normal(0, 0.06, centres.shape),
+            np.repeat(centres[:1], 60, 0),
+            centres[1] + rng.normal(0, 0.05, (90, 16)),
+        ]
+    )
+    data = [(i, v.tolist(), i % 2 if i < 60 else 0) for i, v in enumerate(x)] + [
+        (900, None, 0),
+        (901, [0.0] * 16, 0),
+        (902, [None] * 16, 0),
+        (903, [math.nan] * 16, 0),
+        (904, centres[0].tolist(), None),
+        (905, [1.0, 2.0], 0),
+        (None, centres[0].tolist(), 0),
+    ]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     labels = np.array([d[2] for d in data[: len(x)]])
@@ -587,7 +702,19 @@ def test_links_equal_brute_force(spark):
 
 def test_repeated_ids_are_vectors_of_their_own(spark):
     a, b, near = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], lambda v: [x + 0.01 for x in v]
-    data = [(5, a, 0), (5, b, 0), (1, near(a), 0), (2, near(a), 0), (3, a, 0), (4, near(b), 0), (9, a, 1), (9, a, 1), (30, [1e-170, 1e-171, 0.0], 0), (31, [1e200, 1e199, 0.0], 0), (32, [1.0, 0.1, 0.0], 0)]
+    data = [
+        (5, a, 0),
+        (5, b, 0),
+        (1, near(a), 0),
+        (2, near(a), 0),
+        (3, a, 0),
+        (4, near(b), 0),
+        (9, a, 1),
+        (9, a, 1),
+        (30, [1e-170, 1e-171, 0.0], 0),
+        (31, [1e200, 1e199, 0.0], 0),
+        (32, [1.0, 0.1, 0.0], 0),
+    ]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").withColumn("row", F.lit("x"))
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in pstable.near_duplicates(df.repartition(3)).collect())
     # a, its two neighbours and its copy link; 1, 0.1, 0 links with them as well, at a cosine of 0.995.
@@ -633,7 +760,10 @@ def test_risk_and_boundary_equal_plain_versions():
         for shift in (-3.0, 0.0, 3.0):
             zp, zu = rng.normal(1, 2, 12), rng.normal(shift, 2, 17)
             loss = lambda z, y: math.log1p(math.exp(-y * z))
-            plain = lambda p, u: prior * sum(loss(z, 1) for z in p) / len(p) + max(0, sum(loss(z, -1) for z in u) / len(u) - prior * sum(loss(z, -1) for z in p) / len(p))
+            plain = lambda p, u: prior * sum(loss(z, 1) for z in p) / len(p) + max(
+                0,
+                sum(loss(z, -1) for z in u) / len(u) - prior * sum(loss(z, -1) for z in p) / len(p),
+            )
             value, of_p, of_u = toxicity.risk(zp, zu, prior)
             assert value == pytest.approx(plain(zp, zu)) and value >= 0
             for z, slopes, at in ((zp, of_p, 0), (zu, of_u, 1)):
@@ -649,7 +779,10 @@ def test_risk_and_boundary_equal_plain_versions():
 
 def test_a_repeated_row_is_sampled_once(spark):
     docs = spark.createDataFrame([(1, "bad word")] * 500 + [(i, f"good word{i}") for i in range(2, 60)], "doc_id long, text string")
-    sample = spark.createDataFrame([(r.doc_id, r.h) for r in docs.selectExpr("doc_id", "xxhash64(text) h").distinct().collect()], "doc_id long, h long")
+    sample = spark.createDataFrame(
+        [(r.doc_id, r.h) for r in docs.selectExpr("doc_id", "xxhash64(text) h").distinct().collect()],
+        "doc_id long, h long",
+    )
     assert len(toxicity._featured(docs.selectExpr("doc_id", "text", "xxhash64(text) h"), sample)) == 59
 
 
@@ -664,7 +797,10 @@ def test_the_risk_is_not_negative_and_labels_are_no_input(spark):
 
 def test_columns_with_clashing_names(spark):
     names = "score fp ids decoded found spans __text class rate copies target size content toxicity pattern host blocked since row".split()
-    df = spark.createDataFrame([(1, "mail a@b.co", "en", "s", 5), (2, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    df = spark.createDataFrame(
+        [(1, "mail a@b.co", "en", "s", 5), (2, None, None, None, None)],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
     df = df.select("*", *[F.lit("mine").alias(n) for n in names])
     model = toxicity.fit([np.array([1], np.int32)] * 9, [np.array([2], np.int32)] * 80, 0.1)
     assert toxicity.score(df, model).count() == 2 and toxicity.score(df, model).schema["score"].dataType.typeName() == "double"
@@ -672,7 +808,15 @@ def test_columns_with_clashing_names(spark):
     clean = pii.redact(df).orderBy("doc_id").collect()
     assert [r.text for r in clean] == ["mail <EMAIL>", None] and clean[0].found == clean[0].spans == "mine"
     assert mixing.report(df).count() == licenses.scan(df).count() == pii.report(df).count() == simhash.near_duplicates(df).count() == 2
-    urls = df.select("doc_id", F.lit("http://a.b.c").alias("url"), F.lit("2024-01-01").alias("fetch_day"), "pattern", "host", "blocked", "row")
+    urls = df.select(
+        "doc_id",
+        F.lit("http://a.b.c").alias("url"),
+        F.lit("2024-01-01").alias("fetch_day"),
+        "pattern",
+        "host",
+        "blocked",
+        "row",
+    )
     assert urlfilter.evaluate(urls, spark.createDataFrame([], "pattern string, action string, dated date")).first().host == "a.b.c"
 
 
@@ -697,14 +841,20 @@ def test_rows_equal_the_oracle(spark, name):
     df, found = queries.QUERIES[name](spark, sf), con.execute(queries.ORACLES[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == sorted(df.columns)
-    assert sorted((tuple(plain(r[c]) for c in names) for r in df.collect()), key=repr) == sorted((tuple(map(plain, r)) for r in found.fetchall()), key=repr)
+    assert sorted(
+        (tuple(plain(r[c]) for c in names) for r in df.collect()),
+        key=repr,
+    ) == sorted((tuple(map(plain, r)) for r in found.fetchall()), key=repr)
 
 
 def test_stages_ignore_further_columns(spark, tmp_path):
     import corpus_pipeline
 
     names = "content id c rows component copies copy size key band __row found spans toxicity ids".split()
-    df = spark.createDataFrame([(i, f"some words of text {i} mail a@b.co", "en", "s", 9) for i in range(9)], "doc_id long, text string, lang string, source string, n_chars long")
+    df = spark.createDataFrame(
+        [(i, f"some words of text {i} mail a@b.co", "en", "s", 9) for i in range(9)],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
     df = df.select("*", *[F.lit("mine").alias(n) for n in names])
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -721,10 +871,21 @@ def test_pipeline(spark, tmp_path, none):
     docs, labels = [], []
     for i in range(600):
         toxic = i % 6 == 0
-        docs.append((i, " ".join([word() for _ in range(50)] + (["nastiest", "vileness"] if toxic else []) + (["a@b.co"] if i % 5 == 0 else [])), "en", f"s{i % 3}", 300))
+        docs.append(
+            (
+                i,
+                " ".join([word() for _ in range(50)] + (["nastiest", "vileness"] if toxic else []) + (["a@b.co"] if i % 5 == 0 else [])),
+                "en",
+                f"s{i % 3}",
+                300,
+            )
+        )
         labels.append((i, 1, int(toxic)))
     docs += [(700 + i, docs[i + 1][1], "en", "s1", 300) for i in range(20)] + [(None, None, None, None, None), (801, "", "en", None, 0)]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(
+        docs,
+        "doc_id long, text string, lang string, source string, n_chars long",
+    ).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     text_of, now = {d[0]: d[1] for d in docs}, spark.read.parquet(f"{tmp_path}/documents.parquet")
     seen = []
@@ -733,11 +894,20 @@ def test_pipeline(spark, tmp_path, none):
         now = spark.read.parquet(f"{tmp_path}/{name}")
         seen.append(now.collect())
     calm, once, masked, mixed, coded = seen
-    assert {r.doc_id for r in calm} >= {i for i in text_of if i is None or i % 6 or i >= 600} - {r for r in text_of if r and 700 <= r < 720 and (r - 699) % 6 == 0}
+    assert {r.doc_id for r in calm} >= {i for i in text_of if i is None or i % 6 or i >= 600} - {
+        r
+        for r in text_of
+        if r and 700 <= r < 720 and (r - 699) % 6 == 0
+    }
     assert sum(r.doc_id is not None and r.doc_id < 600 and r.doc_id % 6 == 0 for r in calm) <= 3
     kept = [plain_fingerprint(r.text) for r in once]
     assert all((a ^ b).bit_count() > 3 for a, b in itertools.combinations(kept, 2))
-    assert {plain_fingerprint(r.text) for r in calm} <= {f for k in kept for f in {plain_fingerprint(r.text) for r in calm} if (f ^ k).bit_count() <= 3}
+    assert {plain_fingerprint(r.text) for r in calm} <= {
+        f
+        for k in kept
+        for f in {plain_fingerprint(r.text) for r in calm}
+        if (f ^ k).bit_count() <= 3
+    }
     assert len(masked) == len(once) and not any("a@b.co" in (r.text or "") for r in masked)
     times = {i: sum(r.doc_id == i for r in mixed) for i in {r.doc_id for r in masked}}
     assert set(times.values()) <= {0, 1, 2} and len(coded) == len(mixed) and all(r.round_trip for r in coded)

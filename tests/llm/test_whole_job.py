@@ -43,7 +43,10 @@ def test_near_duplicates_are_those_at_four_fifths(spark):
         if alike(sets[i], sets[j]):
             a, b = name[i], name[j]
             name = {k: min(a, b) if v in (a, b) else v for k, v in name.items()}
-    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs = spark.createDataFrame(
+        [(i, t, "en", "s", 1) for i, t in enumerate(texts)],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    ).repartition(3)
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(name.values()))
     assert len(set(name.values())) < len(texts) - 50
@@ -73,7 +76,10 @@ def test_tiles_lose_no_link_and_one_of_equal_rows_stays(spark, monkeypatch):
         monkeypatch.setattr(similar, n, 7)
     monkeypatch.setattr(similar, "DEALT", 2)
     many = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
-    docs = spark.createDataFrame([*many, *many[:9], *many[:9], *[(None, "none here", None, None, None)] * 3], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame(
+        [*many, *many[:9], *many[:9], *[(None, "none here", None, None, None)] * 3],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
     kept = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(5), "").collect()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(name)) and len(kept) == len(set(name)) + 1
     assert 4 < len(set(name)) < 150
@@ -97,7 +103,10 @@ def test_trees_give_the_nearest():
 def test_every_parent_domain_is_looked_up(spark):
     deep = ".".join(f"l{i}" for i in range(120))
     hosts = ["a.b.c.d.e.f.example.com", "a.b.c.d.e.f.g.h.example.com", f"{deep}.example.com", "a.b.c.d.e.f.g.example.org", "example.com"]
-    captures = spark.createDataFrame([(i, f"http://{h}/x", "2024-02-01") for i, h in enumerate(hosts)], "page_id long, url string, fetch_day string")
+    captures = spark.createDataFrame(
+        [(i, f"http://{h}/x", "2024-02-01") for i, h in enumerate(hosts)],
+        "page_id long, url string, fetch_day string",
+    )
     entries = spark.createDataFrame([("example.com", "add", "2024-01-01")], "pattern string, action string, dated string")
     got = {r.page_id: (r.blocked, r.pattern) for r in urlfilter.evaluate(captures, entries).collect()}
     assert got == {i: (h.endswith("example.com"), "example.com" if h.endswith("example.com") else None) for i, h in enumerate(hosts)}
@@ -130,7 +139,16 @@ def test_a_part_of_a_license_repeated_is_not_the_whole(spark):
     drift = " ".join(" ".join(twenty[i : i + 3]) + " x" * 40 for i in range(0, 20, 2))  # every place, far apart
     chain = " ".join(twenty[i] + " " + twenty[i + 1] + " y" for i in range(20)) + " z" * 9  # every place, a word or two put in at each
     put_in = " ".join([*twenty[:8], "a", "b", "c", *twenty[8:15], "d", "e", "f", *twenty[15:]])  # two places short, as allowed
-    texts = ["all rights all rights", "public license public license public license public license", "all rights reserved", "the gnu lesser general public license", drift, put_in, f"{ten} q {ten}", chain]
+    texts = [
+        "all rights all rights",
+        "public license public license public license public license",
+        "all rights reserved",
+        "the gnu lesser general public license",
+        drift,
+        put_in,
+        f"{ten} q {ten}",
+        chain,
+    ]
     templates = {**licenses.TEMPLATES, "long": [" ".join(twenty)], "ten": [f"{ten} end of it"]}
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(df, templates=templates).collect()}
