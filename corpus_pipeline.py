@@ -65,7 +65,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = scratch.materialize(docs.select("doc_id", "content", "source", mixing.words().alias("size")), "pipeline-sizes")
     keys = rows.groupBy("doc_id", "content", "source").agg(F.sum("size").alias("size"))
     mixed = mixing.mix_sizes(scratch.materialize(keys, "pipeline-keys"), carry=("content",))
-    taken = scratch.materialize(mixed.filter("copies > 0").select(F.col("doc_id").alias("id"), F.col("content").alias("c"), "copies"), "pipeline-copies")
+    taken = scratch.materialize(
+        mixed.filter("copies > 0").select(F.col("doc_id").alias("id"), F.col("content").alias("c"), "copies"),
+        "pipeline-copies",
+    )
     met = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("content") == F.col("c")))
     return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
