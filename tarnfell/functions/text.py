@@ -35,7 +35,9 @@ def terms(text: Column) -> Column:
 
 def bigrams(tokens: Column) -> Column:
     n = F.size(tokens)
-    return F.when(n < 2, F.array().cast("array<string>")).otherwise(F.zip_with(F.slice(tokens, F.lit(1), n - 1), F.slice(tokens, F.lit(2), n - 1), lambda a, b: F.concat_ws(" ", a, b)))
+    return F.when(n < 2, F.array().cast("array<string>")).otherwise(
+        F.zip_with(F.slice(tokens, F.lit(1), n - 1), F.slice(tokens, F.lit(2), n - 1), lambda a, b: F.concat_ws(" ", a, b))
+    )
 
 
 def tier(text: Column, keywords: Mapping[str, Sequence[str]]) -> Column:
@@ -152,13 +154,18 @@ def tier_predicate(feature: Column) -> Column:
 def node_label(id_: Column, type_: Column, name: Column, tier_: Column, item: str = "Laptop") -> Column:
     """The name; else the tier, else the last part of the id (items: their name as it is, else the id)."""
     none = F.lit("")
-    return F.when(type_ == item, F.coalesce(name, id_)).otherwise(F.coalesce(F.nullif(name, none), F.nullif(tier_, none), F.element_at(F.split(id_, "::"), -1)))
+    return F.when(type_ == item, F.coalesce(name, id_)).otherwise(
+        F.coalesce(F.nullif(name, none), F.nullif(tier_, none), F.element_at(F.split(id_, "::"), -1))
+    )
 
 
 def verbalise(subject: Column, predicate: Column, object_: Column) -> Column:
     """A sentence for a triplet."""
     feature = F.initcap(F.translate(F.regexp_extract(predicate, "^HAS_(.*)_TIER$", 1), "_", " "))
-    verb = F.when(predicate == "MADE_BY", "is made by").when(predicate == "SUITED_FOR", "is well suited for").when(predicate == "SIMILAR_TO", "is similar to").otherwise(F.lower(predicate))
+    verb = F.when(predicate == "MADE_BY", "is made by").when(
+        predicate == "SUITED_FOR",
+        "is well suited for",
+    ).when(predicate == "SIMILAR_TO", "is similar to").otherwise(F.lower(predicate))
     return (
         F.when(predicate.rlike("^HAS_.*_TIER$"), F.concat(subject, F.lit(" has "), object_, F.lit("-tier "), feature, F.lit(".")))
         .when(predicate == "IN_PRICE_BAND", F.concat(subject, F.lit(" falls in the "), object_, F.lit(" price band.")))
@@ -173,7 +180,11 @@ def requirement_sentence(text: Column) -> Column:
     """The canonical sentence, or null where the text doesn't hold one."""
     part = [F.regexp_extract(text, rules.REQUIREMENT, i) for i in range(1, 7)]
     low = [F.lower(p) for p in part[:5]]
-    whole = F.format_string("I need a laptop with %s GPU intensity, %s display quality, %s portability, %s multitasking, %s processing speed and a budget of %s.", *low, F.regexp_replace(part[5], ",", ""))
+    whole = F.format_string(
+        "I need a laptop with %s GPU intensity, %s display quality, %s portability, %s multitasking, %s processing speed and a budget of %s.",
+        *low,
+        F.regexp_replace(part[5], ",", ""),
+    )
     return F.when(text.rlike(rules.REQUIREMENT), whole)
 
 
@@ -202,13 +213,20 @@ def sane_tier(value: Column) -> Column:
 
 def mentions_budget(text: Column, least: int = 1000) -> Column:
     """Whether a number of four characters or more reaches ``least`` (runs of commas alone don't)."""
-    return F.exists(F.regexp_extract_all(text, F.lit(r"[\d,]{4,}"), F.lit(0)), lambda n: F.coalesce(F.regexp_replace(n, ",", "").try_cast("long") >= least, F.lit(False)))
+    return F.exists(
+        F.regexp_extract_all(text, F.lit(r"[\d,]{4,}"), F.lit(0)),
+        lambda n: F.coalesce(F.regexp_replace(n, ",", "").try_cast("long") >= least, F.lit(False)),
+    )
 
 
 def picks(answer: Column) -> Column:
     """(name, price) of the numbered bold entries of an answer."""
     names, prices = (F.regexp_extract_all(answer, F.lit(rules.PICK), F.lit(g)) for g in (1, 2))
-    made = F.zip_with(names, prices, lambda n, p: F.struct(F.trim(n).alias("name"), F.regexp_replace(p, ",", "").try_cast("double").alias("price")))
+    made = F.zip_with(
+        names,
+        prices,
+        lambda n, p: F.struct(F.trim(n).alias("name"), F.regexp_replace(p, ",", "").try_cast("double").alias("price")),
+    )
     return F.filter(made, lambda x: x["price"].isNotNull())
 
 
@@ -216,7 +234,13 @@ def context_of(name: Column, contexts: Column) -> Column:
     """The first context that has 'name: <name>', else the first that has the name, else empty."""
     low = F.lower(F.trim(name))
     first = lambda test: F.get(F.filter(contexts, test), F.lit(0))
-    return F.when(low == "", "").otherwise(F.coalesce(first(lambda c: F.contains(F.lower(c), F.concat(F.lit("name: "), low))), first(lambda c: F.contains(F.lower(c), low)), F.lit("")))
+    return F.when(low == "", "").otherwise(
+        F.coalesce(
+            first(lambda c: F.contains(F.lower(c), F.concat(F.lit("name: "), low))),
+            first(lambda c: F.contains(F.lower(c), low)),
+            F.lit(""),
+        )
+    )
 
 
 def clean_response(text: Column) -> Column:
@@ -250,7 +274,11 @@ def load_object(text: str) -> dict:
     if begun < 0:
         raise ValueError("no object")
     text = text[begun:]
-    ends = [len(text), *(m.start() for m in reversed(list(re.finditer("}", text)))), *(m.start() for m in reversed(list(re.finditer(",", text))))]
+    ends = [
+        len(text),
+        *(m.start() for m in reversed(list(re.finditer("}", text)))),
+        *(m.start() for m in reversed(list(re.finditer(",", text)))),
+    ]
     for end in ends:
         for tail in ("", "}"):
             try:
@@ -285,7 +313,10 @@ def transcript(messages: Column) -> Column:
     """The last system message, then the turns as User: and Assistant:, from an array of (turn, role, text)."""
     ordered = F.array_sort(messages)
     system = F.element_at(F.transform(F.filter(ordered, lambda m: m["role"] == "system"), lambda m: m["text"]), -1)
-    said = F.transform(F.filter(ordered, lambda m: m["role"].isin("user", "assistant")), lambda m: F.concat(F.initcap(m["role"]), F.lit(": "), m["text"]))
+    said = F.transform(
+        F.filter(ordered, lambda m: m["role"].isin("user", "assistant")),
+        lambda m: F.concat(F.initcap(m["role"]), F.lit(": "), m["text"]),
+    )
     none = F.array().cast("array<string>")
     has = F.exists(messages, lambda m: m["role"] == "system")
     return F.array_join(F.concat(F.when(has, F.array(system)).otherwise(none), said), "\n\n")
@@ -316,7 +347,10 @@ def combo_key(tiers: Sequence[Column], budget: Column, dimensions: Sequence[str]
 
 
 def price_closeness(price: Column, target: Column, low: Column, high: Column) -> Column:
-    return F.greatest(F.lit(0.0), 1 - F.abs(F.coalesce(price, F.lit(0.0)) - F.coalesce(target, F.lit(0.0))) / F.greatest(high - low, F.lit(1.0)))
+    return F.greatest(
+        F.lit(0.0),
+        1 - F.abs(F.coalesce(price, F.lit(0.0)) - F.coalesce(target, F.lit(0.0))) / F.greatest(high - low, F.lit(1.0)),
+    )
 
 
 def correctness(agreement: Column, ceiling: Column, closeness: Column, fields: int = 5) -> Column:
@@ -368,7 +402,10 @@ def content_text(content: Column) -> Column:
         return F.when(b.startswith("{"), F.coalesce(F.get_json_object(b, "$.text"), F.lit(""))).otherwise(b)
 
     listed = F.array_join(F.transform(F.filter(blocks, lambda b: b.isNotNull()), block), "")
-    return F.when(content.isNull(), "").when(F.ltrim(content).startswith("["), F.coalesce(listed, content)).when(F.ltrim(content).startswith('"'), F.coalesce(whole, content)).otherwise(content)
+    return F.when(content.isNull(), "").when(
+        F.ltrim(content).startswith("["),
+        F.coalesce(listed, content),
+    ).when(F.ltrim(content).startswith('"'), F.coalesce(whole, content)).otherwise(content)
 
 
 def canonical_json(values: Column) -> Column:
@@ -389,4 +426,7 @@ def flagged(verdict: Column) -> Column:
 
 def confirmed(verdict: Column, reply: Column) -> Column:
     """Whether all requirements are there: the model's JSON says so, and the reply names a budget."""
-    return F.coalesce(F.get_json_object(verdict, "$.all_captured") == "true", F.lit(False)) & F.coalesce(mentions_budget(reply), F.lit(False))
+    return F.coalesce(
+        F.get_json_object(verdict, "$.all_captured") == "true",
+        F.lit(False),
+    ) & F.coalesce(mentions_budget(reply), F.lit(False))

@@ -50,4 +50,9 @@ def hash_embed(text: Column, dim: int = rules.FLAT_DIM) -> Column:
     # The lowest bits of the hash are the place, the next one the sign: a code counts where it is missing once removed.
     codes = F.transform(terms(text), lambda t: F.conv(F.right(F.md5(t.cast("binary")), F.lit(2)), 16, 10).cast("int") % (2 * dim))
     place = F.sequence(F.lit(0), F.lit(dim - 1))
-    return unit(let(codes, lambda c: F.transform(place, lambda i: (F.size(F.array_remove(c, i + dim)) - F.size(F.array_remove(c, i))).cast("double"))))
+    return unit(
+        let(
+            codes,
+            lambda c: F.transform(place, lambda i: (F.size(F.array_remove(c, i + dim)) - F.size(F.array_remove(c, i))).cast("double")),
+        )
+    )

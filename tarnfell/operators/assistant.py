@@ -24,7 +24,10 @@ def phases(turns: DataFrame, conversation: str, order: Sequence[str], flagged: C
     upto = W.partitionBy(conversation).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     seen = lambda c, w: F.coalesce(F.max(c).over(w), F.lit(0)) == 1
     # A confirmation counts only where the conversation hasn't ended by then.
-    marked = marked.withColumn("__ended", seen("__end", before)).withColumn("__done", F.when(F.col("__ended"), 0).otherwise(F.col("__done")))
+    marked = marked.withColumn("__ended", seen("__end", before)).withColumn(
+        "__done",
+        F.when(F.col("__ended"), 0).otherwise(F.col("__done")),
+    )
     marked = marked.withColumn("__found", seen("__done", before))
     phase = F.when(F.col("__ended"), "end").when(F.col("__found"), "followup").otherwise("gather")
     after = F.when(seen("__end", upto), "end").when(seen("__done", upto), "followup").otherwise("gather")

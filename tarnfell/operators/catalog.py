@@ -28,7 +28,10 @@ def renumber(df: DataFrame, order: Sequence[Column | str], name: str = "id") ->
     sizes = own.groupBy("__part").agg(F.max("__n").alias("__size"))
     before = F.coalesce(F.sum("__size").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("__part", before.alias("__start"))
-    return own.join(F.broadcast(starts), "__part").withColumn(name, (F.col("__start") + F.col("__n") - 1).cast("long")).drop("__part", "__n", "__start")
+    return own.join(F.broadcast(starts), "__part").withColumn(
+        name,
+        (F.col("__start") + F.col("__n") - 1).cast("long"),
+    ).drop("__part", "__n", "__start")
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -36,11 +39,21 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
 
 
-def fallback_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], order: Column, values: Sequence[str], default: Mapping[str, Column]) -> DataFrame:
+def fallback_lookup(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    order: Column,
+    values: Sequence[str],
+    default: Mapping[str, Column],
+) -> DataFrame:
     """Looks rows up by the first key, where that fails by the next; the last of several matches wins."""
     out, found = left, {v: [] for v in values}
     for i, key in enumerate(keys):
-        side = first_by(right.filter(F.col(key).isNotNull()), [key], [order.desc()]).select(F.col(key).alias(f"__k{i}"), *[F.col(v).alias(f"__{v}{i}") for v in values])
+        side = first_by(right.filter(F.col(key).isNotNull()), [key], [order.desc()]).select(
+            F.col(key).alias(f"__k{i}"),
+            *[F.col(v).alias(f"__{v}{i}") for v in values],
+        )
         out = out.join(side, out[key] == F.col(f"__k{i}"), "left").drop(f"__k{i}")
         for v in values:
             found[v].append(F.col(f"__{v}{i}"))
@@ -82,7 +95,10 @@ def at_places(ranks: DataFrame, places: Mapping[str, Column]) -> DataFrame:
     """One row: ``n``, and for each name the value at a place from 0 (an expression over ``n``); null without rows."""
     total = ranks.agg(F.coalesce(F.max("upto"), F.lit(0)).cast("long").alias("n"))
     rows = ranks.crossJoin(F.broadcast(total))  # one row
-    return rows.agg(F.coalesce(F.max("n"), F.lit(0).cast("long")).alias("n"), *[F.min(F.when(F.col("upto") > place, F.col("v"))).alias(name) for name, place in places.items()])
+    return rows.agg(
+        F.coalesce(F.max("n"), F.lit(0).cast("long")).alias("n"),
+        *[F.min(F.when(F.col("upto") > place, F.col("v"))).alias(name) for name, place in places.items()],
+    )
 
 
 def median(df: DataFrame, value: str) -> Column:
@@ -94,7 +110,13 @@ def median(df: DataFrame, value: str) -> Column:
 
 def price_stats(df: DataFrame, price: str) -> DataFrame:
     p, some = F.col(price), df.filter(F.col(price) > 0)
-    out = some.agg(F.count(p).alias("n"), F.min(p).alias("min_price"), F.max(p).alias("max_price"), F.avg(p).alias("mean_price"), F.stddev_samp(p).alias("stdev_price"))
+    out = some.agg(
+        F.count(p).alias("n"),
+        F.min(p).alias("min_price"),
+        F.max(p).alias("max_price"),
+        F.avg(p).alias("mean_price"),
+        F.stddev_samp(p).alias("stdev_price"),
+    )
     return out.withColumn("median_price", median(some, price))
 
 
@@ -106,15 +128,28 @@ def order_statistics(df: DataFrame, price: str, parts: Sequence[tuple[int, int]]
 def budget_ranges(df: DataFrame, price: str, cap: float = rules.BUDGET_CAP) -> DataFrame:
     """(tier, low, high): closed ranges from the least price, the median up to ``cap``, and the largest."""
     some = df.filter(F.col(price) > 0)
-    one = some.agg(F.min(price).alias("a"), F.max(price).alias("z")).withColumn("m", F.when(F.col("a").isNotNull(), F.least(median(some, price), F.lit(float(cap)))))
+    one = some.agg(F.min(price).alias("a"), F.max(price).alias("z")).withColumn(
+        "m",
+        F.when(F.col("a").isNotNull(), F.least(median(some, price), F.lit(float(cap)))),
+    )
     z = F.lit(0.0)
     top = F.when(F.col("a").isNotNull(), F.lit(float(cap)))
     bounds = (("low", F.col("a"), F.col("m")), ("medium", F.col("m"), top), ("high", top, F.col("z")))
-    rows = F.array(*[F.struct(F.lit(t).alias("tier"), F.coalesce(lo, z).cast("double").alias("low"), F.coalesce(hi, z).cast("double").alias("high")) for t, lo, hi in bounds])
+    rows = F.array(
+        *[
+            F.struct(F.lit(t).alias("tier"), F.coalesce(lo, z).cast("double").alias("low"), F.coalesce(hi, z).cast("double").alias("high"))
+            for t, lo, hi in bounds
+        ]
+    )
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def with_tiers(df: DataFrame, description: str, keywords: Mapping[str, Mapping[str, Sequence[str]]] = rules.KEYWORDS, classify: Callable[[Column, Mapping[str, Sequence[str]]], Column] = text.tier) -> DataFrame:
+def with_tiers(
+    df: DataFrame,
+    description: str,
+    keywords: Mapping[str, Mapping[str, Sequence[str]]] = rules.KEYWORDS,
+    classify: Callable[[Column, Mapping[str, Sequence[str]]], Column] = text.tier,
+) -> DataFrame:
     """A column for each feature, named as the feature; ``classify`` makes the tier of a description and a feature's words."""
     return df.withColumns({feature: classify(F.col(description), words) for feature, words in keywords.items()})
 
@@ -124,7 +159,11 @@ def tier_distribution(df: DataFrame, features: Sequence[str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.coalesce(F.col(f), F.lit("medium")).alias("tier")) for f in features])
     long = df.select(F.explode(pairs).alias("p")).select("p.*").filter(F.col("tier").isin(*rules.TIERS))
     value = F.when(F.col("tier") == "low", 1).when(F.col("tier") == "medium", 2).otherwise(3)
-    return long.groupBy("feature").agg(*[F.count_if(F.col("tier") == t).alias(t) for t in rules.TIERS], F.count(F.lit(1)).alias("total"), F.avg(value).alias("mean_tier"))
+    return long.groupBy("feature").agg(
+        *[F.count_if(F.col("tier") == t).alias(t) for t in rules.TIERS],
+        F.count(F.lit(1)).alias("total"),
+        F.avg(value).alias("mean_tier"),
+    )
 
 
 def representative(df: DataFrame, id_: str, name: str, price: str, n: int) -> DataFrame:
@@ -132,12 +171,21 @@ def representative(df: DataFrame, id_: str, name: str, price: str, n: int) -> Da
     valid = df.filter(F.col(price) > 0)
     mid = valid.agg(F.avg(price).alias("__mean")).withColumn("__median", median(valid, price))
     rows = valid.crossJoin(F.broadcast(mid))  # one row
-    groups = [("expensive", F.col(price).desc(), F.col(id_).desc()), ("mean_range", F.abs(F.col(price) - F.col("__mean")), F.col(id_)), ("median_range", F.abs(F.col(price) - F.col("__median")), F.col(id_)), ("cheapest", F.col(price), F.col(id_))]
+    groups = [
+        ("expensive", F.col(price).desc(), F.col(id_).desc()),
+        ("mean_range", F.abs(F.col(price) - F.col("__mean")), F.col(id_)),
+        ("median_range", F.abs(F.col(price) - F.col("__median")), F.col(id_)),
+        ("cheapest", F.col(price), F.col(id_)),
+    ]
     picked = None
     for order, (group, by, tie) in enumerate(groups):
         top = rows.orderBy(by, tie).limit(n).select(id_, name, price, F.lit(group).alias("price_group"), F.lit(order).alias("__group"))
         picked = top if picked is None else picked.unionByName(top)
-    return first_by(picked, [name], [F.col("__group"), F.when(F.col("__group") == 0, F.col(price)).otherwise(F.lit(0.0)), F.col(id_)]).drop("__group")
+    return first_by(
+        picked,
+        [name],
+        [F.col("__group"), F.when(F.col("__group") == 0, F.col(price)).otherwise(F.lit(0.0)), F.col(id_)],
+    ).drop("__group")
 
 
 def stratified(df: DataFrame, category: str, position: str, n: int) -> DataFrame:

@@ -19,25 +19,80 @@ def _seq(pos: Column, at: Column) -> Column:
     return F.struct(pos.cast("long").alias("pos"), at.cast("long").alias("at"))
 
 
-def item_edges(items: DataFrame, features: Sequence[str], brands: Sequence[str] = tuple(rules.BRANDS), cases: Mapping[str, Sequence[str]] = rules.USE_CASES, specs: Mapping[str, str] = rules.SPECS, bands: Sequence[tuple[str, float]] = rules.PRICE_BANDS) -> DataFrame:
+def item_edges(
+    items: DataFrame,
+    features: Sequence[str],
+    brands: Sequence[str] = tuple(rules.BRANDS),
+    cases: Mapping[str, Sequence[str]] = rules.USE_CASES,
+    specs: Mapping[str, str] = rules.SPECS,
+    bands: Sequence[tuple[str, float]] = rules.PRICE_BANDS,
+) -> DataFrame:
     """All edges of items (id: string, pos: long, name, description, price, one column a feature) but SIMILAR_TO.
 
     One pass: each item makes an array of its edges with the entities they lead to, and the array is exploded.
     """
     none = F.lit(None).cast("string")
 
-    def edge(dst: Column, predicate: Column, type_: Column, name: Column = none, feature: Column = none, tier: Column = none, body: Column = none, ord_: Column | None = None, src: Column | None = None) -> Column:
-        return F.struct((F.col("id") if src is None else src).alias("src"), dst.alias("dst"), predicate.alias("predicate"), type_.alias("type"), name.alias("name"), feature.alias("feature"), tier.alias("tier"), body.alias("text"), (F.lit(None) if ord_ is None else ord_).cast("int").alias("ord"))
-
-    tiers = F.array(*[F.when(F.col(f).isNotNull(), edge(F.concat(F.lit(f"{f}::"), F.col(f)), text.tier_predicate(F.lit(f)), F.lit("Tier"), feature=F.lit(f), tier=F.col(f))) for f in features])
+    def edge(
+        dst: Column,
+        predicate: Column,
+        type_: Column,
+        name: Column = none,
+        feature: Column = none,
+        tier: Column = none,
+        body: Column = none,
+        ord_: Column | None = None,
+        src: Column | None = None,
+    ) -> Column:
+        return F.struct(
+            (F.col("id") if src is None else src).alias("src"),
+            dst.alias("dst"),
+            predicate.alias("predicate"),
+            type_.alias("type"),
+            name.alias("name"),
+            feature.alias("feature"),
+            tier.alias("tier"),
+            body.alias("text"),
+            (F.lit(None) if ord_ is None else ord_).cast("int").alias("ord"),
+        )
+
+    tiers = F.array(
+        *[
+            F.when(
+                F.col(f).isNotNull(),
+                edge(F.concat(F.lit(f"{f}::"), F.col(f)), text.tier_predicate(F.lit(f)), F.lit("Tier"), feature=F.lit(f), tier=F.col(f)),
+            )
+            for f in features
+        ]
+    )
     brand, band = text.brand(F.col("description"), brands), text.price_band(F.col("price"), bands)
-    fixed = F.array(edge(F.concat(F.lit("Brand::"), brand), F.lit("MADE_BY"), F.lit("Brand"), brand), edge(F.concat(F.lit("PriceBand::"), band), F.lit("IN_PRICE_BAND"), F.lit("PriceBand"), band))
-    uses = F.transform(text.use_cases(F.col("description"), cases), lambda u: edge(F.concat(F.lit("UseCase::"), u), F.lit("SUITED_FOR"), F.lit("UseCase"), u))
-    found = F.transform(text.spec_triplets(F.col("name"), F.col("description"), specs), lambda t: edge(F.concat(text.entity_type(t["predicate"]), F.lit("::"), text.normalise(t["value"])), t["predicate"], text.entity_type(t["predicate"]), t["value"]))
+    fixed = F.array(
+        edge(F.concat(F.lit("Brand::"), brand), F.lit("MADE_BY"), F.lit("Brand"), brand),
+        edge(F.concat(F.lit("PriceBand::"), band), F.lit("IN_PRICE_BAND"), F.lit("PriceBand"), band),
+    )
+    uses = F.transform(
+        text.use_cases(F.col("description"), cases),
+        lambda u: edge(F.concat(F.lit("UseCase::"), u), F.lit("SUITED_FOR"), F.lit("UseCase"), u),
+    )
+    found = F.transform(
+        text.spec_triplets(F.col("name"), F.col("description"), specs),
+        lambda t: edge(
+            F.concat(text.entity_type(t["predicate"]), F.lit("::"), text.normalise(t["value"])),
+            t["predicate"],
+            text.entity_type(t["predicate"]),
+            t["value"],
+        ),
+    )
     chunk = lambda i: F.concat(F.col("id"), F.lit("::chunk::"), i.cast("string"))
     said = F.coalesce(text.sentences(F.col("description")), F.array().cast("array<string>"))
     has = F.transform(said, lambda s, i: edge(chunk(i), F.lit("HAS_CHUNK"), F.lit("Chunk"), body=s, ord_=i))
-    follows = F.filter(F.transform(said, lambda s, i: F.when(i > 0, edge(chunk(i), F.lit("NEXT_CHUNK"), F.lit("Chunk"), body=s, ord_=i, src=chunk(i - 1)))), lambda e: e.isNotNull())
+    follows = F.filter(
+        F.transform(
+            said,
+            lambda s, i: F.when(i > 0, edge(chunk(i), F.lit("NEXT_CHUNK"), F.lit("Chunk"), body=s, ord_=i, src=chunk(i - 1))),
+        ),
+        lambda e: e.isNotNull(),
+    )
     every = F.concat(F.filter(tiers, lambda e: e.isNotNull()), fixed, uses, found, has, follows)
     rows = items.select("id", "pos", F.posexplode(every).alias("at", "e"))
     return rows.select("e.*", F.col("id").alias("item_id"), _seq(F.col("pos"), F.col("at")).alias("seq"))
@@ -49,11 +104,36 @@ def edges_of(entity_edges: DataFrame) -> DataFrame:
 
 def nodes_of(items: DataFrame, entity_edges: DataFrame) -> DataFrame:
     """Items and entities, each once; of several attributes of an entity the last one counts, of its place the first."""
-    own = items.select("id", F.lit("Laptop").alias("type"), "name", F.lit(None).cast("string").alias("feature"), F.lit(None).cast("string").alias("tier"), F.col("price").cast("double").alias("price"), F.col("description").alias("text"), F.lit(None).cast("int").alias("ord"), F.lit(None).cast("string").alias("item_id"), _seq(F.col("pos"), F.lit(-1)).alias("seq"))
+    own = items.select(
+        "id",
+        F.lit("Laptop").alias("type"),
+        "name",
+        F.lit(None).cast("string").alias("feature"),
+        F.lit(None).cast("string").alias("tier"),
+        F.col("price").cast("double").alias("price"),
+        F.col("description").alias("text"),
+        F.lit(None).cast("int").alias("ord"),
+        F.lit(None).cast("string").alias("item_id"),
+        _seq(F.col("pos"), F.lit(-1)).alias("seq"),
+    )
     attributes = ("type", "name", "feature", "tier", "text", "ord")
     chunk = F.col("type") == "Chunk"
-    met = entity_edges.filter(F.col("predicate") != "NEXT_CHUNK").groupBy(F.col("dst").alias("id")).agg(F.max_by(F.struct(*attributes, F.when(chunk, F.col("item_id")).alias("item_id")), "seq").alias("a"), F.min("seq").alias("seq"))
-    entities = met.select("id", "a.type", "a.name", "a.feature", "a.tier", F.lit(None).cast("double").alias("price"), "a.text", "a.ord", "a.item_id", "seq")
+    met = entity_edges.filter(F.col("predicate") != "NEXT_CHUNK").groupBy(F.col("dst").alias("id")).agg(
+        F.max_by(F.struct(*attributes, F.when(chunk, F.col("item_id")).alias("item_id")), "seq").alias("a"),
+        F.min("seq").alias("seq"),
+    )
+    entities = met.select(
+        "id",
+        "a.type",
+        "a.name",
+        "a.feature",
+        "a.tier",
+        F.lit(None).cast("double").alias("price"),
+        "a.text",
+        "a.ord",
+        "a.item_id",
+        "seq",
+    )
     return own.unionByName(entities)
 
 
@@ -64,13 +144,26 @@ def similar_pairs(links: DataFrame, item: str, entity: str, least: int = 3, buck
     small = once.groupBy("e").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, bucket_max)).select("e")
     kept = once.join(small, "e")
     pairs = kept.alias("x").join(kept.alias("y"), (F.col("x.e") == F.col("y.e")) & (F.col("x.i") < F.col("y.i")))
-    return pairs.groupBy(F.col("x.i").alias("a"), F.col("y.i").alias("b")).agg(F.count(F.lit(1)).alias("overlap")).filter(F.col("overlap") >= least)
+    return pairs.groupBy(
+        F.col("x.i").alias("a"),
+        F.col("y.i").alias("b"),
+    ).agg(F.count(F.lit(1)).alias("overlap")).filter(F.col("overlap") >= least)
 
 
 def similar_edges(pairs: DataFrame, after: int = (1 << 63) - 1) -> DataFrame:
     """SIMILAR_TO both ways, after all other edges."""
-    rows = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e"), "overlap")
-    return rows.select("e.*", F.lit("SIMILAR_TO").alias("predicate"), F.col("overlap").cast("int").alias("weight"), _seq(F.lit(after), F.xxhash64("e.src", "e.dst")).alias("seq"))
+    rows = pairs.select(
+        F.explode(
+            F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
+        ).alias("e"),
+        "overlap",
+    )
+    return rows.select(
+        "e.*",
+        F.lit("SIMILAR_TO").alias("predicate"),
+        F.col("overlap").cast("int").alias("weight"),
+        _seq(F.lit(after), F.xxhash64("e.src", "e.dst")).alias("seq"),
+    )
 
 
 def khop(edges: DataFrame, seeds: DataFrame, hops: int = rules.HOPS) -> DataFrame:
@@ -91,7 +184,15 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(some.withColumnRenamed("id", "src"), "src", "left_semi").join(some.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
-def pagerank(ids: DataFrame, edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6, every: int = 5) -> DataFrame:
+def pagerank(
+    ids: DataFrame,
+    edges: DataFrame,
+    seeds: DataFrame,
+    damping: float = 0.85,
+    iterations: int = 100,
+    tolerance: float | None = 1e-6,
+    every: int = 5,
+) -> DataFrame:
     """(id, rank): personalised PageRank over ``ids``; mass of nodes without edges goes where the walk starts.
 
     Seeds that aren't there don't count; without any the walk starts everywhere.  Stops at ``tolerance`` a node, if
@@ -105,18 +206,37 @@ def pagerank(ids: DataFrame, edges: DataFrame, seeds: DataFrame, damping: float
     start = F.col("s") / mass if mass else F.lit(1.0 / n)
     nodes = nodes.select("id", start.alias("p"))
     out = edges.groupBy("src").agg(F.sum("weight").alias("w"))
-    steps = cut(edges.groupBy("src", "dst").agg(F.sum("weight").alias("e")).join(out, "src").select("src", "dst", (F.col("e") / F.col("w")).alias("share")))
-    state = cut(nodes.join(out.select(F.col("src").alias("id"), F.lit(False).alias("__has")), "id", "left").select("id", "p", F.coalesce("__has", F.lit(True)).alias("dangling"), F.lit(1.0 / n).alias("rank")))
+    steps = cut(
+        edges.groupBy("src", "dst").agg(F.sum("weight").alias("e")).join(out, "src").select(
+            "src",
+            "dst",
+            (F.col("e") / F.col("w")).alias("share"),
+        )
+    )
+    state = cut(
+        nodes.join(out.select(F.col("src").alias("id"), F.lit(False).alias("__has")), "id", "left").select(
+            "id",
+            "p",
+            F.coalesce("__has", F.lit(True)).alias("dangling"),
+            F.lit(1.0 / n).alias("rank"),
+        )
+    )
     before = state
     for i in range(1, iterations + 1):
-        got = steps.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
+        got = steps.join(
+            state.select(F.col("id").alias("src"), "rank"),
+            "src",
+        ).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
         lost = state.select(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost")).scalar()
         rank = damping * (F.coalesce("got", F.lit(0.0)) + lost * F.col("p")) + (1 - damping) * F.col("p")
         state = state.drop("rank").join(got, "id", "left").select("id", "p", "dangling", rank.alias("rank"))
         if i % every == 0 or i == iterations:
             state = cut(state)
             if tolerance is not None:
-                apart = state.select("id", "rank").join(before.select("id", F.col("rank").alias("was")), "id").agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
+                apart = state.select("id", "rank").join(
+                    before.select("id", F.col("rank").alias("was")),
+                    "id",
+                ).agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
                 if apart < every * n * tolerance:
                     break
             before = state
@@ -125,16 +245,34 @@ def pagerank(ids: DataFrame, edges: DataFrame, seeds: DataFrame, damping: float
 
 def triplets(nodes: DataFrame, edges: DataFrame, ranks: DataFrame, k: int | None = rules.TOP_TRIPLETS, digits: int = 6) -> DataFrame:
     """(subject, predicate, object, subject_id, object_id, score, seq): the k edges whose ends rank highest."""
-    named = nodes.select("id", text.node_label(F.col("id"), F.col("type"), F.col("name"), F.col("tier")).alias("label")).join(ranks, "id", "left").select("id", "label", F.coalesce("rank", F.lit(0.0)).alias("rank"))
-    s, o = named.select(F.col("id").alias("src"), F.col("label").alias("subject"), F.col("rank").alias("r1")), named.select(F.col("id").alias("dst"), F.col("label").alias("object"), F.col("rank").alias("r2"))
-    rows = edges.join(s, "src").join(o, "dst").select("subject", "predicate", "object", F.col("src").alias("subject_id"), F.col("dst").alias("object_id"), F.round((F.col("r1") + F.col("r2")) / 2, digits).alias("score"), "seq")
+    named = nodes.select(
+        "id",
+        text.node_label(F.col("id"), F.col("type"), F.col("name"), F.col("tier")).alias("label"),
+    ).join(ranks, "id", "left").select("id", "label", F.coalesce("rank", F.lit(0.0)).alias("rank"))
+    s, o = named.select(
+        F.col("id").alias("src"),
+        F.col("label").alias("subject"),
+        F.col("rank").alias("r1"),
+    ), named.select(F.col("id").alias("dst"), F.col("label").alias("object"), F.col("rank").alias("r2"))
+    rows = edges.join(s, "src").join(o, "dst").select(
+        "subject",
+        "predicate",
+        "object",
+        F.col("src").alias("subject_id"),
+        F.col("dst").alias("object_id"),
+        F.round((F.col("r1") + F.col("r2")) / 2, digits).alias("score"),
+        "seq",
+    )
     return rows if k is None else rows.orderBy(F.desc("score"), "seq").limit(k)
 
 
 def mass_ranking(found: DataFrame, items: DataFrame, k: int = rules.TOP_ITEMS) -> DataFrame:
     """(id, mass): items (id) by the scores of the triplets that touch them."""
     ends = found.select(F.explode(F.array("subject_id", "object_id")).alias("id"), "score", "seq")
-    return ends.join(items.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("score").alias("mass"), F.min("seq").alias("first")).orderBy(F.desc("mass"), "first").limit(k).select("id", "mass")
+    return ends.join(items.select("id"), "id", "left_semi").groupBy("id").agg(
+        F.sum("score").alias("mass"),
+        F.min("seq").alias("first"),
+    ).orderBy(F.desc("mass"), "first").limit(k).select("id", "mass")
 
 
 def fuse_rankings(graph: DataFrame, vector: DataFrame, weight: float = 0.4, k: int = rules.RRF_K) -> DataFrame:
@@ -150,9 +288,17 @@ def coverage(found: DataFrame, seeds: DataFrame, answer: str) -> DataFrame:
     said = F.contains(low, F.lower("subject")) | F.contains(low, F.lower("object"))
     own = found.agg(F.avg(said.cast("double")).alias("c"), F.avg("score").alias("s"))
     touched = found.select(F.explode(F.array("subject_id", "object_id")).alias("id")).distinct()
-    hit = seeds.select("id").distinct().join(touched.withColumn("t", F.lit(1.0)), "id", "left").agg(F.avg(F.coalesce("t", F.lit(0.0))).alias("r"))
+    hit = seeds.select("id").distinct().join(
+        touched.withColumn("t", F.lit(1.0)),
+        "id",
+        "left",
+    ).agg(F.avg(F.coalesce("t", F.lit(0.0))).alias("r"))
     zero = F.lit(0.0)
-    return own.crossJoin(hit).select(F.round(F.coalesce("c", zero), 3).alias("triplet_coverage"), F.round(F.when(F.col("c").isNull(), zero).otherwise(F.coalesce("r", zero)), 3).alias("seed_recall"), F.round(F.coalesce("s", zero), 6).alias("avg_path_score"))
+    return own.crossJoin(hit).select(
+        F.round(F.coalesce("c", zero), 3).alias("triplet_coverage"),
+        F.round(F.when(F.col("c").isNull(), zero).otherwise(F.coalesce("r", zero)), 3).alias("seed_recall"),
+        F.round(F.coalesce("s", zero), 6).alias("avg_path_score"),
+    )
 
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -164,9 +310,18 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def flat_search(nodes: DataFrame, query: str, k: int = 10) -> DataFrame:
     """(id, label, score): the k nodes nearest to hashed words of the query; of those only what is above nought."""
     label = text.node_label(F.col("id"), F.col("type"), F.col("name"), F.col("tier"))
-    rows = nodes.filter("type <> 'Chunk'").select("id", label.alias("label"), "seq", vectors.hash_embed(F.concat_ws(" ", "type", label)).alias("v"))
+    rows = nodes.filter("type <> 'Chunk'").select(
+        "id",
+        label.alias("label"),
+        "seq",
+        vectors.hash_embed(F.concat_ws(" ", "type", label)).alias("v"),
+    )
     scored = rows.withColumn("score", vectors.dot(F.col("v"), vectors.hash_embed(F.lit(query))))
-    return scored.orderBy(F.desc(F.round("score", 9)), "seq").limit(k).filter("score > 0").select("id", "label", F.round("score", 4).alias("score"))
+    return scored.orderBy(F.desc(F.round("score", 9)), "seq").limit(k).filter("score > 0").select(
+        "id",
+        "label",
+        F.round("score", 4).alias("score"),
+    )
 
 
 def literal_map(nodes: DataFrame, query: str) -> DataFrame:
@@ -175,15 +330,35 @@ def literal_map(nodes: DataFrame, query: str) -> DataFrame:
     spoken = nodes.sparkSession.range(1).select(F.posexplode(F.concat(tokens, text.bigrams(tokens))).alias("at", "token"))
     known = nodes.filter("type <> 'Chunk'")
     label = F.lower(text.node_label(F.col("id"), F.col("type"), F.col("name"), F.col("tier")))
-    names = known.select(F.explode(F.array(F.struct(label.alias("token"), F.lit(0).alias("o")), F.struct(F.lower("id").alias("token"), F.lit(1).alias("o")))).alias("n"), "id", "seq").groupBy("n.token").agg(F.min_by("id", F.struct("seq", "n.o")).alias("id"))
+    names = known.select(
+        F.explode(
+            F.array(F.struct(label.alias("token"), F.lit(0).alias("o")), F.struct(F.lower("id").alias("token"), F.lit(1).alias("o")))
+        ).alias("n"),
+        "id",
+        "seq",
+    ).groupBy("n.token").agg(F.min_by("id", F.struct("seq", "n.o")).alias("id"))
     return spoken.join(names, "token").groupBy("id").agg(F.min(F.struct("at", "token")).alias("f")).select("f.at", "f.token", "id")
 
 
-def link_entities(nodes: DataFrame, tiers: Mapping[str, str], budget: float | None, brands: Sequence[str] = (), cases: Sequence[str] = (), bands: Sequence[tuple[str, float]] = rules.PRICE_BANDS) -> DataFrame:
+def link_entities(
+    nodes: DataFrame,
+    tiers: Mapping[str, str],
+    budget: float | None,
+    brands: Sequence[str] = (),
+    cases: Sequence[str] = (),
+    bands: Sequence[tuple[str, float]] = rules.PRICE_BANDS,
+) -> DataFrame:
     """(id, ord): existing nodes that stand for requirements, in the order tiers, price band, brands, use cases."""
     band = next((n for n, upper in bands if budget is not None and 0 <= budget < upper), "flagship")
-    wanted = [*(f"{f}::{t}" for f, t in tiers.items()), *([f"PriceBand::{band}"] if budget is not None else []), *(f"Brand::{b.lower()}" for b in brands), *(f"UseCase::{c}" for c in cases)]
-    listed = nodes.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, dict.fromkeys(wanted)))).alias("ord", "id")) if wanted else nodes.sparkSession.createDataFrame([], "ord int, id string")
+    wanted = [
+        *(f"{f}::{t}" for f, t in tiers.items()),
+        *([f"PriceBand::{band}"] if budget is not None else []),
+        *(f"Brand::{b.lower()}" for b in brands),
+        *(f"UseCase::{c}" for c in cases),
+    ]
+    listed = nodes.sparkSession.range(1).select(
+        F.posexplode(F.array(*map(F.lit, dict.fromkeys(wanted)))).alias("ord", "id")
+    ) if wanted else nodes.sparkSession.createDataFrame([], "ord int, id string")
     return listed.join(nodes.select("id"), "id", "left_semi").select("id", "ord")
 
 
@@ -211,22 +386,48 @@ def around(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int, k: i
     return found.withColumn("sentence", text.verbalise(F.col("subject"), F.col("predicate"), F.col("object")))
 
 
-def retrieve(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = rules.HOPS, k: int = rules.TOP_TRIPLETS, items: int = rules.TOP_ITEMS, **walk) -> tuple[DataFrame, DataFrame]:
+def retrieve(
+    nodes: DataFrame,
+    edges: DataFrame,
+    seeds: DataFrame,
+    hops: int = rules.HOPS,
+    k: int = rules.TOP_TRIPLETS,
+    items: int = rules.TOP_ITEMS,
+    **walk,
+) -> tuple[DataFrame, DataFrame]:
     """Triplets around the seeds, with their sentences, and the items that they speak for."""
     told = around(nodes, edges, seeds, hops, k, **walk)
     return told, mass_ranking(told, nodes.filter("type = 'Laptop'"), items)
 
 
-def retrieve_for_names(nodes: DataFrame, edges: DataFrame, names: Sequence[str], hops: int = 1, k: int = rules.TOP_TRIPLETS, **walk) -> tuple[DataFrame, DataFrame]:
+def retrieve_for_names(
+    nodes: DataFrame,
+    edges: DataFrame,
+    names: Sequence[str],
+    hops: int = 1,
+    k: int = rules.TOP_TRIPLETS,
+    **walk,
+) -> tuple[DataFrame, DataFrame]:
     """Triplets around items of these names, and the items themselves in the order of the names."""
     seeds = cut(find_items(nodes, names))
     return around(nodes, edges, seeds, hops, k, **walk), seeds
 
 
-def text_seeds(nodes: DataFrame, said: str, hints: Mapping[str, Sequence[str]], brands: Sequence[str] = tuple(rules.BRANDS), cases: Sequence[str] = tuple(rules.USE_CASES)) -> DataFrame:
+def text_seeds(
+    nodes: DataFrame,
+    said: str,
+    hints: Mapping[str, Sequence[str]],
+    brands: Sequence[str] = tuple(rules.BRANDS),
+    cases: Sequence[str] = tuple(rules.USE_CASES),
+) -> DataFrame:
     """(id): nodes that a free text speaks of: of each hinted feature the highest tier that exists, brands, use cases, an item."""
     low = said.lower()
-    wanted = [(f"tier {f}", i, f"{f}::{t}") for f, words in hints.items() if any(w in low for w in words) for i, t in enumerate(reversed(rules.TIERS))]
+    wanted = [
+        (f"tier {f}", i, f"{f}::{t}")
+        for f, words in hints.items()
+        if any(w in low for w in words)
+        for i, t in enumerate(reversed(rules.TIERS))
+    ]
     wanted += [(f"Brand::{b}", 0, f"Brand::{b}") for b in brands if b in low]
     wanted += [(f"UseCase::{c}", 0, f"UseCase::{c}") for c in cases if c in low]
     rows = nodes.sparkSession.createDataFrame(wanted, "slot string, turn int, id string")
@@ -234,12 +435,23 @@ def text_seeds(nodes: DataFrame, said: str, hints: Mapping[str, Sequence[str]],
     return linked.unionByName(find_item(nodes, said).select("id")).distinct()
 
 
-def local_search(nodes: DataFrame, edges: DataFrame, said: str, brands: Sequence[str] = tuple(rules.BRANDS), cases: Sequence[str] = tuple(rules.USE_CASES), k: int = rules.TOP_TRIPLETS, **walk) -> tuple[DataFrame, DataFrame]:
+def local_search(
+    nodes: DataFrame,
+    edges: DataFrame,
+    said: str,
+    brands: Sequence[str] = tuple(rules.BRANDS),
+    cases: Sequence[str] = tuple(rules.USE_CASES),
+    k: int = rules.TOP_TRIPLETS,
+    **walk,
+) -> tuple[DataFrame, DataFrame]:
     """Triplets one hop around a single node, and that node: the item of that name, else a brand or a use case that is
     spoken of, else the node nearest in the hashed space."""
     low = said.lower()
     spoken = [f"Brand::{b}" for b in brands if b in low] + [f"UseCase::{c}" for c in cases if c in low]
-    listed = nodes.sparkSession.createDataFrame([(1 + i, n) for i, n in enumerate(spoken)], "turn int, id string").join(nodes.select("id"), "id", "left_semi")
+    listed = nodes.sparkSession.createDataFrame(
+        [(1 + i, n) for i, n in enumerate(spoken)],
+        "turn int, id string",
+    ).join(nodes.select("id"), "id", "left_semi")
     first = find_item(nodes, said).select(F.lit(0).alias("turn"), "id")
     last = flat_search(nodes, said, 1).select(F.lit(1 + len(spoken)).alias("turn"), "id")
     seed = cut(first.unionByName(listed.select("turn", "id")).unionByName(last).orderBy("turn").limit(1).select("id"))

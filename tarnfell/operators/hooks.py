@@ -43,7 +43,12 @@ def with_retries(make: Callable[[], Generate], tries: int = 6, wait_s: float = 5
     return made
 
 
-def with_backoff(make: Callable[[], Generate], tries: int = 3, wait_s: float = 5.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[], Generate]:
+def with_backoff(
+    make: Callable[[], Generate],
+    tries: int = 3,
+    wait_s: float = 5.0,
+    sleep: Callable[[float], None] = time.sleep,
+) -> Callable[[], Generate]:
     """A client that waits when it is told that it asked too often, as long as the service says (and a second), else
     longer each time; every other failure is raised at once, and the last one of these as well."""
 
@@ -97,7 +102,12 @@ def generated(df: DataFrame, prompt: Column, name: str = "answer", make: Callabl
     return rows.mapInPandas(run, f"{fields}, `{name}` string")
 
 
-def embedded(df: DataFrame, body: Column, name: str = "embedding", make: Callable[[], Callable[[Sequence[str]], np.ndarray]] | None = None) -> DataFrame:
+def embedded(
+    df: DataFrame,
+    body: Column,
+    name: str = "embedding",
+    make: Callable[[], Callable[[Sequence[str]], np.ndarray]] | None = None,
+) -> DataFrame:
     """``df`` with vectors: hashed words inside the JVM, or what an injected model gives."""
     if make is None:
         return df.withColumn(name, vectors.hash_embed(body))
@@ -111,7 +121,13 @@ def embedded(df: DataFrame, body: Column, name: str = "embedding", make: Callabl
     return df.withColumn(name, embed(body))
 
 
-def answer_relevancy(df: DataFrame, question: str, answer: str, name: str = "answer_relevancy", make: Callable[[], Callable[[Sequence[str]], np.ndarray]] | None = None) -> DataFrame:
+def answer_relevancy(
+    df: DataFrame,
+    question: str,
+    answer: str,
+    name: str = "answer_relevancy",
+    make: Callable[[], Callable[[Sequence[str]], np.ndarray]] | None = None,
+) -> DataFrame:
     """``df`` with how near each answer is to its question, from 0 to 1; null where one of them is blank.
 
     Each different pair is embedded once, however often it was logged.
@@ -127,7 +143,9 @@ def judged(df: DataFrame, answer: str, criteria: Sequence[str]) -> DataFrame:
     """``df`` with the judge's scores, one column a criterion: from JSON that may be fenced or cut off; missing is 0."""
     parsed = text.repaired_json(text.unfenced(F.col(answer)))
     scores = F.from_json(parsed, "map<string,string>")
-    return df.withColumn("__s", scores).withColumns({c: F.coalesce(F.element_at("__s", c).try_cast("int"), F.lit(0)) for c in criteria}).drop("__s")
+    return df.withColumn("__s", scores).withColumns(
+        {c: F.coalesce(F.element_at("__s", c).try_cast("int"), F.lit(0)) for c in criteria}
+    ).drop("__s")
 
 
 def routed(df: DataFrame, answer: str, slot: str) -> DataFrame:
@@ -135,5 +153,9 @@ def routed(df: DataFrame, answer: str, slot: str) -> DataFrame:
     items = text.json_array(F.col(answer), "struct<index:string,question:string,answer:string>")
     rows = df.select(slot, F.size(slot).alias("__n"), F.explode(items).alias("i"))
     at = F.col("i.index").try_cast("int")
-    good = rows.filter(at.between(0, F.col("__n") - 1) & (F.trim(F.coalesce("i.question", F.lit(""))) != "") & (F.trim(F.coalesce("i.answer", F.lit(""))) != ""))
+    good = rows.filter(
+        at.between(0, F.col("__n") - 1)
+        & (F.trim(F.coalesce("i.question", F.lit(""))) != "")
+        & (F.trim(F.coalesce("i.answer", F.lit(""))) != "")
+    )
     return good.select(F.get(slot, at).alias("slot"), "i.question", "i.answer")

@@ -31,14 +31,23 @@ def best_match(grid: DataFrame, items: DataFrame, ranges: DataFrame, dims: Seque
     dimensions for a tier, whatever the catalogue's size.  Only that bounded table meets the grid.
     """
     tiers = ranges.select(F.col("tier").alias("pool"), "low", "high")
-    whole = items.sparkSession.range(1).select(F.lit("all").alias("pool"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
+    whole = items.sparkSession.range(1).select(
+        F.lit("all").alias("pool"),
+        F.lit(float("-inf")).alias("low"),
+        F.lit(float("inf")).alias("high"),
+    )
     pools = F.broadcast(tiers.unionByName(whole))  # four rows
     rows = items.join(pools, F.col(price).between(F.col("low"), F.col("high")))
     first = rows.groupBy("pool", *dims).agg(F.min(id_).alias(id_))
     has = first.filter("pool <> 'all'").select(F.col("pool").alias("has")).distinct()
     asked = grid.join(F.broadcast(has), grid.budget_tier == F.col("has"), "left").withColumn("pool", F.coalesce("has", F.lit("all")))
     met = asked.alias("g").join(F.broadcast(first).alias("x"), F.col("g.pool") == F.col("x.pool"))
-    scored = met.select("g.combo_key", F.col(f"x.{id_}").alias(id_), _agreement(dims).alias("match_score"), F.col("g.has").isNotNull().alias("within_budget"))
+    scored = met.select(
+        "g.combo_key",
+        F.col(f"x.{id_}").alias(id_),
+        _agreement(dims).alias("match_score"),
+        F.col("g.has").isNotNull().alias("within_budget"),
+    )
     best = W.partitionBy("combo_key").orderBy(F.desc("match_score"), id_)
     return scored.withColumn("__n", F.row_number().over(best)).filter("__n = 1").drop("__n")
 
@@ -51,7 +60,10 @@ def best_match_direct(grid: DataFrame, items: DataFrame, ranges: DataFrame, dims
     tiers = F.broadcast(ranges.select(F.col("tier").alias("budget_tier"), "low", "high"))
     rows = items.join(tiers, F.col(price).between(F.col("low"), F.col("high")))
     best = F.max(F.struct(_agreement(dims).alias("match_score"), (-F.col(f"x.{id_}")).alias("n"))).alias("b")
-    inside = rows.alias("x").join(F.broadcast(grid).alias("g"), F.col("x.budget_tier") == F.col("g.budget_tier")).groupBy("g.combo_key").agg(best)
+    inside = rows.alias("x").join(
+        F.broadcast(grid).alias("g"),
+        F.col("x.budget_tier") == F.col("g.budget_tier"),
+    ).groupBy("g.combo_key").agg(best)
     left = grid.join(inside.select("combo_key"), "combo_key", "left_anti")
     # Where a tier has no item, the first item of each vector of tiers stands for all like it: a bounded table.
     first = items.groupBy(*dims).agg(F.min(id_).alias(id_))
@@ -71,14 +83,28 @@ def mismatches(tiers: Column, wanted: Column, dims: Sequence[str]) -> Column:
     return F.filter(F.array(*map(F.lit, dims)), lambda d: ~tiers[d].eqNullSafe(wanted[d]))
 
 
-def grid_prompt(item: Column, tiers: Column, wanted: Column, budget_tier: Column, within: Column, n: int, dims: Sequence[str] = rules.DIMENSIONS) -> Column:
+def grid_prompt(
+    item: Column,
+    tiers: Column,
+    wanted: Column,
+    budget_tier: Column,
+    within: Column,
+    n: int,
+    dims: Sequence[str] = rules.DIMENSIONS,
+) -> Column:
     """The text that asks a model for n pairs of question and answer about a combination's best item.
 
     ``item`` has name, price and description, of which the first 800 characters count; where the item isn't a perfect
     match the text says in what, and that every answer has to say so.
     """
     apart = mismatches(tiers, wanted, dims)
-    note = F.concat(F.lit("Not a perfect match. It differs in: "), F.when(F.size(apart) > 0, F.array_join(apart, ", ")).otherwise("nothing"), F.lit("; it is "), F.when(within, "within").otherwise("outside"), F.lit(" the budget. Every answer has to say that it is the closest there is.\n"))
+    note = F.concat(
+        F.lit("Not a perfect match. It differs in: "),
+        F.when(F.size(apart) > 0, F.array_join(apart, ", ")).otherwise("nothing"),
+        F.lit("; it is "),
+        F.when(within, "within").otherwise("outside"),
+        F.lit(" the budget. Every answer has to say that it is the closest there is.\n"),
+    )
     perfect = within & (F.size(apart) == 0)
     return F.concat(
         F.lit("Wanted: "), text.grid_sentence(wanted, budget_tier, dims),

@@ -21,19 +21,50 @@ def ranking(df: DataFrame, query: Sequence[str], rank: str, relevance: Column, e
     gain = lambda at: F.col("__rel") / F.log2(at + 1)
     rows = rows.withColumn("__best", best)
     full = F.col("__rel") >= 1
-    out = rows.groupBy(*query).agg(F.min(F.when(full, F.col(rank))).alias("first_relevant_rank"), F.count_if(full).alias("relevant_in_top_k"), F.sum(gain(F.col(rank))).alias("__dcg"), F.sum(gain(F.col("__best"))).alias("__idcg"), F.max(F.when(F.col("__exact"), F.col(rank))).alias("exact_rank"))
+    out = rows.groupBy(*query).agg(
+        F.min(F.when(full, F.col(rank))).alias("first_relevant_rank"),
+        F.count_if(full).alias("relevant_in_top_k"),
+        F.sum(gain(F.col(rank))).alias("__dcg"),
+        F.sum(gain(F.col("__best"))).alias("__idcg"),
+        F.max(F.when(F.col("__exact"), F.col(rank))).alias("exact_rank"),
+    )
     first = F.col("first_relevant_rank")
-    return out.select(*query, F.when(first.isNotNull(), 1.0).otherwise(0.0).alias("recall_at_k"), F.round(F.col("relevant_in_top_k") / k, 4).alias("precision_at_k"), F.coalesce(F.round(1 / first, 4), F.lit(0.0)).alias("mrr"), F.when(F.col("__idcg") > 0, F.round(F.col("__dcg") / F.col("__idcg"), 4)).otherwise(0.0).alias("ndcg_at_k"), "first_relevant_rank", "exact_rank", "relevant_in_top_k")
+    return out.select(
+        *query,
+        F.when(first.isNotNull(), 1.0).otherwise(0.0).alias("recall_at_k"),
+        F.round(F.col("relevant_in_top_k") / k, 4).alias("precision_at_k"),
+        F.coalesce(F.round(1 / first, 4), F.lit(0.0)).alias("mrr"),
+        F.when(F.col("__idcg") > 0, F.round(F.col("__dcg") / F.col("__idcg"), 4)).otherwise(0.0).alias("ndcg_at_k"),
+        "first_relevant_rank",
+        "exact_rank",
+        "relevant_in_top_k",
+    )
 
 
 def binary(df: DataFrame, predicted: Column, actual: Column, by: Sequence[str] = ()) -> DataFrame:
     """n, tp, fp, fn, tn, accuracy, precision, recall, f1 (from the rounded two), positive_rate; null actuals are negative."""
     a = F.coalesce(actual, F.lit(False))
     p = predicted
-    rows = df.filter(p.isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(p & a).alias("tp"), F.count_if(p & ~a).alias("fp"), F.count_if(~p & a).alias("fn"), F.count_if(~p & ~a).alias("tn"))
+    rows = df.filter(p.isNotNull()).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(p & a).alias("tp"),
+        F.count_if(p & ~a).alias("fp"),
+        F.count_if(~p & a).alias("fn"),
+        F.count_if(~p & ~a).alias("tn"),
+    )
     ratio = lambda x, y: F.round(x / F.nullif(y, F.lit(0)), 4)
-    rows = rows.withColumns({"accuracy": ratio(F.col("tp") + F.col("tn"), F.col("n")), "precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn")), "positive_rate": ratio(F.col("tp") + F.col("fp"), F.col("n"))})
-    f1 = F.when((F.col("precision") > 0) & (F.col("recall") > 0), F.round(2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")), 4))
+    rows = rows.withColumns(
+        {
+            "accuracy": ratio(F.col("tp") + F.col("tn"), F.col("n")),
+            "precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")),
+            "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn")),
+            "positive_rate": ratio(F.col("tp") + F.col("fp"), F.col("n")),
+        }
+    )
+    f1 = F.when(
+        (F.col("precision") > 0) & (F.col("recall") > 0),
+        F.round(2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")), 4),
+    )
     return rows.withColumn("f1", f1)
 
 
@@ -41,23 +72,40 @@ def recency(df: DataFrame, by: Sequence[str], seq: Sequence[Column | str], value
     """Averages of the last values; nulls are left out before counting back."""
     back = F.row_number().over(W.partitionBy(*by).orderBy(*[(F.col(s) if isinstance(s, str) else s).desc() for s in seq]))
     rows = df.filter(F.col(value).isNotNull()).withColumn("__back", back).filter(F.col("__back") <= max(windows))
-    return rows.groupBy(*by).agg(*[F.round(F.avg(F.when(F.col("__back") <= n, F.col(value))), 4).alias(f"last_{n}" if n == 1 else f"last_{n}_avg") for n in windows])
+    return rows.groupBy(*by).agg(
+        *[F.round(F.avg(F.when(F.col("__back") <= n, F.col(value))), 4).alias(f"last_{n}" if n == 1 else f"last_{n}_avg") for n in windows]
+    )
 
 
 def mean_std(value: str, name: str, digits: int = 4) -> list[Column]:
     """Null-skipping mean, and population deviation where there are two values at least."""
-    return [F.round(F.avg(value), digits).alias(f"{name}_avg"), F.when(F.count(value) >= 2, F.round(F.stddev_pop(value), digits)).alias(f"{name}_std")]
+    return [
+        F.round(F.avg(value), digits).alias(f"{name}_avg"),
+        F.when(F.count(value) >= 2, F.round(F.stddev_pop(value), digits)).alias(f"{name}_std"),
+    ]
 
 
 def by_category(df: DataFrame, category: Column, values: Mapping[str, str]) -> DataFrame:
     """Means and deviations of each category; a missing one is "unknown"."""
-    return df.groupBy(F.coalesce(category, F.lit("unknown")).alias("category")).agg(F.count(F.lit(1)).alias("n"), *[c for name, v in values.items() for c in mean_std(v, name)])
+    return df.groupBy(F.coalesce(category, F.lit("unknown")).alias("category")).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[c for name, v in values.items() for c in mean_std(v, name)],
+    )
 
 
 def case_stats(df: DataFrame, correctness: str, by: Sequence[str] = (), least: float = rules.CORRECT) -> DataFrame:
     c = F.col(correctness)
     good = F.count_if(c >= least)
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), F.count(c).alias("scored"), (F.count(F.lit(1)) - F.count(c)).alias("unscored"), F.round(F.avg(c), 4).alias("avg_correctness"), F.round(F.min(c), 4).alias("min_correctness"), F.round(F.max(c), 4).alias("max_correctness"), good.alias("high_quality"), F.round(good / F.nullif(F.count(c), F.lit(0)), 4).alias("high_quality_rate"))
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count(c).alias("scored"),
+        (F.count(F.lit(1)) - F.count(c)).alias("unscored"),
+        F.round(F.avg(c), 4).alias("avg_correctness"),
+        F.round(F.min(c), 4).alias("min_correctness"),
+        F.round(F.max(c), 4).alias("max_correctness"),
+        good.alias("high_quality"),
+        F.round(good / F.nullif(F.count(c), F.lit(0)), 4).alias("high_quality_rate"),
+    )
 
 
 def judge(df: DataFrame, key: Sequence[str], scores: Sequence[str]) -> DataFrame:
@@ -65,7 +113,13 @@ def judge(df: DataFrame, key: Sequence[str], scores: Sequence[str]) -> DataFrame
     every = F.array(*[F.coalesce(F.col(s), F.lit(0)).cast("double") for s in scores])
     given = F.filter(every, lambda x: x > 0)
     mean = lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a))
-    return df.select(*key, F.round(mean(given), 4).alias("judge_avg"), F.array_min(given).alias("judge_min"), F.array_max(given).alias("judge_max"), F.round(mean(every), 4).alias("composite"))
+    return df.select(
+        *key,
+        F.round(mean(given), 4).alias("judge_avg"),
+        F.array_min(given).alias("judge_min"),
+        F.array_max(given).alias("judge_max"),
+        F.round(mean(every), 4).alias("composite"),
+    )
 
 
 def composites(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -115,7 +169,10 @@ def overall(turns: DataFrame, predicted: Column, actual: Column) -> DataFrame:
         F.round(F.max(c), 4).alias("max_correctness"),
         *[F.round(F.avg(F.when(scored, F.col(n))), 4).alias(f"avg_{n}") for n in SCORED_AVERAGES],
         *[F.round(F.avg(n), 4).alias(f"avg_{n}") for n in TURN_AVERAGES],
-        F.round(F.count_if(scored & F.coalesce("kg_changed_top", F.lit(False))) / F.nullif(F.count(c), F.lit(0)), 4).alias("kg_changed_top_rate"),
+        F.round(
+            F.count_if(scored & F.coalesce("kg_changed_top", F.lit(False))) / F.nullif(F.count(c), F.lit(0)),
+            4,
+        ).alias("kg_changed_top_rate"),
         F.count("live_price").alias("live_price_hits"),
         *[F.count_if(F.coalesce(F.col(f"attribution.{s}"), F.lit(False))).alias(f"attributed_{s}") for s in SOURCES],
     )
@@ -126,7 +183,12 @@ def overall(turns: DataFrame, predicted: Column, actual: Column) -> DataFrame:
 def category_summary(turns: DataFrame) -> DataFrame:
     """Per category (else pipeline, else "unknown"): counts, and averages of what is scored and of what isn't."""
     scored = F.col("correctness").isNotNull()
-    of_scored = {"correctness": "avg_correctness", "field_agreement": "avg_fa", "field_agreement_frac": "avg_fa_frac", "price_closeness": "avg_pc"}
+    of_scored = {
+        "correctness": "avg_correctness",
+        "field_agreement": "avg_fa",
+        "field_agreement_frac": "avg_fa_frac",
+        "price_closeness": "avg_pc",
+    }
     of_all = {"judge_avg": "avg_judge", "faithfulness": "avg_faithfulness", "answer_relevancy": "avg_ar"}
     return turns.groupBy(F.coalesce("category", "pipeline", F.lit("unknown")).alias("category")).agg(
         F.count(F.lit(1)).alias("n"),

@@ -20,7 +20,11 @@ def action_rewards(df: DataFrame, action: Column, similarity: str, reward: str)
     """(action, weighted_reward, case_count, similarity_mass), best first: rewards weighted by similarity."""
     s, r = F.col(similarity), F.col(reward)
     rows = df.filter(action.isNotNull() & r.isNotNull() & (s > 0))
-    out = rows.groupBy(action.alias("action")).agg(F.round(F.sum(s * r) / F.sum(s), 6).alias("weighted_reward"), F.count(F.lit(1)).alias("case_count"), F.round(F.sum(s), 6).alias("similarity_mass"))
+    out = rows.groupBy(action.alias("action")).agg(
+        F.round(F.sum(s * r) / F.sum(s), 6).alias("weighted_reward"),
+        F.count(F.lit(1)).alias("case_count"),
+        F.round(F.sum(s), 6).alias("similarity_mass"),
+    )
     return out.orderBy(F.desc("weighted_reward"), F.desc("similarity_mass"), "action")
 
 
@@ -37,16 +41,41 @@ def summary(cases: DataFrame, action: Column, similarity: str, reward: str, defa
     """
     good = good_cases(cases, similarity, reward)
     number = good.agg(F.count(F.lit(1)).alias("similar_case_count"))
-    one = F.struct((-F.col("weighted_reward")).alias("__r"), (-F.col("similarity_mass")).alias("__m"), "action", "weighted_reward", "case_count", "similarity_mass")
+    one = F.struct(
+        (-F.col("weighted_reward")).alias("__r"),
+        (-F.col("similarity_mass")).alias("__m"),
+        "action",
+        "weighted_reward",
+        "case_count",
+        "similarity_mass",
+    )
     listed = action_rewards(good, action, similarity, reward).agg(F.array_sort(F.collect_list(one)).alias("c"))
-    candidates = F.transform("c", lambda c: F.struct(c["action"].alias("action"), c["weighted_reward"].alias("weighted_reward"), c["case_count"].alias("case_count"), c["similarity_mass"].alias("similarity_mass")))
+    candidates = F.transform(
+        "c",
+        lambda c: F.struct(
+            c["action"].alias("action"),
+            c["weighted_reward"].alias("weighted_reward"),
+            c["case_count"].alias("case_count"),
+            c["similarity_mass"].alias("similarity_mass"),
+        ),
+    )
     rows = number.crossJoin(listed)  # one row each
     some = F.size("c") > 0
     policy_ = F.when(some, "similarity_weighted_reward").otherwise("default_no_similar_evaluated_cases")
-    return rows.select(policy_.alias("policy"), F.when(some, F.get("c", F.lit(0))["action"]).otherwise(default).alias("selected_action"), "similar_case_count", candidates.alias("candidate_actions"))
-
-
-def staged_search(trial: Callable[[Mapping[str, Any]], float], start: Mapping[str, Any], stages: Sequence[tuple[str, Sequence[Any]]], prefer: Mapping[str, Any] | None = None) -> tuple[dict[str, Any], dict[tuple, float]]:
+    return rows.select(
+        policy_.alias("policy"),
+        F.when(some, F.get("c", F.lit(0))["action"]).otherwise(default).alias("selected_action"),
+        "similar_case_count",
+        candidates.alias("candidate_actions"),
+    )
+
+
+def staged_search(
+    trial: Callable[[Mapping[str, Any]], float],
+    start: Mapping[str, Any],
+    stages: Sequence[tuple[str, Sequence[Any]]],
+    prefer: Mapping[str, Any] | None = None,
+) -> tuple[dict[str, Any], dict[tuple, float]]:
     """Coordinate descent: each stage tries the values of one parameter and keeps the best; no trial is run twice.
 
     Ties go to the value nearest to ``prefer``, then to the first.  A trial is one query; only its figure comes here.

@@ -27,7 +27,16 @@ def dense(df: DataFrame, id_: str, vector: str, query: Sequence[float], k: int,
     return scored.orderBy(best_first("score"), id_).limit(over * k).filter(keep).orderBy(best_first("score"), id_).limit(k).select(id_, "score")
 
 
-def bm25(df: DataFrame, id_: str, body: str, query: str, k: int | None, keep: Column | None = None, k1: float = rules.BM25_K1, b: float = rules.BM25_B) -> DataFrame:
+def bm25(
+    df: DataFrame,
+    id_: str,
+    body: str,
+    query: str,
+    k: int | None,
+    keep: Column | None = None,
+    k1: float = rules.BM25_K1,
+    b: float = rules.BM25_B,
+) -> DataFrame:
     """(id, score) by BM25 over distinct query words; ``keep`` restricts what is returned, never the statistics.
 
     The corpus is read once: a document becomes its length and the counts of the query's words, which are kept in the
@@ -36,10 +45,23 @@ def bm25(df: DataFrame, id_: str, body: str, query: str, k: int | None, keep: Co
     asked = sorted(set(query.lower().split()))
     tokens = text.words(F.coalesce(F.col(body), F.lit("")))
     wanted = F.array(*map(F.lit, asked))
-    told = let(tokens, lambda t: F.struct(F.size(t).alias("dl"), let(F.filter(t, lambda x: F.array_contains(wanted, x)), lambda hit: F.transform(wanted, lambda w: F.size(F.filter(hit, lambda x: x == w)))).alias("tf")))
+    told = let(
+        tokens,
+        lambda t: F.struct(
+            F.size(t).alias("dl"),
+            let(
+                F.filter(t, lambda x: F.array_contains(wanted, x)),
+                lambda hit: F.transform(wanted, lambda w: F.size(F.filter(hit, lambda x: x == w))),
+            ).alias("tf"),
+        ),
+    )
     rows = df.select(id_, (keep if keep is not None else F.lit(True)).alias("keep"), told.alias("told")).select(id_, "keep", "told.*")
     rows = cut(rows)  # a few numbers a document, instead of reading all texts for the statistics and again for the scores
-    figures = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), F.array(*[F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(len(asked))]).alias("df"))
+    figures = rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("dl").alias("avgdl"),
+        F.array(*[F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(len(asked))]).alias("df"),
+    )
     stats = figures.select(F.struct("n", "avgdl", "df").alias("s")).scalar()
     s = F.col("s")
 
@@ -80,7 +102,18 @@ def blended(spark: SparkSession, texts: Sequence[str], embed: Callable[[Column],
     return list(spark.range(1).select(vectors.blend(one, two).alias("v")).first()["v"])
 
 
-def hybrid_pipeline(df: DataFrame, id_: str, body: str, vector: str, width: int, query: str, imagine: Callable[[str], str], embed: Callable[[Column], Column], keep: Column | None = None, k: int = 10) -> DataFrame:
+def hybrid_pipeline(
+    df: DataFrame,
+    id_: str,
+    body: str,
+    vector: str,
+    width: int,
+    query: str,
+    imagine: Callable[[str], str],
+    embed: Callable[[Column], Column],
+    keep: Column | None = None,
+    k: int = 10,
+) -> DataFrame:
     """(id, rrf_score, rank): the whole search for a query.
 
     ``imagine`` makes a hypothetical answer; its vector and the query's are blended for the dense ranking, and both
@@ -106,7 +139,16 @@ def agreement(features: Sequence[str], wanted: Mapping[str, Column]) -> Column:
     return sum((F.when(F.col(f) == wanted[f], 1).otherwise(0) for f in features), F.lit(0))
 
 
-def score_and_rank(df: DataFrame, features: Sequence[str], wanted: Mapping[str, str], budget: Column, price: str, rrf: str, id_: str, k: int = 3) -> DataFrame:
+def score_and_rank(
+    df: DataFrame,
+    features: Sequence[str],
+    wanted: Mapping[str, str],
+    budget: Column,
+    price: str,
+    rrf: str,
+    id_: str,
+    k: int = 3,
+) -> DataFrame:
     """The k best within the budget by (matches, fused score)."""
     scored = df.filter(F.col(price) <= text.limit(budget)).withColumn("match_score", match_count(features, wanted))
     return scored.orderBy(F.desc("match_score"), F.desc(rrf), id_).limit(k)
@@ -121,7 +163,11 @@ def validated(df: DataFrame, score: str, order: Sequence[Column], least: int = 2
 
 def precision(hits: DataFrame, method: str, strict: Column, relaxed: Column) -> DataFrame:
     """(method, n, strict, relaxed): shares of the hits of each method."""
-    return hits.groupBy(method).agg(F.count(F.lit(1)).alias("n"), F.avg(strict.cast("double")).alias("strict"), F.avg(relaxed.cast("double")).alias("relaxed"))
+    return hits.groupBy(method).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(strict.cast("double")).alias("strict"),
+        F.avg(relaxed.cast("double")).alias("relaxed"),
+    )
 
 
 def winner(shares: DataFrame, method: str, value: str, order: Sequence[str]) -> DataFrame:

@@ -25,13 +25,22 @@ _PHASES = f"""WITH m AS {_MARKED},
 def _turns(rows: DataFrame) -> DataFrame:
     """Turns with what a moderator and a checker say of them, by rules that stand in for models."""
     told = rows.withColumn("verdict", F.expr(_VERDICT)).withColumn("reply", F.expr(_REPLY))
-    return told.withColumn("flagged", text.flagged(F.col("verdict"))).withColumn("confirmed", text.confirmed(F.col("verdict"), F.col("reply")) & ~F.col("text").rlike("[0-9]{4,}"))
+    return told.withColumn("flagged", text.flagged(F.col("verdict"))).withColumn(
+        "confirmed",
+        text.confirmed(F.col("verdict"), F.col("reply")) & ~F.col("text").rlike("[0-9]{4,}"),
+    )
 
 
 @query(_PHASES)
 def conversation_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _turns(table(spark, sf_dir, "conversations"))
-    return assistant.phases(rows, "conv_id", ["turn", "role"], F.col("flagged"), F.col("confirmed")).select("conv_id", "turn", "role", "phase", "next_phase", "step")
+    return assistant.phases(
+        rows,
+        "conv_id",
+        ["turn", "role"],
+        F.col("flagged"),
+        F.col("confirmed"),
+    ).select("conv_id", "turn", "role", "phase", "next_phase", "step")
 
 
 @query(f"SELECT conv_id, turn, phase, next_phase FROM ({_PHASES})")
@@ -74,7 +83,10 @@ def canonical_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = {"c": F.col("p_size").cast("string"), "a": F.col("p_brand"), "b": F.col("p_type")}
     one = F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)])
     two = F.create_map(*[x for k, v in reversed(pairs.items()) for x in (F.lit(k), v)])
-    return table(spark, sf_dir, "part").select("p_partkey", text.canonical_json(F.when(F.col("p_partkey") % 2 == 0, one).otherwise(two)).alias("key"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        text.canonical_json(F.when(F.col("p_partkey") % 2 == 0, one).otherwise(two)).alias("key"),
+    )
 
 
 _WANTED = dict(zip(DIMS, ("high", "medium", "high", "medium", "low")))

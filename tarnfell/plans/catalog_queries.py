@@ -35,7 +35,12 @@ def category_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
           d AS (SELECT d, max_by(v, pos) AS v FROM r GROUP BY d), n AS (SELECT n, max_by(v, pos) AS v FROM r GROUP BY n)
           SELECT p_partkey, coalesce(d.v, n.v, -1.0) AS found_price FROM part LEFT JOIN d ON d.d = p_name || ' ' || p_brand LEFT JOIN n ON n.n = p_name""")
 def fallback_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("both"), F.col("p_name").alias("only"), F.col("p_retailprice").alias("price"))
+    p = table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.concat_ws(" ", "p_name", "p_brand").alias("both"),
+        F.col("p_name").alias("only"),
+        F.col("p_retailprice").alias("price"),
+    )
     right = p.filter("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "pos")
     found = catalog.fallback_lookup(p.drop("price"), right, ["both", "only"], F.col("pos"), ["price"], {"price": F.lit(-1.0)})
     return found.select("p_partkey", "found_price")
@@ -65,7 +70,9 @@ def price_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
 
 
-_GRID = "(SELECT *, " + " || '|' || ".join(f"'{d}:' || {d}" for d in DIMS) + " || '|Budget:' || budget_tier AS combo_key FROM " + ", ".join(f"(SELECT unnest(['low', 'medium', 'high']) AS {d})" for d in (*DIMS, "budget_tier")) + ")"
+_GRID = "(SELECT *, " + " || '|' || ".join(f"'{d}:' || {d}" for d in DIMS) + " || '|Budget:' || budget_tier AS combo_key FROM " + ", ".join(
+    f"(SELECT unnest(['low', 'medium', 'high']) AS {d})" for d in (*DIMS, "budget_tier")
+) + ")"
 
 
 @query(f"SELECT * FROM {_GRID}")
@@ -85,7 +92,11 @@ _MATCH = f"""WITH x AS (SELECT * FROM {SQL_TIERED}), r AS (SELECT * FROM {_MATCH
 
 def _ranges(spark: SparkSession) -> DataFrame:
     rows = [("low", 900.0, 930.0), ("medium", 930.0, 960.0), ("high", 5000.0, 9000.0)]
-    return spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(a).alias("low"), F.lit(z).alias("high")) for t, a, z in rows])).alias("r")).select("r.*")
+    return spark.range(1).select(
+        F.explode(
+            F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(a).alias("low"), F.lit(z).alias("high")) for t, a, z in rows])
+        ).alias("r")
+    ).select("r.*")
 
 
 @query(_MATCH)
@@ -126,13 +137,21 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_type, count(*) AS total, count(DISTINCT p_name) AS names, count(DISTINCT CASE WHEN p_size > 10 THEN p_brand END) AS brands FROM part GROUP BY p_type")
 def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("total"), F.countDistinct("p_name").alias("names"), F.countDistinct(F.when(F.col("p_size") > 10, F.col("p_brand"))).alias("brands"))
+    return table(spark, sf_dir, "part").groupBy("p_type").agg(
+        F.count(F.lit(1)).alias("total"),
+        F.countDistinct("p_name").alias("names"),
+        F.countDistinct(F.when(F.col("p_size") > 10, F.col("p_brand"))).alias("brands"),
+    )
 
 
 @query("SELECT l_partkey, l_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_linenumber, l_orderkey, l_extendedprice) AS n FROM lineitem) WHERE n = 1")
 def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").filter("l_partkey is not null")
-    return catalog.first_by(rows, ["l_partkey"], [F.col("l_linenumber"), F.col("l_orderkey"), F.col("l_extendedprice")]).select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
+    return catalog.first_by(
+        rows,
+        ["l_partkey"],
+        [F.col("l_linenumber"), F.col("l_orderkey"), F.col("l_extendedprice")],
+    ).select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
 
 
 # ------------------------------------------------------------------------------------------------------------ metrics
@@ -148,7 +167,13 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's lines stand for a ranked list."""
     li = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 10")
     rows = li.withColumn("rank", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice")))
-    return metrics.ranking(rows, ["l_orderkey"], "rank", F.least(F.lit(1.0), F.floor(F.col("l_quantity") / 10) / 4), F.col("l_returnflag") == "A")
+    return metrics.ranking(
+        rows,
+        ["l_orderkey"],
+        "rank",
+        F.least(F.lit(1.0), F.floor(F.col("l_quantity") / 10) / 4),
+        F.col("l_returnflag") == "A",
+    )
 
 
 _CORRECT = "0.7::DOUBLE * least(1.0::DOUBLE, (l_linenumber % 6) / CASE WHEN l_linenumber % 4 = 0 THEN 5 ELSE l_linenumber % 4 + 2 END) + 0.3::DOUBLE * greatest(0.0::DOUBLE, 1 - abs(l_extendedprice / l_quantity - p_retailprice) / 2000.0)"
@@ -181,21 +206,30 @@ def recency_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT coalesce(CASE WHEN event_type <> 'signup' THEN event_type END, 'unknown') AS category, count(*) AS n, round(avg(value), 4) AS value_avg, CASE WHEN count(value) >= 2 THEN round(stddev_pop(value), 4) END AS value_std FROM events GROUP BY 1")
 def category_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.by_category(table(spark, sf_dir, "events"), F.when(F.col("event_type") != "signup", F.col("event_type")), {"value": "value"})
+    return metrics.by_category(
+        table(spark, sf_dir, "events"),
+        F.when(F.col("event_type") != "signup", F.col("event_type")),
+        {"value": "value"},
+    )
 
 
 @query("""WITH c AS (SELECT event_type AS pipeline, CASE WHEN event_id % 7 <> 0 THEN least(1.0, value / 100) END AS c FROM events)
           SELECT pipeline, count(*) AS total, count(c) AS scored, count(*) - count(c) AS unscored, round(avg(c), 4) AS avg_correctness, round(min(c), 4) AS min_correctness, round(max(c), 4) AS max_correctness,
                  count(*) FILTER (c >= 0.65) AS high_quality, round((count(*) FILTER (c >= 0.65))::DOUBLE / nullif(count(c), 0), 4) AS high_quality_rate FROM c GROUP BY pipeline""")
 def case_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("pipeline"), F.when(F.col("event_id") % 7 != 0, F.least(F.lit(1.0), F.col("value") / 100)).alias("c"))
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("pipeline"),
+        F.when(F.col("event_id") % 7 != 0, F.least(F.lit(1.0), F.col("value") / 100)).alias("c"),
+    )
     return metrics.case_stats(rows, "c", ["pipeline"])
 
 
 @query("""SELECT action, round(sum(s * r) / sum(s), 6) AS weighted_reward, count(*) AS case_count, round(sum(s), 6) AS similarity_mass
           FROM (SELECT CASE WHEN event_type <> 'error' THEN event_type END AS action, least(1.0, value / 50) - 0.1 AS s, least(1.0, value / 100) AS r FROM events) WHERE action IS NOT NULL AND s > 0 GROUP BY action""")
 def weighted_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").withColumns({"s": F.least(F.lit(1.0), F.col("value") / 50) - 0.1, "r": F.least(F.lit(1.0), F.col("value") / 100)})
+    rows = table(spark, sf_dir, "events").withColumns(
+        {"s": F.least(F.lit(1.0), F.col("value") / 50) - 0.1, "r": F.least(F.lit(1.0), F.col("value") / 100)}
+    )
     return policy.action_rewards(rows, F.when(F.col("event_type") != "error", F.col("event_type")), "s", "r")
 
 
@@ -203,21 +237,32 @@ def weighted_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
 def qa_dedupe_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each different text is scored once and the score is joined back."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.md5(F.lower("text").cast("binary")).alias("key"))
-    once = rows.dropDuplicates(["text"]).select("text", F.size(F.regexp_extract_all("text", F.lit("[a-z0-9]+"), F.lit(0))).cast("long").alias("score"))
+    once = rows.dropDuplicates(["text"]).select(
+        "text",
+        F.size(F.regexp_extract_all("text", F.lit("[a-z0-9]+"), F.lit(0))).cast("long").alias("score"),
+    )
     return rows.join(once, "text").select("doc_id", "key", "score")
 
 
 @query("""WITH s AS (SELECT doc_id, [CAST(quality * 7 AS DOUBLE), CAST((doc_id % 10) AS DOUBLE), CAST(toxic * 3 AS DOUBLE)] AS v FROM labels), g AS (SELECT doc_id, v, list_filter(v, lambda x: x > 0) AS p FROM s)
           SELECT doc_id, CASE WHEN len(p) > 0 THEN round(list_avg(p), 4) END AS judge_avg, list_min(p) AS judge_min, list_max(p) AS judge_max, round(list_avg(v), 4) AS composite FROM g""")
 def judge_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 7).alias("a"), (F.col("doc_id") % 10).alias("b"), (F.col("toxic") * 3).alias("c"))
+    rows = table(spark, sf_dir, "labels").select(
+        "doc_id",
+        (F.col("quality") * 7).alias("a"),
+        (F.col("doc_id") % 10).alias("b"),
+        (F.col("toxic") * 3).alias("c"),
+    )
     return metrics.judge(rows, ["doc_id"], ["a", "b", "c"])
 
 
 @query("SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal <= CASE WHEN s_suppkey % 3 = 0 THEN 10000000 ELSE 5000 END AND s_acctbal BETWEEN -500 AND 9000")
 def budget_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     budget = text.limit(F.when(F.col("s_suppkey") % 3 == 0, F.lit(0)).otherwise(5000))
-    return table(spark, sf_dir, "supplier").filter((F.col("s_acctbal") <= budget) & F.col("s_acctbal").between(-500, 9000)).select("s_suppkey", "s_acctbal")
+    return table(spark, sf_dir, "supplier").filter(
+        (F.col("s_acctbal") <= budget)
+        & F.col("s_acctbal").between(-500, 9000)
+    ).select("s_suppkey", "s_acctbal")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 490000)")
@@ -225,4 +270,8 @@ def id_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     ids = lambda condition: o.filter(condition).select(F.col("o_custkey").alias("c_custkey"))
     both = ids("o_orderstatus = 'F'").intersect(ids("o_orderpriority = '1-URGENT'"))
-    return table(spark, sf_dir, "customer").select("c_custkey").join(both, "c_custkey", "left_semi").join(ids("o_totalprice > 490000").distinct(), "c_custkey", "left_anti")
+    return table(spark, sf_dir, "customer").select("c_custkey").join(both, "c_custkey", "left_semi").join(
+        ids("o_totalprice > 490000").distinct(),
+        "c_custkey",
+        "left_anti",
+    )

@@ -17,7 +17,14 @@ SPECS = {"HAS_SIZE": r"\b(size \d+)\b", "WEIGHS": r"\b(\d(?:\.\d+)?\s*kg)\b"}
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tiered(spark, sf_dir)
-    return rows.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"), "description", (F.col("p_retailprice") * 100).alias("price"), *DIMS)
+    return rows.select(
+        F.col("p_partkey").cast("string").alias("id"),
+        F.col("p_partkey").alias("pos"),
+        F.col("p_name").alias("name"),
+        "description",
+        (F.col("p_retailprice") * 100).alias("price"),
+        *DIMS,
+    )
 
 
 def _entity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,16 +83,42 @@ def _geo(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         return F.concat(F.lit(prefix), F.col(column).cast("string"))
 
     def edges(df: DataFrame, src, dst, predicate: str, weight, part: int, order: str) -> DataFrame:
-        return df.select(src.alias("src"), dst.alias("dst"), F.lit(predicate).alias("predicate"), weight.cast("int").alias("weight"), (F.lit(part * 10**12) + F.col(order)).cast("long").alias("seq"))
+        return df.select(
+            src.alias("src"),
+            dst.alias("dst"),
+            F.lit(predicate).alias("predicate"),
+            weight.cast("int").alias("weight"),
+            (F.lit(part * 10**12) + F.col(order)).cast("long").alias("seq"),
+        )
 
     def nodes(df: DataFrame, id_, kind: str, name: str, part: int, order: str) -> DataFrame:
         none = F.lit(None).cast("string")
-        return df.select(id_.alias("id"), F.lit(kind).alias("type"), F.col(name).alias("name"), none.alias("tier"), (F.lit(part * 10**12) + F.col(order)).cast("long").alias("seq"))
+        return df.select(
+            id_.alias("id"),
+            F.lit(kind).alias("type"),
+            F.col(name).alias("name"),
+            none.alias("tier"),
+            (F.lit(part * 10**12) + F.col(order)).cast("long").alias("seq"),
+        )
 
     c, s, n, r = t("customer"), t("supplier"), t("nation"), t("region")
     one = F.lit(1)
-    all_edges = graph.union([edges(c, key("C", "c_custkey"), key("N", "c_nationkey"), "LIVES_IN", one, 1, "c_custkey"), edges(s, key("S", "s_suppkey"), key("N", "s_nationkey"), "SELLS_IN", one, 2, "s_suppkey"), edges(n, key("N", "n_nationkey"), key("R", "n_regionkey"), "PART_OF", F.col("n_nationkey") % 3 + 1, 3, "n_nationkey"), edges(n, key("R", "n_regionkey"), key("N", "n_nationkey"), "HAS_PART", one, 4, "n_nationkey")])
-    all_nodes = graph.union([nodes(c, key("C", "c_custkey"), "Laptop", "c_name", 1, "c_custkey"), nodes(s, key("S", "s_suppkey"), "Supplier", "s_name", 2, "s_suppkey"), nodes(n, key("N", "n_nationkey"), "Nation", "n_name", 3, "n_nationkey"), nodes(r, key("R", "r_regionkey"), "Region", "r_name", 4, "r_regionkey")])
+    all_edges = graph.union(
+        [
+            edges(c, key("C", "c_custkey"), key("N", "c_nationkey"), "LIVES_IN", one, 1, "c_custkey"),
+            edges(s, key("S", "s_suppkey"), key("N", "s_nationkey"), "SELLS_IN", one, 2, "s_suppkey"),
+            edges(n, key("N", "n_nationkey"), key("R", "n_regionkey"), "PART_OF", F.col("n_nationkey") % 3 + 1, 3, "n_nationkey"),
+            edges(n, key("R", "n_regionkey"), key("N", "n_nationkey"), "HAS_PART", one, 4, "n_nationkey"),
+        ]
+    )
+    all_nodes = graph.union(
+        [
+            nodes(c, key("C", "c_custkey"), "Laptop", "c_name", 1, "c_custkey"),
+            nodes(s, key("S", "s_suppkey"), "Supplier", "s_name", 2, "s_suppkey"),
+            nodes(n, key("N", "n_nationkey"), "Nation", "n_name", 3, "n_nationkey"),
+            nodes(r, key("R", "r_regionkey"), "Region", "r_name", 4, "r_regionkey"),
+        ]
+    )
     return all_nodes, all_edges
 
 
@@ -177,7 +210,10 @@ def kg_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kg_vector_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rankings of all customers, by balance and by what they have ordered."""
     ranked = lambda df, order: catalog.renumber(df, order, "rank").select("id", "rank")
-    g = ranked(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), "c_acctbal", "c_custkey"), [F.desc("c_acctbal"), F.col("c_custkey")])
+    g = ranked(
+        table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), "c_acctbal", "c_custkey"),
+        [F.desc("c_acctbal"), F.col("c_custkey")],
+    )
     spent = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("spent"))
     v = ranked(spent.withColumn("id", F.col("o_custkey").cast("string")), [F.desc(F.round("spent", 6)), F.col("o_custkey")])
     return graph.fuse_rankings(g, v).select("id", F.round("score", 8).alias("score"))
@@ -284,10 +320,17 @@ def entity_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT id, {_BRAND} AS brand, array_to_string(list_filter([{', '.join(f"CASE WHEN {' OR '.join(f"contains(l, '{w}')" for w in ws)} THEN '{c}' END" for c, ws in CASES.items())}], lambda c: c IS NOT NULL), ',') AS use_cases FROM {_I}")
 def entity_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("description")
-    return _items(spark, sf_dir).select("id", text.brand(d, BRANDS).alias("brand"), F.array_join(text.use_cases(d, CASES), ",").alias("use_cases"))
+    return _items(spark, sf_dir).select(
+        "id",
+        text.brand(d, BRANDS).alias("brand"),
+        F.array_join(text.use_cases(d, CASES), ",").alias("use_cases"),
+    )
 
 
 @query(f"SELECT id, 'HAS_SIZE' AS predicate, 'size ' || p_size AS value, 'SIZE::size_' || p_size AS entity FROM {_I} UNION ALL SELECT id, 'WEIGHS', p_size || ' kg', 'WEIGH::' || p_size || '_kg' FROM {_I} WHERE p_size < 10")
 def spec_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _items(spark, sf_dir).select("id", F.explode(text.spec_triplets(F.col("name"), F.col("description"), SPECS)).alias("t")).select("id", "t.*")
+    rows = _items(spark, sf_dir).select(
+        "id",
+        F.explode(text.spec_triplets(F.col("name"), F.col("description"), SPECS)).alias("t"),
+    ).select("id", "t.*")
     return rows.withColumn("entity", F.concat(text.entity_type(F.col("predicate")), F.lit("::"), text.normalise(F.col("value"))))

@@ -58,9 +58,16 @@ def io_csv_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices with thousands set off by commas, descriptions with quotes and line ends."""
     path = fresh_folder(spark, "io-catalog")
     price = F.when(F.col("c_custkey") > 0, F.format_string("%s,012", F.col("c_custkey").cast("string"))).otherwise("12")
-    rows = table(spark, sf_dir, "customer").select(F.col("c_name").alias("Name"), F.lit('two "lines",\nin one').alias("Description"), price.alias("Price"))
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_name").alias("Name"),
+        F.lit('two "lines",\nin one').alias("Description"),
+        price.alias("Price"),
+    )
     rows.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
-    return readers.csv_catalog(spark, path).filter(F.contains("Description", F.lit("\n"))).select(F.col("Name").alias("name"), F.col("Price").alias("price"))
+    return readers.csv_catalog(spark, path).filter(F.contains("Description", F.lit("\n"))).select(
+        F.col("Name").alias("name"),
+        F.col("Price").alias("price"),
+    )
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'new ' || p_name ELSE p_name END AS p_name, CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part UNION ALL SELECT -1, 'added', 0")
@@ -69,7 +76,11 @@ def io_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_folder(spark, "io-upsert")
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     sinks.upsert(rows, path, "p_partkey")
-    some = rows.filter("p_partkey % 5 = 0").select("p_partkey", F.concat(F.lit("new "), "p_name").alias("p_name"), (F.col("p_size") + 1).alias("p_size"))
+    some = rows.filter("p_partkey % 5 = 0").select(
+        "p_partkey",
+        F.concat(F.lit("new "), "p_name").alias("p_name"),
+        (F.col("p_size") + 1).alias("p_size"),
+    )
     stale = some.withColumn("p_size", F.lit(-9))
     added = spark.createDataFrame([(-1, "added", 0)], "p_partkey long, p_name string, p_size int")
     sinks.upsert(some.unionByName(stale).unionByName(added), path, "p_partkey", F.col("p_size"))
@@ -92,11 +103,17 @@ def io_append_and_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 def io_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored graph is found under its version only."""
     path = fresh_folder(spark, "io-graph")
-    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("id"), F.col("n_name").alias("name"), F.concat(F.lit("R"), "n_regionkey").alias("dst"))
+    n = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("N"), "n_nationkey").alias("id"),
+        F.col("n_name").alias("name"),
+        F.concat(F.lit("R"), "n_regionkey").alias("dst"),
+    )
     sinks.save_graph(n.select("id", "name"), n.select(F.col("id").alias("src"), "dst"), path, 3)
     nodes, edges = readers.graph(spark, path, 3)
     missing = "none" if readers.graph(spark, path, 4) is None else "found"
-    told = nodes.select(F.lit("node").alias("part"), F.col("id").alias("a"), F.col("name").alias("b")).unionByName(edges.select(F.lit("edge").alias("part"), F.col("src").alias("a"), F.col("dst").alias("b")))
+    told = nodes.select(F.lit("node").alias("part"), F.col("id").alias("a"), F.col("name").alias("b")).unionByName(
+        edges.select(F.lit("edge").alias("part"), F.col("src").alias("a"), F.col("dst").alias("b"))
+    )
     return told.unionByName(spark.createDataFrame([("other version", missing, missing)], "part string, a string, b string"))
 
 
@@ -105,10 +122,21 @@ def io_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three chunks an item, stored as points; of each item the first chunk gives its description back."""
     path = fresh_folder(spark, "io-points")
     p = table(spark, sf_dir, "part").withColumn("chunk_index", F.explode(F.array(*map(F.lit, (2, 0, 1)))))
-    payload = F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat(F.lit("whole "), "p_name").alias("description"), F.col("p_size").cast("long").alias("price"))
+    payload = F.struct(
+        F.col("p_partkey").alias("id"),
+        F.col("p_name").alias("name"),
+        F.concat(F.lit("whole "), "p_name").alias("description"),
+        F.col("p_size").cast("long").alias("price"),
+    )
     p.select((F.col("p_partkey") * 3 + F.col("chunk_index")).alias("id"), payload.alias("payload"), "chunk_index").write.parquet(path)
     stored = readers.points(spark, path)
-    chunks = spark.read.parquet(path).select("id", F.col("payload.id").cast("string").alias("laptop_id"), "chunk_index", F.col("payload.description").alias("full_description"), F.concat(F.lit("chunk "), "chunk_index").alias("description"))
+    chunks = spark.read.parquet(path).select(
+        "id",
+        F.col("payload.id").cast("string").alias("laptop_id"),
+        "chunk_index",
+        F.col("payload.description").alias("full_description"),
+        F.concat(F.lit("chunk "), "chunk_index").alias("description"),
+    )
     first = readers.first_chunks(chunks).select(F.col("laptop_id").cast("long").alias("id"), "description")
     return stored.distinct().drop("description").join(first, "id").select("id", "name", "description", "price")
 
@@ -121,14 +149,23 @@ def io_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = sinks.read(spark, path)
     wanted = stored.filter("pos % 10 = 3").select("pos").unionByName(spark.createDataFrame([(-5,)], "pos long"))
     total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
-    return readers.reconstruct(stored, wanted).select(F.col("pos").alias("vec_id"), F.size("embedding").alias("width"), F.round(total, 5).alias("total"))
+    return readers.reconstruct(stored, wanted).select(
+        F.col("pos").alias("vec_id"),
+        F.size("embedding").alias("width"),
+        F.round(total, 5).alias("total"),
+    )
 
 
 @query("SELECT n_nationkey AS pos, n_name AS text, CAST(64 AS INT) AS width FROM nation")
 def io_saved_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts are stored with their vectors and come back in their order."""
     path = fresh_folder(spark, "io-texts")
-    sinks.save_texts(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("text")), path, "text", vectors.hash_embed)
+    sinks.save_texts(
+        table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("text")),
+        path,
+        "text",
+        vectors.hash_embed,
+    )
     return sinks.read(spark, path).select("pos", "text", F.size("embedding").alias("width"))
 
 
@@ -141,7 +178,11 @@ def batch_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def io_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table that lacks a column, and one that isn't there at all."""
     path, kind = fresh_folder(spark, "io-columns"), "id bigint, name string, score double"
-    table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit(1).alias("more")).write.parquet(path)
+    table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("id"),
+        F.col("s_name").alias("name"),
+        F.lit(1).alias("more"),
+    ).write.parquet(path)
     return readers.parquet_or_empty(spark, path, kind).unionByName(readers.parquet_or_empty(spark, f"{path}-none", kind))
 
 
@@ -162,7 +203,11 @@ def io_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS total, round(sum(o_totalprice), 2) AS money, min(o_orderkey) AS first FROM orders")
 def io_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A one-row summary as JSON, and read from it again."""
-    summary = table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("total"), F.round(F.sum("o_totalprice"), 2).alias("money"), F.min("o_orderkey").alias("first"))
+    summary = table(spark, sf_dir, "orders").agg(
+        F.count(F.lit(1)).alias("total"),
+        F.round(F.sum("o_totalprice"), 2).alias("money"),
+        F.min("o_orderkey").alias("first"),
+    )
     told = spark.createDataFrame([(sinks.json_report(summary),)], "j string")
     return told.select(F.from_json("j", "total bigint, money double, first bigint").alias("r")).select("r.*")
 
@@ -201,4 +246,8 @@ def hook_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n_name AS question FROM nation UNION ALL SELECT n_name FROM nation, range(15) WHERE n_nationkey = 0")
 def hook_topped_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forty questions of twenty-five: the first one stands in for what is missing."""
-    return hooks.topped_up(table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("question")), ["n_nationkey"], 40).select("question")
+    return hooks.topped_up(
+        table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("question")),
+        ["n_nationkey"],
+        40,
+    ).select("question")

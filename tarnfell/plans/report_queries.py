@@ -11,7 +11,10 @@ from tarnfell.plans.registry import query
 from tarnfell.plans.shared import KEYWORDS, SQL_TIERED, parts, sql_tier, table
 
 _VALUES = (*metrics.TURN_AVERAGES, *metrics.SCORED_AVERAGES, "field_agreement")
-_FIELDS = {name: f"CASE WHEN (event_id + {i}) % 11 <> 0 THEN CAST((event_id * {i + 3}) % 101 AS DOUBLE) / 101 END" for i, name in enumerate(_VALUES)}
+_FIELDS = {
+    name: f"CASE WHEN (event_id + {i}) % 11 <> 0 THEN CAST((event_id * {i + 3}) % 101 AS DOUBLE) / 101 END"
+    for i, name in enumerate(_VALUES)
+}
 _SOURCES = {s: f"event_id % {i + 2} = 0" for i, s in enumerate(metrics.SOURCES)}
 _TURN = {
     "category": "CASE WHEN event_type <> 'signup' THEN event_type END",
@@ -32,7 +35,12 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("attribution", F.struct(*[F.expr(sql).alias(s) for s, sql in _SOURCES.items()]))
 
 
-_AVERAGES = ", ".join([*(f"round(avg({n}) FILTER (correctness IS NOT NULL), 4) AS avg_{n}" for n in metrics.SCORED_AVERAGES), *(f"round(avg({n}), 4) AS avg_{n}" for n in metrics.TURN_AVERAGES)])
+_AVERAGES = ", ".join(
+    [
+        *(f"round(avg({n}) FILTER (correctness IS NOT NULL), 4) AS avg_{n}" for n in metrics.SCORED_AVERAGES),
+        *(f"round(avg({n}), 4) AS avg_{n}" for n in metrics.TURN_AVERAGES),
+    ]
+)
 
 
 @query(f"""WITH t AS {_TURNS}, s AS (SELECT * FROM t WHERE correctness IS NOT NULL),
@@ -92,7 +100,11 @@ _GOOD = f"(SELECT * FROM {_CASES} WHERE s >= 0.65 AND r >= 0.7)"
            SELECT 'similarity_weighted_reward' AS policy, (SELECT action FROM a ORDER BY w DESC, m DESC, action LIMIT 1) AS selected_action, (SELECT count(*) FROM {_GOOD}) AS similar_case_count,
                   (SELECT string_agg(action || ' ' || n, ',' ORDER BY w DESC, m DESC, action) FROM a) AS candidates""")
 def policy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = table(spark, sf_dir, "events").select(F.col("event_type").alias("action"), ((F.col("event_id") % 50 + 50) / 100).alias("s"), F.least(F.lit(1.0), F.col("value") / 60).alias("r"))
+    cases = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("action"),
+        ((F.col("event_id") % 50 + 50) / 100).alias("s"),
+        F.least(F.lit(1.0), F.col("value") / 60).alias("r"),
+    )
     found = policy.summary(cases, F.col("action"), "s", "r", "default")
     listed = F.array_join(F.transform("candidate_actions", lambda c: F.concat_ws(" ", c["action"], c["case_count"].cast("string"))), ",")
     return found.select("policy", "selected_action", "similar_case_count", listed.alias("candidates"))
@@ -103,7 +115,12 @@ def cached_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of the descriptions has its tier in a cache; the others' is worked out."""
     rows = parts(spark, sf_dir).withColumn("key", F.concat_ws("/", "description", "p_partkey"))
     cache = rows.filter("p_partkey % 3 = 0").select("key", F.lit("cached").alias("f1"))
-    return catalog.cached_or(rows, cache, "key", {"f1": text.tier(F.col("description"), KEYWORDS["f1"])}).select("p_partkey", "f1", "cached")
+    return catalog.cached_or(
+        rows,
+        cache,
+        "key",
+        {"f1": text.tier(F.col("description"), KEYWORDS["f1"])},
+    ).select("p_partkey", "f1", "cached")
 
 
 _KEY = "concat('a:', p_type, '|b:', CAST({0} AS VARCHAR(9)))"
@@ -113,8 +130,15 @@ _KEY = "concat('a:', p_type, '|b:', CAST({0} AS VARCHAR(9)))"
            SELECT s_suppkey, k AS combo_key, answer FROM (SELECT s_suppkey, {_KEY.format('s_suppkey % 6').replace('p_type', "CASE s_suppkey % 3 WHEN 0 THEN 'SMALL' WHEN 1 THEN 'PROMO' ELSE 'LARGE' END")} AS k FROM supplier) LEFT JOIN (SELECT * FROM g WHERE n = 1) ON combo_key = k""")
 def ground_truth_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requirements meet the first stored answer of their combination, if there is one."""
-    stored = table(spark, sf_dir, "part").filter("p_size < 20").select(F.expr(_KEY.format("p_size % 4")).alias("combo_key"), F.col("p_name").alias("answer"), "p_partkey")
+    stored = table(spark, sf_dir, "part").filter("p_size < 20").select(
+        F.expr(_KEY.format("p_size % 4")).alias("combo_key"),
+        F.col("p_name").alias("answer"),
+        "p_partkey",
+    )
     kind = F.when(F.col("s_suppkey") % 3 == 0, "SMALL").when(F.col("s_suppkey") % 3 == 1, "PROMO").otherwise("LARGE")
-    asked = table(spark, sf_dir, "supplier").withColumn("p_type", kind).select("s_suppkey", F.expr(_KEY.format("s_suppkey % 6")).alias("combo_key"))
+    asked = table(spark, sf_dir, "supplier").withColumn("p_type", kind).select(
+        "s_suppkey",
+        F.expr(_KEY.format("s_suppkey % 6")).alias("combo_key"),
+    )
     first = catalog.first_by(stored, ["combo_key"], [F.col("p_partkey")]).drop("p_partkey")
     return asked.join(first, "combo_key", "left").select("s_suppkey", "combo_key", "answer")

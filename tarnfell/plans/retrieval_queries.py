@@ -75,7 +75,10 @@ def _sql_fused(k: int) -> str:
 
 @query(f"SELECT doc_id, rrf_score FROM ({_sql_fused(1000)})")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = [retrieval.ranked(_dense(spark, sf_dir, 20).withColumnRenamed("vec_id", "doc_id"), "doc_id"), retrieval.ranked(_bm25(spark, sf_dir, k=20), "doc_id")]
+    hits = [
+        retrieval.ranked(_dense(spark, sf_dir, 20).withColumnRenamed("vec_id", "doc_id"), "doc_id"),
+        retrieval.ranked(_bm25(spark, sf_dir, k=20), "doc_id"),
+    ]
     return retrieval.fuse(hits, "doc_id").select("doc_id", F.round("rrf_score", 8).alias("rrf_score"))
 
 
@@ -100,7 +103,15 @@ def feature_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT p_partkey, p_name, match_score FROM {_SCORED} ORDER BY match_score DESC, 1.0 / (60 + p_partkey) DESC, p_partkey LIMIT 3")
 def score_and_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tiered(spark, sf_dir).withColumn("rrf", 1.0 / (60 + F.col("p_partkey")))
-    return retrieval.score_and_rank(rows, DIMS, WANTED, F.lit(950), "p_retailprice", "rrf", "p_partkey").select("p_partkey", "p_name", "match_score")
+    return retrieval.score_and_rank(
+        rows,
+        DIMS,
+        WANTED,
+        F.lit(950),
+        "p_retailprice",
+        "rrf",
+        "p_partkey",
+    ).select("p_partkey", "p_name", "match_score")
 
 
 @query(f"""SELECT p_partkey, match_score FROM (SELECT *, row_number() OVER (ORDER BY match_score DESC, p_partkey) AS rn, max(match_score) OVER () AS top
@@ -108,7 +119,10 @@ def score_and_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
            UNION ALL SELECT -p_partkey, match_score FROM {_SCORED} WHERE p_partkey = (SELECT p_partkey FROM {_SCORED} ORDER BY match_score DESC, p_partkey LIMIT 1)""")
 def validate_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates within the budget; and, with its key negated, what is left where none is good enough."""
-    rows = tiered(spark, sf_dir).filter(F.col("p_retailprice") <= 950).withColumn("match_score", retrieval.match_count(DIMS, WANTED)).select("p_partkey", "match_score")
+    rows = tiered(spark, sf_dir).filter(F.col("p_retailprice") <= 950).withColumn(
+        "match_score",
+        retrieval.match_count(DIMS, WANTED),
+    ).select("p_partkey", "match_score")
     order = [F.desc("match_score"), F.col("p_partkey")]
     none = retrieval.validated(rows, "match_score", order, len(WANTED) + 1)
     return retrieval.validated(rows, "match_score", order).unionByName(none.withColumn("p_partkey", -F.col("p_partkey")))
@@ -133,13 +147,18 @@ def search_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLAUSES = "list_filter(list_transform(regexp_split_to_array(text, '[.,;]\\s*'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')"
 TOPICS = {"Articles": ["the", "der", "les"], "Joins": ["and", "und", " et "], "Places": ["in", "dans"]}
 _TOPIC = "CASE " + " ".join(f"WHEN {sql_any('lower(s)', k)} THEN '{t}'" for t, k in TOPICS.items()) + " ELSE 'General' END"
-_TOPIC_CHUNKS = ", ".join(f"CASE WHEN len(list_filter(c, lambda s: {_TOPIC} = '{t}')) > 0 THEN '{t} info: ' || array_to_string(list_filter(c, lambda s: {_TOPIC} = '{t}'), '. ') END" for t in [*TOPICS, "General"])
+_TOPIC_CHUNKS = ", ".join(
+    f"CASE WHEN len(list_filter(c, lambda s: {_TOPIC} = '{t}')) > 0 THEN '{t} info: ' || array_to_string(list_filter(c, lambda s: {_TOPIC} = '{t}'), '. ') END" for t in [*TOPICS, "General"]
+)
 
 
 @query(f"""SELECT doc_id, CAST(generate_subscripts(ch, 1) - 1 AS INT) AS chunk_index, unnest(ch) AS chunk FROM (
            SELECT doc_id, list_concat(list_filter([{_TOPIC_CHUNKS}], lambda x: x IS NOT NULL), [text]) AS ch FROM (SELECT doc_id, text, {_CLAUSES} AS c FROM documents))""")
 def topic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.topic_chunks(F.col("text"), TOPICS)).alias("chunk_index", "chunk"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.posexplode(text.topic_chunks(F.col("text"), TOPICS)).alias("chunk_index", "chunk"),
+    )
 
 
 @query("""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')[1:12] AS p FROM documents),
@@ -174,7 +193,9 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ASK = "'I need a laptop with High GPU intensity, ' || CASE p_size % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'odd' END || ' display quality, low portability, medium multitasking, high processing speed and a budget of ' || CAST(50 + p_size AS VARCHAR) || ',000'"
-_TIERS_SQL = ", ".join(f"nullif(lower(regexp_extract(q, '(?i)(low|medium|high)\\s+{d.lower()}', 1)), '') AS t{i}" for i, d in enumerate(rules.DIMENSIONS))
+_TIERS_SQL = ", ".join(
+    f"nullif(lower(regexp_extract(q, '(?i)(low|medium|high)\\s+{d.lower()}', 1)), '') AS t{i}" for i, d in enumerate(rules.DIMENSIONS)
+)
 
 
 @query(f"""SELECT p_partkey, CASE WHEN t0 || t1 || t2 || t3 || t4 IS NOT NULL THEN t1 END AS display, CASE WHEN t0 || t1 || t2 || t3 || t4 IS NOT NULL THEN CAST(b AS DOUBLE) END AS budget,
@@ -182,10 +203,21 @@ _TIERS_SQL = ", ".join(f"nullif(lower(regexp_extract(q, '(?i)(low|medium|high)\\
            FROM (SELECT p_partkey, {_TIERS_SQL}, CAST(50 + p_size AS VARCHAR) || '000' AS b, CASE p_size % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'odd' END AS d FROM (SELECT p_partkey, p_size, {_ASK} AS q FROM part))""")
 def requirement_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.when(F.col("p_size") % 3 == 0, "low").when(F.col("p_size") % 3 == 1, "medium").otherwise("odd")
-    ask = F.concat(F.lit("I need a laptop with High GPU intensity, "), level, F.lit(" display quality, low portability, medium multitasking, high processing speed and a budget of "), (F.col("p_size") + 50).cast("string"), F.lit(",000"))
+    ask = F.concat(
+        F.lit("I need a laptop with High GPU intensity, "),
+        level,
+        F.lit(" display quality, low portability, medium multitasking, high processing speed and a budget of "),
+        (F.col("p_size") + 50).cast("string"),
+        F.lit(",000"),
+    )
     rows = table(spark, sf_dir, "part").select("p_partkey", ask.alias("q"))
     r = text.requirements(F.col("q"))
-    return rows.select("p_partkey", r["tiers"]["Display quality"].alias("display"), r["budget"].alias("budget"), text.requirement_sentence(F.col("q")).alias("sentence"))
+    return rows.select(
+        "p_partkey",
+        r["tiers"]["Display quality"].alias("display"),
+        r["budget"].alias("budget"),
+        text.requirement_sentence(F.col("q")).alias("sentence"),
+    )
 
 
 _NOISY = "CASE conv_id % 3 WHEN 0 THEN 'Thinking... so' || chr(10) || '...done thinking. Alright, ' || text WHEN 1 THEN '<think>hm' || chr(10) || '</think>I''ll say: ' || text || chr(10) || chr(10) || chr(10) || chr(10) || 'end' ELSE text || ' <think>cut off' END"
@@ -197,14 +229,24 @@ _NOISY = "CASE conv_id % 3 WHEN 0 THEN 'Thinking... so' || chr(10) || '...done t
            SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?s)<think>.*?</think>', '', 'g'), '(?s)<think>.*$', ''), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS clean FROM c""")
 def response_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, k = F.col("text"), F.col("conv_id") % 3
-    noisy = F.when(k == 0, F.concat(F.lit("Thinking... so\n...done thinking. Alright, "), t)).when(k == 1, F.concat(F.lit("<think>hm\n</think>I'll say: "), t, F.lit("\n\n\n\nend"))).otherwise(F.concat(t, F.lit(" <think>cut off")))
+    noisy = F.when(k == 0, F.concat(F.lit("Thinking... so\n...done thinking. Alright, "), t)).when(
+        k == 1,
+        F.concat(F.lit("<think>hm\n</think>I'll say: "), t, F.lit("\n\n\n\nend")),
+    ).otherwise(F.concat(t, F.lit(" <think>cut off")))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.clean_response(noisy).alias("clean"))
 
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(CASE WHEN event_id % 2 = 0 THEN 2 ELSE 0 END AS INT) AS n_items FROM events""")
 def json_array_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answer = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Sure:\n["), F.col("props"), F.lit(","), F.col("props"), F.lit("] done"))).otherwise("nothing [ broken")
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.size(text.json_array(answer, "struct<k:bigint>")).alias("n_items"))
+    answer = F.when(
+        F.col("event_id") % 2 == 0,
+        F.concat(F.lit("Sure:\n["), F.col("props"), F.lit(","), F.col("props"), F.lit("] done")),
+    ).otherwise("nothing [ broken")
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        F.get_json_object("props", "$.k").cast("long").alias("k"),
+        F.size(text.json_array(answer, "struct<k:bigint>")).alias("n_items"),
+    )
 
 
 @query("""SELECT conv_id, array_to_string(list_concat(list_filter([max_by(text, turn) FILTER (role = 'system')], lambda x: x IS NOT NULL),
@@ -218,7 +260,13 @@ def chat_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shop offers for parts: supplied part lines stand for them, in the order of their keys."""
     p = parts(spark, sf_dir).select("p_partkey", F.concat("p_name", F.lit(" (spec / 16GB)")).alias("name"), "p_retailprice")
-    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", (F.col("l_extendedprice") / F.col("l_quantity")).alias("offer"), (F.col("l_suppkey") % 3).alias("kind"))
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_partkey",
+        "l_orderkey",
+        "l_linenumber",
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("offer"),
+        (F.col("l_suppkey") % 3).alias("kind"),
+    )
     return p.join(li, p.p_partkey == li.l_partkey)
 
 
@@ -229,7 +277,10 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
           SELECT p_partkey, CAST(pos AS INT) AS pos, round(offer, 6) AS offer FROM f WHERE n = 1""")
 def live_price_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _candidates(spark, sf_dir)
-    rows = rows.withColumn("pos", F.row_number().over(W.partitionBy("p_partkey").orderBy("l_orderkey", "l_linenumber", "offer"))).filter("pos <= 5")
+    rows = rows.withColumn(
+        "pos",
+        F.row_number().over(W.partitionBy("p_partkey").orderBy("l_orderkey", "l_linenumber", "offer")),
+    ).filter("pos <= 5")
     bare = text.bare_name(F.col("name"))
     rows = rows.withColumn("title", F.when(F.col("kind") == 0, bare).otherwise("other thing"))
     fit = rows.filter(text.title_matches(bare, F.col("title")) & (F.col("offer") / F.col("p_retailprice")).between(0.4, 2.5))
@@ -240,7 +291,17 @@ def live_price_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
           SELECT p_partkey, name, price, CASE n WHEN 1 THEN 'Name: ' || name || ', fine' ELSE 'about ' || name END AS context FROM p""")
 def answer_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size").cast("string")
-    answer = F.concat(F.lit("## Top\n\n1. **"), "p_name", F.lit("** — ₹"), size, F.lit(",000\n2. **"), "p_brand", F.lit("** - "), size, F.lit("\nno pick"))
+    answer = F.concat(
+        F.lit("## Top\n\n1. **"),
+        "p_name",
+        F.lit("** — ₹"),
+        size,
+        F.lit(",000\n2. **"),
+        "p_brand",
+        F.lit("** - "),
+        size,
+        F.lit("\nno pick"),
+    )
     contexts = F.array(F.concat(F.lit("about "), "p_brand"), F.concat(F.lit("Name: "), "p_name", F.lit(", fine")))
     rows = table(spark, sf_dir, "part").select("p_partkey", contexts.alias("contexts"), F.explode(text.picks(answer)).alias("p"))
     return rows.select("p_partkey", "p.name", "p.price", text.context_of(F.col("p.name"), F.col("contexts")).alias("context"))
@@ -250,7 +311,12 @@ def answer_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def offer_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     title = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("New "), F.upper("p_name"))).otherwise("zzz")
-    return p.select("p_partkey", text.price_digits(F.concat(F.lit("Rs. "), F.col("p_size").cast("string"), F.lit(",000"))).alias("digits"), text.bare_name(F.concat("p_name", F.lit(" (9th gen/ 16GB)"))).alias("bare"), text.title_matches(F.col("p_name"), title).alias("matches"))
+    return p.select(
+        "p_partkey",
+        text.price_digits(F.concat(F.lit("Rs. "), F.col("p_size").cast("string"), F.lit(",000"))).alias("digits"),
+        text.bare_name(F.concat("p_name", F.lit(" (9th gen/ 16GB)"))).alias("bare"),
+        text.title_matches(F.col("p_name"), title).alias("matches"),
+    )
 
 
 # ------------------------------------------------------------------------------------------------- the whole search
@@ -281,7 +347,17 @@ _PIPELINE = f"""
 def hybrid_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From a request to a ranking, with an imagined answer, blended vectors, both searches and a budget."""
     rows = parts(spark, sf_dir).withColumn("v", vectors.hash_embed(F.col("description")))
-    found = retrieval.hybrid_pipeline(rows, "p_partkey", "description", "v", 64, _REQUEST, lambda q: _IMAGINED, vectors.hash_embed, F.col("p_retailprice") <= 950)
+    found = retrieval.hybrid_pipeline(
+        rows,
+        "p_partkey",
+        "description",
+        "v",
+        64,
+        _REQUEST,
+        lambda q: _IMAGINED,
+        vectors.hash_embed,
+        F.col("p_retailprice") <= 950,
+    )
     return found.select("p_partkey", F.round("rrf_score", 8).alias("rrf_score"), "rank")
 
 
@@ -297,5 +373,9 @@ def search_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
            c AS (SELECT id, sum(qv.x * dv.x) AS c FROM qv JOIN dv USING (id, i) GROUP BY id)
            SELECT p_partkey, CASE WHEN k.id IS NOT NULL THEN round(greatest(0, least(1, (coalesce(c, 0) + 1) / 2)), 3) END AS answer_relevancy FROM a LEFT JOIN k USING (q, d) LEFT JOIN c USING (id)""")
 def answer_relevancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = parts(spark, sf_dir).select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("q"), F.when(F.col("p_size") % 10 != 0, F.col("description")).otherwise(" ").alias("d"))
+    rows = parts(spark, sf_dir).select(
+        "p_partkey",
+        F.concat_ws(" ", "p_name", "p_type").alias("q"),
+        F.when(F.col("p_size") % 10 != 0, F.col("description")).otherwise(" ").alias("d"),
+    )
     return hooks.answer_relevancy(rows, "q", "d").select("p_partkey", "answer_relevancy")

@@ -48,7 +48,13 @@ def stream_turn_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns go to a log and are scored from there."""
     log, scores, progress = (fresh_folder(spark, f"turn-{x}") for x in ("log", "scores", "progress"))
     correct = F.round(F.least(F.lit(1.0), F.col("value") / 50), 6)
-    streams.logged(_events(spark, sf_dir), log, lambda t: t.select("event_id", "user_id", correct.alias("correctness")), scores, progress).awaitTermination()
+    streams.logged(
+        _events(spark, sf_dir),
+        log,
+        lambda t: t.select("event_id", "user_id", correct.alias("correctness")),
+        scores,
+        progress,
+    ).awaitTermination()
     return spark.read.parquet(scores).drop("batch")
 
 
@@ -58,7 +64,13 @@ def stream_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fresh_folder(spark, "resumed")
     for _ in range(2):
         keys = _events(spark, sf_dir).select("event_type")
-        streams.generate_once(keys, "event_type", lambda b: b.withColumn("answer", F.concat("event_type", F.lit("!"))), out, fresh_folder(spark, "resumed-progress")).awaitTermination()
+        streams.generate_once(
+            keys,
+            "event_type",
+            lambda b: b.withColumn("answer", F.concat("event_type", F.lit("!"))),
+            out,
+            fresh_folder(spark, "resumed-progress"),
+        ).awaitTermination()
     return spark.read.parquet(out)
 
 

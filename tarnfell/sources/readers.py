@@ -46,7 +46,12 @@ def csv_texts(spark: SparkSession, folders: Mapping[str, str]) -> DataFrame:
     out = spark.createDataFrame([], "category string, text string")
     for category, path in folders.items():
         lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
-        first = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("n"))
+        first = lines.select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("at"),
+            "value",
+            F.monotonically_increasing_id().alias("n"),
+        )
         heads = first.filter("at = 0").groupBy("file").agg(F.min_by("value", "n").alias("head"))
         groups: dict[str, list[str]] = {}
         for r in heads.collect():
@@ -82,7 +87,11 @@ def jsonl(spark: SparkSession, path: str, schema: str = TURNS) -> DataFrame:
     lines = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id())
     bad = T.StructType([*kind.fields, T.StructField("__bad", T.StringType())])
     parsed = lines.withColumn("j", F.from_json("value", bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}))
-    return parsed.filter(F.col("j").isNotNull() & F.col("j.__bad").isNull() & (F.trim("value") != "")).select(*[f"j.{f.name}" for f in kind], "seq")
+    return parsed.filter(
+        F.col("j").isNotNull()
+        & F.col("j.__bad").isNull()
+        & (F.trim("value") != "")
+    ).select(*[f"j.{f.name}" for f in kind], "seq")
 
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:

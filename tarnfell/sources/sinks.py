@@ -52,7 +52,10 @@ def recreate(df: DataFrame, path: str, vector: str) -> int:
     one = df.filter(F.col(vector).isNotNull()).select(F.size(vector).alias("w")).first()
     width = one["w"] if one else 0
     message = F.concat(F.lit(f"{vector} has not the width {width}: "), F.coalesce(F.size(vector).cast("string"), F.lit("null")))
-    sound = F.when(F.coalesce(F.size(vector) == width, F.lit(False)), F.col(vector)).otherwise(F.raise_error(message).cast(df.schema[vector].dataType))
+    sound = F.when(
+        F.coalesce(F.size(vector) == width, F.lit(False)),
+        F.col(vector),
+    ).otherwise(F.raise_error(message).cast(df.schema[vector].dataType))
     return replace(df.withColumn(vector, sound), path)
 
 

@@ -13,19 +13,31 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tarnfell.operators.lineage import fresh_folder
 
 
-def events(spark: SparkSession, pattern: str, schema: str = "event_id long, ts timestamp, user_id long, event_type string, value double, props string") -> DataFrame:
+def events(
+    spark: SparkSession,
+    pattern: str,
+    schema: str = "event_id long, ts timestamp, user_id long, event_type string, value double, props string",
+) -> DataFrame:
     return spark.readStream.schema(schema).parquet(pattern)
 
 
 def windowed(stream: DataFrame, window: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Counts and sums by window and type; rows later than the watermark are not waited for."""
     w = F.window("ts", window, slide) if slide else F.window("ts", window)
-    return stream.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return stream.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("value").alias("total"),
+    ).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(stream: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
     w = F.session_window("ts", gap)
-    return stream.withWatermark("ts", late).groupBy(w.alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    return stream.withWatermark("ts", late).groupBy(w.alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select(
+        "user_id",
+        F.col("w.start").alias("start"),
+        F.col("w.end").alias("end"),
+        "n",
+    )
 
 
 def last_values(stream: DataFrame, n: int = 10) -> DataFrame:
@@ -36,11 +48,24 @@ def last_values(stream: DataFrame, n: int = 10) -> DataFrame:
         for f in frames:
             held += f[["t", "event_id", "value"]].values.tolist()
         held = sorted(held)[-n:]
-        state.update(tuple([float(r[0]) for r in held] if i == 0 else [int(r[1]) for r in held] if i == 1 else [float(r[2]) for r in held] for i in range(3)))
+        state.update(
+            tuple(
+                [float(r[0]) for r in held]
+                if i == 0 else [int(r[1]) for r in held]
+                if i == 1 else [float(r[2]) for r in held]
+                for i in range(3)
+            )
+        )
         yield pd.DataFrame({"user_id": [key[0]], "n": [len(held)], "mean": [sum(r[2] for r in held) / len(held)]})
 
     rows = stream.filter("value is not null").select("user_id", F.col("ts").cast("double").alias("t"), "event_id", "value")
-    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, mean double", "t array<double>, ids array<long>, vs array<double>", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("user_id").applyInPandasWithState(
+        step,
+        "user_id long, n long, mean double",
+        "t array<double>, ids array<long>, vs array<double>",
+        "update",
+        GroupStateTimeout.NoTimeout,
+    )
 
 
 def conversations(stream: DataFrame) -> DataFrame:
@@ -63,10 +88,23 @@ def conversations(stream: DataFrame) -> DataFrame:
         state.update((phase,))
         yield pd.DataFrame(out, columns=["conv_id", "turn", "phase", "next_phase"])
 
-    return stream.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turn long, phase string, next_phase string", "phase string", "append", GroupStateTimeout.NoTimeout)
-
-
-def cached_lookups(stream: DataFrame, key: str, look_up: Callable[[str], str | None], ttl_s: float, clock: Callable[[], float] = time.time, evict: bool = True) -> DataFrame:
+    return stream.groupBy("conv_id").applyInPandasWithState(
+        step,
+        "conv_id long, turn long, phase string, next_phase string",
+        "phase string",
+        "append",
+        GroupStateTimeout.NoTimeout,
+    )
+
+
+def cached_lookups(
+    stream: DataFrame,
+    key: str,
+    look_up: Callable[[str], str | None],
+    ttl_s: float,
+    clock: Callable[[], float] = time.time,
+    evict: bool = True,
+) -> DataFrame:
     """(key, result, hit): results, none included, are kept for ``ttl_s`` and looked up again when they are older.
 
     With ``evict`` what is too old leaves the state by a timer, which keeps a stream running; without, it stays until it
@@ -88,7 +126,13 @@ def cached_lookups(stream: DataFrame, key: str, look_up: Callable[[str], str | N
             state.remove()
 
     rows = stream.select(F.col(key).cast("string").alias("key"))
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, result string, hit boolean", "at double, result string", "append", GroupStateTimeout.ProcessingTimeTimeout if evict else GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key").applyInPandasWithState(
+        step,
+        "key string, result string, hit boolean",
+        "at double, result string",
+        "append",
+        GroupStateTimeout.ProcessingTimeTimeout if evict else GroupStateTimeout.NoTimeout,
+    )
 
 
 def logged(stream: DataFrame, path: str, score: Callable[[DataFrame], DataFrame], scores: str, checkpoint: str):

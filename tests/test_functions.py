@@ -10,18 +10,45 @@ def value(spark, column):
     return spark.range(1).select(column.alias("v")).first()["v"]
 
 
-@pytest.mark.parametrize(("price", "band"), [(0, "budget"), (49_999, "budget"), (50_000, "mid"), (99_999, "mid"), (200_000, "flagship"), (-1, "flagship"), (None, "flagship"), (float("nan"), "flagship")])
+@pytest.mark.parametrize(
+    ("price", "band"),
+    [
+        (0, "budget"),
+        (49_999, "budget"),
+        (50_000, "mid"),
+        (99_999, "mid"),
+        (200_000, "flagship"),
+        (-1, "flagship"),
+        (None, "flagship"),
+        (float("nan"), "flagship"),
+    ],
+)
 def test_price_bands_are_half_open(spark, price, band):
     assert value(spark, text.price_band(F.lit(price).cast("double"))) == band
 
 
-@pytest.mark.parametrize(("said", "tier"), [("an RTX 4090 card", "high"), ("Intel UHD", "low"), ("rtx 3050", "medium"), ("", "medium"), (None, "medium"), ("rtx 4090 and intel uhd", "high")])
+@pytest.mark.parametrize(
+    ("said", "tier"),
+    [
+        ("an RTX 4090 card", "high"),
+        ("Intel UHD", "low"),
+        ("rtx 3050", "medium"),
+        ("", "medium"),
+        (None, "medium"),
+        ("rtx 4090 and intel uhd", "high"),
+    ],
+)
 def test_tiers_look_for_high_first(spark, said, tier):
     assert value(spark, text.tier(F.lit(said).cast("string"), rules.KEYWORDS["GPU intensity"])) == tier
 
 
 def test_topic_chunks_split_at_every_dot(spark):
-    assert value(spark, text.topic_chunks(F.lit("Weighs 1.5 kg, RTX 3060; nice"))) == ["GPU info: RTX 3060", "Portability info: 5 kg", "General info: Weighs 1. nice", "Weighs 1.5 kg, RTX 3060; nice"]
+    assert value(spark, text.topic_chunks(F.lit("Weighs 1.5 kg, RTX 3060; nice"))) == [
+        "GPU info: RTX 3060",
+        "Portability info: 5 kg",
+        "General info: Weighs 1. nice",
+        "Weighs 1.5 kg, RTX 3060; nice",
+    ]
 
 
 def test_sentences(spark):
@@ -36,7 +63,13 @@ def test_the_first_listed_brand_wins_even_within_words(spark):
 
 def test_specs(spark):
     found = value(spark, text.spec_triplets(F.lit("X"), F.lit("NVIDIA GeForce RTX  3060, 16 GB RAM, 512GB SSD, 144 Hz, 2.3 kg, 144 Hz")))
-    assert [tuple(r) for r in found] == [("HAS_GPU", "nvidia geforce rtx 3060"), ("HAS_RAM", "16 gb ram"), ("HAS_STORAGE", "512gb ssd"), ("HAS_REFRESH_RATE", "144 hz"), ("WEIGHS", "2.3 kg")]
+    assert [tuple(r) for r in found] == [
+        ("HAS_GPU", "nvidia geforce rtx 3060"),
+        ("HAS_RAM", "16 gb ram"),
+        ("HAS_STORAGE", "512gb ssd"),
+        ("HAS_REFRESH_RATE", "144 hz"),
+        ("WEIGHS", "2.3 kg"),
+    ]
     assert value(spark, text.entity_type(F.lit("WEIGHS"))) == "WEIGH"
     assert value(spark, text.normalise(F.lit("NVIDIA GeForce RTX 3060 "))) == "rtx_3060"
     assert value(spark, text.tier_predicate(F.lit("Processing speed"))) == "HAS_PROCESSING_TIER"
@@ -67,7 +100,10 @@ def test_answers(spark):
     assert value(spark, text.context_of(F.lit(" Foo "), contexts)) == "Name: Foo, fine"
     assert value(spark, text.context_of(F.lit(""), contexts)) == ""
     assert value(spark, text.clean_response(F.lit("<think>a\nb</think>Alright, I'll go\n\n\n\nnow <think>cut"))) == "I will go\n\nnow"
-    assert value(spark, text.usable_questions(F.lit("1. What is it?\n2) short\nError: no\n3 - Where is the thing?"), 5)) == ["What is it?", "Where is the thing?"]
+    assert value(
+        spark,
+        text.usable_questions(F.lit("1. What is it?\n2) short\nError: no\n3 - Where is the thing?"), 5),
+    ) == ["What is it?", "Where is the thing?"]
 
 
 def test_json(spark):
@@ -120,5 +156,10 @@ def test_char_chunks(spark):
 
 
 def test_transcript(spark):
-    rows = F.array(*[F.struct(F.lit(t).alias("turn"), F.lit(r).alias("role"), F.lit(x).alias("text")) for t, r, x in ((2, "assistant", "yo"), (0, "system", "be"), (1, "user", "hi"), (3, "tool", "no"))])
+    rows = F.array(
+        *[
+            F.struct(F.lit(t).alias("turn"), F.lit(r).alias("role"), F.lit(x).alias("text"))
+            for t, r, x in ((2, "assistant", "yo"), (0, "system", "be"), (1, "user", "hi"), (3, "tool", "no"))
+        ]
+    )
     assert value(spark, text.transcript(rows)) == "be\n\nUser: hi\n\nAssistant: yo"

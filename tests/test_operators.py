@@ -46,7 +46,10 @@ def test_numbers_from_nought(spark):
 
 def test_last_duplicate_wins(spark):
     left = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "k1 string, k2 string")
-    right = spark.createDataFrame([(1, "a", "q", 1.0), (2, "a", "q", 2.0), (3, "n", "y", 3.0)], "pos int, k1 string, k2 string, price double")
+    right = spark.createDataFrame(
+        [(1, "a", "q", 1.0), (2, "a", "q", 2.0), (3, "n", "y", 3.0)],
+        "pos int, k1 string, k2 string, price double",
+    )
     found = catalog.fallback_lookup(left, right, ["k1", "k2"], F.col("pos"), ["price"], {"price": F.lit(-1.0)})
     assert {r["k1"]: r["found_price"] for r in found.collect()} == {"a": 2.0, "b": 3.0, "c": -1.0}
 
@@ -58,15 +61,27 @@ def test_ranges_of_an_empty_catalogue(spark):
 
 def test_both_matchers_agree(spark):
     dims = ["a", "b"]
-    items = spark.createDataFrame([(i, float(i), "low medium high".split()[i % 3], "low high".split()[i % 2]) for i in range(20)], "id long, price double, a string, b string")
-    ranges = spark.createDataFrame([("low", 0.0, 5.0), ("medium", 5.0, 9.0), ("high", 100.0, 200.0)], "tier string, low double, high double")
+    items = spark.createDataFrame(
+        [(i, float(i), "low medium high".split()[i % 3], "low high".split()[i % 2]) for i in range(20)],
+        "id long, price double, a string, b string",
+    )
+    ranges = spark.createDataFrame(
+        [("low", 0.0, 5.0), ("medium", 5.0, 9.0), ("high", 100.0, 200.0)],
+        "tier string, low double, high double",
+    )
     grid = match.combo_grid(spark, dims)
-    one, two = (rows(f(grid, items, ranges, dims, "id", "price").select("combo_key", "id", "match_score", "within_budget"), "combo_key") for f in (match.best_match, match.best_match_direct))
+    one, two = (
+        rows(f(grid, items, ranges, dims, "id", "price").select("combo_key", "id", "match_score", "within_budget"), "combo_key")
+        for f in (match.best_match, match.best_match_direct)
+    )
     assert one == two and len(one) == 27
 
 
 def test_ranking_metrics(spark):
-    df = spark.createDataFrame([("q", 1, 0.5, False), ("q", 2, 1.0, True), ("q", 3, 1.0, True)], "q string, rank int, rel double, hit boolean")
+    df = spark.createDataFrame(
+        [("q", 1, 0.5, False), ("q", 2, 1.0, True), ("q", 3, 1.0, True)],
+        "q string, rank int, rel double, hit boolean",
+    )
     r = metrics.ranking(df, ["q"], "rank", F.col("rel"), F.col("hit"), 10).first()
     assert (r.recall_at_k, r.precision_at_k, r.mrr, r.first_relevant_rank, r.exact_rank, r.relevant_in_top_k) == (1.0, 0.2, 0.5, 2, 3, 2)
 
@@ -77,7 +92,10 @@ def test_recency_skips_nulls_first(spark):
 
 
 def test_rewards(spark):
-    df = spark.createDataFrame([("x", 0.9, 1.0), ("x", 0.1, 0.0), ("y", 0.5, None), (None, 1.0, 1.0), ("z", 0.0, 1.0)], "action string, s double, r double")
+    df = spark.createDataFrame(
+        [("x", 0.9, 1.0), ("x", 0.1, 0.0), ("y", 0.5, None), (None, 1.0, 1.0), ("z", 0.0, 1.0)],
+        "action string, s double, r double",
+    )
     assert rows(policy.action_rewards(df, F.col("action"), "s", "r")) == [("x", 0.9, 2, 1.0)]
     assert policy.select_action(df, F.col("action"), "s", "r", "none") == "x"
 
@@ -95,8 +113,14 @@ def test_staged_search_runs_nothing_twice():
 
 @pytest.fixture(scope="module")
 def small_graph(spark):
-    edges = spark.createDataFrame([("a", "b", "P", 1, 0), ("b", "c", "P", 2, 1), ("c", "a", "P", 1, 2), ("a", "b", "P", 1, 3), ("d", "e", "Q", 1, 4)], "src string, dst string, predicate string, weight int, seq long")
-    nodes = spark.createDataFrame([(n, "Laptop" if n in "ab" else "Brand", n.upper(), None, i) for i, n in enumerate("abcde")], "id string, type string, name string, tier string, seq long")
+    edges = spark.createDataFrame(
+        [("a", "b", "P", 1, 0), ("b", "c", "P", 2, 1), ("c", "a", "P", 1, 2), ("a", "b", "P", 1, 3), ("d", "e", "Q", 1, 4)],
+        "src string, dst string, predicate string, weight int, seq long",
+    )
+    nodes = spark.createDataFrame(
+        [(n, "Laptop" if n in "ab" else "Brand", n.upper(), None, i) for i, n in enumerate("abcde")],
+        "id string, type string, name string, tier string, seq long",
+    )
     return nodes, edges
 
 
@@ -158,7 +182,10 @@ def test_models_behind_hooks(spark):
     assert rows(hooks.generated(df, F.col("p")).select("id", "answer"), "id") == [(1, "echo: hi"), (2, None)]
     answers = spark.createDataFrame([(1, '```json\n{"a": 7, "b": "3"'), (2, "no")], "id int, t string")
     assert rows(hooks.judged(answers, "t", ["a", "b"]).select("id", "a", "b"), "id") == [(1, 7, 3), (2, 0, 0)]
-    batch = spark.createDataFrame([(["k0", "k1"], '[{"index": "1", "question": "q", "answer": "a"}, {"index": 7, "question": "q", "answer": "a"}, {"index": 0, "question": " ", "answer": "a"}]')], "slots array<string>, t string")
+    batch = spark.createDataFrame(
+        [(["k0", "k1"], '[{"index": "1", "question": "q", "answer": "a"}, {"index": 7, "question": "q", "answer": "a"}, {"index": 0, "question": " ", "answer": "a"}]')],
+        "slots array<string>, t string",
+    )
     assert rows(hooks.routed(batch, "t", "slots")) == [("k1", "q", "a")]
 
 
@@ -234,7 +261,15 @@ def test_walks_are_kept_until_a_rebuild(spark):
 def test_an_ended_conversation_stays_ended(spark):
     from tarnfell.operators import assistant
 
-    data = [(1, 0, "user", False, False), (1, 1, "assistant", False, True), (1, 2, "user", False, False), (1, 3, "user", True, False), (1, 4, "assistant", False, True), (2, 0, "user", True, False), (2, 1, "assistant", False, True)]
+    data = [
+        (1, 0, "user", False, False),
+        (1, 1, "assistant", False, True),
+        (1, 2, "user", False, False),
+        (1, 3, "user", True, False),
+        (1, 4, "assistant", False, True),
+        (2, 0, "user", True, False),
+        (2, 1, "assistant", False, True),
+    ]
     df = spark.createDataFrame(data, "c int, turn int, role string, bad boolean, done boolean")
     got = assistant.phases(df, "c", ["turn"], F.col("bad"), F.col("done")).select("c", "turn", "phase", "next_phase", "step")
     assert rows(got, "c", "turn") == [
@@ -251,6 +286,13 @@ def test_policies_without_cases(spark):
 def test_contents_of_messages(spark):
     from tarnfell.functions import text
 
-    data = {"plain": "plain", '"quoted \\"x\\""': 'quoted "x"', '[{"type":"text","text":"a"},"b",{"type":"image"}]': "ab", "[not json": "[not json", None: "", "": ""}
+    data = {
+        "plain": "plain",
+        '"quoted \\"x\\""': 'quoted "x"',
+        '[{"type":"text","text":"a"},"b",{"type":"image"}]': "ab",
+        "[not json": "[not json",
+        None: "",
+        "": "",
+    }
     df = spark.createDataFrame([(k,) for k in data], "c string")
     assert {r.c: r.t for r in df.select("c", text.content_text(F.col("c")).alias("t")).collect()} == data
