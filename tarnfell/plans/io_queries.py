@@ -174,6 +174,16 @@ def batch_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.batches(table(spark, sf_dir, "part").select("p_partkey"), ["p_partkey"], 6)
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 100000 AND 120000")
+def io_price_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions, each sorted by price within its files, so that a range of prices skips what lies outside."""
+    path = fresh_folder(spark, "io-prices")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    sinks.replace(rows.limit(1), path, "o_totalprice")
+    sinks.replace(rows, path, "o_totalprice")
+    return sinks.read(spark, path).filter(F.col("o_totalprice").between(100_000, 120_000))
+
+
 @query("SELECT s_suppkey AS id, s_name AS name, CAST(NULL AS DOUBLE) AS score FROM supplier")
 def io_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table that lacks a column, and one that isn't there at all."""
