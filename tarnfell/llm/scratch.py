@@ -33,10 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tarnfell/{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back with the same schema."""
+def folder(spark: SparkSession) -> str:
+    """Where tables go now: the innermost scope's folder, else the application's."""
+    return _SCOPE.get() or shared_dir(spark)
+
+
+def materialize(df: DataFrame, tag: str, codec: str = "zstd", within: str | None = None) -> DataFrame:
+    """``df`` written once as Parquet and read back with the same schema; in :func:`folder`, or ``within`` another one."""
     spark = df.sparkSession
-    path = f"{_SCOPE.get() or shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{within or folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -49,13 +54,13 @@ def _delete(spark: SparkSession, folder: str) -> None:
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[str]:
     """What is materialised inside is deleted at the end; frames built on it must have been written out by then."""
-    folder = f"{shared_dir(spark)}/scope-{uuid.uuid4().hex}"
-    before = _SCOPE.set(folder)
+    own = f"{shared_dir(spark)}/scope-{uuid.uuid4().hex}"
+    before = _SCOPE.set(own)
     try:
-        yield folder
+        yield own
     finally:
         _SCOPE.reset(before)
-        _delete(spark, folder)
+        _delete(spark, own)
 
 
 def release(spark: SparkSession) -> None:
