@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tarnfell.llm.components import components
 from tarnfell.llm.scratch import materialize
 
-COSINE, TABLES, PROJECTIONS, WIDTH, BUCKET_MAX, SEED = 0.98, 16, 8, 1.5, 1024, 17
+COSINE, TABLES, PROJECTIONS, WIDTH, BUCKET_MAX, SEED = 0.98, 36, 14, 1.5, 1024, 17
 
 
 def projections(dims: int, tables: int = TABLES, each: int = PROJECTIONS, width: float = WIDTH) -> tuple[np.ndarray, np.ndarray]:
