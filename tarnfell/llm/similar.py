@@ -40,7 +40,7 @@ from tarnfell.llm.simhash import BKTree, set_bits
 SHINGLE, LEAST, BANDS, ROWS, SEED = 5, 0.8, 30, 5, 42
 LANES, RADIUS = 4, 72
 #: Members of a tile in the first search; in the second, members in a tree and members that are searched in it.
-TILE, MINOR, OTHERS = 4096, 256, 4096
+TILE, MINOR, OTHERS = 1024, 256, 512
 #: Checks against one set that a task gets at most.
 DEALT = 64
 #: Shingles hashed at once.
