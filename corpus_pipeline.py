@@ -39,11 +39,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     reach: SimHash trees over wider ones find candidates, and each link is checked on the texts.
     """
     docs = docs.select(*COLUMNS).withColumn("content", _content())
-    found = similar.near_duplicates(docs, keep=("doc_id", "content"))
-    alike = found.groupBy("component", "doc_id", "content").agg(F.count(F.lit(1)).alias("rows"))
     # A null id sorts first; it stands for its group only where no id does.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("content").alias("c"), "rows"))
-    kept = scratch.materialize(alike.groupBy("component").agg(first.alias("k")).select("k.id", "k.c", "k.rows"), "pipeline-kept")
+    here = scratch.folder(spark)
+    with scratch.scope(spark):  # the tables of the search go as soon as it is known what stays
+        found = similar.near_duplicates(docs, keep=("doc_id", "content"))
+        alike = found.groupBy("component", "doc_id", "content").agg(F.count(F.lit(1)).alias("rows"))
+        kept = alike.groupBy("component").agg(first.alias("k")).select("k.id", "k.c", "k.rows")
+        kept = scratch.materialize(kept, "pipeline-kept", within=here)
 
     def chosen(those: DataFrame) -> DataFrame:
         return docs.join(those, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("content") == F.col("c"))).select(*docs.columns)
@@ -62,13 +65,13 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: never, once or twice."""
     docs = docs.select(*COLUMNS).withColumn("content", _content())
-    rows = scratch.materialize(docs.select("doc_id", "content", "source", mixing.words().alias("size")), "pipeline-sizes")
-    keys = rows.groupBy("doc_id", "content", "source").agg(F.sum("size").alias("size"))
-    mixed = mixing.mix_sizes(scratch.materialize(keys, "pipeline-keys"), carry=("content",))
-    taken = scratch.materialize(
-        mixed.filter("copies > 0").select(F.col("doc_id").alias("id"), F.col("content").alias("c"), "copies"),
-        "pipeline-copies",
-    )
+    here = scratch.folder(spark)
+    with scratch.scope(spark):
+        sizes = docs.select("doc_id", "content", "source", mixing.words().alias("size"))
+        keys = sizes.groupBy("doc_id", "content", "source").agg(F.sum("size").alias("size"))  # texts are read once
+        mixed = mixing.mix_sizes(scratch.materialize(keys, "pipeline-keys"), carry=("content",)).filter("copies > 0")
+        taken = mixed.select(F.col("doc_id").alias("id"), F.col("content").alias("c"), "copies")
+        taken = scratch.materialize(taken, "pipeline-copies", within=here)
     met = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("content") == F.col("c")))
     return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
