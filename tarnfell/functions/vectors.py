@@ -48,7 +48,7 @@ def hash_embed(text: Column, dim: int = rules.FLAT_DIM) -> Column:
     if dim & (dim - 1) or not 1 < dim <= 128:
         raise ValueError("dim must be a power of two up to 128")
     # The lowest bits of the hash are the place, the next one the sign: a code counts where it is missing once removed.
-    codes = F.transform(terms(text), lambda t: F.conv(F.right(F.md5(t.cast("binary")), F.lit(2)), 16, 10).cast("int") % (2 * dim))
+    codes = F.transform(terms(F.coalesce(text, F.lit(""))), lambda t: F.conv(F.right(F.md5(t.cast("binary")), F.lit(2)), 16, 10).cast("int") % (2 * dim))
     place = F.sequence(F.lit(0), F.lit(dim - 1))
     return unit(
         let(

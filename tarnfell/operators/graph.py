@@ -371,6 +371,8 @@ def find_item(nodes: DataFrame, name: str) -> DataFrame:
 
 def find_items(nodes: DataFrame, names: Sequence[str]) -> DataFrame:
     """(id, ord) for each name that an item bears, else has in it; names that none has are left out."""
+    if not names:
+        return nodes.sparkSession.createDataFrame([], "id string, ord int")
     asked = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(n.lower()).alias("low")) for i, n in enumerate(names)])
     low = F.lower("name")
     hit = F.filter(asked, lambda n: F.contains(low, n["low"]))

@@ -296,3 +296,17 @@ def test_contents_of_messages(spark):
     }
     df = spark.createDataFrame([(k,) for k in data], "c string")
     assert {r.c: r.t for r in df.select("c", text.content_text(F.col("c")).alias("t")).collect()} == data
+
+
+def test_vectors_of_no_words(spark):
+    from tarnfell.functions import vectors
+
+    df = spark.createDataFrame([(None,), ("",), ("!",), ("word",)], "t string")
+    got = [r.v for r in df.select(vectors.hash_embed(F.col("t"), 8).alias("v")).collect()]
+    assert got[0] == got[1] == got[2] == [0.0] * 8 and sum(x * x for x in got[3]) == 1.0
+
+
+def test_no_names_find_nothing(spark, small_graph):
+    assert graph.find_items(small_graph[0], []).count() == 0
+    told, seeds = graph.retrieve_for_names(*small_graph, ["nobody"])
+    assert told.count() == seeds.count() == 0
