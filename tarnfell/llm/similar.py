@@ -266,7 +266,7 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if mine is None:
                         mine, near = _items(batch.column(8)[i]), batch.column(6)[i].values.to_numpy()
                     few, many = sorted((len(items), len(mine)))
-                    if few < LEAST * many or near[np.argmax(near == there)] != band[i] or jaccard(mine, items) < LEAST:
+                    if few < LEAST * many - 1e-9 or near[np.argmax(near == there)] != band[i] or jaccard(mine, items) < LEAST:
                         continue
                     parent[root(part)] = root(parts[i])
                     src.append(part)
