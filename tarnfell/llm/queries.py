@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfell.llm import bpe, hmm, licenses, mixing, pii, pstable, simhash, threshold, toxicity, urlfilter
+from tarnfell.llm import audit, bpe, hmm, licenses, mixing, pii, pstable, simhash, threshold, tokencount, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -97,6 +97,16 @@ def op10_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -110,6 +120,8 @@ QUERIES: dict[str, Query] = {
         op8_weak_supervision_pii,
         op9_p_stable,
         op10_toxicity_nnpu,
+        op11_token_counts,
+        op12_filter_interactions,
     )
 }
 
@@ -152,6 +164,28 @@ def _license_sql() -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op12_filter_interactions": """
+        WITH RECURSIVE w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+        l AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+        f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                     [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+                      regexp_matches(t, '[#$%&*|]'), coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false)] AS fails
+              FROM w LEFT JOIN l USING (doc_id)),
+        g AS (SELECT part, fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+        o(filter_order) AS (SELECT '' UNION ALL SELECT filter_order || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(filter_order, x)),
+        s AS (SELECT filter_order, step, filter_order[step] AS letter, list_transform(string_split(filter_order, ''), lambda x: instr('ABCDE', x)) AS places
+              FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step) WHERE length(filter_order) = 5),
+        c AS (SELECT part, filter_order, step, letter, n, good, toxic, fails[places[step]] AS here, list_bool_or(list_transform(places[:step - 1], lambda p: fails[p])) AS gone,
+                     list_sum(list_transform(fails, lambda x: CAST(x AS INT))) AS n_fails FROM g, s),
+        r AS (SELECT part, filter_order, step, letter,
+                     coalesce(sum(n) FILTER (NOT here AND NOT coalesce(gone, false)), 0) AS kept, coalesce(sum(n) FILTER (here AND NOT coalesce(gone, false)), 0) AS removed,
+                     coalesce(sum(n) FILTER (here AND coalesce(gone, false)), 0) AS redundant, coalesce(sum(n) FILTER (here AND n_fails = 1), 0) AS unique_fails,
+                     coalesce(sum(n) FILTER (here AND NOT coalesce(gone, false) AND good), 0) AS good_lost, coalesce(sum(n) FILTER (here AND NOT coalesce(gone, false) AND toxic), 0) AS toxic_lost
+              FROM c GROUP BY ALL)
+        SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+               CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+        FROM r
+    """,
     "op7_diagonal_voting": _license_sql(),
     "op3_threshold_algorithm": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings

@@ -824,7 +824,7 @@ def test_queries_are_registered():
     import __spark_entry__
 
     assert set(queries.QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 13))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -835,7 +835,7 @@ def test_rows_equal_the_oracle(spark, name):
     if not os.path.isdir(sf):
         pytest.skip("no tables here")
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     plain = lambda v: round(v, 9) + 0.0 if isinstance(v, float) else v
     df, found = queries.QUERIES[name](spark, sf), con.execute(queries.ORACLES[name])
