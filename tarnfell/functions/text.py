@@ -373,9 +373,10 @@ def title_matches(query: Column, title: Column, least: float = 0.45) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, t)) / F.size(q) >= least).otherwise(F.lit(False))
 
 
-def turn_key(*parts: Column) -> Column:
+def turn_key(*parts: Column | str) -> Column:
     """A short stable key of a scored turn."""
-    return F.substring(F.sha2(F.to_json(F.array(*parts)), 256), 1, 20)
+    told = [(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]
+    return F.substring(F.sha2(F.to_json(F.array(*told)), 256), 1, 20)
 
 
 def batch_size(batch: Column, n: Column) -> Column:

@@ -46,3 +46,50 @@ def histories(turns: DataFrame, conversation: str, order: Sequence[str], most: i
     upto = W.partitionBy(conversation).orderBy(*order).rowsBetween(-most + 1, W.currentRow)
     said = F.collect_list(F.struct("role", "text")).over(upto)
     return turns.filter(F.col("role").isin("user", "assistant")).withColumn("history", said).filter("role = 'user'")
+
+
+def milestones(turns: DataFrame, conversation: str, order: Sequence[str], flagged: Column, confirmed: Column) -> DataFrame:
+    """(conversation, end_at, found_at): where a conversation is first flagged and first confirmed, for those that are.
+
+    Two minima a conversation, added up task by task: a conversation that holds most of the turns is no burden, and those
+    of turns that come later can be kept beside those of turns that came before.
+    """
+    at = F.struct(*order)
+    ends, finds = (F.col("role") == "user") & flagged, (F.col("role") == "assistant") & confirmed
+    firsts = turns.groupBy(conversation).agg(F.min(F.when(ends, at)).alias("end_at"), F.min(F.when(finds, at)).alias("found_at"))
+    return firsts.filter(F.col("end_at").isNotNull() | F.col("found_at").isNotNull())
+
+
+def phases_by(
+    turns: DataFrame,
+    conversation: str,
+    order: Sequence[str],
+    flagged: Column,
+    confirmed: Column,
+    firsts: DataFrame,
+    earlier: DataFrame | None = None,
+    salt: int = 8,
+) -> DataFrame:
+    """What :func:`phases` adds, from the milestones of these turns (``firsts``) and of all turns taken before
+    (``earlier``), which count as before every one of these.
+
+    Turns of one conversation are dealt out over ``salt`` tasks, to each of which its milestones go.
+    """
+    both = firsts.select(conversation, "end_at", "found_at", F.lit(False).alias("ended"), F.lit(False).alias("found"))
+    if earlier is not None:
+        was = lambda c, name: F.col(c).isNotNull().alias(name)
+        none = [F.lit(None).cast(firsts.schema[c].dataType).alias(c) for c in ("end_at", "found_at")]
+        both = both.unionByName(earlier.select(conversation, *none, was("end_at", "ended"), was("found_at", "found")))
+    known = both.groupBy(conversation).agg(
+        F.min("end_at").alias("__end_at"), F.min("found_at").alias("__found_at"), F.max("ended").alias("__ended"), F.max("found").alias("__found")
+    ).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    met = turns.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salt)).cast("int")).join(known, [conversation, "__salt"], "left")
+    at = F.struct(*order)
+    true = lambda c: F.coalesce(c, F.lit(False))
+    ended = true(F.col("__ended")) | true(F.col("__end_at") < at)
+    found = true(F.col("__found")) | true(F.col("__found_at") < at)
+    bad, done = true((F.col("role") == "user") & flagged), true((F.col("role") == "assistant") & confirmed)
+    phase = F.when(ended, "end").when(found, "followup").otherwise("gather")
+    after = F.when(ended | bad, "end").when(found | done, "followup").otherwise("gather")
+    step = F.when(ended, "ignored").when(bad, "flagged").when(found, "followup").when(done, "recommend").otherwise("gather")
+    return met.withColumns({"phase": phase, "next_phase": after, "step": step}).drop("__salt", "__end_at", "__found_at", "__ended", "__found")
