@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfell.operators import index
+from tarnfell.operators import index, knn
 from tarnfell.operators.lineage import fresh_folder
 from tarnfell.plans.registry import query
 from tarnfell.plans.retrieval_queries import _WORDS
@@ -41,3 +41,33 @@ def index_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_sql_index("n_chars <= 2000"))
 def index_bm25_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir, F.col("n_chars") <= 2000)
+
+
+# ------------------------------------------------------------------------------------------------- nearest vectors
+
+
+def _sql_nearest(k: int, over: int, keep: str) -> str:
+    return f"""
+        WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, c.label, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 10) AS score
+                   FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s),
+        f AS (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM r WHERE n <= {over} AND {keep})
+        SELECT query_id, rank, vec_id, round(score, 6) AS score FROM f WHERE rank <= {k}"""
+
+
+def _nearest(spark: SparkSession, sf_dir: str, k: int, keep=None) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    hits = knn.nearest(rows, "vec_id", "embedding", rows.filter("vec_id % 20 = 0"), "vec_id", "embedding", k, keep, apart=True)
+    return hits.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@query(_sql_nearest(10, 10, "true"))
+def dense_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth vector against all others."""
+    return _nearest(spark, sf_dir, 10)
+
+
+@query(_sql_nearest(5, 50, "label <= 2"))
+def dense_batch_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The budget is a filter on the fifty nearest."""
+    return _nearest(spark, sf_dir, 5, F.col("label") <= 2)
