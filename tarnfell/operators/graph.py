@@ -139,15 +139,23 @@ def nodes_of(items: DataFrame, entity_edges: DataFrame) -> DataFrame:
 
 def similar_pairs(links: DataFrame, item: str, entity: str, least: int = 3, bucket_max: int = 200) -> DataFrame:
     """(a, b, overlap) for items a < b that share ``least`` entities; an entity with more than ``bucket_max`` items
-    links none (that is the definition), so no entity's pairs grow without bound."""
-    once = links.select(F.col(item).alias("i"), F.col(entity).alias("e")).distinct()
-    small = once.groupBy("e").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, bucket_max)).select("e")
-    kept = once.join(small, "e")
-    pairs = kept.alias("x").join(kept.alias("y"), (F.col("x.e") == F.col("y.e")) & (F.col("x.i") < F.col("y.i")))
-    return pairs.groupBy(
-        F.col("x.i").alias("a"),
-        F.col("y.i").alias("b"),
-    ).agg(F.count(F.lit(1)).alias("overlap")).filter(F.col("overlap") >= least)
+    links none (that is the definition), so no entity's pairs grow without bound.
+
+    Two items that share ``least`` of their entities share one even if each leaves out its last ``least - 1``.  In order
+    of rarity those are the commonest, so items meet by their rare entities only, and a pair is looked at where it meets
+    first.  An item's own entities, as many as its row gave, travel with it.
+    """
+    once = links.select(F.col(item).alias("i"), F.col(entity).alias("e")).filter("i IS NOT NULL AND e IS NOT NULL").distinct()
+    rare = once.groupBy("e").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, bucket_max))
+    own = once.join(rare, "e").groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "e"))), lambda x: x["e"]).alias("es"))
+    own = own.filter(F.size("es") >= least)
+    posted = own.select("i", "es", F.posexplode(F.slice("es", F.lit(1), F.size("es") - (least - 1))).alias("at", "e"))
+    x, y = posted.alias("x"), posted.alias("y")
+    met = x.join(y, (F.col("x.e") == F.col("y.e")) & (F.col("x.i") < F.col("y.i")))
+    before = lambda side: F.slice(F.col(f"{side}.es"), F.lit(1), F.col(f"{side}.at"))
+    first = met.filter(~F.arrays_overlap(before("x"), before("y")))
+    pairs = first.select(F.col("x.i").alias("a"), F.col("y.i").alias("b"), F.size(F.array_intersect("x.es", "y.es")).cast("long").alias("overlap"))
+    return pairs.filter(F.col("overlap") >= least)
 
 
 def similar_edges(pairs: DataFrame, after: int = (1 << 63) - 1) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnfell.functions import text
-from tarnfell.operators import catalog, graph
+from tarnfell.operators import catalog, graph, walks
+from tarnfell.operators.lineage import cut
 from tarnfell.plans.registry import query
 from tarnfell.plans.shared import DIMS, SQL_BAND, SQL_TIERED, table, tiered
 
@@ -334,3 +336,78 @@ def spec_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.explode(text.spec_triplets(F.col("name"), F.col("description"), SPECS)).alias("t"),
     ).select("id", "t.*")
     return rows.withColumn("entity", F.concat(text.entity_type(F.col("predicate")), F.lit("::"), text.normalise(F.col("value"))))
+
+
+# ------------------------------------------------------------------------------------------------- many walks at once
+
+
+def _sql_walks(edges: str, seeds: str, hops: int, rounds: int, least: str, k: int) -> str:
+    """Neighbourhoods, edges within them and pushed residuals, all by query, unrolled hop by hop and round by round."""
+    steps, seen = [f"h0 AS (SELECT DISTINCT query_id, id, 0 AS hop FROM ({seeds}))"], "SELECT query_id, id FROM h0"
+    for h in range(1, hops + 1):
+        steps.append(f"h{h} AS (SELECT DISTINCT query_id, u.dst AS id, {h} AS hop FROM u JOIN h{h - 1} ON src = id WHERE (query_id, u.dst) NOT IN ({seen}))")
+        seen += f" UNION ALL SELECT query_id, id FROM h{h}"
+    pushed = [
+        f"""m{i} AS MATERIALIZED (SELECT query_id, id, sum(rank) AS rank, sum(held) AS held FROM (
+              SELECT query_id, id, rank + CASE WHEN held > {least} THEN 0.15::DOUBLE * held ELSE 0 END AS rank, CASE WHEN held > {least} THEN 0 ELSE held END AS held FROM m{i - 1}
+              UNION ALL SELECT query_id, st.dst, 0, 0.85::DOUBLE * held * share FROM m{i - 1} JOIN st USING (query_id) WHERE st.src = id AND held > {least}
+              UNION ALL SELECT query_id, s0.id, 0, 0.85::DOUBLE * lost * s FROM s0 JOIN (SELECT query_id, sum(held) AS lost FROM m{i - 1} WHERE held > {least} AND (query_id, id) NOT IN (SELECT query_id, src FROM outs) GROUP BY query_id) USING (query_id))
+            GROUP BY query_id, id)"""
+        for i in range(1, rounds + 1)
+    ]
+    return f"""
+        WITH {edges}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), {', '.join(steps)},
+        near AS MATERIALIZED ({' UNION ALL '.join(f'SELECT query_id, id FROM h{h}' for h in range(hops + 1))}),
+        inn AS MATERIALIZED (SELECT a.query_id, src, dst, weight FROM e JOIN near a ON a.id = src JOIN near b ON b.id = dst AND b.query_id = a.query_id),
+        outs AS (SELECT query_id, src, sum(weight) AS w FROM inn GROUP BY ALL),
+        st AS MATERIALIZED (SELECT query_id, src, dst, sum(weight)::DOUBLE / any_value(w) AS share FROM inn JOIN outs USING (query_id, src) GROUP BY query_id, src, dst),
+        s0 AS (SELECT query_id, id, 1.0::DOUBLE / count(*) OVER (PARTITION BY query_id) AS s FROM h0),
+        m0 AS (SELECT query_id, id, 0.0::DOUBLE AS rank, s AS held FROM s0), {', '.join(pushed)},
+        r AS (SELECT query_id, id, rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 9) DESC, id) AS INT) AS place FROM m{rounds} WHERE rank > 0)
+        SELECT query_id, place, id, round(rank, 6) AS rank FROM r WHERE place <= {k}"""
+
+
+def _walked(edges: DataFrame, seeds: DataFrame, hops: int, rounds: int, least: float, k: int) -> DataFrame:
+    found = walks.ranks(edges, seeds, hops, least=least, most=rounds)
+    order = W.partitionBy("query_id").orderBy(F.desc(F.round("rank", 9)), "id")
+    top = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    return top.select("query_id", "place", "id", F.round("rank", 6).alias("rank"))
+
+
+@query(_sql_walks(_GEO, "SELECT c_custkey AS query_id, unnest(['C' || c_custkey, 'S' || (c_custkey % 10 + 1), 'R' || (c_custkey % 5)]) AS id FROM customer WHERE c_custkey % 20 = 0", 2, 12, "0.0001", 5))
+def kg_many_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A walk for every twentieth customer, from the customer, a supplier and a region."""
+    _, edges = _geo(spark, sf_dir)
+    key = F.col("c_custkey")
+    ids = F.array(*[F.concat(F.lit(p), n.cast("string")) for p, n in (("C", key), ("S", key % 10 + 1), ("R", key % 5))])
+    seeds = table(spark, sf_dir, "customer").filter(key % 20 == 0).select(key.alias("query_id"), F.explode(ids).alias("id"))
+    return _walked(edges, seeds, 2, 12, 1e-4, 5)
+
+
+#: In items of an entity; the engine's own bound is 200, which few of these tiers stay under in larger catalogues.
+_BUCKET = 400
+_SIMILAR = f"""x AS (SELECT src, dst, predicate FROM ({_EDGES}) WHERE type <> 'Chunk'), l AS (SELECT DISTINCT src AS i, dst AS e FROM ({_EDGES}) WHERE type IN ('Tier', 'Brand')),
+    s AS (SELECT e FROM l GROUP BY e HAVING count(*) BETWEEN 2 AND {_BUCKET}),
+    sim AS (SELECT x.i AS src, y.i AS dst, CAST(count(*) AS INT) AS weight FROM l x JOIN l y ON x.e = y.e AND x.i <> y.i WHERE x.e IN (SELECT e FROM s) GROUP BY ALL HAVING count(*) >= 3),
+    e AS (SELECT src, dst, 1 AS weight FROM x UNION ALL SELECT * FROM sim)"""
+
+
+def _similar(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The entity edges of the catalogue, and SIMILAR_TO both ways between items that share three tiers or brands."""
+    edges = _entity_edges(spark, sf_dir)
+    pairs = graph.similar_pairs(edges.filter(F.col("type").isin("Tier", "Brand")), "src", "dst", bucket_max=_BUCKET)
+    return edges, graph.similar_edges(pairs)
+
+
+@query(f"WITH {_SIMILAR} SELECT src, dst, 'SIMILAR_TO' AS predicate, weight FROM sim")
+def kg_similar_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _similar(spark, sf_dir)[1].select("src", "dst", "predicate", "weight")
+
+
+@query(_sql_walks(_SIMILAR, "SELECT p_partkey AS query_id, CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_partkey % 20 = 0", 1, 8, "0.0005", 5))
+def kg_similar_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A walk for every twentieth item, one hop around it, along its entities and the items like it."""
+    entities, similar = _similar(spark, sf_dir)
+    edges = graph.edges_of(entities.filter("type <> 'Chunk'")).select("src", "dst", "weight").unionByName(similar.select("src", "dst", "weight"))
+    seeds = table(spark, sf_dir, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_partkey").cast("string").alias("id"))
+    return _walked(cut(edges), seeds, 1, 8, 5e-4, 5)
