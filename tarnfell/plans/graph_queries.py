@@ -7,10 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnfell.functions import text
-from tarnfell.operators import catalog, graph, walks
-from tarnfell.operators.lineage import cut
+from tarnfell.operators import catalog, graph, reindex, walks
+from tarnfell.operators.lineage import cut, fresh_folder
 from tarnfell.plans.registry import query
-from tarnfell.plans.shared import DIMS, SQL_BAND, SQL_TIERED, table, tiered
+from tarnfell.plans.shared import DIMS, KEYWORDS, SQL_BAND, SQL_TIERED, described, parts, table, tiered
+from tarnfell.sources import keyed
 
 BRANDS = [f"brand#{i}" for i in range(25, 0, -1)]
 CASES = {"light": ["small", "ring"], "heavy": ["large", "anvil"], "trade": ["promo"]}
@@ -18,7 +19,10 @@ SPECS = {"HAS_SIZE": r"\b(size \d+)\b", "WEIGHS": r"\b(\d(?:\.\d+)?\s*kg)\b"}
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tiered(spark, sf_dir)
+    return _as_items(tiered(spark, sf_dir))
+
+
+def _as_items(rows: DataFrame) -> DataFrame:
     return rows.select(
         F.col("p_partkey").cast("string").alias("id"),
         F.col("p_partkey").alias("pos"),
@@ -411,3 +415,48 @@ def kg_similar_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = graph.edges_of(entities.filter("type <> 'Chunk'")).select("src", "dst", "weight").unionByName(similar.select("src", "dst", "weight"))
     seeds = table(spark, sf_dir, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_partkey").cast("string").alias("id"))
     return _walked(cut(edges), seeds, 1, 8, 5e-4, 5)
+
+
+# ------------------------------------------------------------------------------------------------- a graph brought up to date
+
+_NOW = """(SELECT p_partkey, CASE WHEN p_partkey % 50 = 3 THEN 'small widget' ELSE p_name END AS p_name, CASE WHEN p_partkey % 50 = 4 THEN 'Brand#1' ELSE p_brand END AS p_brand, p_type, p_size, p_retailprice
+          FROM part WHERE p_partkey % 50 <> 5)"""
+_NOW_EDGES = _EDGES.replace("FROM part)", f"FROM {_NOW})")
+_NOW_SIMILAR = _SIMILAR.replace(_EDGES, _NOW_EDGES)
+
+
+@query(f"""WITH {_NOW_SIMILAR} SELECT 'edge' AS part, src AS a, dst AS b, predicate AS told FROM ({_NOW_EDGES})
+           UNION ALL SELECT 'node', CAST(p_partkey AS VARCHAR), 'Laptop', p_name FROM {_NOW} UNION ALL SELECT DISTINCT 'node', dst, type, '' FROM ({_NOW_EDGES})
+           UNION ALL SELECT 'pair', src, dst, CAST(weight AS VARCHAR) FROM sim WHERE src < dst""")
+def kg_reindexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored graph after some items were renamed, given another brand or dropped: only what they touch is written."""
+    all_items, path = _items(spark, sf_dir), fresh_folder(spark, "reindexed")
+    edges = _entity_edges(spark, sf_dir)
+    pairs = graph.similar_pairs(edges.filter(F.col("type").isin("Tier", "Brand")), "src", "dst", bucket_max=_BUCKET)
+    kind = lambda df: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    nodes = graph.nodes_of(all_items, edges)
+    stored = keyed.Keyed(spark, f"{path}/edges", ["item_id", "seq"], kind(edges), 16, by=["item_id"])
+    stored_nodes = keyed.Keyed(spark, f"{path}/nodes", ["id"], kind(nodes), 16)
+    stored_pairs = keyed.Keyed(spark, f"{path}/pairs", ["a", "b"], kind(pairs), 16, by=["a"])
+    for t, rows in ((stored, edges), (stored_nodes, nodes), (stored_pairs, pairs)):
+        t.upsert(rows)
+
+    key = F.col("p_partkey")
+    now = parts(spark, sf_dir).filter((key % 50).isin(3, 4)).drop("description")
+    now = now.withColumn("p_name", F.when(key % 50 == 3, "small widget").otherwise(F.col("p_name")))
+    now = described(now.withColumn("p_brand", F.when(key % 50 == 4, "Brand#1").otherwise(F.col("p_brand"))))
+    new = _as_items(catalog.with_tiers(now, "description", KEYWORDS))
+    gone = all_items.filter("pos % 50 = 5").select("id")
+    own = graph.item_edges(new, DIMS, BRANDS, CASES, SPECS)
+    found = reindex.change(all_items, stored.read(), stored_pairs.read(), new, own, gone, bucket_max=_BUCKET)
+    old = stored.read().join(found.items.select(F.col("id").alias("item_id")), "item_id", "left_semi")
+    stored.change(found.edges, old.select("item_id", "seq"))
+    stored_nodes.change(found.nodes, found.touched)
+    stored_pairs.change(found.pairs, found.pairs_gone)
+
+    none = F.lit("")
+    as_rows = lambda df, part, *c: df.select(F.lit(part).alias("part"), *[x.cast("string").alias(n) for x, n in zip(c, ("a", "b", "told"))])
+    label = F.when(F.col("type") == "Laptop", F.col("name")).otherwise(none)
+    out = as_rows(stored.read(), "edge", F.col("src"), F.col("dst"), F.col("predicate"))
+    out = out.unionByName(as_rows(stored_nodes.read(), "node", F.col("id"), F.col("type"), label))
+    return out.unionByName(as_rows(stored_pairs.read(), "pair", F.col("a"), F.col("b"), F.col("overlap")))

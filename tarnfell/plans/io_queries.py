@@ -10,7 +10,7 @@ from tarnfell.operators import hooks, match
 from tarnfell.operators.lineage import fresh_folder
 from tarnfell.plans.registry import query
 from tarnfell.plans.shared import table
-from tarnfell.sources import readers, sinks
+from tarnfell.sources import keyed, readers, sinks
 
 
 @query("SELECT conv_id, turn, role, length(text) AS n FROM conversations")
@@ -261,3 +261,27 @@ def hook_topped_up(spark: SparkSession, sf_dir: str) -> DataFrame:
         ["n_nationkey"],
         40,
     ).select("question")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'new ' || p_name ELSE p_name END AS p_name, CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part WHERE p_partkey % 7 <> 1
+          UNION ALL SELECT -1, 'added', 0""")
+def io_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last of the new rows of a key wins, some keys go, all in the buckets that they lie in."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    stored = keyed.Keyed(spark, fresh_folder(spark, "io-keyed"), ["p_partkey"], "p_partkey long, p_name string, p_size int", 16)
+    stored.upsert(rows)
+    some = rows.filter("p_partkey % 5 = 0").select("p_partkey", F.concat(F.lit("new "), "p_name").alias("p_name"), (F.col("p_size") + 1).alias("p_size"))
+    added = spark.createDataFrame([(-1, "added", 0), (None, "no key", 0)], "p_partkey long, p_name string, p_size int")
+    stored.upsert(some.unionByName(some.withColumn("p_size", F.lit(-9))).unionByName(added), F.col("p_size"))
+    stored.delete(rows.filter("p_partkey % 7 = 1"))
+    return stored.read()
+
+
+@query("SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 4 = 1 THEN 'later' END AS note FROM supplier WHERE s_suppkey % 4 IN (0, 1) UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier WHERE s_suppkey % 4 = 1")
+def io_appended_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without the texts that they need aren't taken; a column that comes later is null before."""
+    path, rows = fresh_folder(spark, "io-appended"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    blank = F.when(F.col("s_suppkey") % 4 == 2, " ").when(F.col("s_suppkey") % 4 < 2, F.col("s_name"))
+    keyed.append(rows.withColumn("s_name", blank), path, ["s_name"])
+    keyed.append(rows.filter("s_suppkey % 4 = 1").withColumn("note", F.lit("later")), path, ["s_name", "note"])
+    return readers.parquet_or_empty(spark, path, "s_suppkey long, s_name string, note string")

@@ -28,8 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue: part with a description."""
-    p = table(spark, sf_dir, "part")
-    return p.withColumn(
+    return described(table(spark, sf_dir, "part"))
+
+
+def described(rows: DataFrame) -> DataFrame:
+    return rows.withColumn(
         "description",
         F.concat("p_name", F.lit(" "), "p_brand", F.lit(" "), "p_type", F.lit(". Size "), F.col("p_size").cast("string"), F.lit(" kg.")),
     )

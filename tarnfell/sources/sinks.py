@@ -30,9 +30,10 @@ def read(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def replace(df: DataFrame, path: str, sort_by: str | None = None) -> int:
-    """A new version; sorted within files by a column, its ranges become narrow and readers skip what they don't need."""
+    """A new version; with ``sort_by`` a file holds neighbouring values of that column, so readers skip the others."""
     number = (_versions(df.sparkSession, path) or [0])[-1] + 1
-    rows = df.sortWithinPartitions(sort_by) if sort_by else df
+    rest = [c for c in df.columns if c != sort_by and df.schema[c].dataType.typeName() != "map"]  # maps have no order
+    rows = df.repartitionByRange(sort_by, *rest).sortWithinPartitions(sort_by) if sort_by else df
     rows.write.mode("overwrite").parquet(f"{path}/v={number}")
     return number
 
