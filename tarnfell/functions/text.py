@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from tarnfell.functions import rules
 from tarnfell.functions.binding import let
 
+_BLANK, _string, _decoder = re.compile(r"[ \t\n\r]*"), json.decoder.scanstring, json.JSONDecoder()
+
 #: White space of Unicode and the four separators U+001C to U+001F; spelt out, since classes by property are slow.
 SPACE = r"[\t-\r\x1C-\x1F \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 
@@ -268,26 +270,47 @@ def json_array(text: Column, schema: str) -> Column:
 
 
 def load_object(text: str) -> dict:
-    """The JSON object in a text, closed where it was cut off; ValueError if there is none."""
+    """The JSON object in a text, closed where it was cut off; ValueError if there is none.
+
+    Members are read one after the other, each once.  Where the text ends after a member, or the object is closed, all of
+    them count.  Where it goes on with something else, the object ends after its last member that is an object itself,
+    else before the last comma that follows a whole member.
+    """
     text = re.sub(r"(?s)<think>.*?</think>|<think>.*$", "", text.strip())
     begun = text.find("{")
     if begun < 0:
         raise ValueError("no object")
-    text = text[begun:]
-    ends = [
-        len(text),
-        *(m.start() for m in reversed(list(re.finditer("}", text)))),
-        *(m.start() for m in reversed(list(re.finditer(",", text)))),
-    ]
-    for end in ends:
-        for tail in ("", "}"):
-            try:
-                found = json.loads(text[: end + (text[end : end + 1] == "}")] + tail)
-            except ValueError:
-                continue
-            if isinstance(found, dict):
-                return found
-    raise ValueError("no object")
+    skip = lambda i: _BLANK.match(text, i).end()
+    found, ends, at = [], 0, skip(begun + 1)  # ends: members up to the last that is an object
+    whole = text[at : at + 1] in ("", ",")  # a comma follows what is held so far, or nothing does
+    if text[at : at + 1] == "}":
+        return {}
+    while text[at : at + 1] == '"':
+        try:
+            key, at = _string(text, at + 1, True)
+            at = skip(at)
+            if text[at : at + 1] != ":":
+                break
+            value, at = _decoder.raw_decode(text, skip(at + 1))
+        except ValueError:
+            break
+        nested, at = text[at - 1] == "}", skip(at)
+        after = text[at : at + 1]
+        if after in ("", "}"):
+            return dict([*found, (key, value)])
+        if nested:
+            ends = len(found) + 1
+        if after != "," and not nested:
+            break
+        found.append((key, value))
+        if after != ",":
+            break
+        whole, at = True, skip(at + 1)
+    if ends:
+        return dict(found[:ends])
+    if not whole:
+        raise ValueError("no object")
+    return dict(found)
 
 
 @F.pandas_udf(T.StringType())

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnfell.functions import rules
+from tarnfell.operators.lineage import cut
 
 
 def good_cases(df: DataFrame, score: str = "score", correctness: str = "correctness") -> DataFrame:
@@ -95,3 +96,34 @@ def staged_search(
 
         best[name] = max(enumerate(values), key=lambda iv: rank(*iv))[1]
     return best, seen
+
+
+def staged(
+    start: DataFrame,
+    question: str,
+    stages: Sequence[tuple[Sequence[str], Sequence[Any]]],
+    evaluate: Callable[[DataFrame], DataFrame],
+    near: tuple[str, float],
+) -> tuple[DataFrame, DataFrame]:
+    """Coordinate descent for a whole table of questions, one job a stage: (the best action of each, all trials).
+
+    ``start`` holds a question and its first action, one column a parameter.  A stage gives every question's best action
+    each of its values, in all of its columns; ``evaluate`` adds ``figure`` to actions that weren't tried before, and null
+    where there is none.  The largest figure wins; ties go to the value of ``near`` that is nearest to its figure, then to the
+    first.  A stage without any figure changes nothing.
+    """
+    params = [c for c in start.columns if c != question]
+    key = [question, *params]
+    trials = cut(evaluate(start).select(*key, "figure"))
+    best = trials
+    for columns, values in stages:
+        listed = F.posexplode(F.array(*[F.lit(v).cast(start.schema[columns[0]].dataType) for v in values])).alias("__at", "__v")
+        rest = [c for c in key if c not in columns]
+        variants = best.select(*rest, listed).select("*", *[F.col("__v").cast(start.schema[c].dataType).alias(c) for c in columns]).drop("__v")
+        new = variants.select(key).distinct().join(trials, key, "left_anti")
+        trials = cut(trials.unionByName(evaluate(new).select(*key, "figure")))
+        order = F.struct(-F.col("figure"), F.abs(F.col(near[0]) - near[1]), "__at")
+        won = variants.join(trials.filter("figure IS NOT NULL"), key).groupBy(question).agg(F.min_by(F.struct(*params, "figure"), order).alias("w"))
+        met = best.join(won, question, "left")
+        best = cut(met.select(question, *[F.when(F.col("w").isNull(), F.col(c)).otherwise(F.col(f"w.{c}")).alias(c) for c in (*params, "figure")]))
+    return best, trials

@@ -67,7 +67,7 @@ def json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
     """(key, value) of a file that holds one JSON object, such as a cache; a missing or broken file is empty."""
     empty = spark.createDataFrame([], f"key string, value {value}")
     try:
-        whole = spark.read.option("wholetext", True).text(path)
+        whole = spark.read.text(path, wholetext=True)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -110,9 +110,12 @@ def first_chunks(rows: DataFrame) -> DataFrame:
     return kept.withColumn("description", F.coalesce("full_description", "description"))
 
 
-def docstore(positions: DataFrame, documents: DataFrame) -> DataFrame:
-    """Documents in the order of an index: (pos, doc_id) with (doc_id, text, metadata)."""
-    return positions.join(documents, "doc_id")
+def docstore(positions: DataFrame, documents: DataFrame, missing: bool = False) -> DataFrame:
+    """Documents in the order of an index: (pos, doc_id) with (doc_id, text, metadata).
+
+    With ``missing``, positions whose document isn't there are kept, with nulls; else they are left out.
+    """
+    return positions.join(documents, "doc_id", "left" if missing else "inner")
 
 
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
@@ -135,8 +138,10 @@ def graph(spark: SparkSession, path: str, version: int) -> tuple[DataFrame, Data
 def fetched(df: DataFrame, make_client: Callable[[], Callable[[pd.DataFrame], Iterable[dict]]], schema: str) -> DataFrame:
     """Rows of an external service: each task makes its client once and hands it batches of ``df``."""
 
+    names = T.StructType.fromDDL(schema).names
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client, names = make_client(), T.StructType.fromDDL(schema).names
+        client = make_client()
         for batch in batches:
             yield pd.DataFrame(list(client(batch)), columns=names)
 

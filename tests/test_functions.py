@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnfell.functions import rules, text, vectors
+from tarnfell.sources import readers
 
 
 def value(spark, column):
@@ -163,3 +164,30 @@ def test_transcript(spark):
         ]
     )
     assert value(spark, text.transcript(rows)) == "be\n\nUser: hi\n\nAssistant: yo"
+
+
+def test_an_object_is_read_in_one_pass():
+    cases = {
+        '{"a": 1, "b": {"c": 2': {"a": 1},
+        '{"a": {"b": 1} x': {"a": {"b": 1}},
+        '{"a": {"b": 1}, "c": 5, "d": tru': {"a": {"b": 1}},
+        '{"z": 0, "a": 1 garbage, "b": 2}': {"z": 0},
+        '{"a": 12': {"a": 12},
+        '{"a": 1} and {"b": 2}': {"a": 1},
+        '{"a": "x, y}", "b": [1, {"c": 2}': {"a": "x, y}"},
+        '<think>{"n": 0}</think>{"a": 1,': {"a": 1},
+        "{": {},
+        "{,": {},
+    }
+    for said, want in cases.items():
+        assert text.load_object(said) == want, said
+    for said in ('{"a": ', '{"a', '{"a": {"b": 1, "c": 2', "{x", '{"a" , "b": 1}'):
+        with pytest.raises(ValueError):
+            text.load_object(said)
+    members = ", ".join(f'"k{i}": "{"x, y} " * 20}"' for i in range(20_000))  # three megabytes of commas and braces
+    assert len(text.load_object("{" + members + ', "cut": "of')) == 20_000
+
+
+def test_a_json_map_may_have_lines(spark, tmp_path):
+    (tmp_path / "cache.json").write_text('{\n  "a": 1,\n  "b": 2\n}\n')
+    assert {r.key: r.value for r in readers.json_map(spark, str(tmp_path), "int").collect()} == {"a": 1, "b": 2}
