@@ -28,6 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnfell.functions import rules, text
+from tarnfell.functions.binding import let
 from tarnfell.operators.lineage import cut
 
 #: Files that a bucket's postings are spread over, so that one frequent term isn't one file.
@@ -38,6 +39,20 @@ def bucket_of(term: Column, digits: Column | int) -> Column:
     return F.substring(F.md5(term.cast("binary")), F.lit(1), F.lit(digits) if isinstance(digits, int) else digits)
 
 
+def counted(words: Column) -> Column:
+    """(term, tf) of an array of words: sorted once, then the lengths of the runs."""
+
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        first = lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1))
+        starts = F.filter(F.sequence(F.lit(0), n - 1), first)
+        run = lambda s: lambda a, i: F.struct(F.get(w, a).alias("term"), (F.coalesce(F.get(s, i + 1), n) - a).alias("tf"))
+        return let(starts, lambda s: F.transform(s, run(s)))
+
+    none = F.array().cast("array<struct<term:string,tf:int>>")
+    return let(F.sort_array(words), lambda w: F.when(F.size(w) == 0, none).otherwise(of(w)))
+
+
 def build(
     df: DataFrame,
     id_: str,
@@ -60,9 +75,8 @@ def build(
     lengths.withColumn("block", block).write.mode("overwrite").parquet(f"{path}/docs")
 
     split = rows.select(F.col(id_).alias("id"), said.alias("words"))
-    words = split.select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    # A document's words meet in the task that reads it; what moves is one row a document and term.
-    posted = words.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    # A document's words are counted where it is read; what moves, once, is one row a document and term.
+    posted = split.select("id", F.size("words").alias("dl"), F.explode(counted(F.col("words"))).alias("e")).select("id", "dl", "e.*")
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (mean or 1.0)))
     posted = posted.select("term", block.alias("block"), "id", "tf", weight.alias("weight"), bucket_of(F.col("term"), digits).alias("bucket"))
     dealt = posted.repartition("bucket", F.pmod("block", F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "block")

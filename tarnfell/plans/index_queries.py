@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfell.operators import index, knn
+from tarnfell.functions import text
+from tarnfell.operators import index, knn, linking
 from tarnfell.operators.lineage import fresh_folder
 from tarnfell.plans.registry import query
 from tarnfell.plans.retrieval_queries import _WORDS
@@ -71,3 +72,23 @@ def dense_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dense_batch_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The budget is a filter on the fifty nearest."""
     return _nearest(spark, sf_dir, 5, F.col("label") <= 2)
+
+
+# ------------------------------------------------------------------------------------------------- names in texts
+
+
+@query("""WITH c AS (SELECT conv_id * 1000 + turn AS name_id, regexp_extract_all(lower(text), '[a-z0-9]+')[1:1 + conv_id % 3] AS t FROM conversations),
+          q AS (SELECT name_id, array_to_string(t, ' ') AS run, len(t) AS l FROM c WHERE len(t) > 0),
+          d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
+          g AS (SELECT doc_id, len(t) AS size, l, unnest(list_transform(range(1, len(t) - l + 2), lambda i: array_to_string(t[i:i + l - 1], ' '))) AS run FROM d, (SELECT unnest([1, 2, 3]) AS l)),
+          m AS (SELECT name_id, doc_id, q.l = size AS exact, count(*) AS n FROM g JOIN q USING (run, l) GROUP BY ALL)
+          SELECT name_id, min({'a': NOT exact, 'b': doc_id}).b AS doc_id, count(*) AS n_texts, CAST(sum(n) AS BIGINT) AS n_places, max(exact) AS exact FROM m GROUP BY name_id""")
+def names_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One to three words that each turn of the conversations begins with, looked for in all documents."""
+    n = F.col("conv_id") % 3 + 1
+    terms = text.terms(F.coalesce("text", F.lit("")))
+    names = table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("name_id"), F.array_join(F.slice(terms, F.lit(1), n.cast("int")), " ").alias("name")
+    )
+    found = linking.linked(table(spark, sf_dir, "documents"), "doc_id", "text", names, "name_id", "name")
+    return found.withColumnRenamed("text_id", "doc_id")

@@ -71,7 +71,7 @@ def stream_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
             out,
             fresh_folder(spark, "resumed-progress"),
         ).awaitTermination()
-    return spark.read.parquet(out)
+    return streams.generated(spark, out)
 
 
 @query("SELECT event_type AS key, upper(event_type) AS result, count(*) - 1 AS hits, CAST(1 AS BIGINT) AS lookups FROM events GROUP BY event_type")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Iterator
 
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tarnfell.operators.lineage import fresh_folder
+from tarnfell.operators.lineage import cut, fresh_folder
+from tarnfell.sources import readers
 
 
 def events(
@@ -149,29 +151,40 @@ def logged(stream: DataFrame, path: str, score: Callable[[DataFrame], DataFrame]
 
 
 def generate_once(stream: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """Works on what isn't in ``path`` yet, batch by batch; a batch that is run again finds its rows done."""
+    """Works on what isn't done yet, batch by batch: what was made is in ``path/made``, the keys of it in ``path/done``.
+
+    Only keys are looked at again, never what was made of them.  A batch writes to folders of its number and of its
+    checkpoint, and leaves out of what is done what it had written there itself: run again, it does the same again.
+    """
+    kind = f"{stream.select(key).schema[0].simpleString().replace(':', ' ', 1)}, run string, batch long"
+    mine = hashlib.md5(checkpoint.encode()).hexdigest()
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            todo = batch.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            todo = batch
-        work(todo.dropDuplicates([key])).write.mode("append").parquet(path)
+        done = readers.parquet_or_empty(batch.sparkSession, f"{path}/done", kind)
+        others = done.filter((F.col("run") != mine) | (F.col("batch") != number)).select(key)
+        todo = cut(batch.filter(F.col(key).isNotNull()).join(others, key, "left_anti").dropDuplicates([key]))
+        work(todo).write.mode("overwrite").parquet(f"{path}/made/run={mine}/batch={number}")
+        todo.select(key).write.mode("overwrite").parquet(f"{path}/done/run={mine}/batch={number}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def generated(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`generate_once` has made."""
+    return spark.read.parquet(f"{path}/made").drop("run", "batch")
+
+
 def drained(stream: DataFrame, mode: str, tag: str) -> DataFrame:
     """Everything that a finite stream gives, as a table in the shared folder: the last batch's rows in complete mode,
-    else all batches' rows with their batch number."""
+    else all batches' rows with their batch number.  A batch that is run again replaces what it had written."""
     spark = stream.sparkSession
     out, progress = fresh_folder(spark, f"{tag}-rows"), fresh_folder(spark, f"{tag}-progress")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        if mode == "complete":
+            batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(out)
+        else:
+            batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
