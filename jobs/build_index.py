@@ -2,8 +2,8 @@
 
     python -m jobs.build_index --config jobs/build_index.json --documents PATH --output PATH
 
-Reads a Parquet table of documents and writes the four tables of :mod:`tarnfell.operators.index` below the output, with
-postings and block maxima partitioned by a prefix of the term's hash.  A rerun overwrites them with the same rows; a run
+Reads a Parquet table of documents and writes the three tables of :mod:`tarnfell.operators.index` below the output, with
+postings partitioned by a hash of the term.  A rerun overwrites them with the same rows; a run
 that was broken off is mended by running it again.
 """
 
@@ -29,12 +29,12 @@ def run(
     text: str = "text",
     keep: Sequence[str] = (),
     block_docs: int = 256,
-    digits: int = 2,
+    buckets: int = 64,
 ) -> dict[str, int]:
     """Build the index of the table at ``documents`` below ``output``; how many rows were read and written."""
     docs = spark.read.parquet(documents)
-    index.build(docs, id, text, output, keep=keep, block_docs=block_docs, digits=digits)
-    tables = {"docs": spark.read.parquet(f"{output}/docs"), "postings": index.postings(spark, output), "blocks": index.maxima(spark, output)}
+    index.build(docs, id, text, output, keep=keep, block_docs=block_docs, buckets=buckets)
+    tables = {"docs": spark.read.parquet(f"{output}/docs"), "postings": index.postings(spark, output)}
     rows = {name: df.count() for name, df in tables.items()}
     log.info("read %d documents of %s", rows["docs"], documents)
     for name, n in rows.items():

@@ -1,16 +1,16 @@
 """A stored inverted index, and a search for a whole table of queries that reads only what may matter.
 
-An index is a folder of four tables:
+An index is a folder of three tables:
 
 * ``docs`` (id, dl, block, further columns): every document, its length in words and its block;
-* ``postings`` (term, block, id, tf, weight), partitioned by ``bucket``, the first hex digits of the term's MD5: a weight
-  is what BM25 makes of a count and a length, without the term's rarity;
-* ``blocks`` (term, block, n, top), partitioned likewise: in how many documents of a block a term is, and its largest weight;
+* ``postings`` (term, block, n, top, entries), partitioned by ``bucket``, a hash of the term: the documents of a block that
+  have the term, each with its count and its weight, their number and the largest weight.  A weight is what BM25 makes of a
+  count and a length, without the term's rarity;
 * ``figures``: one row with the number of documents, their mean length, the number of blocks and the settings.
 
 A block is some ``block_docs`` documents by a hash of their ids, so a term's postings within one are few however frequent
-the term is: they are what is joined, written and skipped.  Texts are read once for the lengths and once for the postings;
-postings move once, to the files of their bucket.
+the term is: they are one row, which is joined, written and skipped as such.  Texts are read once for the lengths and once
+for the postings; postings move once, to the task that writes their bucket.
 
 The search is exact.  Block maxima bound what any document of a block can score; the most promising blocks are scored
 first and give each query a score that the k-th hit has at least; in the other blocks only those documents are scored
@@ -31,12 +31,17 @@ from tarnfell.functions import rules, text
 from tarnfell.functions.binding import let
 from tarnfell.operators.lineage import cut
 
-#: Files that a bucket's postings are spread over, so that one frequent term isn't one file.
-SPREAD = 8
+#: A bucket's postings are dealt by block over so many tasks at least, and over one for so many blocks: neither a frequent
+#: term nor a large corpus is one task's.
+SPREAD, SPREAD_BLOCKS = 8, 4096
 
 
-def bucket_of(term: Column, digits: Column | int) -> Column:
-    return F.substring(F.md5(term.cast("binary")), F.lit(1), F.lit(digits) if isinstance(digits, int) else digits)
+#: Different words of all queries up to which every task gets them, to leave out other postings where they are read.
+BROADCAST_TERMS = 200_000
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def counted(words: Column) -> Column:
@@ -60,7 +65,7 @@ def build(
     path: str,
     keep: Sequence[str] = (),
     block_docs: int = 256,
-    digits: int = 2,
+    buckets: int = 64,
     k1: float = rules.BM25_K1,
     b: float = rules.BM25_B,
 ) -> None:
@@ -78,27 +83,28 @@ def build(
     # A document's words are counted where it is read; what moves, once, is one row a document and term.
     posted = split.select("id", F.size("words").alias("dl"), F.explode(counted(F.col("words"))).alias("e")).select("id", "dl", "e.*")
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (mean or 1.0)))
-    posted = posted.select("term", block.alias("block"), "id", "tf", weight.alias("weight"), bucket_of(F.col("term"), digits).alias("bucket"))
-    dealt = posted.repartition("bucket", F.pmod("block", F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "block")
-    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-
-    tops = postings(spark, path).groupBy("bucket", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("top"))
-    tops.repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
-    figures = (n, float(mean or 0.0), n_blocks, digits, k1, b)
-    kind = "n long, mean double, n_blocks long, digits int, k1 double, b double"
+    part = F.pmod("block", F.lit(max(SPREAD, n_blocks // SPREAD_BLOCKS))).alias("part")
+    posted = posted.select("term", block.alias("block"), "id", "tf", weight.alias("weight"), bucket_of(F.col("term"), buckets).alias("bucket"))
+    dealt = posted.select("*", part).repartition("bucket", "part")
+    # Rows of a term and a block are where they were dealt to, and no more than the block has documents.
+    entries = F.collect_list(F.struct("id", "tf", "weight")).alias("entries")
+    rows = dealt.groupBy("bucket", "part", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("top"), entries).drop("part")
+    rows.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    figures = (n, float(mean or 0.0), n_blocks, buckets, k1, b)
+    kind = "n long, mean double, n_blocks long, buckets int, k1 double, b double"
     spark.createDataFrame([figures], kind).coalesce(1).write.mode("overwrite").parquet(f"{path}/figures")
 
 
-def postings(spark: SparkSession, path: str) -> DataFrame:
-    """All postings: (term, block, id, tf, weight, bucket)."""
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """The postings as they are stored: (term, block, n, top, entries, bucket)."""
     kind = spark.read.parquet(f"{path}/docs").schema["id"].dataType.simpleString()
-    fields = f"term string, block long, id {kind}, tf int, weight double, bucket string"  # else buckets of digits are numbers
+    fields = f"term string, block long, n long, top double, entries array<struct<id:{kind},tf:int,weight:double>>, bucket int"
     return spark.read.schema(fields).parquet(f"{path}/postings")
 
 
-def maxima(spark: SparkSession, path: str) -> DataFrame:
-    """What is known of a term in each block: (term, block, n, top, bucket)."""
-    return spark.read.schema("term string, block long, n long, top double, bucket string").parquet(f"{path}/blocks")
+def postings(spark: SparkSession, path: str) -> DataFrame:
+    """All postings, one row each: (term, block, id, tf, weight)."""
+    return stored(spark, path).select("term", "block", F.inline("entries"))
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
@@ -115,11 +121,13 @@ class Search:
         figures = self.spark.read.parquet(f"{path}/figures").first()
         terms = F.array_distinct(text.words(F.coalesce(F.col(said), F.lit(""))))
         asked = queries.filter(F.col(query_id).isNotNull()).select(F.col(query_id).alias("query_id"), F.explode(terms).alias("term"))
-        asked = cut(asked.distinct().withColumn("bucket", bucket_of(F.col("term"), figures["digits"])))
-        #: At most 16 to the power of the digits; they become a filter on partitions.
+        asked = cut(asked.distinct().withColumn("bucket", bucket_of(F.col("term"), figures["buckets"])))
+        #: No more than the index has; they become a filter on partitions.
         self.buckets = sorted(r["bucket"] for r in asked.select("bucket").distinct().collect())
-        told = maxima(self.spark, path).filter(F.col("bucket").isin(self.buckets))
-        told = cut(told.join(asked.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi"))
+        self.terms = cut(asked.select("bucket", "term").distinct())
+        if self.terms.count() <= BROADCAST_TERMS:
+            self.terms = F.broadcast(self.terms)
+        told = cut(self.stored().select("bucket", "term", "block", "n", "top"))
         n = F.lit(figures["n"])
         rare = told.groupBy("bucket", "term").agg(F.sum("n").alias("df")).select(
             "bucket", "term", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf")
@@ -128,9 +136,15 @@ class Search:
         #: What a term can add to a document of the block at most.
         self.bounds = cut(asked.join(told.drop("n"), ["bucket", "term"]).withColumn("bound", F.col("idf") * F.col("top")).drop("top"))
 
-    def postings(self) -> DataFrame:
-        """Those of the queries' buckets, of documents that are kept."""
-        found = postings(self.spark, self.path).filter(F.col("bucket").isin(self.buckets))
+    def stored(self) -> DataFrame:
+        """The stored rows of the queries' words."""
+        found = stored(self.spark, self.path).filter(F.col("bucket").isin(self.buckets))
+        return found.join(self.terms, ["bucket", "term"], "left_semi")
+
+    def met(self, wanted: DataFrame) -> DataFrame:
+        """``wanted`` (bucket, term, block, ...) with the postings there, those of documents that are kept."""
+        found = self.stored().select("bucket", "term", "block", "entries").join(wanted, ["bucket", "term", "block"])
+        found = found.select(*wanted.columns, F.inline("entries"))
         if self.keep is None:
             return found
         some = self.spark.read.parquet(f"{self.path}/docs").filter(self.keep).select("block", "id")
@@ -141,7 +155,7 @@ class Search:
         order = W.partitionBy("query_id").orderBy(F.desc("bound"), "block")
         blocks = self.bounds.groupBy("query_id", "block").agg(F.sum("bound").alias("bound"))
         pairs = cut(blocks.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= self.first).select("query_id", "block"))
-        met = self.postings().join(self.bounds.join(pairs, ["query_id", "block"]), ["bucket", "term", "block"])
+        met = self.met(self.bounds.join(pairs, ["query_id", "block"]))
         scored = met.groupBy("query_id", "id").agg(F.sum(F.col("idf") * F.col("weight")).alias("score"))
         self.early = cut(_best(scored, self.k))
         return pairs
@@ -160,14 +174,15 @@ class Search:
     def late(self, rest: DataFrame) -> DataFrame:
         """(query_id, id, score) of documents with a needed term whose score may reach the k-th of the first pass."""
         key = ["bucket", "term", "block"]
-        met = self.postings().join(rest.filter("needed"), key)
+        met = self.met(rest.filter("needed"))
         part = met.groupBy("query_id", "block", "id", "least").agg(F.sum(F.col("idf") * F.col("weight")).alias("score"))
         others = rest.filter("not needed")
         more = others.groupBy("query_id", "block").agg(F.sum("bound").alias("more"))
         part = part.join(more, ["query_id", "block"], "left").withColumn("more", F.coalesce("more", F.lit(0.0)))
         part = cut(part.filter(F.col("least").isNull() | (F.col("score") + F.col("more") >= F.col("least"))))
-        wanted = part.filter("more > 0").select("query_id", "block", "id").join(others.select(*key, "query_id", "idf"), ["query_id", "block"])
-        added = self.postings().join(wanted, [*key, "id"]).select("query_id", "id", (F.col("idf") * F.col("weight")).alias("score"))
+        wanted = part.filter("more > 0").groupBy("query_id", "block").agg(F.collect_list("id").alias("ids"))  # of one block
+        added = self.met(others.select(*key, "query_id", "idf").join(wanted, ["query_id", "block"])).filter(F.array_contains("ids", F.col("id")))
+        added = added.select("query_id", "id", (F.col("idf") * F.col("weight")).alias("score"))
         return part.select("query_id", "id", "score").unionByName(added).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
 
     def hits(self) -> DataFrame:

@@ -29,7 +29,7 @@ def _sql_index(keep: str) -> str:
 
 def _index(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
     path = fresh_folder(spark, "index")
-    index.build(table(spark, sf_dir, "documents"), "doc_id", "text", path, keep=["n_chars"], digits=1)
+    index.build(table(spark, sf_dir, "documents"), "doc_id", "text", path, keep=["n_chars"], buckets=16)
     found = index.search(table(spark, sf_dir, "benchmark"), "item_id", "text", path, keep=keep)
     return found.select("query_id", "rank", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 

@@ -15,12 +15,12 @@ from tarnfell.plans.retrieval_queries import _WORDS
     WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
     n AS (SELECT avg(len(w)) AS avgdl FROM d),
     p AS (SELECT doc_id, term, dl, CAST(count(*) AS INT) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM d) GROUP BY ALL)
-    SELECT substr(md5(term), 1, 1) AS bucket, term, doc_id, tf, round(tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)), 9) AS weight FROM p, n""")
+    SELECT term, doc_id, tf, round(tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)), 9) AS weight FROM p, n""")
 def job1_build_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fresh_folder(spark, "job1-index")
     for _ in range(2):
-        build_index.run(spark, f"{sf_dir}/documents.parquet", out, keep=["n_chars", "lang"], digits=1)
-    return build_index.read(spark, out).select("bucket", "term", F.col("id").alias("doc_id"), "tf", F.round("weight", 9).alias("weight"))
+        build_index.run(spark, f"{sf_dir}/documents.parquet", out, keep=["n_chars", "lang"], buckets=16)
+    return build_index.read(spark, out).select("term", F.col("id").alias("doc_id"), "tf", F.round("weight", 9).alias("weight"))
 
 
 _FLAG, _CONFIRM = "blean", "onth"

@@ -81,11 +81,11 @@ def test_a_rebuilt_index_is_the_same(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, shelf int").write.parquet(f"{tmp_path}/docs")
     seen = []
     for _ in range(2):
-        rows = build_index.run(spark, f"{tmp_path}/docs", f"{tmp_path}/out", keep=["shelf"], digits=1)
+        rows = build_index.run(spark, f"{tmp_path}/docs", f"{tmp_path}/out", keep=["shelf"], buckets=16)
         seen.append(sorted(map(tuple, build_index.read(spark, f"{tmp_path}/out").collect())))
     assert seen[0] == seen[1] and rows["docs"] == 301 and rows["postings"] == len(seen[0]) == sum(len(set(t.split())) for i, t, _ in docs[:300])
     spark.createDataFrame([(1, None, 0)], "doc_id long, text string, shelf int").write.parquet(f"{tmp_path}/none")
-    assert build_index.run(spark, f"{tmp_path}/none", f"{tmp_path}/out2") == {"docs": 1, "postings": 0, "blocks": 0}
+    assert build_index.run(spark, f"{tmp_path}/none", f"{tmp_path}/out2") == {"docs": 1, "postings": 0}
 
 
 def test_configs_fit_the_jobs():
@@ -130,7 +130,7 @@ def test_searches_equal_a_plain_ranking_and_skip_what_cannot_matter(spark, tmp_p
     docs += [(900 + i, "R7 r7 r7 The", 0) for i in range(12)] + [(950, None, 1), (951, "", 1)]
     asked = [(1, "r7 the of"), (2, "the and"), (3, "nowhere"), (4, None), (5, "r1 r2 R3 the the in"), (6, "")]
     df = spark.createDataFrame(docs, "id long, body string, shelf int").repartition(3)
-    index.build(df, "id", "body", f"{tmp_path}/ix", keep=["shelf"], block_docs=16, digits=1)
+    index.build(df, "id", "body", f"{tmp_path}/ix", keep=["shelf"], block_docs=16, buckets=16)
     queries = spark.createDataFrame(asked, "q long, said string")
     for keep, plain in ((None, lambda d: True), (F.col("shelf") == 1, lambda d: d[2] == 1)):
         got = {}
@@ -142,6 +142,6 @@ def test_searches_equal_a_plain_ranking_and_skip_what_cannot_matter(spark, tmp_p
     assert rest.filter("needed AND term = 'the'").count() == 0  # without the rare word no document is looked at
     assert rest.filter("needed").count() < s.bounds.count() / 3
     assert len(s.buckets) <= 3
-    plan = s.postings()._jdf.queryExecution().executedPlan().toString()
+    plan = s.stored()._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [bucket" in plan
     assert index.search(queries.limit(0), "q", "said", f"{tmp_path}/ix").count() == 0
