@@ -98,13 +98,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = scratch.shared_dir(spark) + "-pipeline"
-    path = f"{base}/{uuid.uuid4().hex}"
+    """All stages over ``documents``; what each returns is written to the shared folder and read again, and goes when the
+    next one's has been written.  Only the last stage's stays, until :func:`scratch.release`."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    path = f"{scratch.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         out = f"{path}/{name}"
         with scratch.scope(spark):
             stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:
+            scratch.drop(spark, before)
+        before = out
     return docs

@@ -46,7 +46,8 @@ def materialize(df: DataFrame, tag: str, codec: str = "zstd", within: str | None
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def drop(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of tables."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -60,9 +61,9 @@ def scope(spark: SparkSession) -> Iterator[str]:
         yield own
     finally:
         _SCOPE.reset(before)
-        _delete(spark, own)
+        drop(spark, own)
 
 
 def release(spark: SparkSession) -> None:
     """Delete every table that this application has materialised; frames built on them become unreadable."""
-    _delete(spark, shared_dir(spark))
+    drop(spark, shared_dir(spark))

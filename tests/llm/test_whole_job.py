@@ -156,3 +156,19 @@ def test_a_part_of_a_license_repeated_is_not_the_whole(spark):
     assert got[2] == ("proprietary", 1.0) and got[3] == ("gpl,lgpl", 1.0)
     assert got[4][0] == "" and got[4][1] < 0.2 and got[5] == ("long", 0.9)
     assert got[6][0] == "" and got[6][1] == 0.75 and got[7][0] == ""
+
+
+def test_only_the_last_stage_s_table_stays(spark, tmp_path):
+    import glob
+
+    from tarnfell.llm import scratch
+
+    docs = [(i, f"text {i} of some words " * 9, "en", f"s{i % 2}", 9) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    own = scratch.shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    was = set(glob.glob(f"{own}/*"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    new = set(glob.glob(f"{own}/*")) - was
+    left = [p for n in new for p in glob.glob(f"{n}/*")]
+    assert len(new) == 1 and [p.rsplit("/", 1)[1] for p in left] == [corpus_pipeline.STAGES[-1][0]]
