@@ -5,15 +5,20 @@ counts), and looser ones for tokens that look like secrets, for account numbers
 that the text announces.  Each candidate then gets votes: the *regex* labeler (does the strict form hold: a check
 digit, a known shape?), the *gazetteer* (is the token that tells, a mail domain's end, an issuer's first digits, a
 calling code, a vendor's prefix, a country, a given name, in the table?), the *context* (does the text before it end
-in a word that announces such data, or in one that speaks against it?) and the *length*.  Expectation-maximisation on
-the counts of votes estimates each labeler's reliability and each kind's share without any truth; the posteriors, as
-soft labels, then train the final span classifier: naive Bayes over the span's votes and shape.  Spans of the base
-kinds whose checks hold always stay; of all others those stay that the classifier gives a half or more and for which
-one labeler at least speaks, unless a base span or an account number covers them.
+in a word that announces such data, or in one that speaks against it?) and the *length*.  A labeler has no opinion
+where it would only repeat what the pattern demands: the form of a national number can speak against it, not for it;
+of a name the gazetteer also knows words that no name holds, and the context tells persons' names from those of files
+and companies.  Expectation-maximisation on the counts of votes estimates each labeler's reliability and each kind's
+share without any truth, leaning to what is believed of a labeler beforehand by the same part at every size; the
+posteriors, as soft labels, then train the final span classifier: naive Bayes over the span's votes and shape.  Spans
+of the base kinds whose checks hold always stay; of all others those stay that the classifier gives a half or more and
+for which one labeler at least speaks, unless a base span or an account number covers them.
 
 Base spans are leftmost and do not overlap within a kind; a match whose check fails is dropped without another try.
 Quantifiers are possessive and starts are anchored at runs of their characters, which changes no match but keeps the
-search linear, and Java's stack flat, on texts of any length.
+search linear, and Java's stack flat, on texts of any length.  Positions are sums over blocks of matches, covers are
+looked up by halving and texts are put together from pieces of bounded length, so a text with very many spans takes
+time in proportion to them.
 
 Defined results: a null or empty text has no spans; offsets are code points, the end is exclusive; repeated rows are
 looked at one by one; without any candidate the tables of the model are empty and nothing is added; further columns
@@ -30,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnfell.functions.binding import let
 from tarnfell.llm.scratch import materialize
 
 #: Kinds in the order in which spans with the same start are listed, and what finds their candidates.
@@ -68,6 +74,10 @@ MASKS = {
 CONTEXT = 40
 #: Rounds of expectation-maximisation; candidates that the classifier is taken to have seen of each share beforehand.
 ROUNDS, PRIOR = 12, 4.0
+#: How often each labeler (in the order of ``VOTES``) is taken to be right beforehand, and what part of its votes that weighs.
+BELIEF, TRUST = (0.95, 0.97, 0.95, 0.7), 0.05
+#: Values summed at a time, and code points in a piece of a text.
+BLOCK, PIECE = 128, 1024
 
 
 def _digits(span: Column) -> Column:
@@ -125,28 +135,50 @@ def check(kind: str, span: Column) -> Column:
     return F.lit(True)
 
 
+def running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For each of ``values`` (whole numbers) what those before it come to, from 0; ``add`` is associative.
+
+    An array that grows is copied at every step, so values are taken in blocks and blocks start from sums of blocks.
+    """
+
+    def within(block: Column, start: Column) -> Column:
+        state = F.struct(start.alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        step = lambda s, v: F.struct(add(s["at"], v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(block, state, step, lambda s: s["out"])
+
+    def joined(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), add))
+        return F.flatten(F.zip_with(blocks, within(sums, F.lit(0)), within))
+
+    def cut(all_: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(all_), F.lit(BLOCK))
+        blocks = F.transform(starts, lambda i: F.slice(all_, i, F.lit(BLOCK)))
+        return F.when(F.size(all_) > 0, let(blocks, joined)).otherwise(F.expr("cast(array() as array<int>)"))
+
+    return let(values, cut)
+
+
 def _found(kind: str, text: Column) -> Column:
     """Array of (start, end, span, before): all candidates of a kind, by start."""
     pattern = F.lit(PATTERNS[kind])
     spans, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, PATTERNS[kind], -1)
-    state = F.struct(
-        F.lit(0).alias("at"),
-        F.expr("cast(array() as array<struct<start:int,end:int,span:string,before:string>>)").alias("out"),
-    )
 
-    def step(s: Column, p: Column) -> Column:
-        start = s["at"] + F.length(p["gap"])
-        item = F.struct(
-            start.alias("start"),
-            (start + F.length(p["span"])).alias("end"),
-            p["span"].alias("span"),
-            F.right(p["gap"], F.lit(CONTEXT)).alias("before"),
-        )
-        return F.struct((start + F.length(p["span"])).alias("at"), F.concat(s["out"], F.array(item)).alias("out"))
+    def placed(pairs: Column) -> Column:
+        def item(p: Column, at: Column) -> Column:
+            start = at + F.length(p["gap"])
+            return F.struct(
+                start.alias("start"),
+                (start + F.length(p["span"])).alias("end"),
+                p["span"].alias("span"),
+                F.right(p["gap"], F.lit(CONTEXT)).alias("before"),
+            )
+
+        lengths = F.transform(pairs, lambda p: F.length(p["gap"]) + F.length(p["span"]))
+        return F.zip_with(pairs, running(lengths, lambda x, y: x + y), item)
 
     # Each span comes after the text between it and the one before; the last gap has no span after it.
     pairs = F.zip_with(spans, F.slice(between, F.lit(1), F.size(spans)), lambda a, g: F.struct(a.alias("span"), g.alias("gap")))
-    return F.aggregate(pairs, state, step, lambda s: s["out"])
+    return let(pairs, placed)
 
 
 _CONTEXT = {
@@ -157,9 +189,16 @@ _CONTEXT = {
     "secret": r"(?i)(?:token|password|passwd|secret|key|bearer)\W{0,5}$",
     "iban": r"(?i)(?:iban|account|konto|compte|cuenta)\W{0,4}$",
     "national": r"(?i)(?:ssn|social security(?: number| no\.?)?|national id|insurance number)\W{0,4}$",
-    "name": r"(?:[Nn]ame is|[Nn]ame:|[Dd]ear|Mr\.|Mrs\.|Ms\.|Dr\.) $",
+    "name": r"(?:Mr|Mrs|Ms|Dr)\. $|(?i)(?<![a-z])(?:my|his|her|their|your|whose|full|first|patient(?:'s)?) name(?: is|:) $",
 }
+#: Words that announce a kind if they stand anywhere shortly before it, unless a word right before speaks against it.
+_NEAR = {"national": r"(?i)(?<![a-z])(?:ssn|social security|national id|insurance number|taxpayer)(?![a-z])"}
 _AGAINST = r"(?i)(?:version|release|isbn|order|invoice|section|figure|part|v)\W{0,3}$"
+#: Things that have names, before "name is" or "name:".
+_THINGS = (
+    r"(?i)(?:file|folder|path|host|user|domain|server|product|company|brand|store|firm|team|project|place|street|city|column"
+    r"|table|field|class|function|variable|event|course|song|book|movie|game|recipe|report|code|nick|screen)[ _-]?name(?: is|:) $"
+)
 #: What vendors' secrets begin with.
 _PREFIXED = r"^(?:AKIA|ASIA|ghp_|gho_|xox|sk_|pk_|eyJ)"
 #: The gazetteer: of each kind the tokens that speak for a span.  Octets, issuers and countries' codes are fixed values.
@@ -179,8 +218,28 @@ GAZETTEER: Mapping[str, Sequence[str]] = {
         "Alice", "Anna", "Carlos", "David", "Elena", "Emma", "Eva", "Hans", "Jack", "James", "Jean", "John", "Jose", "Juan",
         "Julia", "Karl", "Laura", "Lucas", "Luis", "Maria", "Marie", "Mark", "Mary", "Michael", "Paul", "Pedro", "Peter",
         "Pierre", "Robert", "Sarah", "Sofia", "Thomas",
+        "Adam", "Ahmed", "Aisha", "Alex", "Amir", "Amy", "Andrea", "Andrew", "Angela", "Anthony", "Barbara", "Ben", "Brian",
+        "Charles", "Chen", "Chloe", "Chris", "Christine", "Claire", "Daniel", "Diana", "Edward", "Emily", "Eric", "Fatima",
+        "Francesca", "Frank", "George", "Giulia", "Hannah", "Helen", "Henry", "Ivan", "Jane", "Jennifer", "Jessica", "Joe",
+        "Jorge", "Joseph", "Karen", "Kate", "Kevin", "Kim", "Lena", "Leo", "Linda", "Lisa", "Luca", "Marco", "Martin",
+        "Matthew", "Mei", "Mohammed", "Monica", "Nicolas", "Nina", "Nora", "Olga", "Oliver", "Olivia", "Omar", "Patricia",
+        "Philip", "Priya", "Rachel", "Raj", "Richard", "Rosa", "Ryan", "Samuel", "Sandra", "Simon", "Stefan", "Steven",
+        "Susan", "Tom", "Victor", "Wei", "William", "Yusuf",
     ],
 }
+#: Words that stand with capitals where a name could, and in no name.
+NOT_NAMES = [
+    "Account", "Admin", "Administrator", "Admissions", "All", "Annual", "Applicant", "Avenue", "Bank", "Board", "Candidate",
+    "Chair", "Client", "Clients", "Colleague", "Colleagues", "Committee", "Community", "Company", "Council", "Customer",
+    "Customers", "Data", "Department", "Diary", "Director", "Doctor", "Document", "Draft", "Editor", "Editors", "Everyone",
+    "Family", "Fellow", "File", "Final", "Friend", "Friends", "General", "Governor", "Group", "Guest", "Guests", "Hiring",
+    "Human", "Invoice", "Judge", "Ladies", "Gentlemen", "Lord", "Madam", "Main", "Management", "Manager", "Managers", "Mayor",
+    "Member", "Members", "Minister", "Neighbor", "New", "Office", "Order", "Owner", "Page", "Parent", "Parents", "Partner",
+    "Partners", "Patient", "President", "Prime", "Product", "Professor", "Project", "Reader", "Readers", "Recruiter", "Report",
+    "Resident", "Resources", "Road", "Sales", "Santa", "Secretary", "Section", "Senator", "Server", "Service", "Services",
+    "Shareholder", "Sir", "Sirs", "Staff", "Street", "Student", "Students", "Subscriber", "Supplier", "Support", "System",
+    "Table", "Teacher", "Team", "Test", "The", "Travel", "User", "Users", "Valued", "Vendor", "Visitor", "Volunteer",
+]
 
 
 def _tokens(kind: str, span: Column) -> Column:
@@ -214,12 +273,19 @@ _SPAN = "struct<order:int,kind:string,start:int,end:int,base:boolean,votes:array
 
 def _votes(kind: str, e: Column, gazetteer: Mapping[str, Sequence[str]]) -> Column:
     """1 for, 0 against, -1 for no opinion; in the order of ``VOTES``."""
-    known = list(gazetteer.get(kind, ()))
+    span, before, known = e["span"], e["before"], list(gazetteer.get(kind, ()))
     none = F.lit(0 if kind in ("ip", "card", "phone", "iban") else -1)
-    gazetteer = F.when(F.exists(_tokens(kind, e["span"]), lambda t: t.isin(known)), 1).otherwise(none) if known else F.lit(-1)
-    context = F.when(e["before"].rlike(_CONTEXT[kind]), 1).when(e["before"].rlike(_AGAINST), 0).otherwise(-1)
-    length = F.length(e["span"]).between(*_LENGTHS[kind]).cast("int")
-    return F.array(check(kind, e["span"]).cast("int"), gazetteer, context, length)
+    listed = F.when(F.exists(_tokens(kind, span), lambda t: t.isin(known)), 1).otherwise(none) if known else F.lit(-1)
+    context = F.when(before.rlike(_CONTEXT[kind]), 1).when(before.rlike(_AGAINST), 0)
+    if kind == "name":
+        listed = F.when(F.exists(_tokens(kind, span), lambda t: t.isin(NOT_NAMES)), 0).otherwise(listed)
+        context = F.when(before.rlike(_THINGS), 0).otherwise(context)
+    if kind in _NEAR:
+        context = context.when(before.rlike(_NEAR[kind]), 1)
+    strict, length = check(kind, span), F.length(span).between(*_LENGTHS[kind])
+    # What the pattern of these two demands says nothing for them.
+    speak = (lambda held: F.when(~held, 0).otherwise(-1)) if kind in ("national", "name") else (lambda held: held.cast("int"))
+    return F.array(speak(strict), listed, F.coalesce(context, F.lit(-1)), speak(length))
 
 
 def _shape(kind: str, e: Column, votes: Column) -> Column:
@@ -289,11 +355,12 @@ def reliabilities(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         p, n, more = F.col("posterior"), F.col("n"), {}
         more["_share"] = (F.sum(n * p).over(w) + 1) / (F.sum(n).over(w) + 2)
         for j, v in enumerate(vote):
-            for name, weight, start in (("_hit", n * p, 0.8), ("_miss", n * (1 - p), 0.2)):
+            believed = F.greatest(F.lit(4.0), TRUST * F.sum(F.when(v >= 0, n).otherwise(0)).over(w))
+            for name, weight, start in (("_hit", n * p, BELIEF[j]), ("_miss", n * (1 - p), 1 - BELIEF[j])):
                 more[f"{name}{j}"] = (
                     F.sum(F.when(v == 1, weight).otherwise(0.0)).over(w)
-                    + 4 * start
-                ) / (F.sum(F.when(v >= 0, weight).otherwise(0.0)).over(w) + 4)
+                    + believed * start
+                ) / (F.sum(F.when(v >= 0, weight).otherwise(0.0)).over(w) + believed)
         rows = rows.withColumns(more)
         odds = F.log(F.col("_share") / (1 - F.col("_share")))
         for j, v in enumerate(vote):
@@ -341,11 +408,20 @@ def spans(found: DataFrame) -> DataFrame:
         "found",
         lambda e: e["base"] | ((e["order"] >= len(BASE)) & F.exists(F.slice(e["votes"], 1, 3), lambda v: v == 1) & (odds(e) >= 0)),
     )
-    over = F.filter("__kept", lambda e: e["base"] | (e["kind"] == "iban"))
-    covers = lambda b, e: (b["start"] <= e["start"]) & (e["end"] <= b["end"]) & (b["kind"] != e["kind"])
-    free = F.filter("__kept", lambda e: e["base"] | ~F.exists(over, lambda b: covers(b, e)))
+    over_kinds = (*BASE, "iban")
+    by_kind = F.struct(*[F.filter("__kept", _of(k)).alias(k) for k in over_kinds])
+
+    def uncovered(over: Column) -> Column:
+        def free(e: Column) -> Column:
+            covered = F.lit(False)
+            for k in over_kinds:
+                covered = covered | (F.lit(k) != e["kind"]) & _covers(over[k], e)
+            return e["base"] | ~covered
+
+        return F.filter("__kept", free)
+
     bare = F.transform(
-        free,
+        let(by_kind, uncovered),
         lambda e: F.struct(
             e["start"].alias("start"),
             e["order"].alias("order"),
@@ -357,6 +433,22 @@ def spans(found: DataFrame) -> DataFrame:
     return found.withColumn("__model", model).withColumn("__kept", kept).withColumn("spans", F.array_sort(bare)).drop("__model", "__kept", "found")
 
 
+def _covers(over: Column, e: Column) -> Column:
+    """Whether a span of ``over``, which are sorted and don't overlap, holds ``e``: the last that starts no later, found by halving."""
+    middle = lambda s: F.shiftright(s["low"] + s["high"], 1)
+
+    def step(s: Column, _: Column) -> Column:
+        early = F.get(over, middle(s))["start"] <= e["start"]
+        low = F.when(early, middle(s) + 1).otherwise(s["low"])
+        high = F.when(early, s["high"]).otherwise(middle(s))
+        return F.when(s["low"] < s["high"], F.struct(low.alias("low"), high.alias("high"))).otherwise(s)
+
+    halvings = F.sequence(F.lit(0), F.ceil(F.log2(F.size(over))).cast("int"))
+    state = F.struct(F.lit(0).alias("low"), F.size(over).alias("high"))
+    last = F.aggregate(halvings, state, step, lambda s: s["low"] - 1)
+    return F.when(F.size(over) > 0, let(last, lambda i: (i >= 0) & (F.get(over, i)["end"] >= e["end"]))).otherwise(False)
+
+
 def _of(kind: str) -> Callable[[Column], Column]:
     return lambda e: e["kind"] == kind
 
@@ -374,25 +466,36 @@ def report(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
+def _between(pieces: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` up to ``end`` of a text in pieces of ``PIECE``: only the pieces that they touch are read."""
+    at = lambda place: F.floor(place / PIECE).cast("int")
+
+    def part(piece: Column, i: Column) -> Column:
+        first = F.when(i == 0, start % PIECE).otherwise(0)
+        last = F.when(i == at(end) - at(start), end % PIECE).otherwise(PIECE)
+        return F.substr(piece, first + 1, last - first)
+
+    return F.array_join(F.transform(F.slice(pieces, at(start) + 1, at(end) - at(start) + 1), part), "")
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by the name of its kind; overlapping spans give one name."""
     held = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__text"))  # no column can clash
     rows = spans(materialize(candidates(held, "__text"), "pii-found"))
-    state = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def step(s: Column, e: Column) -> Column:
-        mask = F.element_at(F.create_map(*[F.lit(x) for kv in MASKS.items() for x in kv]), e["kind"])
-        before = F.substr(F.col("__text"), s["at"] + 1, F.greatest(e["start"] - s["at"], F.lit(0)))
-        fresh = e["start"] >= s["at"]
-        return F.struct(
-            F.greatest(s["at"], e["end"]).alias("at"),
-            F.when(fresh, F.concat(s["out"], F.array(before, mask))).otherwise(s["out"]).alias("out"),
-        )
+    masks = F.create_map(*[F.lit(x) for kv in MASKS.items() for x in kv])
+
+    def masked(pieces: Column, listed: Column) -> Column:
+        ends = F.transform(listed, lambda e: e["end"])
+
+        def part(e: Column, at: Column) -> Column:
+            return F.when(e["start"] >= at, F.concat(_between(pieces, at, e["start"]), F.element_at(masks, e["kind"]))).otherwise("")
 
-    def end(s: Column) -> Column:
-        return F.concat(F.array_join(s["out"], ""), F.substr(F.col("__text"), s["at"] + 1))
+        parts = F.zip_with(listed, running(ends, lambda a, b: F.greatest(a, b)), part)
+        return F.concat(F.array_join(parts, ""), _between(pieces, F.array_max(ends), F.length("__text")))
 
-    clean = F.when(F.size("spans") > 0, F.aggregate("spans", state, step, end)).otherwise(F.col("__text"))
+    pieces = F.regexp_extract_all("__text", F.lit(f"(?s).{{1,{PIECE}}}+"), F.lit(0))
+    whole = let(F.struct(pieces.alias("pieces"), F.col("spans").alias("spans")), lambda x: masked(x["pieces"], x["spans"]))
+    clean = F.when(F.size("spans") > 0, whole).otherwise(F.col("__text"))
     return rows.withColumn("__clean", clean).select(
         *[F.col("__clean").alias(c) if c == text else F.col("__row")[c].alias(c) for c in docs.columns]
     )
