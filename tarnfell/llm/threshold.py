@@ -16,7 +16,9 @@ of the row, so that equal rows don't meet in one.
 Defined results: vectors that are null or hold null or non-finite components take no part, neither do rows without an
 id; an empty vector scores 0 with all others of its length; vectors of different lengths never meet; repeated ids are
 candidates one by one, and a query passes over every row that bears its own id; rows that repeat a query's id are one
-query's results together; further columns play no part.
+query's results together; further columns play no part.  Scores are
+64-bit whole numbers: if the greatest component could take an inner product beyond them, an OverflowError names it
+before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -166,7 +168,10 @@ def top_k(
         F.coalesce(is_query, F.lit(False)).alias("asked"),
     )
     rows = materialize(rows, "threshold-rows")
-    n, m = rows.agg(F.count(F.lit(1)), F.count_if("asked")).first()
+    most = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    n, m, reach, largest = rows.agg(F.count(F.lit(1)), F.count_if("asked"), F.max(most * most * F.col("width")), F.max(most)).first()
+    if (reach or 0) >= 2**63:
+        raise OverflowError(f"components up to {largest:.3g} after scaling can take an inner product beyond 64 bits")
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, -(-n // candidates))
     shares = max(1, min(-(-m // queries), -(-parts // blocks)))
