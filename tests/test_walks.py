@@ -75,6 +75,19 @@ def test_neighbourhoods_and_their_edges(spark, some):
     assert alone.id == 5 and alone.rank + alone.left == pytest.approx(1)  # without edges the walk stays where it starts
 
 
+def test_what_leads_to_a_hub_is_not_listed_for_each_walk(spark, monkeypatch):
+    edges = [(f"leaf{i}", "hub", 1) for i in range(300)] + [("hub", "top", 2), ("top", "hub", 1), ("top", "side", 1), ("side", "leaf9", 1)]
+    plain = spark.createDataFrame(edges, "src string, dst string, weight int")
+    starts = spark.createDataFrame([(q, i) for q in range(5) for i in (f"leaf{q}", "top")] + [(9, "hub")], "query_id int, id string")
+    whole = walks.induced(plain, walks.near(plain, starts, 2)).select("query_id", "src", "dst", "weight")
+    want = {(r.query_id, r.id): (r.rank, r.left) for r in walks.push(whole, starts, least=1e-4).collect()}
+    handed, push = [], walks.push
+    monkeypatch.setattr(walks, "push", lambda e, *a, **k: handed.append(e.count()) or push(e, *a, **k))
+    got = {(r.query_id, r.id): (r.rank, r.left) for r in walks.ranks(plain, starts, 2, least=1e-4).collect()}
+    assert want.keys() == got.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    assert handed[0] < 50 < whole.count()
+
+
 @pytest.mark.parametrize("least", [1, 2, 3, 5])
 def test_similar_items_equal_all_pairs(spark, least):
     rng = random.Random(least)
