@@ -106,3 +106,14 @@ def test_similar_items_equal_all_pairs(spark, least):
     want = sorted((a, b, len(own[a] & own[b])) for a, b in itertools.combinations(sorted(own), 2) if len(own[a] & own[b]) >= least)
     assert sorted(map(tuple, graph.similar_pairs(df, "i", "e", least, bucket_max=35).collect())) == want
     assert want or least == 5
+
+
+def test_items_of_one_file_are_many_tasks(spark, monkeypatch):
+    from tarnfell.operators import lineage
+
+    items = spark.range(200).coalesce(1).selectExpr("string(id) AS id", "id AS pos", "'n' AS name", "'Small. Size 3 kg.' AS description", "1.0 AS price", "'low' AS f1")
+    made = graph.item_edges(items, ["f1"])
+    monkeypatch.setattr(lineage, "ROWS", 20)
+    dealt = graph.item_edges(items, ["f1"])
+    assert made.rdd.getNumPartitions() == 1 and dealt.rdd.getNumPartitions() == 10
+    assert sorted(map(str, made.collect())) == sorted(map(str, dealt.collect()))
