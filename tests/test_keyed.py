@@ -72,3 +72,14 @@ def test_changed_pairs_are_those_of_a_rebuild(spark, seed):
     got = plain(pairs) - plain(gone) | plain(come)
     assert got == want and want != plain(pairs)
     assert plain(reindex.pair_changes(was, was, spark.createDataFrame([], "i int"), pairs, 2, 14)[0]) == set()
+
+
+def test_a_large_bucket_is_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed, "FILE_ROWS", 50)
+    t = keyed.Keyed(spark, str(tmp_path / "t"), ["id"], "id long, said string", 2)
+    t.upsert(spark.range(1000).selectExpr("id", "'a' AS said"))
+    t.change(spark.createDataFrame([(7, "b")], "id long, said string"), spark.createDataFrame([(8,)], "id long"))
+    got = {r.id: r.said for r in t.read().collect()}
+    assert got == {i: "b" if i == 7 else "a" for i in range(1000) if i != 8}
+    files = [len(list(p.glob("*.parquet"))) for p in (tmp_path / "t").glob("__bucket=*")]
+    assert len(files) == 2 and min(files) > 4
