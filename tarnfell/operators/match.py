@@ -53,12 +53,13 @@ def best_match(grid: DataFrame, items: DataFrame, ranges: DataFrame, dims: Seque
 
 
 def best_match_direct(grid: DataFrame, items: DataFrame, ranges: DataFrame, dims: Sequence[str], id_: str, price: str) -> DataFrame:
-    """The same without the reduction: every item meets the grid of the budget tiers that its price is in.
+    """The same without the pool of all items: every item is looked at in each of the budget tiers that its price is in.
 
-    Items stream past the broadcast grid, and partial aggregation keeps one best row for each combination and task.
+    Of the items of a tier that are alike in all dimensions the first stands for all, as none of the others can be a best
+    match, so that what meets the grid is bounded whatever the catalogue's size.
     """
     tiers = F.broadcast(ranges.select(F.col("tier").alias("budget_tier"), "low", "high"))
-    rows = items.join(tiers, F.col(price).between(F.col("low"), F.col("high")))
+    rows = items.join(tiers, F.col(price).between(F.col("low"), F.col("high"))).groupBy("budget_tier", *dims).agg(F.min(id_).alias(id_))
     best = F.max(F.struct(_agreement(dims).alias("match_score"), (-F.col(f"x.{id_}")).alias("n"))).alias("b")
     inside = rows.alias("x").join(
         F.broadcast(grid).alias("g"),

@@ -310,3 +310,13 @@ def test_no_names_find_nothing(spark, small_graph):
     assert graph.find_items(small_graph[0], []).count() == 0
     told, seeds = graph.retrieve_for_names(*small_graph, ["nobody"])
     assert told.count() == seeds.count() == 0
+
+
+def test_alike_items_meet_the_grid_once(spark):
+    items = spark.range(500).selectExpr("id AS item", "if(id % 2 = 0, 'low', 'high') AS f1", "double(id % 50) AS price")
+    ranges = spark.createDataFrame([("low", 0.0, 10.0), ("medium", 10.0, 60.0), ("high", 90.0, 99.0)], "tier string, low double, high double")
+    grid = match.combo_grid(spark, ["f1"])
+    found = match.best_match_direct(grid, items, ranges, ["f1"], "item", "price")
+    rows = lambda df: sorted(map(tuple, df.select("combo_key", "item", "match_score", "within_budget").collect()))
+    assert rows(found) == rows(match.best_match(grid, items, ranges, ["f1"], "item", "price")) and len(rows(found)) == 9
+    assert "Aggregate [budget_tier" in found._jdf.queryExecution().optimizedPlan().toString()
