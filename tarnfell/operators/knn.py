@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 #: Rows of a block of candidates and of a pack of queries, where both are dealt out.
 BLOCK, PACK = 1 << 14, 1 << 14
-#: Products of a candidate and a query that are held at once.
-HELD = 1 << 22
+#: Queries that are looked for at once, and products of a candidate and a query that are held at once.
+ASKED, HELD = 1 << 11, 1 << 20
 
 
 def unit_rows(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,13 +74,18 @@ def _whole(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def _search(candidates: pa.Table, queries: np.ndarray, query_ids: pa.Array, width: int, k: int) -> pa.RecordBatch:
-    """The best of one block, whose rows are numbered by id so that ties go to the smaller one."""
+def _search(candidates: pa.Table, queries: np.ndarray, query_ids: pa.Array, width: int, k: int) -> Iterator[pa.RecordBatch]:
+    """The best of one block, whose rows are numbered by id so that ties go to the smaller one.
+
+    A few queries at a time, so that neither their best nor what is returned at once grows with the number of queries.
+    """
     block = candidates.sort_by("id")
     ids, kept = _whole(block.column("id")), _whole(block.column("keep"))
-    best = Best(queries, k)
-    best.add(*unit_rows(_whole(block.column("vector")), width))
-    return _hits(best, query_ids, ids, kept)
+    rows, places = unit_rows(_whole(block.column("vector")), width)
+    for at in range(0, max(1, len(queries)), ASKED):
+        best = Best(queries[at : at + ASKED], k)
+        best.add(rows, places)
+        yield _hits(best, query_ids.slice(at, ASKED), ids, kept)
 
 
 def _packed(ids: pa.Array, rows: np.ndarray) -> bytes:
@@ -151,10 +156,10 @@ def _where_they_lie(told: DataFrame, asked: DataFrame, width: int, n: int, schem
         for batch in batches:
             held.append(batch)
             if sum(b.num_rows for b in held) >= BLOCK:
-                yield _search(pa.Table.from_batches(held), matrix, ids, width, n)
+                yield from _search(pa.Table.from_batches(held), matrix, ids, width, n)
                 held = []
         if held:
-            yield _search(pa.Table.from_batches(held), matrix, ids, width, n)
+            yield from _search(pa.Table.from_batches(held), matrix, ids, width, n)
 
     return told.mapInArrow(run, schema)
 
@@ -170,6 +175,6 @@ def _dealt(told: DataFrame, asked: DataFrame, width: int, n: int, schema: str, n
     def meet(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         rows, places = unit_rows(_whole(theirs.column("vector")), width)
         ids = _whole(theirs.column("query_id")).take(pa.array(places))
-        return pa.Table.from_batches([_search(mine, rows, ids, width, n)])
+        return pa.Table.from_batches(_search(mine, rows, ids, width, n))
 
     return blocks.groupBy("block", "pack").cogroup(packs.groupBy("block", "pack")).applyInArrow(meet, schema)

@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +67,14 @@ def test_the_plan_has_no_cross_join(spark, vectors):
     rows = spark.createDataFrame(vectors, "id long, v array<double>, cheap boolean")
     plan = knn.nearest(rows, "id", "v", rows.filter("id < 9"), "id", "v", 3)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan and plan.count("Exchange") == 1
+
+
+def test_what_is_returned_at_once_is_bounded(vectors, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = pa.table({"id": pa.array(range(50)), "keep": pa.array([True] * 50), "vector": pa.array(list(rng.normal(size=(50, 8))))})
+    asked, ids = rng.normal(size=(30, 8)), pa.array(range(30))
+    whole = pa.Table.from_batches(knn._search(rows, asked, ids, 8, 4))
+    monkeypatch.setattr(knn, "ASKED", 7)
+    some = list(knn._search(rows, asked, ids, 8, 4))
+    assert pa.Table.from_batches(some).to_pylist() == whole.to_pylist() and whole.num_rows == 120
+    assert max(b.num_rows for b in some) <= 28
