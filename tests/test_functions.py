@@ -191,3 +191,10 @@ def test_an_object_is_read_in_one_pass():
 def test_a_json_map_may_have_lines(spark, tmp_path):
     (tmp_path / "cache.json").write_text('{\n  "a": 1,\n  "b": 2\n}\n')
     assert {r.key: r.value for r in readers.json_map(spark, str(tmp_path), "int").collect()} == {"a": 1, "b": 2}
+
+
+def test_texts_to_be_cut_go_to_python_a_few_at_a_time(spark):
+    rows = spark.createDataFrame([(1, None), (2, "a. " * 400)], "id int, said string").select("id", text.char_chunks()(F.col("said")).alias("c"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert [len(r.c) > 1 for r in rows.sort("id").collect()] == [False, True]
