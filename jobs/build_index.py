@@ -15,6 +15,7 @@ import logging
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarnfell.operators import index
 
@@ -34,8 +35,8 @@ def run(
     """Build the index of the table at ``documents`` below ``output``; how many rows were read and written."""
     docs = spark.read.parquet(documents)
     index.build(docs, id, text, output, keep=keep, block_docs=block_docs, buckets=buckets)
-    tables = {"docs": spark.read.parquet(f"{output}/docs"), "postings": index.postings(spark, output)}
-    rows = {name: df.count() for name, df in tables.items()}
+    rows = {"docs": spark.read.parquet(f"{output}/docs").count()}
+    rows["postings"] = index.stored(spark, output).agg(F.sum("n")).first()[0] or 0  # without reading the lists
     log.info("read %d documents of %s", rows["docs"], documents)
     for name, n in rows.items():
         log.info("wrote %d rows to %s/%s", n, output, name)

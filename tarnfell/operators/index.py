@@ -10,7 +10,7 @@ An index is a folder of three tables:
 
 A block is some ``block_docs`` documents by a hash of their ids, so a term's postings within one are few however frequent
 the term is: they are one row, which is joined, written and skipped as such.  Texts are read once for the lengths and once
-for the postings; postings move once, to the task that writes their bucket.
+for the postings; they move once, to the task of their block, which makes and writes the rows of all its terms.
 
 The search is exact.  Block maxima bound what any document of a block can score; the most promising blocks are scored
 first and give each query a score that the k-th hit has at least; in the other blocks only those documents are scored
@@ -23,39 +23,57 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnfell.functions import rules, text
-from tarnfell.functions.binding import let
 from tarnfell.operators.lineage import cut
 
-#: A bucket's postings are dealt by block over so many tasks at least, and over one for so many blocks: neither a frequent
-#: term nor a large corpus is one task's.
-SPREAD, SPREAD_BLOCKS = 8, 4096
-
-
 #: Different words of all queries up to which every task gets them, to leave out other postings where they are read.
 BROADCAST_TERMS = 200_000
 
 
-def bucket_of(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+def _fields(kind: str) -> str:
+    return f"term string, block long, n long, top double, entries array<struct<id:{kind},tf:int,weight:double>>"
 
 
-def counted(words: Column) -> Column:
-    """(term, tf) of an array of words: sorted once, then the lengths of the runs."""
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
-    def of(w: Column) -> Column:
-        n = F.size(w)
-        first = lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1))
-        starts = F.filter(F.sequence(F.lit(0), n - 1), first)
-        run = lambda s: lambda a, i: F.struct(F.get(w, a).alias("term"), (F.coalesce(F.get(s, i + 1), n) - a).alias("tf"))
-        return let(starts, lambda s: F.transform(s, run(s)))
 
-    none = F.array().cast("array<struct<term:string,tf:int>>")
-    return let(F.sort_array(words), lambda w: F.when(F.size(w) == 0, none).otherwise(of(w)))
+def _posted(mean: float, k1: float, b: float):
+    """The postings of one block's texts: a row a term, with its documents in the order of the texts."""
+
+    def post(block: pa.Table) -> pa.Table:
+        said = block.column("said").cast(pa.large_string()).combine_chunks()
+        words = pc.utf8_split_whitespace(said)  # the white space of text.SPACE
+        docs, said = pc.list_parent_indices(words), words.flatten()
+        real = pc.not_equal(said, "")  # what stands before and after outer white space is no word
+        docs, coded = docs.filter(real).to_numpy(), said.filter(real).dictionary_encode()
+        size, order = len(block), pc.sort_indices(coded.dictionary)
+        place = np.argsort(order.to_numpy())
+        # One number a word, by term and then by document: what is equal is counted.
+        keys, tf = np.unique(place[coded.indices.to_numpy()] * size + docs, return_counts=True)
+        term, doc = keys // size, keys % size
+        weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * np.bincount(docs, minlength=size)[doc] / mean))
+        firsts = np.searchsorted(term, np.arange(len(order) + 1)).astype(np.int32)
+        found = [block.column("id").take(pa.array(doc)).combine_chunks(), pa.array(tf, pa.int32()), pa.array(weight)]
+        entries = pa.ListArray.from_arrays(pa.array(firsts), pa.StructArray.from_arrays(found, ["id", "tf", "weight"]))
+        top = np.maximum.reduceat(weight, firsts[:-1]) if len(order) else weight
+        columns = {
+            "term": coded.dictionary.take(order).cast(pa.string()),
+            "block": pa.array(np.full(len(order), block.column("block")[0].as_py(), np.int64)),
+            "n": pa.array(np.diff(firsts), pa.int64()),
+            "top": pa.array(top),
+            "entries": entries,
+        }
+        return pa.table(columns)
+
+    return post
 
 
 def build(
@@ -72,24 +90,18 @@ def build(
     """Write the index of ``df`` to ``path``, in place of one that is there; ``keep`` are columns to restrict searches by."""
     spark = df.sparkSession
     rows = df.filter(F.col(id_).isNotNull())
-    said = text.words(F.coalesce(F.col(body), F.lit("")))
-    lengths = cut(rows.select(F.col(id_).alias("id"), F.size(said).alias("dl"), *keep))
+    said = F.coalesce(F.col(body), F.lit(""))
+    lengths = cut(rows.select(F.col(id_).alias("id"), text.n_words(said).alias("dl"), *keep))
     n, mean = lengths.agg(F.count(F.lit(1)), F.avg("dl")).first()
     n_blocks = max(1, -(-n // block_docs))
     block = F.pmod(F.xxhash64("id"), F.lit(n_blocks))
     lengths.withColumn("block", block).write.mode("overwrite").parquet(f"{path}/docs")
 
-    split = rows.select(F.col(id_).alias("id"), said.alias("words"))
-    # A document's words are counted where it is read; what moves, once, is one row a document and term.
-    posted = split.select("id", F.size("words").alias("dl"), F.explode(counted(F.col("words"))).alias("e")).select("id", "dl", "e.*")
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (mean or 1.0)))
-    part = F.pmod("block", F.lit(max(SPREAD, n_blocks // SPREAD_BLOCKS))).alias("part")
-    posted = posted.select("term", block.alias("block"), "id", "tf", weight.alias("weight"), bucket_of(F.col("term"), buckets).alias("bucket"))
-    dealt = posted.select("*", part).repartition("bucket", "part")
-    # Rows of a term and a block are where they were dealt to, and no more than the block has documents.
-    entries = F.collect_list(F.struct("id", "tf", "weight")).alias("entries")
-    rows = dealt.groupBy("bucket", "part", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("top"), entries).drop("part")
-    rows.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    # What moves, once, is the texts, each to its block; all rows of a block's terms are made there.
+    texts = rows.select(F.col(id_).alias("id"), F.lower(said).alias("said")).withColumn("block", block)
+    made = texts.groupBy("block").applyInArrow(_posted(float(mean or 1.0), k1, b), _fields(df.schema[id_].dataType.simpleString()))
+    made = made.withColumn("bucket", bucket_of(F.col("term"), buckets))
+    made.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     figures = (n, float(mean or 0.0), n_blocks, buckets, k1, b)
     kind = "n long, mean double, n_blocks long, buckets int, k1 double, b double"
     spark.createDataFrame([figures], kind).coalesce(1).write.mode("overwrite").parquet(f"{path}/figures")
@@ -98,8 +110,7 @@ def build(
 def stored(spark: SparkSession, path: str) -> DataFrame:
     """The postings as they are stored: (term, block, n, top, entries, bucket)."""
     kind = spark.read.parquet(f"{path}/docs").schema["id"].dataType.simpleString()
-    fields = f"term string, block long, n long, top double, entries array<struct<id:{kind},tf:int,weight:double>>, bucket int"
-    return spark.read.schema(fields).parquet(f"{path}/postings")
+    return spark.read.schema(f"{_fields(kind)}, bucket int").parquet(f"{path}/postings")
 
 
 def postings(spark: SparkSession, path: str) -> DataFrame:

@@ -145,3 +145,32 @@ def test_searches_equal_a_plain_ranking_and_skip_what_cannot_matter(spark, tmp_p
     plan = s.stored()._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [bucket" in plan
     assert index.search(queries.limit(0), "q", "said", f"{tmp_path}/ix").count() == 0
+
+
+def moved(spark):
+    """Rows that the stages so far have written for other tasks."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    none, quantiles = jvm.java.util.ArrayList(), sc._gateway.new_array(jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, quantiles, none)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_a_build_moves_texts_and_not_their_postings(spark, tmp_path):
+    from collections import Counter
+
+    rng = random.Random(11)
+    spaces = [" ", "  ", "\t", "\n", "\x1c", "\x85", " ", " ", "　"]
+    docs = [(f"d{i}", "".join(rng.choice(spaces) + rng.choice(["Ab", "ÄB", "İ", "x​y"]) + str(j) for j in range(rng.randrange(60)))) for i in range(200)]
+    docs += [("none", None), ("blank", "  \n"), ("closed", "a b a "), (None, "a b")]
+    df = spark.createDataFrame(docs, "id string, t string").repartition(3).cache()
+    df.count()
+    before = moved(spark)
+    index.build(df, "id", "t", f"{tmp_path}/ix", block_docs=16, buckets=4)
+    assert moved(spark) - before < 2 * len(docs)
+    split = {i: (t or "").lower().split() for i, t in docs if i}
+    mean = sum(map(len, split.values())) / len(split)
+    want = sorted((w, i, n, round(n * 2.5 / (n + 1.5 * (0.25 + 0.75 * len(s) / mean)), 12)) for i, s in split.items() for w, n in Counter(s).items())
+    assert sorted((r.term, r.id, r.tf, round(r.weight, 12)) for r in index.postings(spark, f"{tmp_path}/ix").collect()) == want
+    assert {r.id: r.dl for r in spark.read.parquet(f"{tmp_path}/ix/docs").collect()} == {i: len(s) for i, s in split.items()}
+    for r in index.stored(spark, f"{tmp_path}/ix").collect():
+        assert r.n == len(r.entries) and r.top == max(e.weight for e in r.entries)
