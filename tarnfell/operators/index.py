@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from tarnfell.functions import rules, text
 from tarnfell.operators.lineage import cut
 
-#: Different words of all queries up to which every task gets them, to leave out other postings where they are read.
-BROADCAST_TERMS = 200_000
+#: Rows of words, queries or blocks up to which every task gets them, to leave out others where they are read.
+BROADCAST_ROWS = 200_000
+#: Queries that meet a block at once.
+PACK = 256
 
 
 def _fields(kind: str) -> str:
@@ -124,6 +126,46 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, which is materialised, given to every task where it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _scored(k: int, some: bool):
+    """The best documents of a block for a pack of queries; with ``some``, only those in the row without a term."""
+
+    def score(found: pa.Table, wanted: pa.Table) -> pa.Table:
+        found, wanted = found.combine_chunks(), wanted.sort_by([("query_id", "ascending"), ("term", "ascending")])
+        queries = wanted.column("query_id").combine_chunks().dictionary_encode()
+        ids = pc.list_flatten(found.column("ids")).combine_chunks().dictionary_encode()
+        doc, weight = ids.indices.to_numpy(), pc.list_flatten(found.column("weights")).to_numpy()
+        sizes = pc.list_value_length(found.column("ids")).to_numpy().astype(np.int64)
+        starts, shape = np.cumsum(sizes) - sizes, (len(queries.dictionary), len(ids.dictionary))
+        # One number an entry of a list that a query wants: its cell among queries and documents.
+        row = pc.index_in(wanted.column("term"), found.column("term").combine_chunks()).to_numpy()
+        n = sizes[row]
+        entry = np.arange(n.sum()) + np.repeat(starts[row] - (np.cumsum(n) - n), n)
+        cell = np.repeat(queries.indices.to_numpy(), n) * np.int64(shape[1]) + doc[entry]
+        added = np.repeat(wanted.column("idf").to_numpy(), n) * weight[entry]
+        scores = np.bincount(cell, added, shape[0] * shape[1]).reshape(shape)
+        needed = np.repeat(wanted.column("needed").to_numpy(), n)
+        able = (np.bincount(cell[needed], minlength=scores.size) > 0).reshape(shape)
+        least = np.full(shape[0], -np.inf)
+        least[queries.indices.to_numpy()] = wanted.column("least").fill_null(-np.inf).to_numpy()
+        able &= scores >= least[:, None]
+        if some:
+            kept = np.repeat(found.column("term").is_null().to_numpy(), sizes)
+            able &= np.isin(np.arange(shape[1]), doc[kept])
+        scores = np.where(able, scores, -np.inf)
+        if k < shape[1]:  # what is as good as the k-th but for rounding stays
+            able &= scores >= np.partition(scores, -k, axis=1)[:, -k, None] - 1e-9
+        asked, at = np.nonzero(able)
+        columns = [queries.dictionary.take(pa.array(asked)), ids.dictionary.take(pa.array(at)), pa.array(scores[asked, at])]
+        return pa.Table.from_arrays(columns, ["query_id", "id", "score"])
+
+    return score
+
+
 class Search:
     """A search of the index at ``path`` for all of ``queries``; :meth:`hits` gives (query_id, rank, id, score)."""
 
@@ -135,40 +177,49 @@ class Search:
         asked = cut(asked.distinct().withColumn("bucket", bucket_of(F.col("term"), figures["buckets"])))
         #: No more than the index has; they become a filter on partitions.
         self.buckets = sorted(r["bucket"] for r in asked.select("bucket").distinct().collect())
-        self.terms = cut(asked.select("bucket", "term").distinct())
-        if self.terms.count() <= BROADCAST_TERMS:
-            self.terms = F.broadcast(self.terms)
+        self.terms = _small(cut(asked.select("bucket", "term").distinct()))
+        #: Packs of queries, by a hash of their ids.
+        self.pack = F.pmod(F.xxhash64("query_id"), F.lit(-(-asked.select("query_id").distinct().count() // PACK) or 1))
         told = cut(self.stored().select("bucket", "term", "block", "n", "top"))
         n = F.lit(figures["n"])
         rare = told.groupBy("bucket", "term").agg(F.sum("n").alias("df")).select(
             "bucket", "term", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf")
         )
-        asked = asked.join(rare, ["bucket", "term"])
+        asked = cut(asked.join(rare, ["bucket", "term"]))
         #: What a term can add to a document of the block at most.
-        self.bounds = cut(asked.join(told.drop("n"), ["bucket", "term"]).withColumn("bound", F.col("idf") * F.col("top")).drop("top"))
+        self.bounds = cut(told.drop("n").join(_small(asked), ["bucket", "term"]).withColumn("bound", F.col("idf") * F.col("top")).drop("top"))
 
     def stored(self) -> DataFrame:
         """The stored rows of the queries' words."""
         found = stored(self.spark, self.path).filter(F.col("bucket").isin(self.buckets))
         return found.join(self.terms, ["bucket", "term"], "left_semi")
 
-    def met(self, wanted: DataFrame) -> DataFrame:
-        """``wanted`` (bucket, term, block, ...) with the postings there, those of documents that are kept."""
-        found = self.stored().select("bucket", "term", "block", "entries").join(wanted, ["bucket", "term", "block"])
-        found = found.select(*wanted.columns, F.inline("entries"))
-        if self.keep is None:
-            return found
-        some = self.spark.read.parquet(f"{self.path}/docs").filter(self.keep).select("block", "id")
-        return found.join(some, ["block", "id"], "left_semi")
+    def scores(self, wanted: DataFrame) -> DataFrame:
+        """(query_id, id, score) of a query's best documents of each block: kept, with a ``needed`` term and ``least`` or more.
+
+        ``wanted`` (query_id, term, block, idf, needed, least) holds all terms of a query that the block has.  Lists go to
+        their block once a pack of queries, and are met there.
+        """
+        wanted = wanted.select("block", self.pack.alias("pack"), "query_id", "term", "idf", "needed", "least")
+        found = self.stored().select("block", "term", F.col("entries.id").alias("ids"), F.col("entries.weight").alias("weights"))
+        if self.keep is not None:
+            kept = self.spark.read.parquet(f"{self.path}/docs").filter(self.keep).groupBy("block")
+            kept = kept.agg(F.collect_list("id").alias("ids"), F.collect_list(F.lit(0.0)).alias("weights"))  # of one block
+            found = found.unionByName(kept.withColumn("term", F.lit(None).cast("string")))
+        spots = wanted.select("block", F.col("pack").alias("at")).distinct()
+        found = found.join(_small(spots), "block").withColumnRenamed("at", "pack")
+        kinds = dict(wanted.dtypes)["query_id"], dict(found.dtypes)["ids"].removeprefix("array<").removesuffix(">")
+        met = found.groupBy("block", "pack").cogroup(wanted.groupBy("block", "pack"))
+        return met.applyInArrow(_scored(self.k, self.keep is not None), f"query_id {kinds[0]}, id {kinds[1]}, score double")
 
     def first_pass(self) -> DataFrame:
         """(query_id, block) of the most promising blocks, whose documents are all scored into ``early``."""
         order = W.partitionBy("query_id").orderBy(F.desc("bound"), "block")
         blocks = self.bounds.groupBy("query_id", "block").agg(F.sum("bound").alias("bound"))
         pairs = cut(blocks.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= self.first).select("query_id", "block"))
-        met = self.met(self.bounds.join(pairs, ["query_id", "block"]))
-        scored = met.groupBy("query_id", "id").agg(F.sum(F.col("idf") * F.col("weight")).alias("score"))
-        self.early = cut(_best(scored, self.k))
+        wanted = self.bounds.join(_small(pairs), ["query_id", "block"])
+        wanted = wanted.withColumn("needed", F.lit(True)).withColumn("least", F.lit(None).cast("double"))
+        self.early = cut(_best(self.scores(wanted), self.k))
         return pairs
 
     def second_pass(self, done: DataFrame) -> DataFrame:
@@ -178,26 +229,17 @@ class Search:
         of the first pass, are not enough for a hit: only documents with one of the others are looked at.
         """
         least = self.early.filter(F.col("rank") == self.k).select("query_id", (F.col("score") - 1e-9).alias("least"))
-        rest = self.bounds.join(done, ["query_id", "block"], "left_anti").join(least, "query_id", "left")
+        rest = self.bounds.join(_small(done), ["query_id", "block"], "left_anti").join(_small(least), "query_id", "left")
         upto = W.partitionBy("query_id", "block").orderBy("bound", "term").rowsBetween(W.unboundedPreceding, W.currentRow)
         return rest.withColumn("needed", F.coalesce(F.sum("bound").over(upto) >= F.col("least"), F.lit(True)))
 
     def late(self, rest: DataFrame) -> DataFrame:
-        """(query_id, id, score) of documents with a needed term whose score may reach the k-th of the first pass."""
-        key = ["bucket", "term", "block"]
-        met = self.met(rest.filter("needed"))
-        part = met.groupBy("query_id", "block", "id", "least").agg(F.sum(F.col("idf") * F.col("weight")).alias("score"))
-        others = rest.filter("not needed")
-        more = others.groupBy("query_id", "block").agg(F.sum("bound").alias("more"))
-        part = part.join(more, ["query_id", "block"], "left").withColumn("more", F.coalesce("more", F.lit(0.0)))
-        part = cut(part.filter(F.col("least").isNull() | (F.col("score") + F.col("more") >= F.col("least"))))
-        wanted = part.filter("more > 0").groupBy("query_id", "block").agg(F.collect_list("id").alias("ids"))  # of one block
-        added = self.met(others.select(*key, "query_id", "idf").join(wanted, ["query_id", "block"])).filter(F.array_contains("ids", F.col("id")))
-        added = added.select("query_id", "id", (F.col("idf") * F.col("weight")).alias("score"))
-        return part.select("query_id", "id", "score").unionByName(added).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
+        """(query_id, id, score) of documents with a needed term whose score reaches the k-th of the first pass."""
+        some = F.max("needed").over(W.partitionBy("query_id", "block"))
+        return self.scores(cut(rest.withColumn("some", some).filter("some")))
 
     def hits(self) -> DataFrame:
-        late = _best(self.late(cut(self.second_pass(self.first_pass()))), self.k)
+        late = _best(self.late(self.second_pass(self.first_pass())), self.k)
         both = self.early.drop("rank").unionByName(late.drop("rank"))
         return _best(both, self.k).select("query_id", "rank", "id", "score")
 

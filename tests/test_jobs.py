@@ -174,3 +174,20 @@ def test_a_build_moves_texts_and_not_their_postings(spark, tmp_path):
     assert {r.id: r.dl for r in spark.read.parquet(f"{tmp_path}/ix/docs").collect()} == {i: len(s) for i, s in split.items()}
     for r in index.stored(spark, f"{tmp_path}/ix").collect():
         assert r.n == len(r.entries) and r.top == max(e.weight for e in r.entries)
+
+
+def test_a_search_moves_lists_and_not_their_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "PACK", 7, raising=False)
+    rng = random.Random(12)
+    docs = [(f"d{i:03}", " ".join(["the", "of", "and", "in"] * rng.randrange(1, 4) + rng.choices([f"r{j}" for j in range(30)], k=2)), i % 4) for i in range(600)]
+    docs += [(f"copy{i}", "the r3 r3 of", 1) for i in range(15)] + [("none", None, 1)]  # more equals than hits
+    asked = [(f"q{i}", f"The of and in r{i}") for i in range(20)] + [("other", "elsewhere")]
+    spark.createDataFrame(docs, "id string, body string, shelf int").write.parquet(f"{tmp_path}/docs")
+    index.build(spark.read.parquet(f"{tmp_path}/docs"), "id", "body", f"{tmp_path}/ix", keep=["shelf"], block_docs=64, buckets=4)
+    queries = spark.createDataFrame(asked, "q string, said string")
+    for keep, plain in ((F.col("shelf") == 1, lambda d: d[2] == 1), (F.col("shelf") == 9, lambda d: False), (None, lambda d: True)):
+        before, got = moved(spark), {}
+        for r in index.search(queries, "q", "said", f"{tmp_path}/ix", 5, keep).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.id, round(r.score, 8)))
+        assert got == {q: hits for q, said in asked if (hits := plain_bm25(docs, said, 5, plain))}
+    assert moved(spark) - before < 20 * 600
