@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 
 from tarnfell.functions import rules, text
 from tarnfell.operators import catalog, match, metrics, policy
+from tarnfell.operators.lineage import spread
 from tarnfell.plans.registry import query
 from tarnfell.plans.shared import DIMS, SQL_RANGES, SQL_TIERED, parts, table, tiered
 
+#: Lines of orders that a task sorts as ranked lists.
+LISTED = 1 << 17
+
 _TIER_VALUE = "CASE t WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 END"
 
 
@@ -166,6 +170,7 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's lines stand for a ranked list."""
     li = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 10")
+    li = spread(li.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag"), "l_orderkey", rows=LISTED)
     rows = li.withColumn("rank", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice")))
     return metrics.ranking(
         rows,

@@ -320,3 +320,14 @@ def test_alike_items_meet_the_grid_once(spark):
     rows = lambda df: sorted(map(tuple, df.select("combo_key", "item", "match_score", "within_budget").collect()))
     assert rows(found) == rows(match.best_match(grid, items, ranges, ["f1"], "item", "price")) and len(rows(found)) == 9
     assert "Aggregate [budget_tier" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranked_lists_are_dealt_over_tasks_of_bounded_rows(spark, tmp_path, monkeypatch):
+    from tarnfell.plans import catalog_queries
+
+    monkeypatch.setattr(catalog_queries, "LISTED", 500, raising=False)
+    lines = [(i // 5, i % 5 + 1, float(i % 50), 100.0 + i, "AN"[i % 2]) for i in range(6000)] + [(9, 11, 1.0, 1.0, "A")]
+    df = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string")
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog_queries.retrieval_metrics(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() == 12 and got.count() == 1200
