@@ -190,4 +190,4 @@ def test_a_search_moves_lists_and_not_their_documents(spark, tmp_path, monkeypat
         for r in index.search(queries, "q", "said", f"{tmp_path}/ix", 5, keep).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append((r.rank, r.id, round(r.score, 8)))
         assert got == {q: hits for q, said in asked if (hits := plain_bm25(docs, said, 5, plain))}
-    assert moved(spark) - before < 20 * 600
+    assert moved(spark) - before < 6000
