@@ -75,7 +75,8 @@ def flagged(docs: DataFrame, labels: DataFrame, copies: str = "E") -> DataFrame:
     """part, one flag (0 or 1) a filter, good, toxic, n: every document's failures, equal rows counted together.
 
     Texts are read once and leave as a digest.  A document is a copy unless its id is the smallest of its digest: the
-    smallest ids are found by partial sums, and looked up by digest *and* id, which no group of copies shares.
+    smallest ids are found by partial sums, and looked up by digest *and* id, which no group of copies shares.  Labels are
+    merged, never broadcast: their rows are as many as documents and are listed once a salt, which no estimate knows of.
     """
     told = own_failures(docs)
     told = scratch.materialize(told.groupBy(*told.columns).agg(F.count(F.lit(1)).alias("n")), "audit-failures")
@@ -89,7 +90,7 @@ def flagged(docs: DataFrame, labels: DataFrame, copies: str = "E") -> DataFrame:
     known = (
         named.join(first, ["digest", "doc_id"], "left")
         .withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALT)).cast("int"))
-        .join(once, ["doc_id", "salt"], "left")
+        .join(once.hint("merge"), ["doc_id", "salt"], "left")
         .select("part", *names, (1 - zero("first")).alias(copies), zero("good").alias("good"), zero("toxic").alias("toxic"), "n")
     )
     unnamed = told.filter("doc_id IS NULL").select("part", *names, *[F.lit(0).alias(c) for c in (copies, "good", "toxic")], "n")

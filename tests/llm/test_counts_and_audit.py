@@ -159,3 +159,13 @@ def test_one_large_group_of_copies_meets_in_no_task(spark):
     last = [r for r in audit.report(docs, marks).collect() if r.filter_order == "EABCD"]
     assert [r.removed for r in sorted(last, key=lambda r: r.step)] == [1333, 2667, 0, 0, 0]
     assert {r.step: r.good_lost for r in last}[1] == 1
+
+
+def test_labels_are_never_broadcast(spark, tmp_path):
+    """A small file may hold millions of labels, and each is listed once a salt."""
+    docs = spark.range(20).selectExpr("id AS doc_id", "'some text' AS text", "'en' AS lang")
+    spark.range(9).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic").write.parquet(f"{tmp_path}/labels")
+    marks = spark.read.parquet(f"{tmp_path}/labels")
+    plan = audit.flagged(docs, marks)._jdf.queryExecution().sparkPlan().toString()
+    met = [line for line in plan.splitlines() if "Join" in line and "salt" in line]
+    assert met and all("SortMergeJoin" in line for line in met)
