@@ -108,6 +108,43 @@ def test_similar_items_equal_all_pairs(spark, least):
     assert want or least == 5
 
 
+@pytest.mark.parametrize("least", [1, 2, 3, 5])
+def test_without_a_bound_every_entity_links(spark, monkeypatch, least):
+    monkeypatch.setattr(graph, "CHUNK", 3)
+    monkeypatch.setattr(graph, "PAIRS", 100)
+    rng = random.Random(least)
+    links = [(f"i{i}", f"e{int(rng.paretovariate(0.7)) % 12}") for i in range(90) for _ in range(rng.randrange(9))]
+    links += links[:30] + [(None, "e1"), ("i5", None)] + [(f"i{i}", f"all{j}") for i in range(60) for j in range(i % 2 + 1)]
+    own = {}
+    for i, e in links:
+        if i is not None and e is not None:
+            own.setdefault(i, set()).add(e)
+    want = sorted((a, b, len(own[a] & own[b])) for a, b in itertools.combinations(sorted(own), 2) if len(own[a] & own[b]) >= least)
+    df = spark.createDataFrame(links, "i string, e string").repartition(3)
+    assert sorted(map(tuple, graph.similar_pairs(df, "i", "e", least, bucket_max=None).collect())) == want
+    assert len(want) > 50 and graph.similar_pairs(df.limit(0), "i", "e", least, bucket_max=None).count() == 0
+
+
+@pytest.fixture(scope="module")
+def common(spark, tmp_path_factory):
+    """A catalogue whose tiers and brands have more items than any bound that the queries had."""
+    path = str(tmp_path_factory.mktemp("common"))
+    rows = spark.range(900).selectExpr(
+        "id AS p_partkey", "IF(id % 2 = 0, 'red rod', 'old widget') AS p_name", "'Brand#7' AS p_brand", "IF(id % 3 = 0, 'PROMO', 'STANDARD') AS p_type", "int(id % 50) AS p_size", "900.5 AS p_retailprice"
+    )
+    rows.withColumn("p_retailprice", rows.p_retailprice.cast("double")).write.parquet(f"{path}/part.parquet")
+    return path
+
+
+def test_common_tiers_make_items_similar(spark, common):
+    from tarnfell.plans import graph_queries
+
+    got = graph_queries.kg_similar_edges(spark, common).groupBy("weight").count().collect()
+    # Six entities, of which the two names differ in two and the two types in one.
+    alike, kind, name, both = 2 * (150 * 149 + 300 * 299), 2 * 2 * 150 * 300, 2 * (150 * 150 + 300 * 300), 2 * 2 * 150 * 300
+    assert {r["weight"]: r["count"] for r in got} == {6: alike, 5: kind, 4: name, 3: both}
+
+
 def test_items_of_one_file_are_many_tasks(spark, monkeypatch):
     from tarnfell.operators import lineage
 
