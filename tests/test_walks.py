@@ -145,6 +145,38 @@ def test_common_tiers_make_items_similar(spark, common):
     assert {r["weight"]: r["count"] for r in got} == {6: alike, 5: kind, 4: name, 3: both}
 
 
+@pytest.mark.parametrize("least", [3e-2, 2e-3])
+def test_walks_among_classes_equal_walks_along_listed_pairs(spark, least):
+    rng = random.Random(31)
+    kinds = [[f"t{rng.randrange(3)}-{k}" for k in range(4)] + [f"brand{rng.randrange(4)}"] for _ in range(14)]
+    own = {f"i{i}": rng.choice(kinds) for i in range(70)} | {"few": ["t0-0", "t1-1"], "none": []}
+    tiers = [(i, e) for i, es in own.items() for e in es]
+    edges = [(i, e, 1) for i, e in tiers] + [(i, f"size{rng.randrange(5)}", rng.randrange(1, 3)) for i in own for _ in range(2) if i != "none"]
+    shared = {(a, b): len(set(own[a]) & set(own[b])) for a, b in itertools.permutations(own, 2)}
+    every = edges + [(a, b, n) for (a, b), n in shared.items() if n >= 3]
+    starts = [(q, i) for q in range(8) for i in rng.sample(sorted(own), rng.randrange(1, 3))] + [(20, "few"), (21, "none"), (22, "i3"), (22, "none"), (22, "i3")]
+    frame = lambda rows: spark.createDataFrame(rows, "src string, dst string, weight int")
+    seeds = spark.createDataFrame(starts, "query_id long, id string")
+    want = {(r.query_id, r.id): r["rank"] for r in walks.ranks(frame(every), seeds, 1, least=least, most=6).collect()}
+    classes = graph.classes_of(spark.createDataFrame(tiers, "i string, e string"), "i", "e")
+    pairs = graph.similar_classes(classes.select("es").distinct())
+    got = {(r.query_id, r.id): r["rank"] for r in walks.ranks_alike(frame(edges), classes, pairs, seeds, least=least, most=6).collect()}
+    assert want.keys() == got.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    assert (len(want) > 300) == (least < 1e-2)
+
+
+def test_walks_reach_items_of_common_tiers(spark, common):
+    import duckdb
+
+    from tarnfell.plans import graph_queries, registry
+
+    got = sorted(map(tuple, graph_queries.kg_similar_walks(spark, common).collect()))
+    assert any(id_.isdigit() and int(id_) != query for query, _, id_, _ in got)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{common}/part.parquet/*.parquet'")
+    assert got == sorted(con.execute(registry.ORACLES["kg_similar_walks"]).fetchall())
+
+
 def test_items_of_one_file_are_many_tasks(spark, monkeypatch):
     from tarnfell.operators import lineage
 
