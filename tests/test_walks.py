@@ -160,7 +160,8 @@ def test_walks_among_classes_equal_walks_along_listed_pairs(spark, least):
     want = {(r.query_id, r.id): r["rank"] for r in walks.ranks(frame(every), seeds, 1, least=least, most=6).collect()}
     classes = graph.classes_of(spark.createDataFrame(tiers, "i string, e string"), "i", "e")
     pairs = graph.similar_classes(classes.select("es").distinct())
-    got = {(r.query_id, r.id): r["rank"] for r in walks.ranks_alike(frame(edges), classes, pairs, seeds, least=least, most=6).collect()}
+    found = walks.ranks_alike(frame(edges), classes, pairs, seeds, least=least, most=6)
+    got = {(r.query_id, r.id): r["rank"] for r in found.collect()}
     assert want.keys() == got.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
     assert (len(want) > 300) == (least < 1e-2)
 
@@ -186,3 +187,12 @@ def test_items_of_one_file_are_many_tasks(spark, monkeypatch):
     dealt = graph.item_edges(items, ["f1"])
     assert made.rdd.getNumPartitions() == 1 and dealt.rdd.getNumPartitions() == 10
     assert sorted(map(str, made.collect())) == sorted(map(str, dealt.collect()))
+
+
+def test_checkpoints_that_grew_are_not_broadcast(spark, tmp_path):
+    from tarnfell.operators import lineage
+
+    spark.range(50).write.parquet(f"{tmp_path}/t")
+    made = lineage.merged(spark.read.parquet(f"{tmp_path}/t").selectExpr("id", "explode(sequence(0, 99)) AS n"))
+    plan = spark.range(5).join(made, "id")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
